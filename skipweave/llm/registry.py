@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from skipweave.llm import exact_dedup, quality_rules
+from skipweave.llm import exact_dedup, license_scan, quality_rules
 
 
 def queries():
     return {
+        "op2_license_scan": license_scan.op2_license_scan,
         "op4_quality_rules": quality_rules.op4_quality_rules,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     }
