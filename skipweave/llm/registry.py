@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from skipweave.llm import exact_dedup, license_scan, quality_rules
+from skipweave.llm import exact_dedup, license_scan, packing, quality_rules, url_filter
 
 
 def queries():
     return {
+        "op1_best_fit_packing": packing.op1_best_fit_packing,
         "op2_license_scan": license_scan.op2_license_scan,
         "op4_quality_rules": quality_rules.op4_quality_rules,
+        "op8_url_filter": url_filter.op8_url_filter,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     }
 
 
 def oracle_sql():
-    return {"op10_exact_dedup": exact_dedup.ORACLE}
+    return {"op8_url_filter": url_filter.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}
