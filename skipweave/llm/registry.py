@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from skipweave.llm import exact_dedup, license_scan, packing, quality_rules, simhash, token_output, url_filter
+from skipweave.llm import exact_dedup, language, license_scan, packing, quality_rules, simhash, token_output, url_filter
 
 
 def queries():
     return {
         "op1_best_fit_packing": packing.op1_best_fit_packing,
         "op2_license_scan": license_scan.op2_license_scan,
+        "op3_language_id": language.op3_language_id,
         "op4_quality_rules": quality_rules.op4_quality_rules,
         "op6_token_output": token_output.op6_token_output,
         "op8_url_filter": url_filter.op8_url_filter,
