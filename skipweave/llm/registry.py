@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skipweave.llm import exact_dedup, language, license_scan, packing, quality_rules, simhash, token_output, url_filter
+from skipweave.llm import exact_dedup, language, license_scan, lm_score, packing, quality_rules, simhash, token_output, url_filter
 
 
 def queries():
@@ -11,6 +11,7 @@ def queries():
         "op2_license_scan": license_scan.op2_license_scan,
         "op3_language_id": language.op3_language_id,
         "op4_quality_rules": quality_rules.op4_quality_rules,
+        "op5_lm_scores": lm_score.op5_lm_scores,
         "op6_token_output": token_output.op6_token_output,
         "op8_url_filter": url_filter.op8_url_filter,
         "op9_simhash_dedup": simhash.op9_simhash_dedup,

@@ -65,6 +65,12 @@ class ChunkEncoder:
     def _clear(self) -> None:
         self.keys, self.at, self.size, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
+    def _cuts(self, b: np.ndarray) -> np.ndarray:
+        return cuts(b)
+
+    def _ids(self, chunks: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+
     def _power(self, n: int) -> None:
         if len(self.powers) < n:
             with np.errstate(over="ignore"):
@@ -86,7 +92,7 @@ class ChunkEncoder:
     def _step(self, b: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if len(b) == 0:
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-        cut = cuts(b)
+        cut = self._cuts(b)
         cut[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
         starts = np.flatnonzero(cut)
         sizes = np.diff(np.append(starts, len(b)))
@@ -102,7 +108,7 @@ class ChunkEncoder:
                 return self._step(b, offsets)
             data = b.tobytes()
             s, n = starts[first[new]].tolist(), sizes[first[new]].tolist()
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast([data[i : i + k].decode() for i, k in zip(s, n, strict=True)], add_special_tokens=False)]
+            ids = self._ids([data[i : i + k].decode() for i, k in zip(s, n, strict=True)])
             count = np.fromiter(map(len, ids), np.int64, len(ids))
             flat = np.fromiter((x for one in ids for x in one), np.uint32, int(count.sum()))
             at = len(self.pool) + np.cumsum(count) - count
