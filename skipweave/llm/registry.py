@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skipweave.llm import exact_dedup, language, license_scan, lm_score, packing, quality_rules, simhash, token_output, url_filter
+from skipweave.llm import exact_dedup, language, license_scan, lm_score, packing, pieces, quality_rules, simhash, token_output, url_filter
 
 
 def queries():
@@ -13,6 +13,7 @@ def queries():
         "op4_quality_rules": quality_rules.op4_quality_rules,
         "op5_lm_scores": lm_score.op5_lm_scores,
         "op6_token_output": token_output.op6_token_output,
+        "op7_sentencepiece": pieces.op7_sentencepiece,
         "op8_url_filter": url_filter.op8_url_filter,
         "op9_simhash_dedup": simhash.op9_simhash_dedup,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
