@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skipweave.session import scratch_table
 
-__all__ = ["ROW", "WS", "documents", "full_text", "numbered", "scratch_table"]
+__all__ = ["ROW", "WS", "documents", "full_text", "where_settled", "numbered", "scratch_table"]
 
 #: ASCII white space, as in the text contracts.
 WS = r"[\x20\x09-\x0D]+"
@@ -30,3 +30,9 @@ def numbered(df: DataFrame) -> DataFrame:
     is run again, or a second scan in the same session, gives each row the same number.
     """
     return df.withColumn(ROW, F.monotonically_increasing_id())
+
+
+def where_settled(df: DataFrame, condition: str) -> DataFrame:
+    """df.filter(condition) on columns as computed: the number beside them keeps the optimizer from moving the filter below
+    the projections, where it would hold a second copy of every expression."""
+    return df.withColumn("__settled", F.monotonically_increasing_id()).filter(f"({condition}) AND __settled >= 0").drop("__settled")

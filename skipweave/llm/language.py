@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skipweave.llm.common import where_settled
 from skipweave.llm.tokens import text_buffer
 
 #: Bytes of a window; every byte of a text lies in exactly one.
@@ -205,4 +206,4 @@ def keep_known(spark: SparkSession, docs: DataFrame, sf_dir: str | None = None,
     """The rows of docs whose language is known with the probability `least`, with the columns of docs."""
     whole = docs.withColumn("__row", F.struct(*docs.columns)).select("doc_id", "text", "__row")
     judged = predict_languages(spark, whole, fit(docs), keep=("__row",))
-    return judged.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*(F.col(f"__row.{c}").alias(c) for c in docs.columns))
+    return where_settled(judged, f"lang_pred <> '{UNKNOWN}' AND score >= {least}").select(*(F.col(f"__row.{c}").alias(c) for c in docs.columns))

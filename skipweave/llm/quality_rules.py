@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skipweave.llm.common import ROW, WS, full_text
+from skipweave.llm.common import ROW, WS, full_text, where_settled
 
 #: Buckets that words and word pairs are hashed to; bounds what is gathered on the driver.
 BUCKETS = 16384
@@ -148,4 +148,4 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows of docs that pass, with the columns of docs."""
     trusted = trusted_ids(spark.read.parquet(f"{sf_dir}/labels.parquet"))
     judged = quality_rules(spark, docs.withColumn(ROW, F.struct(*docs.columns)), trusted, keep=(ROW,))
-    return judged.filter("kept").select(*(F.col(f"{ROW}.{c}").alias(c) for c in docs.columns))
+    return where_settled(judged, "kept").select(*(F.col(f"{ROW}.{c}").alias(c) for c in docs.columns))
