@@ -1,15 +1,750 @@
-"""All queries of the letter-skip engine, with their SQL."""
+"""All queries of the letter-skip engine over the test tables, with the SQL that gives the same rows."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
 
-def entry(spark):
-    return spark.range(1)
+from skipweave.functions.text import parse_reference
+from skipweave.operators import crossref, graph, ledger, letters, passages, search, significance
+from skipweave.plans import fixtures as fx
+from skipweave.sources import corpus
+
+_QUERIES: dict = {}
+_SQL: dict[str, str] = {}
+_TERM, _LOW, _HIGH = "TION", 1, 20
+_ROLL = ["TION", "THERE", "QXZQ", "UNGEN"]
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
 
 
 def queries():
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(_SQL)
+
+
+def _bounded(spark, d, scope="full"):
+    return letters.verse_boundaries(fx.verses(spark, d), scope)
+
+
+def entry(spark, d="/root/testdata/sf0.001"):
+    """Search, then the verses of each hit."""
+    bounded = _bounded(spark, d)
+    return search.hits_with_verses(search.els_search(bounded, [_TERM], 1, 50), bounded)
+
+
+# sources, sinks and changes ------------------------------------------------------------------------------------------
+
+_VERSE = "book_abbrev, chapter, verse, text"
+
+
+@query(f"WITH {fx.VERSES} SELECT {_VERSE} FROM verses WHERE book_abbrev = 'EXO' AND chapter = 2 AND verse = 1")
+def read_verse(spark, d):
+    return corpus.read_verse(fx.verses(spark, d), "EXO", 2, 1).select("book_abbrev", "chapter", "verse", "text")
+
+
+@query(f"WITH {fx.VERSES} SELECT {_VERSE} FROM verses WHERE book_abbrev = 'GEN' AND chapter = 1 ORDER BY verse")
+def read_chapter(spark, d):
+    return corpus.read_chapter(fx.verses(spark, d), "GEN", 1).select("book_abbrev", "chapter", "verse", "text")
+
+
+@query(f"WITH {fx.VERSES} SELECT {_VERSE} FROM verses WHERE book_abbrev = 'LEV' AND chapter = 3 AND verse BETWEEN 2 AND 4")
+def read_range(spark, d):
+    return corpus.read_range(fx.verses(spark, d), "LEV", 3, 2, 4).select("book_abbrev", "chapter", "verse", "text")
+
+
+@query(f"WITH {fx.VERSES} SELECT CAST(book_order AS INT) AS book_order, book, book_abbrev FROM books WHERE testament = 'NT'")
+def list_books(spark, d):
+    return corpus.list_books(fx.books(spark), "NT").select("book_order", "book", "book_abbrev")
+
+
+@query(f"WITH {fx.VERSES} SELECT book_abbrev, CAST(count(DISTINCT chapter) AS BIGINT) AS chapter_count, CAST(count(*) AS BIGINT) AS verse_count FROM verses GROUP BY 1")
+def ingest_explode(spark, d):
+    """Verses nested as a corpus file has them, and unnested again."""
+    nested = fx.verses(spark, d).groupBy("book_abbrev", "chapter").agg(F.collect_list(F.struct("verse", "text")).alias("verses"))
+    nested = nested.groupBy("book_abbrev").agg(F.collect_list(F.struct("chapter", "verses")).alias("chapters"))
+    flat = nested.select("book_abbrev", F.explode("chapters").alias("c")).select("book_abbrev", "c.chapter", F.explode("c.verses").alias("v"))
+    return flat.groupBy("book_abbrev").agg(F.count_distinct("chapter").alias("chapter_count"), F.count("*").alias("verse_count"))
+
+
+@query("""SELECT c_custkey AS id, CASE WHEN c_custkey % 10 = 0 THEN 'changed' ELSE c_mktsegment END AS notes FROM customer
+UNION ALL SELECT -c_custkey, 'new' FROM customer WHERE c_custkey % 25 = 1""")
+def upsert_latest(spark, d):
+    c = fx.table(spark, d, "customer")
+    new = c.filter("c_custkey % 10 = 0").select(F.col("c_custkey").alias("id"), F.lit("changed").alias("notes"))
+    new = new.unionByName(c.filter("c_custkey % 25 = 1").select((-F.col("c_custkey")).alias("id"), F.lit("new").alias("notes")))
+    return corpus.upsert(c.select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("notes")), new, ["id"])
+
+
+@query("SELECT n_name AS type_name, 'old' AS origin FROM nation WHERE n_nationkey < 12 UNION ALL SELECT n_name, 'seed' FROM nation WHERE n_nationkey >= 12")
+def insert_ignore(spark, d):
+    n = fx.table(spark, d, "nation")
+    old = n.filter("n_nationkey < 12").select(F.col("n_name").alias("type_name"), F.lit("old").alias("origin"))
+    return corpus.insert_ignore(old, n.select(F.col("n_name").alias("type_name"), F.lit("seed").alias("origin")), ["type_name"])
+
+
+@query(f"""WITH {fx.LEDGER} SELECT 'sessions' AS name, CAST(count(*) AS BIGINT) AS n FROM sessions WHERE session_id <> 7
+UNION ALL SELECT 'searches', CAST(count(*) AS BIGINT) FROM searches WHERE session_id <> 7
+UNION ALL SELECT 'hits', CAST(count(*) AS BIGINT) FROM lineitem WHERE l_orderkey NOT IN (SELECT search_id FROM searches WHERE session_id = 7)""")
+def delete_cascade(spark, d):
+    left = ledger.delete_session(7, fx.sessions(spark, d), fx.searches(spark, d), hits=fx.hits(spark, d))
+    counts = [t.agg(F.count("*").alias("n")).select(F.lit(k).alias("name"), "n") for k, t in left.items()]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
+@query(f"""WITH {fx.GRAPH} SELECT 'nodes' AS name, CAST(count(*) AS BIGINT) AS n FROM nodes WHERE id <> 5
+UNION ALL SELECT 'edges', CAST(count(*) AS BIGINT) FROM edges WHERE source_id <> 5 AND target_id <> 5
+UNION ALL SELECT 'embeddings', CAST(count(*) AS BIGINT) FROM vectors WHERE node_id <> 5""")
+def delete_node(spark, d):
+    left = graph.delete_node(5, fx.nodes(spark, d), fx.edges(spark, d), fx.embeddings(spark, d))
+    counts = [t.agg(F.count("*").alias("n")).select(F.lit(k).alias("name"), "n") for k, t in zip(("nodes", "edges", "embeddings"), left, strict=True)]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
+@query("""SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'new' ELSE c_mktsegment END AS segment, c_name AS name,
+CASE WHEN c_custkey % 3 = 0 THEN 'yes' END AS seen FROM customer""")
+def metadata_merge(spark, d):
+    c = fx.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.create_map(F.lit("segment"), "c_mktsegment", F.lit("name"), "c_name").alias("metadata"))
+    changes = c.filter("id % 3 = 0").select("id", F.create_map(F.lit("segment"), F.lit("new"), F.lit("seen"), F.lit("yes")).alias("metadata"))
+    m = corpus.merge_metadata(c, changes, "id")
+    return m.select("id", *(F.try_element_at("metadata", F.lit(k)).alias(k) for k in ("segment", "name", "seen")))
+
+
+@query("""SELECT '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '","n_regionkey":' || n_regionkey || '}' AS json FROM nation""")
+def export_json(spark, d):
+    return corpus.to_json_lines(fx.table(spark, d, "nation"))
+
+
+# letters -------------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {fx.BOUNDED} SELECT book_abbrev, chapter, verse, letters FROM lettered")
+def normalize_letters(spark, d):
+    from skipweave.functions.text import letters_of
+
+    return fx.verses(spark, d).select("book_abbrev", "chapter", "verse", letters_of(F.col("text")).alias("letters"))
+
+
+@query(f"WITH {fx.BOUNDED} SELECT book_abbrev, chapter, verse, start_pos, end_pos FROM bounded")
+def verse_boundaries(spark, d):
+    return _bounded(spark, d).select("book_abbrev", "chapter", "verse", "start_pos", "end_pos")
+
+
+@query(f"WITH {fx.LETTERS} SELECT ch, CAST(count(*) AS BIGINT) AS n, CAST(sum(pos) AS BIGINT) AS pos_sum, max(pos) AS last FROM letters GROUP BY ch")
+def letter_positions(spark, d):
+    return letters.letter_positions(_bounded(spark, d)).groupBy("ch").agg(F.count("*").alias("n"), F.sum("pos").alias("pos_sum"), F.max("pos").alias("last"))
+
+
+@query(f"WITH {fx.LETTERS} SELECT pos, ch FROM letters")
+def stream_letters(spark, d):
+    return letters.letter_positions(_bounded(spark, d)).select("pos", "ch")
+
+
+@query(f"WITH {fx.BOUNDED} SELECT end_pos AS cum_len, book_abbrev, chapter, verse FROM bounded")
+def verse_index(spark, d):
+    return _bounded(spark, d).select(F.col("end_pos").alias("cum_len"), "book_abbrev", "chapter", "verse")
+
+
+@query(f"""WITH {fx.BOUNDED} SELECT book_abbrev, min(start_pos) AS start_pos, CAST(sum(length(letters)) AS BIGINT) AS n_letters,
+md5(string_agg(letters, '' ORDER BY start_pos)) AS digest FROM bounded GROUP BY 1""")
+def stream_concat(spark, d):
+    return letters.stream_concat(_bounded(spark, d))
+
+
+_FREQ = "freq AS (SELECT ch AS letter, CAST(count(*) AS BIGINT) AS n FROM letters GROUP BY 1), probs AS (SELECT letter, n, n / sum(n) OVER () AS p FROM freq)"
+
+
+@query(f"WITH {fx.LETTERS}, {_FREQ} SELECT letter, n, round(CAST(p AS DOUBLE), 6) AS probability FROM probs")
+def letter_frequency(spark, d):
+    return letters.letter_frequency(_bounded(spark, d))
+
+
+_INFO = """streams AS (
+  SELECT s AS stream_id, CAST(coalesce(sum(length(letters)), 0) AS BIGINT) AS total_letters, CAST(count(letters) AS BIGINT) AS total_verses
+  FROM (VALUES ('genesis'), ('torah'), ('ot'), ('nt'), ('full'), ('EXO')) n(s) LEFT JOIN bounded b ON
+    (s = 'genesis' AND book_order = 1) OR (s = 'torah' AND book_order <= 5) OR (s = 'ot' AND book_order <= 39) OR (s = 'nt' AND book_order > 39) OR s = 'full' OR s = book_abbrev
+  GROUP BY 1)"""
+
+
+@query(f"WITH {fx.BOUNDED}, {_INFO} SELECT * FROM streams")
+def stream_info(spark, d):
+    return letters.stream_info(fx.verses(spark, d), ["genesis", "torah", "ot", "nt", "full", "EXO"])
+
+
+@query(f"""WITH {fx.BOUNDED}, {_INFO}, every AS (
+  SELECT s AS stream_id, 'scope' AS kind FROM (VALUES ('genesis'), ('torah'), ('ot'), ('nt'), ('full')) n(s) UNION ALL SELECT book_abbrev, 'book' FROM books)
+SELECT stream_id, kind, total_letters IS NOT NULL AS built, total_letters FROM every LEFT JOIN (SELECT * FROM streams WHERE stream_id IN ('full', 'EXO')) b USING (stream_id)""")
+def list_streams(spark, d):
+    return letters.list_streams(letters.stream_info(fx.verses(spark, d), ["full", "EXO"]), fx.books(spark))
+
+
+_ASKED = "asked AS (SELECT p_partkey AS idx, p_partkey * 131 - 50 AS position FROM part)"
+_PLACED = f"""WITH {fx.BOUNDED}, {_ASKED} SELECT idx, position, book_abbrev, chapter, verse, CAST(position - start_pos AS INT) AS char_in_verse,
+letters[position - start_pos + 1] AS letter, book_abbrev || ' ' || chapter || ':' || verse AS reference"""
+
+
+def _asked(spark, d):
+    return fx.table(spark, d, "part").select(F.col("p_partkey").alias("idx"), (F.col("p_partkey") * 131 - 50).alias("position"))
+
+
+@query(_PLACED + " FROM asked LEFT JOIN bounded ON position >= start_pos AND position < end_pos")
+def positions_to_verses(spark, d):
+    return letters.positions_to_verses(_asked(spark, d), _bounded(spark, d))
+
+
+@query(_PLACED + " FROM asked JOIN bounded ON position >= start_pos AND position < end_pos WHERE idx = 77")
+def position_to_verse(spark, d):
+    return letters.positions_to_verses(_asked(spark, d).filter("idx = 77"), _bounded(spark, d)).filter("letter IS NOT NULL")
+
+
+@query(f"WITH {fx.BOUNDED}, {_ASKED} SELECT idx, position, text FROM asked JOIN bounded ON position >= start_pos AND position < end_pos")
+def verse_at_position(spark, d):
+    found = letters.positions_to_verses(_asked(spark, d), _bounded(spark, d)).filter("letter IS NOT NULL")
+    return found.join(fx.verses(spark, d), ["book_abbrev", "chapter", "verse"]).select("idx", "position", "text")
+
+
+# search --------------------------------------------------------------------------------------------------------------
+
+
+def _hits_sql(direction="both", low=_LOW, high=_HIGH, terms=(_TERM,)):
+    return fx.search_sql({t: (low, high, direction) for t in terms})
+
+
+def _search(spark, d, direction="both", terms=(_TERM,), low=_LOW, high=_HIGH):
+    return search.els_search(_bounded(spark, d), list(terms), low, high, direction)
+
+
+@query(f"WITH {_hits_sql('forward')} SELECT * FROM hits")
+def els_search_forward(spark, d):
+    return _search(spark, d, "forward").select("term", "direction", "skip", "start")
+
+
+@query(f"WITH {_hits_sql('reverse')} SELECT * FROM hits")
+def els_search_reverse(spark, d):
+    return _search(spark, d, "reverse").select("term", "direction", "skip", "start")
+
+
+@query(f"WITH {_hits_sql()} SELECT term, direction, skip, start, start + (CASE direction WHEN 'forward' THEN 1 ELSE -1 END) * 3 * skip AS last FROM hits")
+def els_search_both(spark, d):
+    return _search(spark, d).select("term", "direction", "skip", "start", F.element_at("positions", -1).alias("last"))
+
+
+@query(f"WITH {_hits_sql()} SELECT * FROM hits")
+def els_search_joins(spark, d):
+    bounded = _bounded(spark, d)
+    total = bounded.agg(F.max("end_pos")).first()[0]
+    return search.els_search_join(letters.letter_positions(bounded), _TERM, total, _LOW, _HIGH).select("term", "direction", "skip", "start")
+
+
+@query(f"WITH {_hits_sql()}, placed AS (SELECT *, CASE direction WHEN 'forward' THEN 1 ELSE -1 END AS s FROM hits) " + """
+SELECT term, direction, skip, start, a.book_abbrev || ' ' || a.chapter || ':' || a.verse AS start_verse, m.book_abbrev || ' ' || m.chapter || ':' || m.verse AS mid_verse,
+z.book_abbrev || ' ' || z.chapter || ':' || z.verse AS end_verse FROM placed
+JOIN letters a ON a.pos = start JOIN letters m ON m.pos = start + s * 2 * skip JOIN letters z ON z.pos = start + s * 3 * skip""")
+def els_search_verses(spark, d):
+    bounded = _bounded(spark, d)
+    return search.hits_with_verses(search.els_search(bounded, [_TERM], _LOW, _HIGH), bounded)
+
+
+@query(f"WITH {_hits_sql()} SELECT * FROM hits ORDER BY skip, direction, start LIMIT 25")
+def els_search_top25(spark, d):
+    return search.top_hits(_search(spark, d).select("term", "direction", "skip", "start"))
+
+
+@query(f"WITH {_hits_sql()}, r AS (SELECT *, row_number() OVER (ORDER BY direction, skip, start) AS rn, count(*) OVER () AS n FROM hits) SELECT term, direction, skip, start, n >= 1000 AS capped FROM r WHERE rn <= 1000")
+def els_search_capped(spark, d):
+    return search.capped(_search(spark, d).select("term", "direction", "skip", "start"), 1000)
+
+
+@query(f"WITH {_hits_sql()} SELECT skip, CAST(count(*) AS BIGINT) AS n FROM hits GROUP BY 1 ORDER BY n DESC, skip LIMIT 5")
+def hits_per_skip(spark, d):
+    return search.hits_per_skip(_search(spark, d))
+
+
+@query(f"WITH {_hits_sql()} SELECT term, direction, CAST(count(*) AS BIGINT) AS n FROM hits GROUP BY 1, 2")
+def hits_by_direction(spark, d):
+    return search.hits_by_direction(_search(spark, d))
+
+
+@query(f"WITH {_hits_sql(terms=tuple(_ROLL))} SELECT t AS term, CAST(count(start) AS BIGINT) AS n FROM (VALUES {', '.join(f"('{t}')" for t in _ROLL)}) v(t) LEFT JOIN hits ON term = t GROUP BY 1")
+def roll_call(spark, d):
+    return search.roll_call(_search(spark, d, terms=tuple(_ROLL)), _ROLL)
+
+
+@query(f"""WITH {_hits_sql(terms=tuple(_ROLL), high=40)}, near AS (SELECT DISTINCT h.term FROM hits h JOIN bounded b ON b.book_order = 1 AND h.start >= b.start_pos AND h.start < b.end_pos
+  WHERE skip <= 2 AND start + (CASE direction WHEN 'forward' THEN 1 ELSE -1 END) * (length(term) - 1) * skip BETWEEN 0 AND (SELECT max(end_pos) FROM bounded WHERE book_order = 1) - 1)
+SELECT t AS term, CAST(count(start) AS BIGINT) AS n FROM (VALUES {', '.join(f"('{t}')" for t in _ROLL)}) v(t) LEFT JOIN hits ON term = t WHERE t NOT IN (SELECT term FROM near) GROUP BY 1""")
+def expand_missing(spark, d):
+    narrow = search.els_search(_bounded(spark, d, "genesis"), _ROLL, 1, 2)
+    return search.expand_missing(narrow, _bounded(spark, d), _ROLL, 40)
+
+
+# ledger --------------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {fx.LEDGER} SELECT session_id, name, search_id, term, stream_id, hit_count, searched_at FROM sessions JOIN searches USING (session_id) WHERE session_id = 11")
+def session_view(spark, d):
+    return ledger.session_view(fx.sessions(spark, d), fx.searches(spark, d), 11)
+
+
+@query(f"""WITH {fx.LEDGER} SELECT s.*, CAST((SELECT count(*) FROM searches q WHERE q.session_id = s.session_id) AS BIGINT) AS n_searches
+FROM sessions s ORDER BY updated_at DESC, session_id LIMIT 20 OFFSET 40""")
+def session_list(spark, d):
+    return ledger.session_list(fx.sessions(spark, d), fx.searches(spark, d), 20, 40)
+
+
+@query(f"WITH {fx.LEDGER} SELECT * FROM sessions WHERE name = '__default__' ORDER BY created_at DESC, session_id LIMIT 1")
+def default_session(spark, d):
+    return ledger.default_session(fx.sessions(spark, d))
+
+
+@query(f"WITH {fx.LEDGER}, {fx.HITS} SELECT h.search_id, hit_count AS reported, h.term, h.stream_id, start AS start_position, skip AS skip_interval, direction, hit_id FROM hits h JOIN searches s USING (search_id) WHERE search_id = 42")
+def search_detail(spark, d):
+    stored = fx.hits(spark, d).withColumnsRenamed({"start": "start_position", "skip": "skip_interval"}).drop("positions")
+    return ledger.search_detail(fx.searches(spark, d), stored, 42)
+
+
+@query(f"WITH {fx.LEDGER} SELECT * FROM searches WHERE contains(lower(term), 'igh') AND stream_id = 'F' ORDER BY searched_at DESC, search_id LIMIT 50 OFFSET 10")
+def search_history(spark, d):
+    return ledger.search_history(fx.searches(spark, d), "igh", "F", None, 50, 10)
+
+
+@query(f"WITH {fx.HITS} SELECT term, stream_id, start AS start_position, skip, direction, hit_id FROM hits WHERE term = 'TERMC' AND stream_id = 'A'")
+def hits_for_term(spark, d):
+    return ledger.hits_for_term(fx.hits(spark, d).withColumnRenamed("start", "start_position"), "TERMC", "A").drop("positions", "search_id")
+
+
+@query(f"WITH {fx.LEDGER} SELECT term, stream_id, CAST(count(*) AS BIGINT) AS times_searched, CAST(sum(hit_count) AS BIGINT) AS total_hits FROM searches GROUP BY 1, 2")
+def searched_terms(spark, d):
+    return ledger.searched_terms(fx.searches(spark, d))
+
+
+@query(f"""WITH {fx.LEDGER} SELECT CAST((SELECT count(*) FROM sessions) AS BIGINT) AS sessions, CAST(count(*) AS BIGINT) AS searches, CAST(count(DISTINCT term) AS BIGINT) AS terms,
+CAST(count(DISTINCT stream_id) AS BIGINT) AS streams, CAST((SELECT count(*) FROM lineitem) AS BIGINT) AS hits FROM searches""")
+def research_stats(spark, d):
+    return ledger.research_stats(fx.sessions(spark, d), fx.searches(spark, d), fx.hits(spark, d))
+
+
+@query(f"WITH {fx.LEDGER} SELECT term, CAST(count(*) AS BIGINT) AS times_searched, CAST(sum(hit_count) AS BIGINT) AS total_hits FROM searches GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+def top_terms(spark, d):
+    return ledger.top_terms(fx.searches(spark, d))
+
+
+@query(f"WITH {fx.LEDGER} SELECT * FROM sessions WHERE name <> '__default__' ORDER BY updated_at DESC, session_id LIMIT 5")
+def recent_sessions(spark, d):
+    return ledger.recent_sessions(fx.sessions(spark, d))
+
+
+# cross-reference -----------------------------------------------------------------------------------------------------
+
+
+def _two(spark, d):
+    h = fx.hits(spark, d).filter("stream_id = 'A'")
+    return h.filter("term = 'TERMA'"), h.filter("term = 'TERMB'")
+
+
+_TWO = f"WITH {fx.HITS}, a AS (SELECT * FROM marks WHERE term = 'TERMA' AND stream_id = 'A'), b AS (SELECT * FROM marks WHERE term = 'TERMB' AND stream_id = 'A')"
+_PAIRS = """, near AS (
+  SELECT a.start AS sa, a.skip AS ka, a.direction AS da, a.hit_id AS ha, b.start AS sb, b.skip AS kb, b.direction AS db, b.hit_id AS hb, abs(a.pos - b.pos) AS distance, a.k AS ia, b.k AS ib, a.pos AS pos_a, b.pos AS pos_b
+  FROM a JOIN b ON a.pos BETWEEN b.pos - {w} AND b.pos + {w}
+), pairs AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY ha, hb, sa, sb, ka, kb ORDER BY distance, ia, ib) = 1)"""
+_FLAT = ["a.start AS start_a", "b.start AS start_b", "distance", "pos_a", "pos_b"]
+
+
+@query(_TWO + " SELECT hit_id, pos AS position FROM b WHERE pos IN (SELECT pos FROM a)")
+def prox_intersections(spark, d):
+    return crossref.intersections(*_two(spark, d))
+
+
+@query(_TWO + _PAIRS.format(w=2000) + " SELECT sa AS start_a, sb AS start_b, distance, pos_a, pos_b FROM pairs ORDER BY distance, sa, ka, da, ha, sb, kb, db, hb LIMIT 20")
+def prox_pairs(spark, d):
+    return crossref.closest_pairs(*_two(spark, d), 20).selectExpr(*_FLAT)
+
+
+@query(_TWO + _PAIRS.format(w=100) + " SELECT sa AS start_a, sb AS start_b, distance, pos_a, pos_b FROM pairs")
+def prox_pairs_within(spark, d):
+    return crossref.pairs_within(*_two(spark, d), 100).selectExpr(*_FLAT)
+
+
+@query(_TWO + _PAIRS.format(w=2000) + " SELECT least(pos_a, pos_b) AS region_start, greatest(pos_a, pos_b) AS region_end, distance AS span FROM pairs ORDER BY distance, sa, ka, da, ha, sb, kb, db, hb LIMIT 1")
+def prox_closest_region(spark, d):
+    return crossref.closest_region(crossref.pairs_within(*_two(spark, d), 2000))
+
+
+@query(_TWO + """ SELECT CAST((SELECT count(*) FROM a WHERE k = 0) AS BIGINT) AS hits_a, CAST((SELECT count(*) FROM b WHERE k = 0) AS BIGINT) AS hits_b,
+CAST((SELECT count(*) FROM a WHERE k = 0) * (SELECT count(*) FROM b WHERE k = 0) AS BIGINT) AS pairs_compared, CAST((SELECT count(*) FROM b WHERE pos IN (SELECT pos FROM a)) AS BIGINT) AS n_intersections""")
+def prox_summary(spark, d):
+    return crossref.proximity_summary(*_two(spark, d))
+
+
+_CLUSTER = f"""WITH {fx.HITS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY start, term, skip, direction, hit_id) AS rn FROM hits),
+candidates AS (
+  SELECT r.stream_id, r.hit_id, min(l.start) AS region_start, r.start AS region_end, CAST(count(DISTINCT l.term) AS INT) AS distinct_terms, CAST(count(*) AS INT) AS total_hits, r.start - min(l.start) AS spread,
+         string_agg(DISTINCT l.term, ',' ORDER BY l.term) AS terms
+  FROM ranked r JOIN ranked l ON l.stream_id = r.stream_id AND l.start BETWEEN r.start - 1000 AND r.start AND l.rn <= r.rn GROUP BY r.stream_id, r.hit_id, r.start, r.rn HAVING count(DISTINCT l.term) >= 5
+)"""
+
+
+@query(_CLUSTER + " SELECT * FROM candidates")
+def cluster_candidates(spark, d):
+    return crossref.cluster_candidates(fx.hits(spark, d), 1000, 5)
+
+
+@query(f"WITH {fx.HITS}, quiet AS (SELECT stream_id, term FROM hits GROUP BY 1, 2 HAVING count(*) <= 800) SELECT stream_id, term, CAST(count(*) AS BIGINT) AS n FROM hits SEMI JOIN quiet USING (stream_id, term) GROUP BY 1, 2")
+def cluster_noise_filter(spark, d):
+    return crossref.without_noise(fx.hits(spark, d), 800).groupBy("stream_id", "term").agg(F.count("*").alias("n"))
+
+
+def _clusters(spark, d):
+    return crossref.cluster_top(crossref.cluster_candidates(fx.hits(spark, d), 1000, 5), 1000, 3)
+
+
+@query()
+def cluster_top(spark, d):
+    return _clusters(spark, d)
+
+
+_FIXED = "clusters AS (SELECT s AS stream_id, CAST(1 + c AS INT) AS cluster, 100000 * c AS region_start, 100000 * c + 5000 AS region_end FROM (VALUES ('A'), ('N'), ('R')) t(s), range(0, 5) r(c))"
+
+
+def _fixed(spark):
+    return spark.sql("SELECT s AS stream_id, CAST(1 + c AS INT) AS cluster, 100000L * c AS region_start, 100000L * c + 5000 AS region_end FROM (VALUES ('A'), ('N'), ('R')) t(s), (SELECT explode(sequence(0, 4)) AS c)")
+
+
+@query(f"""WITH {fx.HITS}, {_FIXED} SELECT h.stream_id, cluster, term, start, skip, direction, CAST(row_number() OVER (PARTITION BY h.stream_id, cluster, term ORDER BY start, skip, direction, hit_id) AS INT) AS rn
+FROM hits h JOIN clusters c ON h.stream_id = c.stream_id AND start BETWEEN region_start AND region_end QUALIFY rn <= 3""")
+def cluster_detail(spark, d):
+    return crossref.cluster_detail(_fixed(spark), fx.hits(spark, d))
+
+
+@query(f"WITH {fx.HITS}, {_FIXED} SELECT h.stream_id, cluster, term, CAST(count(*) AS BIGINT) AS n FROM hits h JOIN clusters c ON h.stream_id = c.stream_id AND start BETWEEN region_start AND region_end GROUP BY ALL")
+def cluster_term_counts(spark, d):
+    return crossref.cluster_term_counts(_fixed(spark), fx.hits(spark, d))
+
+
+@query("SELECT o_orderkey AS cluster_id, o_orderdate AS discovered_at FROM orders ORDER BY discovered_at DESC, cluster_id LIMIT 20")
+def cluster_list(spark, d):
+    o = fx.table(spark, d, "orders").select(F.col("o_orderkey").alias("cluster_id"), F.col("o_orderdate").alias("discovered_at"))
+    return ledger.cluster_list(o)
+
+
+_NEAR = """, points AS (SELECT DISTINCT stream_id, term, {v} AS v FROM {t}), near AS (
+  SELECT a.stream_id, a.term AS term_a, b.term AS term_b, abs(a.v - b.v) AS distance, a.v AS a, b.v AS b FROM (SELECT *, unnest([v // {w} - 1, v // {w}, v // {w} + 1]) AS bucket FROM points) a JOIN points b ON a.stream_id = b.stream_id AND a.bucket = b.v // {w} AND a.term < b.term AND a.v BETWEEN b.v - {w} AND b.v + {w}
+  QUALIFY row_number() OVER (PARTITION BY a.stream_id, a.term, b.term ORDER BY abs(a.v - b.v), a.v, b.v) = 1)"""
+_SWEEP = f"WITH {fx.HITS}" + _NEAR.format(v="start", t="hits", w=50) + """, shared AS (
+  SELECT a.stream_id, a.term AS term_a, b.term AS term_b, CAST(count(*) AS BIGINT) AS shared FROM (SELECT DISTINCT stream_id, term, pos FROM marks) a JOIN marks b ON a.stream_id = b.stream_id AND a.pos = b.pos AND a.term < b.term GROUP BY ALL
+), swept AS (SELECT stream_id, term_a, term_b, distance, a, b, coalesce(shared, 0) AS shared, CAST(coalesce(shared, 0) * 1000 + (50 - coalesce(distance, 50)) AS BIGINT) AS score
+  FROM near FULL JOIN shared USING (stream_id, term_a, term_b))"""
+
+
+@query(_SWEEP + " SELECT * FROM swept")
+def sweep_pairs(spark, d):
+    return crossref.sweep(fx.hits(spark, d), 50)
+
+
+@query(_SWEEP + " SELECT * FROM swept ORDER BY score DESC, stream_id, term_a, term_b LIMIT 30")
+def sweep_top(spark, d):
+    return crossref.sweep_top(crossref.sweep(fx.hits(spark, d), 50))
+
+
+@query(f"WITH {fx.HITS}" + _NEAR.format(v="pos", t="marks WHERE k = 2", w=20) + " SELECT * FROM near")
+def closest_midpoints(spark, d):
+    return crossref.closest_midpoints(fx.hits(spark, d), 20)
+
+
+@query(f"WITH {fx.HITS}" + _NEAR.format(v="pos", t="marks WHERE k = 2", w=500) + " SELECT * FROM near ORDER BY distance, stream_id, term_a, term_b LIMIT 30")
+def closest_pairs_all(spark, d):
+    return crossref.closest_midpoints(fx.hits(spark, d), 500, 30)
+
+
+@query(_TWO + _PAIRS.format(w=300) + """ SELECT ka AS skip_a, kb AS skip_b, da AS direction_a, db AS direction_b, distance, sa AS start_a, sb AS start_b FROM pairs
+QUALIFY row_number() OVER (PARTITION BY ka, kb, da, db ORDER BY distance, sa, sb) = 1""")
+def prox_dedup_skip(spark, d):
+    return crossref.pairs_once_per_skip(*_two(spark, d), 300)
+
+
+@query(f"""WITH {fx.HITS}, m AS (SELECT DISTINCT term, pos FROM marks WHERE k = 2 AND stream_id = 'A')
+SELECT a.pos AS m1, b.pos AS m2, c.pos AS m3, greatest(a.pos, b.pos, c.pos) - least(a.pos, b.pos, c.pos) AS spread FROM m a JOIN m b ON a.term = 'TERMA' AND b.term = 'TERMB' AND abs(a.pos - b.pos) <= 15000
+JOIN m c ON c.term = 'TERMC' AND abs(a.pos - c.pos) <= 15000 AND abs(b.pos - c.pos) <= 15000 ORDER BY spread, m1, m2, m3 LIMIT 1""")
+def triple_cluster(spark, d):
+    return crossref.triple_cluster(fx.hits(spark, d).filter("stream_id = 'A'"), ("TERMA", "TERMB", "TERMC"))
+
+
+@query(f"""WITH {fx.HITS}, m AS (SELECT stream_id, term, pos FROM marks WHERE k = 2), s AS (SELECT DISTINCT stream_id, pos FROM m),
+w AS (SELECT s.stream_id, s.pos AS window_start, CAST(count(DISTINCT m.term) AS INT) AS n_terms, CAST(count(*) AS BIGINT) AS n_hits FROM s JOIN m ON m.stream_id = s.stream_id AND m.pos BETWEEN s.pos AND s.pos + 1000 GROUP BY 1, 2)
+SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY stream_id ORDER BY n_terms DESC, n_hits DESC, window_start) = 1""")
+def mega_cluster(spark, d):
+    return crossref.mega_cluster(fx.hits(spark, d), 1000)
+
+
+# significance --------------------------------------------------------------------------------------------------------
+
+
+_WORDS = ["TION", "THERE", "UNGEN", "ENE"]
+_EXPECT = f"""words AS (SELECT * FROM (VALUES {', '.join(f"('{w}')" for w in _WORDS)}) v(term)), spelled AS (
+  SELECT term, CAST(i - 1 AS INT) AS i, term[i] AS letter FROM words, LATERAL (SELECT unnest(generate_series(1, length(term))) AS i)
+), n AS (SELECT max(end_pos) AS n FROM bounded), expected AS (
+  SELECT term, exp(sum(ln(p))) * any_value(2.0 * ((least(20, n // length(term))) * n - (length(term) - 1) * (least(20, n // length(term)) * (least(20, n // length(term)) + 1)) // 2)) AS expected
+  FROM spelled JOIN probs USING (letter), n GROUP BY term)"""
+
+
+@query(f"WITH {fx.LETTERS}, {_FREQ}, {_EXPECT} SELECT term, round(CAST(expected AS DOUBLE), 4) AS expected FROM expected")
+def expected_frequency(spark, d):
+    bounded = _bounded(spark, d)
+    total = bounded.agg(F.max("end_pos")).first()[0]
+    return significance.expected_frequency(letters.letter_frequency(bounded), _WORDS, total, 1, 20).select("term", F.round("expected", 4).alias("expected"))
+
+
+@query(f"WITH {fx.LETTERS}, {_FREQ}, {_EXPECT} SELECT term, i, letter, round(CAST(coalesce(p, 0) AS DOUBLE), 6) AS p FROM spelled LEFT JOIN probs USING (letter)")
+def letter_probs(spark, d):
+    return significance.letter_probs(significance.exact_frequency(letters.letter_frequency(_bounded(spark, d))), _WORDS).withColumn("p", F.round("p", 6))
+
+
+_TAIL = """SELECT idx, rate, observed, CASE WHEN observed <= 0 THEN 1 WHEN rate <= 0 THEN 0 ELSE round(greatest(0, 1 - (SELECT sum(exp(-rate + k * ln(rate) - lgamma(k + 1))) FROM (SELECT unnest(generate_series(0, observed - 1)) AS k))), 6) END AS p
+FROM (SELECT p_partkey AS idx, CAST(p_partkey % 40 / 2 AS DOUBLE) AS rate, p_partkey % 23 AS observed FROM part)"""
+
+
+@query(_TAIL.replace("AS p\nFROM", "::DOUBLE AS p\nFROM").replace("END ::DOUBLE", "END::DOUBLE"))
+def poisson_pvalue(spark, d):
+    p = fx.table(spark, d, "part").select(F.col("p_partkey").alias("idx"), (F.col("p_partkey") % 40 / 2).alias("rate"), (F.col("p_partkey") % 23).alias("observed"))
+    return p.withColumn("p", F.round(significance.poisson_tail(F.col("rate"), F.col("observed")), 6))
+
+
+@query(f"""WITH {_hits_sql(terms=tuple(_WORDS))}, {_FREQ}, {_EXPECT}, found AS (SELECT term, CAST(count(*) AS BIGINT) AS observed FROM hits GROUP BY 1),
+t AS (SELECT term, CAST(expected AS DOUBLE) AS e, observed, greatest(0, 1 - (SELECT sum(exp(-e + k * ln(e) - lgamma(k + 1))) FROM (SELECT unnest(generate_series(0, observed - 1)) AS k)))::DOUBLE AS q FROM expected JOIN found USING (term))
+SELECT term, round(e, 4) AS expected, observed, round(observed / e, 4) AS ratio, round(q, 6) AS p,
+CASE WHEN q < 0.001 THEN 'highly significant' WHEN q < 0.01 THEN 'very significant' WHEN q < 0.05 THEN 'significant' ELSE 'not significant' END AS label FROM t""")
+def poisson_analysis(spark, d):
+    bounded = _bounded(spark, d)
+    total = bounded.agg(F.max("end_pos")).first()[0]
+    expected = significance.expected_frequency(letters.letter_frequency(bounded), _WORDS, total, 1, 20)
+    observed = search.els_search(bounded, _WORDS, 1, 20, total=total).groupBy("term").agg(F.count("*").alias("observed"))
+    return significance.poisson_analysis(expected.join(observed, "term"))
+
+
+_MC = f"""WITH {fx.LETTERS}, keyed AS (SELECT r AS run, pos, ch, md5('seed:' || r || ':' || pos) AS key FROM (SELECT pos, ch FROM letters WHERE book_abbrev = 'GEN') g, (SELECT unnest(generate_series(1, 4)) AS r)),
+mixed AS (SELECT run, ch, row_number() OVER (PARTITION BY run ORDER BY key, pos) - 1 AS pos FROM keyed),
+found AS (SELECT a.run, count(*) AS n FROM mixed a, (SELECT unnest(generate_series(1, 8)) AS s) k, (VALUES (1), (-1)) w(g)
+  JOIN mixed b ON b.run = a.run AND b.pos = a.pos + g * s AND b.ch = 'N' JOIN mixed c ON c.run = a.run AND c.pos = a.pos + 2 * g * s AND c.ch = 'E' WHERE a.ch = 'E' GROUP BY 1),
+runs AS (SELECT CAST(r AS INT) AS run, CAST(coalesce(n, 0) AS BIGINT) AS n FROM (SELECT unnest(generate_series(1, 4)) AS r) LEFT JOIN found ON run = r)"""
+
+
+def _mc(spark, d):
+    bounded = _bounded(spark, d, "genesis")
+    total = bounded.agg(F.max("end_pos")).first()[0]
+    return bounded, total, significance.monte_carlo(letters.letter_positions(bounded), "ENE", total, 4, "seed", 1, 8)
+
+
+@query(_MC + " SELECT * FROM runs")
+def monte_carlo(spark, d):
+    return _mc(spark, d)[2]
+
+
+@query(_MC + """ SELECT round(avg(n), 2) AS mean, round(stddev_pop(n), 2) AS sd, list_sort(list(n))[CAST(floor(count(*) / 2) AS INT) + 1] AS median, min(n) AS least, max(n) AS most,
+round(CASE WHEN stddev_pop(n) > 0 THEN (5000 - avg(n)) / stddev_pop(n) ELSE 0 END, 4) AS z, round(avg(CASE WHEN n >= 5000 THEN 1 ELSE 0 END), 6) AS p FROM runs""")
+def mc_distribution(spark, d):
+    return significance.mc_distribution(_mc(spark, d)[2], 5000)
+
+
+@query()
+def full_analysis(spark, d):
+    """The Poisson analysis of a term beside its distribution over shuffled streams, both over the same skips."""
+    bounded, total, runs = _mc(spark, d)
+    observed = search.els_search(bounded, ["ENE"], 1, 8, total=total).groupBy("term").agg(F.count("*").alias("observed"))
+    expected = significance.expected_frequency(letters.letter_frequency(bounded), ["ENE"], total, 1, 8)
+    seen = observed.first()["observed"]
+    analysis = significance.poisson_analysis(expected.join(observed, "term"))
+    return analysis.join(F.broadcast(significance.mc_distribution(runs, seen).withColumnsRenamed({"p": "mc_p"})), F.lit(True))
+
+
+@query("SELECT o_orderkey AS stat_id, o_custkey AS search_id, o_orderdate AS computed_at FROM orders WHERE o_custkey = 17")
+def stats_for_search(spark, d):
+    o = fx.table(spark, d, "orders").select(F.col("o_orderkey").alias("stat_id"), F.col("o_custkey").alias("search_id"), F.col("o_orderdate").alias("computed_at"))
+    return ledger.stats_for_search(o, 17)
+
+
+# passages ------------------------------------------------------------------------------------------------------------
+
+
+_REFS = ["GEN.1.1", "ROM.8.28-30", "jhn.3.16", "Genesis 1:1", "1 Corinthians 13:4-7", "john 3:16", "GEN.1", "Psalm 23", "nonsense", "Song of Solomon 2:1"]
+_REF_SQL = f"""WITH refs AS (SELECT unnest([{', '.join(f"'{r}'" for r in _REFS)}]) AS ref), names(n, a) AS (VALUES ('Genesis', 'GEN'), ('1 Corinthians', '1CO'), ('Song of Solomon', 'SOS')),
+m AS (SELECT ref, regexp_extract(ref, '(?i)^([A-Z0-9]{{2,3}})\\.(\\d+)\\.(\\d+)(?:-(\\d+))?$', ['a', 'c', 'v', 'w']) AS x, regexp_extract(ref, '^(.+?)\\s+(\\d+):(\\d+)(?:-(\\d+))?$', ['a', 'c', 'v', 'w']) AS y,
+  regexp_extract(ref, '(?i)^([A-Z0-9]{{2,3}})\\.(\\d+)$', ['a', 'c']) AS z FROM refs)
+SELECT ref, CASE WHEN x.a <> '' THEN upper(x.a) WHEN y.a <> '' THEN coalesce(names.a, upper(substr(y.a, 1, 3))) WHEN z.a <> '' THEN upper(z.a) END AS book_abbrev,
+  CAST(nullif(x.c || y.c || z.c, '') AS INT) AS chapter, CAST(nullif(x.v || y.v, '') AS INT) AS verse_start, CAST(coalesce(nullif(x.w || y.w, ''), nullif(x.v || y.v, '')) AS INT) AS verse_end
+FROM m LEFT JOIN names ON n = y.a"""
+
+
+@query(_REF_SQL)
+def parse_references(spark, d):
+    refs = spark.createDataFrame([(r,) for r in _REFS], "ref string")
+    return refs.select("ref", *(c.alias(k) for k, c in parse_reference(F.col("ref")).items()))
+
+
+@query(f"WITH {fx.VERSES} SELECT {_VERSE} FROM verses WHERE contains(lower(text), 'tion the') ORDER BY book_order, chapter, verse LIMIT 20")
+def scripture_keyword(spark, d):
+    return passages.scripture_keyword(fx.verses(spark, d), "TION the").select("book_abbrev", "chapter", "verse", "text")
+
+
+@query(f"""WITH {fx.VERSES}, r AS (SELECT *, row_number() OVER w AS rn, max(verse) OVER a AS l, list(text) OVER a AS t FROM verses
+  WINDOW w AS (PARTITION BY book_abbrev, chapter ORDER BY verse), a AS (PARTITION BY book_abbrev, chapter ORDER BY verse ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING))
+SELECT book_abbrev || '.' || chapter || '.' || verse || '-' || l AS passage_id, book_abbrev, chapter, verse AS verse_start, l AS verse_end, array_to_string(t, ' ') AS passage_text FROM r WHERE (rn - 1) % 2 = 0""")
+def passage_windows(spark, d):
+    return passages.passage_windows(fx.verses(spark, d))
+
+
+def _scored(spark, d):
+    e = fx.embeddings(spark, d)
+    return passages.similarities(e, e.filter("node_id = 0").select(F.col("vector").alias("query")), "node_id", "vector")
+
+
+@query(f"WITH {fx.GRAPH} SELECT node_id, round(similarity, 6) AS similarity FROM scored")
+def cosine_similarity(spark, d):
+    return _scored(spark, d).select("node_id", F.round("similarity", 6).alias("similarity"))
+
+
+@query(f"WITH {fx.GRAPH} SELECT node_id, round(similarity, 6) AS similarity FROM scored ORDER BY scored.similarity DESC, node_id LIMIT 10")
+def semantic_topk(spark, d):
+    return passages.semantic_topk(_scored(spark, d), "node_id", 10).select("node_id", F.round("similarity", 6).alias("similarity"))
+
+
+@query(f"WITH {fx.GRAPH} SELECT node_id, round(similarity, 6) AS similarity FROM scored WHERE scored.similarity >= 0.25 ORDER BY scored.similarity DESC, node_id LIMIT 50")
+def semantic_threshold(spark, d):
+    return passages.semantic_topk(_scored(spark, d), "node_id", 50, 0.25).select("node_id", F.round("similarity", 6).alias("similarity"))
+
+
+@query(f"WITH {fx.GRAPH} SELECT id, substr(concat_ws(' | ', '[' || type || ']', nullif(summary, ''), nullif(detail, ''), nullif(context, ''), 'Tags: ' || array_to_string(tags, ', ')), 1, 2000) AS node_text FROM nodes")
+def node_text(spark, d):
+    return passages.node_text(fx.nodes(spark, d))
+
+
+@query(f"WITH {fx.VERSES} SELECT verse, text, CASE WHEN verse < 3 THEN 'before' WHEN verse > 4 THEN 'after' ELSE 'passage' END AS part FROM verses WHERE book_abbrev = 'GEN' AND chapter = 2 AND verse BETWEEN 0 AND 7")
+def context_window(spark, d):
+    return passages.context_window(fx.verses(spark, d), "GEN", 2, 3, 4).select("verse", "text", "part")
+
+
+_TYPES = "('src0', 'src3', 'src7')"
+
+
+@query(f"WITH {fx.GRAPH} SELECT id, type FROM nodes WHERE type IN {_TYPES} AND (contains(lower(summary), 'tion.') OR contains(lower(detail), 'tion.') OR contains(lower(context), 'tion.'))")
+def passage_notes(spark, d):
+    return passages.passage_notes(fx.nodes(spark, d), "TION.", ["src0", "src3", "src7"]).select("id", "type")
+
+
+@query(f"""WITH {fx.VERSES}, {fx.GRAPH} SELECT 'verse' AS kind, CAST(verse AS BIGINT) AS id FROM verses WHERE book_abbrev = 'GEN' AND chapter = 2 AND verse BETWEEN 0 AND 7
+UNION ALL SELECT 'note', id FROM nodes WHERE type IN {_TYPES} AND (contains(lower(summary), 'gen.2.3') OR contains(lower(detail), 'gen.2.3') OR contains(lower(context), 'gen.2.3'))""")
+def study_passage(spark, d):
+    rows, notes = passages.study_passage(fx.verses(spark, d), fx.nodes(spark, d), "GEN", 2, 3, 4, ["src0", "src3", "src7"])
+    return rows.select(F.lit("verse").alias("kind"), F.col("verse").cast("long").alias("id")).unionByName(notes.select(F.lit("note").alias("kind"), "id"))
+
+
+@query(f"WITH {fx.GRAPH} SELECT id, type, created_at FROM nodes WHERE type IN {_TYPES} ORDER BY created_at DESC, id LIMIT 50")
+def study_history(spark, d):
+    return passages.study_history(fx.nodes(spark, d), ["src0", "src3", "src7"]).select("id", "type", "created_at")
+
+
+@query(f"WITH {fx.VERSES} SELECT book_abbrev, CAST(count(*) AS BIGINT) AS verses, CAST(count(DISTINCT chapter) AS BIGINT) AS chapters FROM verses GROUP BY 1")
+def scripture_stats(spark, d):
+    return passages.scripture_stats(fx.verses(spark, d))
+
+
+@query(f"WITH {fx.VERSES} SELECT CAST(count(*) AS BIGINT) AS verses, CAST(count(DISTINCT book_abbrev) AS BIGINT) AS books, CAST(count(DISTINCT (book_abbrev, chapter)) AS BIGINT) AS chapters FROM verses")
+def corpus_totals(spark, d):
+    return passages.corpus_totals(fx.verses(spark, d))
+
+
+# graph ---------------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {fx.GRAPH} SELECT id, type FROM nodes WHERE type IN (SELECT type_name FROM types WHERE is_base_type)")
+def valid_types(spark, d):
+    return graph.valid_types(fx.nodes(spark, d), fx.types(spark, d).filter("is_base_type")).select("id", "type")
+
+
+@query(f"""WITH {fx.GRAPH} SELECT 'out' AS way, relationship, target_id AS neighbour, type, summary FROM edges JOIN nodes ON id = target_id WHERE source_id = 20
+UNION ALL SELECT 'in', relationship, source_id, type, summary FROM edges JOIN nodes ON id = source_id WHERE target_id = 20""")
+def node_connections(spark, d):
+    return graph.node_connections(fx.edges(spark, d), fx.nodes(spark, d), 20).select("way", "relationship", "neighbour", "type", "summary")
+
+
+@query(f"WITH {fx.GRAPH} SELECT id, type, created_at FROM nodes WHERE list_has_any(tags, ['tag2', 'de']) ORDER BY created_at DESC, id LIMIT 50 OFFSET 5")
+def node_list(spark, d):
+    return graph.node_list(fx.nodes(spark, d), None, ["tag2", "de"], offset=5).select("id", "type", "created_at")
+
+
+_FOUND = "(contains(lower(summary), 'tion the') OR contains(lower(detail), 'tion the') OR contains(lower(context), 'tion the'))"
+
+
+@query(f"WITH {fx.GRAPH} SELECT id, created_at FROM nodes WHERE {_FOUND} ORDER BY created_at DESC, id LIMIT 20")
+def node_keyword(spark, d):
+    return graph.node_keyword(fx.nodes(spark, d), "Tion the").select("id", "created_at")
+
+
+@query(f"WITH {fx.GRAPH}, f AS (SELECT id, type, created_at FROM nodes WHERE {_FOUND} ORDER BY created_at DESC, id LIMIT 40) SELECT * FROM f WHERE type = 'src0' ORDER BY created_at DESC, id LIMIT 20")
+def node_keyword_typed(spark, d):
+    return graph.node_keyword_typed(fx.nodes(spark, d), "tion the", "src0").select("id", "type", "created_at")
+
+
+@query(f"WITH {fx.GRAPH} SELECT id, type, round(similarity, 6) AS similarity FROM scored JOIN nodes ON id = node_id WHERE type IN {_TYPES} AND scored.similarity >= 0.1 ORDER BY scored.similarity DESC, id LIMIT 15")
+def node_semantic(spark, d):
+    rows = fx.nodes(spark, d).filter(F.col("type").isin("src0", "src3", "src7")).select("id", "type").join(_scored(spark, d).withColumnRenamed("node_id", "id"), "id")
+    return passages.semantic_topk(rows, "id", 15, 0.1).select("id", "type", F.round("similarity", 6).alias("similarity"))
+
+
+@query(f"""WITH {fx.GRAPH}, s AS (SELECT node_id AS id, similarity FROM scored WHERE similarity >= 0.3 ORDER BY similarity DESC, id LIMIT 10),
+k AS (SELECT id FROM nodes WHERE {_FOUND} ORDER BY created_at DESC, id LIMIT 20), u AS (SELECT id, similarity, 'semantic' AS match_type, 0 AS o FROM s UNION ALL SELECT id, 0, 'keyword', 1 FROM k WHERE id NOT IN (SELECT id FROM s)),
+t AS (SELECT * FROM u ORDER BY o, similarity DESC, id LIMIT 20) SELECT id, round(similarity, 6) AS similarity, match_type FROM t""")
+def hybrid_search(spark, d):
+    near = passages.semantic_topk(_scored(spark, d).withColumnRenamed("node_id", "id"), "id", 10, 0.3)
+    return graph.hybrid_search(near, graph.node_keyword(fx.nodes(spark, d), "tion the")).withColumn("similarity", F.round("similarity", 6))
+
+
+@query(f"""WITH {fx.GRAPH} SELECT source_id, target_id, relationship, edges.created_at, s.type AS source_type, s.summary AS source_summary, t.type AS target_type, t.summary AS target_summary
+FROM edges JOIN nodes s ON s.id = source_id JOIN nodes t ON t.id = target_id""")
+def edge_list(spark, d):
+    return graph.edge_list(fx.edges(spark, d), fx.nodes(spark, d))
+
+
+@query(f"WITH {fx.GRAPH} SELECT source_id, target_id, relationship FROM edges")
+def graph_edges(spark, d):
+    return graph.graph_edges(fx.edges(spark, d))
+
+
+@query(f"WITH {fx.GRAPH} SELECT id, type FROM nodes ANTI JOIN vectors ON id = node_id")
+def missing_embeddings(spark, d):
+    return graph.missing_embeddings(fx.nodes(spark, d), fx.embeddings(spark, d)).select("id", "type")
+
+
+@query(f"WITH {fx.GRAPH} SELECT * FROM types")
+def type_list(spark, d):
+    return graph.type_list(fx.types(spark, d))
+
+
+@query(f"WITH {fx.GRAPH} SELECT * FROM pending WHERE status = 'pending'")
+def pending_proposals(spark, d):
+    return graph.pending_proposals(fx.pending(spark, d))
+
+
+@query(f"WITH {fx.GRAPH} SELECT type, CAST(count(*) AS BIGINT) AS n FROM nodes GROUP BY 1")
+def nodes_by_type(spark, d):
+    return graph.nodes_by_type(fx.nodes(spark, d))
+
+
+@query(f"WITH {fx.GRAPH}, c AS (SELECT CAST((SELECT count(*) FROM nodes) AS BIGINT) AS nodes, CAST((SELECT count(*) FROM vectors) AS BIGINT) AS embedded) SELECT *, CAST(floor(100.0 * embedded / nodes + 0.5) AS BIGINT) AS percent FROM c")
+def embedding_coverage(spark, d):
+    return graph.embedding_coverage(fx.nodes(spark, d), fx.embeddings(spark, d))
+
+
+@query(f"""WITH {fx.GRAPH} SELECT CAST((SELECT count(*) FROM nodes) AS BIGINT) AS nodes, CAST((SELECT count(*) FROM edges) AS BIGINT) AS edges,
+CAST((SELECT count(*) FROM vectors) AS BIGINT) AS embeddings, CAST((SELECT count(*) FROM types) AS BIGINT) AS types""")
+def kg_status(spark, d):
+    return graph.kg_status(fx.nodes(spark, d), fx.edges(spark, d), fx.embeddings(spark, d), fx.types(spark, d))
