@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skipweave.functions.text import normalize_term
 from skipweave.operators.search import effective_max_skip, els_search_join
+from skipweave.session import scratch_table
 
 
 def places(total: int, length: int, min_skip: int, max_skip: int) -> int:
@@ -76,7 +77,7 @@ def monte_carlo(letters: DataFrame, term: str, total: int, runs: int, seed: str,
     mixed = shuffled(letters, runs, seed)
     # runs are put behind each other with a gap, so that one search serves them all
     gap = total + 1
-    laid = mixed.select((F.col("run") * F.lit(gap).cast("long") + F.col("pos")).alias("pos"), "ch")
+    laid = scratch_table(letters.sparkSession, mixed.select((F.col("run") * F.lit(gap).cast("long") + F.col("pos")).alias("pos"), "ch"), "shuffled")
     cap = effective_max_skip(total, len(word), max_skip)
     found = els_search_join(laid, word, gap * (runs + 2), min_skip, cap, direction) if cap >= min_skip else None
     each = letters.sparkSession.range(1, runs + 1).select(F.col("id").cast("int").alias("run"))

@@ -42,17 +42,20 @@ LETTERS = BOUNDED + """, letters AS MATERIALIZED (
 
 
 def search_sql(terms: dict[str, tuple[int, int, str]]) -> str:
-    """hits(term, direction, skip, start) by joins of letters; terms: (least skip, most skip, direction)."""
-    parts = []
+    """hits(term, direction, skip, start) by joins of letters on places worked out before; terms: (least skip, most skip, direction)."""
+    starts, parts = [], []
     for term, (low, high, direction) in terms.items():
         for way, sign in (("forward", 1), ("reverse", -1)):
             if direction in (way, "both"):
-                joins = " ".join(f"JOIN letters l{k} ON l{k}.pos = l0.pos + {sign * k} * s.skip AND l{k}.ch = '{c}'" for k, c in enumerate(term) if k)
-                parts.append(
-                    f"SELECT '{term}' AS term, '{way}' AS direction, CAST(s.skip AS INT) AS skip, CAST(l0.pos AS BIGINT) AS start FROM letters l0, "
-                    f"(SELECT unnest(generate_series({low}, least({high}, (SELECT max(end_pos) FROM bounded) // {len(term)}))) AS skip) s {joins} WHERE l0.ch = '{term[0]}'"
+                name, others = f"{term}_{way}".lower(), list(enumerate(term))[1:]
+                at = ", ".join(f"pos + {sign * k} * skip AS p{k}" for k, _ in others)
+                starts.append(
+                    f"{name} AS MATERIALIZED (SELECT pos AS start, skip, {at} FROM letters, (SELECT unnest(generate_series({low}, least({high}, (SELECT max(end_pos) FROM bounded) // {len(term)}))) AS skip) "
+                    f"WHERE ch = '{term[0]}')"
                 )
-    return f"{LETTERS}, hits AS MATERIALIZED (\n" + "\nUNION ALL\n".join(parts) + "\n)"
+                joins = " ".join(f"SEMI JOIN (SELECT pos FROM letters WHERE ch = '{c}') l{k} ON l{k}.pos = p{k}" for k, c in others)
+                parts.append(f"SELECT '{term}' AS term, '{way}' AS direction, CAST(skip AS INT) AS skip, CAST(start AS BIGINT) AS start FROM {name} {joins}")
+    return f"{LETTERS}, " + ",\n".join(starts) + ", hits AS MATERIALIZED (\n" + "\nUNION ALL\n".join(parts) + "\n)"
 
 
 def sessions(spark: SparkSession, d: str) -> DataFrame:

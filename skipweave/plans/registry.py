@@ -492,9 +492,9 @@ def mega_cluster(spark, d):
 _WORDS = ["TION", "THERE", "UNGEN", "ENE"]
 _EXPECT = f"""words AS (SELECT * FROM (VALUES {', '.join(f"('{w}')" for w in _WORDS)}) v(term)), spelled AS (
   SELECT term, CAST(i - 1 AS INT) AS i, term[i] AS letter FROM words, LATERAL (SELECT unnest(generate_series(1, length(term))) AS i)
-), n AS (SELECT max(end_pos) AS n FROM bounded), expected AS (
-  SELECT term, exp(sum(ln(p))) * any_value(2.0 * ((least(20, n // length(term))) * n - (length(term) - 1) * (least(20, n // length(term)) * (least(20, n // length(term)) + 1)) // 2)) AS expected
-  FROM spelled JOIN probs USING (letter), n GROUP BY term)"""
+), size AS (SELECT max(end_pos) AS m FROM bounded), expected AS (
+  SELECT term, exp(sum(ln(p))) * any_value(2.0 * ((least(20, m // length(term))) * m - (length(term) - 1) * (least(20, m // length(term)) * (least(20, m // length(term)) + 1)) // 2)) AS expected
+  FROM spelled JOIN probs USING (letter), size GROUP BY term)"""
 
 
 @query(f"WITH {fx.LETTERS}, {_FREQ}, {_EXPECT} SELECT term, round(CAST(expected AS DOUBLE), 4) AS expected FROM expected")
@@ -532,9 +532,10 @@ def poisson_analysis(spark, d):
 
 
 _MC = f"""WITH {fx.LETTERS}, keyed AS (SELECT r AS run, pos, ch, md5('seed:' || r || ':' || pos) AS key FROM (SELECT pos, ch FROM letters WHERE book_abbrev = 'GEN') g, (SELECT unnest(generate_series(1, 4)) AS r)),
-mixed AS (SELECT run, ch, row_number() OVER (PARTITION BY run ORDER BY key, pos) - 1 AS pos FROM keyed),
-found AS (SELECT a.run, count(*) AS n FROM mixed a, (SELECT unnest(generate_series(1, 8)) AS s) k, (VALUES (1), (-1)) w(g)
-  JOIN mixed b ON b.run = a.run AND b.pos = a.pos + g * s AND b.ch = 'N' JOIN mixed c ON c.run = a.run AND c.pos = a.pos + 2 * g * s AND c.ch = 'E' WHERE a.ch = 'E' GROUP BY 1),
+mixed AS MATERIALIZED (SELECT run, ch, row_number() OVER (PARTITION BY run ORDER BY key, pos) - 1 AS pos FROM keyed),
+tried AS MATERIALIZED (SELECT run, pos + g * s AS p1, pos + 2 * g * s AS p2 FROM mixed, (SELECT unnest(generate_series(1, 8)) AS s) k, (VALUES (1), (-1)) w(g) WHERE ch = 'E'),
+found AS (SELECT t.run, count(*) AS n FROM tried t SEMI JOIN (SELECT run, pos FROM mixed WHERE ch = 'N') b ON b.run = t.run AND b.pos = p1
+  SEMI JOIN (SELECT run, pos FROM mixed WHERE ch = 'E') c ON c.run = t.run AND c.pos = p2 GROUP BY 1),
 runs AS (SELECT CAST(r AS INT) AS run, CAST(coalesce(n, 0) AS BIGINT) AS n FROM (SELECT unnest(generate_series(1, 4)) AS r) LEFT JOIN found ON run = r)"""
 
 
