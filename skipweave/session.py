@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -44,7 +46,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         base = getattr(spark, "_skipweave_dir", None)
         if base is None:
-            base = "file://" + tempfile.mkdtemp(prefix="skipweave-")
+            folder = tempfile.mkdtemp(prefix="skipweave-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            base = "file://" + folder
             spark._skipweave_dir = base
     return base.rstrip("/")
 
