@@ -132,7 +132,8 @@ def near_links(prints: DataFrame, bits: int = BITS) -> DataFrame:
     stored = keys.select(F.col("print").alias("a"), F.explode("stored").alias("key"))
     searched = keys.select(F.col("print").alias("b"), F.explode("searched").alias("key"))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits
-    return stored.join(searched, [stored["key"] == searched["key"], F.col("a") < F.col("b"), near]).select("a", "b")
+    # the optimizer takes exploded rows for as few as their parents; neither side may be broadcast on that account
+    return stored.hint("merge").join(searched.hint("merge"), [stored["key"] == searched["key"], F.col("a") < F.col("b"), near]).select("a", "b")
 
 
 def simhash_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
