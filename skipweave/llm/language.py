@@ -122,7 +122,7 @@ def windows_of(b: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def training_rows(docs: DataFrame, most: int = SAMPLE) -> DataFrame:
-    """text, lang of at most `most` labelled documents, the smallest by hash; a third of a text's windows and more are spread over it."""
+    """doc_id, text, lang of at most `most` labelled documents with a letter, the smallest by hash, held-out ones never."""
     labelled = docs.filter("lang IS NOT NULL AND doc_id IS NOT NULL AND crc32(cast(doc_id AS string)) % 4 <> 2")
     labelled = labelled.filter(F.col("text").rlike(_LETTER))
     chosen = labelled.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)

@@ -99,7 +99,7 @@ def url_filter(spark: SparkSession, pages: DataFrame, rules: DataFrame | None =
     rows = urls.count()
     share = min(1.0, SAMPLE * parts / max(rows, 1))
     # at most about SAMPLE keys for each partition, whatever the input
-    sample = sorted(r.key for r in urls.filter(F.abs(F.xxhash64("key") % 1_000_000) < int(share * 1_000_000) + 1).select("key").collect())
+    sample = sorted(r.key for r in urls.filter(F.abs(F.xxhash64("key") % (1 << 40)) < int(share * (1 << 40)) + 1).select("key").collect())
     bounds = sorted({sample[len(sample) * i // parts] for i in range(1, parts)}) if sample else []
     shared = spark.sparkContext.broadcast(np.array(bounds, object))
 
