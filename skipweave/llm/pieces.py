@@ -14,9 +14,11 @@ from skipweave.llm.tokens import ChunkEncoder, text_buffer, tokenizer_path
 SPACE = "▁"
 #: Words that are encoded at a time.
 STEP = 4096
+#: Rows whose texts are held in memory at a time.
+ROWS = 1000
 #: A character without a piece costs this much more than the worst piece.
 PENALTY = 10.0
-_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+_MULTIPLIER, _SEED, _SHIFT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x51ED270B), np.uint64(42)
 
 
 class PieceEncoder(ChunkEncoder):
@@ -45,6 +47,8 @@ class PieceEncoder(ChunkEncoder):
         keys = np.array([self._key(np.array([[ord(c) for c in pieces[i]]]))[0] for i in plain], np.uint64)
         order = np.argsort(keys)
         self.piece_keys, self.piece_ids = keys[order], np.array(plain)[order]
+        self.likely = np.zeros(1 << 22, bool)
+        self.likely[keys >> _SHIFT] = True
         if len(np.unique(keys)) < len(keys):
             raise ValueError("two pieces have one key")
         self.worst = self.scores[plain].min() - PENALTY
@@ -59,13 +63,17 @@ class PieceEncoder(ChunkEncoder):
         self.text_pool = np.frombuffer(b"".join(texts), np.uint8)
 
     @staticmethod
-    def _key(codes: np.ndarray) -> np.ndarray:
-        """A 64-bit key of each row of code points."""
-        h = np.full(len(codes), codes.shape[1], np.uint64)
+    def _fold(h: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Keys of substrings that are one character longer."""
         with np.errstate(over="ignore"):
-            for j in range(codes.shape[1]):
-                h = (h ^ codes[:, j].astype(np.uint64)) * _MULTIPLIER
-                h ^= h >> np.uint64(32)
+            h = (h ^ codes) * _MULTIPLIER
+            return h ^ (h >> np.uint64(32))
+
+    def _key(self, codes: np.ndarray) -> np.ndarray:
+        """A 64-bit key of each row of code points."""
+        h = np.full(len(codes), _SEED, np.uint64)
+        for j in range(codes.shape[1]):
+            h = self._fold(h, codes[:, j].astype(np.uint64))
         return h
 
     def _cuts(self, b: np.ndarray) -> np.ndarray:
@@ -79,12 +87,14 @@ class PieceEncoder(ChunkEncoder):
         n, length = codes.shape
         most = min(length, self.longest)
         out = np.full((n, length, most), -1, np.int32)
+        codes = codes.astype(np.uint64)
+        keys = np.full((n, length), _SEED, np.uint64)
         for size in range(1, most + 1):
-            spans = np.lib.stride_tricks.sliding_window_view(codes, size, axis=1).reshape(-1, size)
-            keys = self._key(spans)
-            at = np.minimum(np.searchsorted(self.piece_keys, keys), len(self.piece_keys) - 1)
-            found = np.where(self.piece_keys[at] == keys, self.piece_ids[at], -1)
-            out[:, : length - size + 1, size - 1] = found.reshape(n, -1)
+            keys = self._fold(keys[:, : length - size + 1], codes[:, size - 1 :])
+            word, begin = np.nonzero(self.likely[keys >> _SHIFT])  # a table of marks spares most of the probes
+            probe = keys[word, begin]
+            at = np.minimum(np.searchsorted(self.piece_keys, probe), len(self.piece_keys) - 1)
+            out[word, begin, size - 1] = np.where(self.piece_keys[at] == probe, self.piece_ids[at], -1)
         return out
 
     def _viterbi(self, found: np.ndarray) -> np.ndarray:
@@ -131,29 +141,38 @@ class PieceEncoder(ChunkEncoder):
             after[rows, pick] = beyond[k, pick]
         return cut
 
-    def _ids(self, chunks: list[str]) -> list[list[int]]:
-        out: list[list[int]] = [[] for _ in chunks]
+    def _ids(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
         order = np.argsort(sizes, kind="stable")
-        i = 0
+        ranked = sizes[order]
+        owners, pieces, unknown, i = [], [], [], 0
         while i < len(order):
-            length = int(sizes[order[i]])
-            j = min(int(np.searchsorted(sizes[order], length, "right")), i + max(1, STEP * 8 // max(length, 1)))
-            words = [chunks[k].replace(" ", SPACE) for k in order[i:j]]
-            codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(j - i, length)
+            length = int(ranked[i])
+            j = min(int(np.searchsorted(ranked, length, "right")), i + max(1, STEP * 8 // max(length, 1)))
+            text = "".join([chunks[k] for k in order[i:j].tolist()]).replace(" ", SPACE)
+            codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).reshape(j - i, length)
             found = self._substrings(codes)
             cut = self._merges(found) if self.method == "bpe" else self._viterbi(found)
             cut[:, length], cut[:, 0] = True, False
             word, end = np.nonzero(cut)
             begin = np.where(np.append(-1, word[:-1]) == word, np.append(0, end[:-1]), 0)
-            ids = found[word, begin, np.minimum(end - begin, found.shape[2]) - 1].tolist()
-            for w, b, piece in zip(word.tolist(), begin.tolist(), ids, strict=True):
-                if piece >= 0:
-                    out[order[i + w]].append(piece)
-                else:
-                    out[order[i + w]] += self.byte_ids[list(words[w][b].encode())].tolist()
+            owners.append(order[i + word])
+            pieces.append(found[word, begin, np.minimum(end - begin, found.shape[2]) - 1])
+            unknown.append(codes[word, begin])
             i = j
-        return out
+        if not owners:
+            return np.zeros(0, np.uint32), np.zeros(len(chunks), np.int64)
+        owner, piece, unknown = np.concatenate(owners), np.concatenate(pieces).astype(np.int64), np.concatenate(unknown)
+        back = np.argsort(owner, kind="stable")
+        owner, piece, unknown = owner[back], piece[back], unknown[back]
+        spelled = {k: self.byte_ids[list(chr(unknown[k]).encode())] for k in np.flatnonzero(piece < 0).tolist()}  # a character without a piece becomes its bytes
+        many = np.ones(len(piece), np.int64)
+        many[list(spelled)] = [len(v) for v in spelled.values()]
+        at = np.cumsum(many) - many
+        flat = np.repeat(piece, many)
+        for k, ids in spelled.items():
+            flat[at[k] : at[k] + len(ids)] = ids
+        return flat.astype(np.uint32), np.bincount(owner, weights=many, minlength=len(chunks)).astype(np.int64)
 
     def encode_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row and where each text's begin; a text gets one space before it, an empty one has no ids."""
@@ -162,7 +181,7 @@ class PieceEncoder(ChunkEncoder):
         b, offsets = text_buffer(pc.if_else(pc.equal(texts, none), texts, pc.binary_join_element_wise(space, texts, none)))
         parts, starts, done, i = [], [np.zeros(1, np.int64)], 0, 0
         while i < len(texts):
-            j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + (4 << 20), "right")) - 1)
+            j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + (1 << 20), "right")) - 1)
             ids, begin = self._step(b[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             parts.append(ids)
             starts.append(done + begin[1:])
@@ -222,7 +241,7 @@ def piece_digests(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     path, kind = model or tokenizer_path("piece_bpe_32k.model"), docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        for batch in batches:
+        for batch in (whole.slice(i, ROWS) for whole in batches for i in range(0, whole.num_rows, ROWS)):
             raw, columns, same = [t.encode() for t in batch.column(1).fill_null("").to_pylist()], [], np.ones(batch.num_rows, bool)
             for method in ("bpe", "viterbi"):
                 encoder = piece_encoder(path, method)

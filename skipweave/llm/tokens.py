@@ -11,7 +11,7 @@ import xxhash
 #: Distinct chunks that a worker remembers; beyond that it starts anew.
 REMEMBERED = 1_500_000
 #: Bytes of text that are taken at a time.
-STEP = 4 << 20
+STEP = 2 << 20
 #: Longer chunks get their hash from xxhash instead of the rolling sum.
 LONG = 64
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -68,8 +68,11 @@ class ChunkEncoder:
     def _cuts(self, b: np.ndarray) -> np.ndarray:
         return cuts(b)
 
-    def _ids(self, chunks: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+    def _ids(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row, and how many each chunk has."""
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+        count = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter((x for one in ids for x in one), np.uint32, int(count.sum())), count
 
     def _power(self, n: int) -> None:
         if len(self.powers) < n:
@@ -108,9 +111,7 @@ class ChunkEncoder:
                 return self._step(b, offsets)
             data = b.tobytes()
             s, n = starts[first[new]].tolist(), sizes[first[new]].tolist()
-            ids = self._ids([data[i : i + k].decode() for i, k in zip(s, n, strict=True)])
-            count = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter((x for one in ids for x in one), np.uint32, int(count.sum()))
+            flat, count = self._ids([data[i : i + k].decode() for i, k in zip(s, n, strict=True)])
             at = len(self.pool) + np.cumsum(count) - count
             self.pool = np.concatenate([self.pool, flat])
             self.keys, self.at, self.size = np.insert(self.keys, place[new], keys[new]), np.insert(self.at, place[new], at), np.insert(self.size, place[new], count)
