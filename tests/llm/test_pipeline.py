@@ -1,22 +1,154 @@
-"""The stages over the smallest tables: each keeps the columns, and the last packs what is left."""
+"""The stages over small tables: each on its own input against brute force, and run() against the stages one by one."""
 
+import collections
+import hashlib
+import math
 import os
+import re
+import string
+import zlib
 
+import numpy as np
 import pytest
+import xxhash
+from tokenizers import Tokenizer
 
 import corpus_pipeline
+from skipweave.llm import language, lm_score, packing, quality_rules
+from skipweave.llm.tokens import tokenizer_path
+from skipweave.session import scratch_path
 
-DIR = "/root/testdata/sf0.001"
+SMALL, MEDIUM = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
+WORDS = r"[^\x20\x09-\x0D]+"
 
+pytestmark = pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables")
 
-@pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
-def test_pipeline(spark, tmp_path):
-    docs = spark.read.parquet(f"{DIR}/documents.parquet")
-    columns, left = docs.columns, docs.count()
+
+def held_out(doc_id: int) -> bool:
+    return zlib.crc32(str(doc_id).encode()) % 10 == 0
+
+
+def grams(text: str) -> list[int]:
+    """Buckets of the words and word pairs; a pair's hash takes its first word's hash as the seed."""
+    one = [w.encode() for w in re.findall(WORDS, text)]
+    digest = xxhash.xxh64_intdigest
+    hashes = [digest(w, 42) for w in one] + [digest(b, digest(a, 42)) for a, b in zip(one, one[1:], strict=False)]
+    return [(h - (1 << 64) if h >> 63 else h) % quality_rules.BUCKETS for h in hashes]
+
+
+def good(rows, trusted):
+    raw, best = (np.ones(quality_rules.BUCKETS) for _ in range(2))
+    for r in rows:
+        for b in grams(r.text or ""):
+            raw[b] += 1
+            best[b] += r.doc_id in trusted
+    weight = np.round(np.log(best) - np.log(raw) + math.log(raw.sum()) - math.log(best.sum()), 6)
+    out = []
+    for r in rows:
+        w = re.findall(WORDS, r.text or "")
+        windows = [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
+        many = collections.Counter(windows)
+        repeated = {k + j for k, x in enumerate(windows) if many[x] > 1 for j in range(3)}
+        found = grams(r.text or "")
+        if len(w) >= 50 and 2 * len(repeated) <= len(w) and weight[found].sum() / len(found) >= quality_rules.THRESHOLD:
+            out.append(r.doc_id)
+    return out
+
+
+def known(rows, model):
+    langs, net = model
+    out = []
+    for r in rows:
+        if any(c.isalpha() for c in r.text or ""):
+            wide = language.WINDOW + max(language.WIDTHS) - 1
+            raw = np.frombuffer(r.text.encode(), np.uint8)
+            pad = np.append(raw.astype(np.int64), np.full(wide, 256))
+            cut = [pad[k : k + wide] for k in range(0, len(raw), language.WINDOW)]
+            if net.forward(np.array(cut, np.int64))[0].mean(axis=0).max() >= 0.5:
+                out.append(r.doc_id)
+    return out
+
+
+def without_copies(rows):
+    first = {}
+    for r in sorted(rows, key=lambda r: r.doc_id):
+        first.setdefault(hashlib.sha256(re.sub(r"[\x20\x09-\x0D]+", " ", r.text or "").encode()).digest(), r.doc_id)
+    return list(first.values())
+
+
+def without_near_copies(rows):
+    prints = []
+    for r in rows:
+        w = (r.text or "").encode().lower().split()
+        h = [xxhash.xxh64_intdigest(b" ".join(w[k : k + 3]), 42) for k in range(max(1, len(w) - 2))] if w else []
+        prints.append(sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)))
+    root = list(range(len(rows)))
+
+    def top(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a, x in enumerate(prints):
+        for b in range(a):
+            if (x ^ prints[b]).bit_count() <= 3:
+                root[top(a)] = top(b)
+    least = {}
+    for k, r in enumerate(rows):
+        least[top(k)] = min(least.get(top(k), r.doc_id), r.doc_id)
+    return list(least.values())
+
+
+def test_stages_equal_brute_force(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet").collect()
+    trusted = {r.doc_id for r in labels if r.quality == 1 and not r.toxic}
+    columns, sizes = docs.columns, [docs.count()]
+    brute = {
+        "quality_rules": lambda rows, _: good(rows, trusted),
+        "language_id": lambda rows, frame: known(rows, language.fit(frame)),
+        "exact_dedup": lambda rows, _: without_copies(rows),
+        "simhash_dedup": lambda rows, _: without_near_copies(rows),
+    }
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        stage(spark, docs, DIR).write.parquet(f"file://{tmp_path}/{name}")
-        docs = spark.read.parquet(f"file://{tmp_path}/{name}")
-        assert docs.columns == columns and 0 < docs.count() <= left
-        left = docs.count()
-    packed = corpus_pipeline.STAGES[-1][1](spark, docs, DIR)
-    assert packed.select("doc_id").distinct().count() == left
+        rows = docs.collect()
+        whole = {r.doc_id: r for r in rows}
+        path = scratch_path(spark, name)
+        stage(spark, docs, SMALL).write.parquet(path)
+        want = sorted(brute[name](rows, docs))
+        docs = spark.read.parquet(path)
+        got = docs.collect()
+        assert docs.columns == columns and sorted(r.doc_id for r in got) == want, name
+        assert all(r == whole[r.doc_id] for r in got), name
+        sizes.append(len(got))
+    assert sizes[0] > sizes[1] >= sizes[2] > sizes[3] > 0
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).collect()
+    assert {r.doc_id for r in packed} == {r.doc_id for r in got}
+    seats = collections.defaultdict(list)
+    for r in packed:
+        seats[r.sequence_id].append((r.offset, r.length))
+    assert all(sum(n for _, n in seat) <= packing.CAPACITY for seat in seats.values())
+    assert len(seats) <= 1.02 * sum(r.length for r in packed) / packing.CAPACITY + 2
+    again = corpus_pipeline.run(spark, SMALL).collect()
+    place = lambda rows: sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows)
+    assert place(again) == place(packed)
+
+
+@pytest.mark.skipif(not os.path.isdir(MEDIUM), reason="no test tables")
+def test_language_on_held_out_documents(spark):
+    docs = spark.read.parquet(f"{MEDIUM}/documents.parquet")
+    found = language.op3_language_id(spark, MEDIUM).filter("held_out").join(docs.select("doc_id", "lang"), "doc_id").filter("lang IS NOT NULL").collect()
+    assert len(found) > 100 and np.mean([r.lang == r.lang_pred for r in found]) >= 0.97
+
+
+@pytest.mark.skipif(not os.path.isdir(MEDIUM), reason="no test tables")
+def test_lm_beats_counts_of_its_ids_on_held_out_documents(spark):
+    tok = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    tok.encode_special_tokens = True
+    lower = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
+    docs = spark.read.parquet(f"{MEDIUM}/documents.parquet").select("doc_id", "text").collect()
+    ids = {r.doc_id: np.append(tok.encode((r.text or "").translate(lower), add_special_tokens=False).ids, lm_score.END).astype(np.int64) for r in docs}
+    counts = sum(np.bincount(x, minlength=lm_score.END + 1) for i, x in ids.items() if not held_out(i)) + 0.1
+    unigram = sum(np.log10(counts[x] / counts.sum()).sum() for i, x in ids.items() if held_out(i))
+    model = sum(r.score for r in lm_score.op5_lm_scores(spark, MEDIUM).filter("held_out").collect())
+    assert unigram < model < 0, (unigram, model)
