@@ -291,3 +291,11 @@ def test_lm_windows_score_each_id_once():
     x = lm_score.windows_of(np.arange(105), begin, row, nth)
     scored = x[:, lm_score.CONTEXT - lm_score.STRIDE + 1 :]
     assert sorted(scored[scored >= 0].tolist()) == list(range(105))
+
+
+def test_lm_targets_see_at_least_seventeen_ids():
+    begin = np.array([0, 200])
+    x = lm_score.windows_of(np.arange(200), begin, *lm_score.window_numbers(begin))
+    first = lm_score.CONTEXT - lm_score.STRIDE + 1
+    seen = {int(w[j]): int((w[:j] >= 0).sum()) for w in x for j in range(first, len(w)) if w[j] >= 0}
+    assert all(n >= min(i, 17) for i, n in seen.items())

@@ -152,3 +152,9 @@ def test_lm_beats_counts_of_its_ids_on_held_out_documents(spark):
     unigram = sum(np.log10(counts[x] / counts.sum()).sum() for i, x in ids.items() if held_out(i))
     model = sum(r.score for r in lm_score.op5_lm_scores(spark, MEDIUM).filter("held_out").collect())
     assert unigram < model < 0, (unigram, model)
+
+
+@pytest.mark.skipif(not os.path.isdir(MEDIUM), reason="no test tables")
+def test_lm_is_no_smaller_model(spark):
+    """The model of 40 inputs, 64 classes and 16 hidden units, trained on one window in 96, gives -166,058."""
+    assert lm_score.op5_lm_scores(spark, MEDIUM).filter("held_out").agg({"score": "sum"}).first()[0] > -160_000
