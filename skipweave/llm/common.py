@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skipweave.session import scratch_table
 
-__all__ = ["ROW", "WS", "documents", "full_text", "where_settled", "numbered", "scratch_table"]
+__all__ = ["ROW", "WS", "documents", "full_text", "where_settled", "numbered", "stored_numbered", "scratch_table"]
 
 #: ASCII white space, as in the text contracts.
 WS = r"[\x20\x09-\x0D]+"
@@ -26,12 +26,18 @@ def full_text(df: DataFrame, column: str = "text") -> Column:
 def numbered(df: DataFrame) -> DataFrame:
     """df with a number for each row, so that repeated rows and ids stay apart.
 
-    The number is partition and place, so df has to be a plain scan of stored files: then a task that
-    is run again, or a second scan in the same session, gives each row the same number.
+    The number is partition and place, so df has to be a plain scan of stored files: then a task that is run again gives each
+    row the same number. A second scan need not: files are split by the cores there are. Numbers that two jobs
+    compare have to be stored: see stored_numbered.
     """
     return df.withColumn(ROW, F.monotonically_increasing_id())
 
 
+def stored_numbered(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """numbered(df), written once with its numbers, for jobs that find rows again by them."""
+    return scratch_table(spark, numbered(df), "numbered")
+
+
 def where_settled(df: DataFrame, condition: str) -> DataFrame:
     """df.filter(condition) on columns as computed: the number beside them keeps the optimizer from moving the filter below
     the projections, where it would hold a second copy of every expression."""

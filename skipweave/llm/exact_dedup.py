@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skipweave.llm.common import ROW, WS, full_text, numbered, scratch_table
+from skipweave.llm.common import ROW, WS, full_text, numbered, scratch_table, stored_numbered
 
 #: Counters of a Misra-Gries summary, and the most winners that are broadcast.
 CAPACITY = 1024
@@ -42,18 +42,18 @@ def text_digest(df: DataFrame, column: str = "text"):
     return F.unhex(F.sha2(F.regexp_replace(full_text(df, column), WS, " ").cast("binary"), 256))
 
 
-def exact_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
+def exact_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, row_col: str | None = None) -> DataFrame:
     """Per row of docs: doc_id, keep_id, group_size, kept, text_sha256 and the row's number.
 
     Texts are equal when identical after each run of ASCII white space becomes one space; null is the empty
     text. Of equal texts the smallest id stays; null ids come last, repeated rows with one id keep the first.
-    An empty table gives no rows; other columns play no part.
+    row_col is a stored number of the rows; without it they are numbered here. An empty table gives no rows; other columns play no part.
 
     Only digests leave the scan. Misra-Gries summaries of each partition are summed, the largest are counted
     exactly, and these winners (at most capacity rows) are broadcast, so the rows of hot groups never move. What is left
     has no digest with more than 1 / capacity of the rows and takes one ordinary shuffle.
     """
-    narrow = numbered(docs.select(id_col, text_col))
+    narrow = docs.select(id_col, text_col, F.col(row_col).alias(ROW)) if row_col else numbered(docs.select(id_col, text_col))
     narrow = narrow.select(F.col(id_col).alias("doc_id"), ROW, text_digest(narrow, text_col).alias("digest"))
     stored = scratch_table(spark, narrow, "digests")
 
@@ -99,5 +99,6 @@ FROM t WINDOW w AS (PARTITION BY text_sha256)
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str | None = None) -> DataFrame:
     """docs without the rows that exact_dedup drops; only the numbers of dropped rows are joined."""
-    dropped = exact_dedup(spark, docs).filter("NOT kept").select(ROW)
-    return numbered(docs).join(dropped, ROW, "left_anti").drop(ROW)
+    docs = stored_numbered(spark, docs)
+    dropped = exact_dedup(spark, docs, row_col=ROW).filter("NOT kept").select(ROW)
+    return docs.join(dropped, ROW, "left_anti").drop(ROW)

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skipweave.llm.common import ROW, numbered, scratch_table
+from skipweave.llm.common import ROW, numbered, scratch_table, stored_numbered
 from skipweave.llm.components import components
 
 #: Words of a shingle.
@@ -136,19 +136,20 @@ def near_links(prints: DataFrame, bits: int = BITS) -> DataFrame:
     return stored.hint("merge").join(searched.hint("merge"), [stored["key"] == searched["key"], F.col("a") < F.col("b"), near]).select("a", "b")
 
 
-def simhash_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
+def simhash_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, row_col: str | None = None) -> DataFrame:
     """Per row of docs: doc_id, fingerprint, component_id, and the row's number and whether it is the one that stays.
 
     A-Z lower-cased, words without ASCII white space, 3-word shingles with repeats; fewer words give one shingle, none (null too) the
     fingerprint zero. Fingerprints link at `bits` differing bits or fewer; component_id is the smallest id reachable. Null ids
-    come last; repeated rows share a component, of which the first row stays. An empty table gives no rows; other columns
-    play no part.
+    come last; repeated rows share a component, of which the first row stays. row_col is a stored number of the rows; without it
+    they are numbered here. An empty table gives no rows; other columns play no part.
 
     All search is on distinct fingerprints, so copies cost nothing; pairs are compared within the join and leave it only when they
     link, and a key's bucket is split among tasks where it is skewed.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    narrow = numbered(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))).select("doc_id", ROW, "text")
+    columns = [F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")]
+    narrow = (docs.select(*columns, F.col(row_col).alias(ROW)) if row_col else numbered(docs.select(*columns))).select("doc_id", ROW, "text")
     stored = scratch_table(spark, narrow.mapInArrow(_fingerprints, f"doc_id {kind}, {ROW} long, print long"), "prints")
     first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(ROW).alias("row"))
     distinct = scratch_table(spark, stored.groupBy("print").agg(F.min(first).alias("first")), "distinct")
@@ -171,5 +172,6 @@ def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str | None = None) -> DataFrame:
     """docs with one row of each group; only the numbers of dropped rows are joined."""
-    dropped = simhash_groups(spark, docs).filter("NOT stays").select(ROW)
-    return numbered(docs).join(dropped, ROW, "left_anti").drop(ROW)
+    docs = stored_numbered(spark, docs)
+    dropped = simhash_groups(spark, docs, row_col=ROW).filter("NOT stays").select(ROW)
+    return docs.join(dropped, ROW, "left_anti").drop(ROW)

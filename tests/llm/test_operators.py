@@ -66,6 +66,23 @@ def test_exact_dedup(spark, docs, none):
     assert left.columns == docs.columns and left.count() == len(groups)
 
 
+@pytest.mark.parametrize("drop", [exact_dedup.drop_copies, simhash.drop_near_copies])
+def test_rows_keep_their_numbers_when_files_are_split_anew(spark, drop):
+    """As when an executor is lost between the jobs of a stage: the same files are dealt to fewer partitions."""
+    path = scratch_path(spark, "split")
+    rng = np.random.default_rng(3)
+    texts = [" ".join("".join(rng.choice(list("abcdefgh"), 6)) for _ in range(40)) for _ in range(30)]
+    spark.createDataFrame([(k, texts[k // 2], "en") for k in range(60)], "doc_id long, text string, lang string").repartition(12, "doc_id").write.parquet(path)
+    part = "spark.sql.files.minPartitionNum"
+    try:
+        spark.conf.set(part, "12")
+        left = drop(spark, spark.read.parquet(path))
+        spark.conf.set(part, "1")
+        assert sorted(r.doc_id for r in left.collect()) == list(range(0, 60, 2))
+    finally:
+        spark.conf.unset(part)
+
+
 def test_misra_gries_keeps_what_is_frequent():
     counts = collections.Counter()
     stream = [k % 3 for k in range(300)] + list(range(100, 300))
