@@ -302,6 +302,15 @@ def test_lm_base(spark, docs, none):
     assert lm_score.lm_scores(spark, none).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_lm_without_training_rows_and_with_text_ids(spark, kind):
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0][:5]
+    path = scratch_path(spark, "held")
+    spark.createDataFrame([(i, "some words here" if i else None) for i in held], "doc_id long, text string").selectExpr(f"cast(doc_id AS {kind}) AS doc_id", "text").write.parquet(path)
+    got = lm_score.lm_scores(spark, spark.read.parquet(path)).collect()
+    assert len(got) == 5 and all(r.held_out and r.train_tokens == 0 and r.n_known == 0 and math.isfinite(r.score) and math.isfinite(r.base_score) for r in got)
+
+
 def test_lm_windows_score_each_id_once():
     begin = np.array([0, 5, 5, 105])
     row, nth = lm_score.window_numbers(begin)
