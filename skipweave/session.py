@@ -41,11 +41,16 @@ def build_session(app: str = "skipweave", master: str | None = None, **conf: str
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir, or, where the master is local and that is unset, one of this machine.
+
+    On a cluster a machine's own folder would be another one for each executor, so the setting is required there.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = getattr(spark, "_skipweave_dir", None)
         if base is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="skipweave-")
             atexit.register(shutil.rmtree, folder, ignore_errors=True)
             base = "file://" + folder
