@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skipweave.llm.common import scratch_table
-from skipweave.llm.tokens import encoder, tokenizer_path
+from skipweave.llm.tokens import encoder, slices, tokenizer_path
 
 CAPACITY = 1024
 END_ID = 2
@@ -20,8 +20,10 @@ END_ID = 2
 LARGE = 1 / 8
 #: Groups of equal cardinality that large lengths are rounded up within.
 GROUPS = 48
-#: A configuration that wastes more than this share of a bin, once actual lengths are in, is given up: best fit takes its pieces.
-WASTE = 1 / 512
+#: A configuration ends where actual lengths would fill this share of a sequence less than the rounded ones: best fit takes what is left of its pieces.
+WASTE = 1 / 128
+#: The last two places of a configuration are full enough where they leave no more than this share of a sequence.
+SPARE = 1 / 512
 
 
 def best_patterns(sizes: list[int], demand: list[float], capacity: int, rounds: int = 400) -> list[tuple[list[int], float]]:
@@ -115,71 +117,95 @@ class _Bins:
             self.leave(first, bins, level)
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, large: float = LARGE, groups: int = GROUPS, waste: float = WASTE) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
-    """Where the pieces of each length go: (length, rank, count, per, sequence, offset) and the number of sequences.
-
-    The pieces `rank` .. `rank + count - 1` of a length go to the sequences from `sequence` on, `per` of them in each, from
-    `offset` on. All work is on runs of equal lengths, so its cost depends on the capacity and not on the number of pieces.
+def _substitute(wanted: list[int], big: list[int], left: dict[int, int], capacity: int) -> dict[int, int]:
+    """Actual lengths for the places of a configuration, and how often each: for each place the largest that fits it and what is left over so far, but
+    for the last two together those that fill them best. big is sorted and has the lengths that are left. Fewer than wanted where a place finds none."""
+    taken: dict[int, int] = {}
+    level = room = 0
+
+    def largest(most: int, beside: int = 0) -> int:
+        i = bisect_right(big, most) - 1
+        while i >= 0 and left[big[i]] <= taken.get(big[i], 0) + (big[i] == beside):
+            i -= 1
+        return big[i] if i >= 0 else 0
+
+    def take(n: int) -> None:
+        taken[n] = taken.get(n, 0) + 1
+
+    for s in wanted[:-2]:
+        room += s
+        n = largest(room)
+        if not n:
+            return taken
+        take(n)
+        room, level = room - n, level + n
+    rest, spare = capacity - level, SPARE * capacity
+    if len(wanted) == 1:
+        n = largest(rest)
+        if n:
+            take(n)
+        return taken
+    best, n, least = (0, 0), largest(wanted[-2] + room), rest
+    while n and least > spare:
+        other = largest(rest - n, n)
+        if other and rest - n - other < least:
+            best, least = (n, other), rest - n - other
+        n = largest(n - 1)
+    for n in best:
+        if n:
+            take(n)
+    return taken
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, large: float = LARGE, groups: int = GROUPS, waste: float = WASTE) -> tuple[list[tuple[int, int, int, int, int, int]], int, int]:
+    """Where the pieces of each length go, the number of sequences, and the number of large pieces that configurations placed.
+
+    A place is (length, rank, count, per, sequence, offset): the pieces `rank` .. `rank + count - 1` of a length go to the sequences from `sequence`
+    on, `per` of them in each, from `offset` on. All work is on runs of equal lengths, so its cost depends on the capacity and not on the number
+    of pieces. Large lengths are grouped whatever their number: with fewer than `groups` each is a group of its own.
+
+    Actual pieces take a configuration's places from the largest down, so that what rounding wasted evens out. What a sequence then has left is for best fit, with the small pieces and those large ones that no configuration takes: a configuration
+    ends where actual pieces would fill its sequences less than the rounded ones by more than the share `waste`, as happens once few lengths are left.
     """
     left = {n: c for n, c in histogram.items() if c}
     bins = _Bins(capacity)
     if capacity in left:
         count = left.pop(capacity)
         bins.put(capacity, count, 1, bins.open(count), 0)
-    big = sorted((n for n in left if n > large * capacity), reverse=True)
-    total = sum(left[n] for n in big)
-    if total >= groups:
-        # linear grouping: `groups` groups of equal cardinality from the largest down, each as tall as its tallest
-        each = -(-total // groups)
-        members: list[list[list[int]]] = [[]]
-        room = each
-        for n in big:
+    big = sorted(n for n in left if n > large * capacity)
+    total, placed = sum(left[n] for n in big), 0
+    if big:
+        # linear grouping: groups of equal cardinality from the largest down, each as tall as its tallest; groups of one height count as one size
+        each, demand, seen = -(-total // groups), {}, 0
+        for n in reversed(big):
             count = left[n]
             while count:
-                take = min(count, room)
-                members[-1].append([n, take])
-                count, room = count - take, room - take
-                if not room:
-                    members.append([])
-                    room = each
-        members = [m for m in members if m]
-        tall = [m[0][0] for m in members]
-        # groups of one height count as one size
-        sizes = sorted(set(tall), reverse=True)
-        of = {s: [r for m, t in zip(members, tall, strict=True) if t == s for r in m] for s in sizes}
-        for i, s in enumerate(sizes):  # one goes down and the next up, so that what rounding wasted evens out within a bin
-            of[s] = of[s] if i % 2 else of[s][::-1]
-        demand = [sum(c for _, c in of[s]) for s in sizes]
-        for column, use in best_patterns(sizes, demand, capacity):
-            times = int(use + 1e-9)
-            wanted = [(sizes[j], c) for j, c in enumerate(column) if c]
-            while times and all(sum(c for _, c in of[s]) >= k for s, k in wanted):
-                # actual pieces take the rounded places: a stretch of bins in which each place holds one length
-                stretch = times
-                for s, k in wanted:
-                    stretch = min(stretch, max(1, of[s][-1][1] // k))
-                places: list[tuple[int, int]] = []
-                for s, k in wanted:
-                    while k:
-                        n, c = of[s][-1]
-                        per = min(k, c // stretch)
-                        places.append((n, per))
-                        k -= per
-                        of[s][-1][1] -= stretch * per
-                        if not of[s][-1][1]:
-                            of[s].pop()
-                level = sum(n * per for n, per in places)
-                if capacity - level <= waste * capacity:
-                    first, at = bins.open(stretch), 0
-                    for n, per in places:
-                        bins.put(n, stretch, per, first, at)
-                        left[n] -= stretch * per
-                        at += n * per
-                    bins.leave(first, stretch, level)
+                if seen % each == 0:
+                    tall = n
+                take = min(count, each - seen % each)
+                demand[tall] = demand.get(tall, 0) + take
+                seen, count = seen + take, count - take
+        sizes = sorted(demand, reverse=True)
+        for column, use in sorted(best_patterns(sizes, [demand[s] for s in sizes], capacity), key=lambda p: -p[1]):
+            wanted, times = [s for s, c in zip(sizes, column, strict=True) for _ in range(c)], int(use + 1e-9)
+            while times:
+                taken = _substitute(wanted, big, left, capacity)
+                level = sum(n * per for n, per in taken.items())
+                if sum(taken.values()) < len(wanted) or sum(wanted) - level > waste * capacity:
+                    break
+                stretch = min(times, *(left[n] // per for n, per in taken.items()))
+                first, at = bins.open(stretch), 0
+                for n, per in taken.items():
+                    bins.put(n, stretch, per, first, at)
+                    at, placed = at + n * per, placed + stretch * per
+                    left[n] -= stretch * per
+                    if not left[n]:
+                        big.remove(n)
+                bins.leave(first, stretch, level)
                 times -= stretch
     for n in sorted(left, reverse=True):
         bins.fit(n, left[n])
-    return bins.slots, bins.next
+    return bins.slots, bins.next, placed
 
 
 def cut_lengths(total: int, capacity: int = CAPACITY) -> list[int]:
@@ -191,7 +217,7 @@ def cut_lengths(total: int, capacity: int = CAPACITY) -> list[int]:
 def _pieces(path: str, end_id: int, capacity: int):
     def run(batches):
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for batch in batches:
+        for batch in slices(batches, 1):
             ids, starts = encoder(path).encode(batch.column(1), end_id)
             raw = memoryview(ids.astype("<u4").tobytes())
             total = np.diff(starts)
@@ -236,7 +262,7 @@ def pack(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col:
     counts = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
     counts = scratch_table(spark, counts, "lengths")
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    slots, _ = plan(histogram, capacity)
+    slots, _, _ = plan(histogram, capacity)
     table = np.array(sorted(slots), np.int64).reshape(-1, 6)
     shared = spark.sparkContext.broadcast(table)  # bounded by the capacity: some thousand rows
 
