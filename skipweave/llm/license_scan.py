@@ -67,7 +67,7 @@ def template_grams(spark: SparkSession, phrases=tuple(PHRASES), notices=tuple(NO
     frame = spark.createDataFrame(rows, "template string, at int, k int, grams int, label string, base boolean, words array<string>")
     get = lambda i: F.get("words", F.lit(i))
     gram = F.when(F.col("k") == PHRASE_K, F.xxhash64(*map(get, range(PHRASE_K)))).otherwise(F.xxhash64(*map(get, range(NOTICE_K))))
-    return frame.select(gram.alias("gram"), "template", "at", "k", "grams", "label", "base")
+    return frame.select(gram.alias("gram"), "template", "at", "k", "grams", "label", "base", "words")
 
 
 def _rolling(k: int):
@@ -86,11 +86,11 @@ def license_scan(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
     other columns play no part.
 
     Every rolling k-gram hash of every text meets the template positions in one broadcast join (the templates are code, of a fixed
-    size), so only hits are shuffled, with one row for each document that carries its word count.
+    size), and the words at each place are compared with the template's before they vote. Only verified hits are shuffled, with one row for each document that carries its word count.
     """
     templates = template_grams(spark, phrases, notices)
     mark = F.lit(0).cast("long")  # stands for the document itself, so that one without hits has a row too
-    own = spark.createDataFrame([("", -1, 0, 0, "", False)], "template string, at int, k int, grams int, label string, base boolean")
+    own = spark.createDataFrame([("", -1, 0, 0, "", False, [])], "template string, at int, k int, grams int, label string, base boolean, words array<string>")
     templates = templates.unionByName(own.select(mark.alias("gram"), "*"))
 
     # the Kelvin sign is the one non-ASCII character that lower() turns into an ASCII letter alone
@@ -98,11 +98,13 @@ def license_scan(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
     worded = numbered(docs.select(F.col(id_col).alias("doc_id"), text.alias("__text")))
     worded = worded.withColumn("__low", F.lower(F.btrim("__text")))
     worded = worded.withColumn("__words", F.when(F.col("__low") == "", F.array().cast("array<string>")).otherwise(F.split("__low", " "))).withColumn("__n", F.size("__words"))
-    grams = worded.select("doc_id", ROW, F.col("__n").alias("n"), F.posexplode(F.concat(F.array(mark), _rolling(PHRASE_K), _rolling(NOTICE_K))).alias("p", "gram"))
+    grams = worded.select("doc_id", ROW, "__words", F.col("__n").alias("n"), F.posexplode(F.concat(F.array(mark), _rolling(PHRASE_K), _rolling(NOTICE_K))).alias("p", "gram"))
     pairs = F.greatest(F.col("n") - (PHRASE_K - 1), F.lit(0))
     hits = grams.join(F.broadcast(templates), "gram").filter((F.col("at") < 0) == (F.col("p") == 0))
     at = F.when(F.col("k") == PHRASE_K, F.col("p") - 1).otherwise(F.col("p") - 1 - pairs)
-    hits = hits.select("doc_id", ROW, "n", "template", "grams", "label", "base", "at", (at - F.col("at")).alias("diagonal"))
+    # a hash only points to a place: the words there have to be the template's, so that every vote is a verified one
+    hits = hits.withColumn("p", at).filter((F.col("at") < 0) | (F.slice("__words", F.greatest(F.col("p") + 1, F.lit(1)), F.col("k")) == F.col("words")))
+    hits = hits.select("doc_id", ROW, "n", "template", "grams", "label", "base", "at", (F.col("p") - F.col("at")).alias("diagonal"))
 
     votes = hits.groupBy("doc_id", ROW, "n", "template", "grams", "label", "base", "diagonal").agg(F.count("*").alias("votes"), F.collect_set("at").alias("ats"))
     of = Window.partitionBy("doc_id", ROW, "n", "template").orderBy("diagonal")
