@@ -8,18 +8,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skipweave.llm.common import where_settled
-from skipweave.llm.tokens import text_buffer
+from skipweave.llm.common import scratch_table, where_settled
+from skipweave.llm.tokens import slices, text_buffer
 
 #: Bytes of a window; every byte of a text lies in exactly one.
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 12
 EMBEDDING = 8
-#: The most labelled documents that training gathers, the smallest by hash, and the most windows of each (spread over the whole text).
+#: The most labelled documents that training takes, the smallest by hash; it learns from every window of each.
 SAMPLE = 4000
-WINDOWS = 4
-EPOCHS = 6
+#: Windows of a training shard, and passes over them; the shards' weights are averaged after each.
+SHARD, EPOCHS = 1 << 14, 4
 BATCH = 64
 LEARNING = 0.004
 UNKNOWN = "und"
@@ -105,6 +105,27 @@ class ByteConvNet:
                     self.p[k] -= LEARNING * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
         return self
 
+    def flat(self) -> np.ndarray:
+        return np.concatenate([self.p[k].reshape(-1) for k in sorted(self.p)])
+
+    def load(self, values: np.ndarray) -> ByteConvNet:
+        at = 0
+        for k in sorted(self.p):
+            size = self.p[k].size
+            self.p[k] = values[at : at + size].reshape(self.p[k].shape).astype(np.float32)
+            at += size
+        return self
+
+    def arrays(self) -> dict:
+        """The network as plain arrays, which any worker can load."""
+        return {"widths": self.widths, "filters": self.filters, "p": self.p}
+
+    @classmethod
+    def of(cls, arrays: dict) -> ByteConvNet:
+        one = cls.__new__(cls)
+        one.__dict__.update(arrays, p={k: v.copy() for k, v in arrays["p"].items()})
+        return one
+
 
 def windows_of(b: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Windows of all texts in a row (256 past a text's end), and the text each belongs to; an empty text has none.
@@ -121,55 +142,87 @@ def windows_of(b: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.where(inside, b[np.minimum(places, len(b) - 1)], 256) if len(b) else np.zeros((0, places.shape[1]), np.int64), doc
 
 
-def training_rows(docs: DataFrame, most: int = SAMPLE) -> DataFrame:
-    """doc_id, text, lang of at most `most` labelled documents with a letter, the smallest by hash, held-out ones never."""
-    labelled = docs.filter("lang IS NOT NULL AND doc_id IS NOT NULL AND crc32(cast(doc_id AS string)) % 4 <> 2")
-    labelled = labelled.filter(F.col("text").rlike(_LETTER))
-    chosen = labelled.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return labelled.join(F.broadcast(chosen.distinct()), "doc_id", "left_semi").select("doc_id", "text", "lang")
+def training_rows(docs: DataFrame, most: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """key, text, lang of at most `most` different labelled rows with a letter, the smallest by hash, held-out ones never.
+
+    Rows with one id, text and language count once, and an id with many texts takes one place for each, so the bound holds for any ids.
+    """
+    named = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    labelled = named.filter("lang IS NOT NULL AND id IS NOT NULL AND crc32(id) % 4 <> 2").filter(F.col("text").rlike(_LETTER))
+    labelled = labelled.withColumn("key", F.sha2(F.concat_ws("\x00", "id", "lang", "text"), 256)).select("key", "text", "lang")
+    chosen = labelled.select("key").distinct().orderBy("key").limit(most)
+    return labelled.join(F.broadcast(chosen), "key", "left_semi")  # at most `most` keys of 64 bytes
 
 
 def _samples(batches):
-    for batch in batches:
-        texts = batch.column(1).to_pylist()
-        rows = []
-        for doc_id, text, lang in zip(batch.column(0).to_pylist(), texts, batch.column(2).to_pylist(), strict=True):
+    """Every window of the chosen rows."""
+    wide = WINDOW + max(WIDTHS) - 1
+    for batch in slices(batches, 1):
+        for key, text, lang in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             raw = text.encode()
-            count = -(-len(raw) // WINDOW)
-            for k in sorted({count * i // WINDOWS for i in range(WINDOWS)}):
-                rows.append((doc_id, k, raw[k * WINDOW : (k + 1) * WINDOW + max(WIDTHS) - 1], lang))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.string())],
-            ["doc_id", "k", "raw", "lang"],
-        )
-
-
-def fit(docs: DataFrame, most: int = SAMPLE) -> tuple[list[str], ByteConvNet | None]:
-    """(languages, network) from at most `most` labelled documents and WINDOWS windows of each: about 4 MB on the driver."""
-    rows = training_rows(docs, most).mapInArrow(_samples, "doc_id long, k long, raw binary, lang string").distinct().orderBy("doc_id", "k", "lang", "raw").collect()
-    langs = sorted({r.lang for r in rows})
-    if not rows:
+            for first in range(0, len(raw), WINDOW * CUT):
+                places = range(first, min(first + WINDOW * CUT, len(raw)), WINDOW)
+                n = len(places)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([key] * n), pa.array([k // WINDOW for k in places], pa.int64()), pa.array([raw[k : k + wide] for k in places], pa.binary()), pa.array([lang] * n)], ["key", "k", "raw", "lang"]
+                )
+
+
+def _local(shared, langs: list[str], epoch: int):
+    """A shard's pass over its windows, from the shared weights."""
+    place = {lang: i for i, lang in enumerate(langs)}
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["key", "k"])
+        data = np.full((len(pdf), WINDOW + max(WIDTHS) - 1), 256, np.int64)
+        for i, raw in enumerate(pdf["raw"]):
+            data[i, : len(raw)] = np.frombuffer(bytes(raw), np.uint8)
+        net = ByteConvNet.of(shared.value).train(data, pdf["lang"].map(place).to_numpy(), epochs=1, seed=1000 * epoch + int(pdf["shard"].iloc[0]))
+        values = net.flat().astype(np.float64)
+        return pd.DataFrame({"slot": np.arange(len(values)), "value": values * len(pdf), "weight": float(len(pdf))})
+
+    return run
+
+
+def fit(docs: DataFrame, most: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], ByteConvNet | None]:
+    """(languages, network) from all windows of at most `most` labelled rows; (none, None) without labelled rows.
+
+    Shards of about SHARD windows train side by side, and their mean, weighted by windows, starts the next epoch: the driver holds the
+    weights and the names of the languages alone, however long the texts are.
+    """
+    spark = docs.sparkSession
+    rows = training_rows(docs, most, id_col, text_col, lang_col).mapInArrow(_samples, "key string, k long, raw binary, lang string").distinct()
+    rows = scratch_table(spark, rows, "language")
+    found = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    langs = sorted(found)
+    if not langs:
         return [], None
-    data = np.full((len(rows), WINDOW + max(WIDTHS) - 1), 256, np.int64)
-    for i, r in enumerate(rows):
-        data[i, : len(r.raw)] = np.frombuffer(bytes(r.raw), np.uint8)
-    target = np.array([langs.index(r.lang) for r in rows])
-    return langs, ByteConvNet(len(langs)).train(data, target)
+    net = ByteConvNet(len(langs))
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("key", "k"), F.lit(max(1, round(sum(found.values()) / SHARD)))))
+    for epoch in range(EPOCHS):
+        local = _local(spark.sparkContext.broadcast(net.arrays()), langs, epoch)
+        one = rows.groupBy("shard").applyInPandas(local, "slot long, value double, weight double")
+        got = one.groupBy("slot").agg((F.sum("value") / F.sum("weight")).alias("value")).toArrow().to_pandas().sort_values("slot")
+        net.load(got["value"].to_numpy())
+    return langs, net
 
 
-def predict_languages(spark: SparkSession, docs: DataFrame, model: tuple[list[str], ByteConvNet | None], keep: tuple[str, ...] = ()) -> DataFrame:
+def predict_languages(
+    spark: SparkSession, docs: DataFrame, model: tuple[list[str], ByteConvNet | None], keep: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """Per row of docs: doc_id, held_out, lang_pred, score, and the columns in keep.
 
     The mean of the window probabilities decides. Null texts and texts without a letter give `und` with score 0, as does a model without
     languages. Long texts are scored window by window, whole; repeated rows each on their own; an empty table gives no rows.
-    held_out is false for a null id.
+    held_out is false for a null id. Ids may be of any type; columns of docs that aren't named play no part.
     """
     langs, net = model
-    shared = spark.sparkContext.broadcast((langs, net))  # some kilobytes, whatever the corpus
+    shared = spark.sparkContext.broadcast((langs, net and net.arrays()))  # some kilobytes, whatever the corpus
 
     @F.pandas_udf("lang string, score double")
     def score(texts: pd.Series) -> pd.DataFrame:
-        names, network = shared.value
+        names, weights = shared.value
+        network = weights and ByteConvNet.of(weights)
         best, value = np.full(len(texts), -1), np.zeros(len(texts))
         if network is not None and len(texts):
             b, offsets = text_buffer(pa.array(texts, pa.string(), from_pandas=True))
@@ -184,16 +237,17 @@ def predict_languages(spark: SparkSession, docs: DataFrame, model: tuple[list[st
             best, value = total.argmax(axis=1), total.max(axis=1) / count
         return pd.DataFrame({"lang": [names[k] if k >= 0 else None for k in best], "score": np.clip(value, 0, 1)})
 
-    known = F.col("text").rlike(_LETTER) & F.lit(bool(langs))
-    out = docs.select("doc_id", *keep, F.when(known, F.col("text")).alias("__text")).withColumn("__found", score("__text"))
-    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    kept = F.struct(F.col(id_col).alias("doc_id"), *(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)))
+    out = docs.select(kept.alias("__in"), F.col(text_col).alias("__text"))
+    out = out.withColumn("__text", F.when(F.col("__text").rlike(_LETTER) & F.lit(bool(langs)), F.col("__text"))).withColumn("__found", score("__text"))
+    held = F.coalesce(F.crc32(F.col("__in.doc_id").cast("string")) % 4 == 2, F.lit(False))
     has = F.col("__text").isNotNull()
     return out.select(
-        "doc_id",
+        "__in.doc_id",
         held.alias("held_out"),
         F.when(has, F.col("__found.lang")).otherwise(F.lit(UNKNOWN)).alias("lang_pred"),
         F.when(has, F.col("__found.score")).otherwise(F.lit(0.0)).alias("score"),
-        *keep,
+        *(F.col(f"__in.k{i}").alias(c) for i, c in enumerate(keep)),
     )
 
 
@@ -204,6 +258,6 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_known(spark: SparkSession, docs: DataFrame, sf_dir: str | None = None, least: float = 0.5) -> DataFrame:
     """The rows of docs whose language is known with the probability `least`, with the columns of docs."""
-    whole = docs.withColumn("__row", F.struct(*docs.columns)).select("doc_id", "text", "__row")
+    whole = docs.select("doc_id", "text", F.struct(*docs.columns).alias("__row"))
     judged = predict_languages(spark, whole, fit(docs), keep=("__row",))
     return where_settled(judged, f"lang_pred <> '{UNKNOWN}' AND score >= {least}").select(*(F.col(f"__row.{c}").alias(c) for c in docs.columns))
