@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import zlib
 
 import numpy as np
@@ -9,13 +10,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from skipweave.llm.tokens import ChunkEncoder, text_buffer, tokenizer_path
+from skipweave.llm.tokens import ChunkEncoder, slices, text_buffer, tokenizer_path
 
 SPACE = "▁"
 #: Words that are encoded at a time.
 STEP = 4096
-#: Rows whose texts are held in memory at a time.
-ROWS = 1000
+#: Bytes of text that are held in memory at a time.
+HELD = 2 << 20
+#: Longer words are merged with a heap, whose cost is nearly linear.
+LONG = 256
 #: A character without a piece costs this much more than the worst piece.
 PENALTY = 10.0
 _MULTIPLIER, _SEED, _SHIFT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x51ED270B), np.uint64(42)
@@ -141,6 +144,35 @@ class PieceEncoder(ChunkEncoder):
             after[rows, pick] = beyond[k, pick]
         return cut
 
+    def _merges_of_long(self, found: np.ndarray) -> np.ndarray:
+        """_merges of a single word: neighbours wait in a heap by score and place, and those that are no longer there are passed over."""
+        _, length, most = found.shape
+        ids, after, before = found[0], list(range(1, length + 1)), list(range(-1, length - 1))  # of the symbol that begins here
+
+        def offer(begin: int) -> None:
+            middle = after[begin]
+            if middle < length and after[middle] - begin <= most:
+                piece = ids[begin, after[middle] - begin - 1]
+                if piece >= 0:
+                    heapq.heappush(heap, (-scores[piece], begin, middle, after[middle]))
+
+        heap, scores = [], self.scores.tolist()
+        alive = np.ones(length + 1, bool)
+        for begin in range(length - 1):
+            offer(begin)
+        while heap:
+            _, begin, middle, end = heapq.heappop(heap)
+            if not alive[begin] or after[begin] != middle or middle == length or after[middle] != end:
+                continue
+            alive[middle] = False
+            after[begin] = end
+            if end < length:
+                before[end] = begin
+            offer(begin)
+            if before[begin] >= 0:
+                offer(before[begin])
+        return alive[None]
+
     def _ids(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
         order = np.argsort(sizes, kind="stable")
@@ -152,7 +184,7 @@ class PieceEncoder(ChunkEncoder):
             text = "".join([chunks[k] for k in order[i:j].tolist()]).replace(" ", SPACE)
             codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).reshape(j - i, length)
             found = self._substrings(codes)
-            cut = self._merges(found) if self.method == "bpe" else self._viterbi(found)
+            cut = self._viterbi(found) if self.method == "viterbi" else self._merges(found) if length <= LONG else np.concatenate([self._merges_of_long(f[None]) for f in found])
             cut[:, length], cut[:, 0] = True, False
             word, end = np.nonzero(cut)
             begin = np.where(np.append(-1, word[:-1]) == word, np.append(0, end[:-1]), 0)
@@ -211,7 +243,7 @@ def encode_pieces(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     path, kind = model or tokenizer_path("piece_bpe_32k.model"), docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, 1, HELD):
             ids, begin = piece_encoder(path, method).encode_texts(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(ids.astype(np.int32)))], ["doc_id", "ids"])
 
@@ -241,7 +273,7 @@ def piece_digests(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     path, kind = model or tokenizer_path("piece_bpe_32k.model"), docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        for batch in (whole.slice(i, ROWS) for whole in batches for i in range(0, whole.num_rows, ROWS)):
+        for batch in slices(batches, 1, HELD):
             raw, columns, same = [t.encode() for t in batch.column(1).fill_null("").to_pylist()], [], np.ones(batch.num_rows, bool)
             for method in ("bpe", "viterbi"):
                 encoder = piece_encoder(path, method)

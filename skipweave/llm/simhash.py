@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from skipweave.llm.common import ROW, numbered, scratch_table, stored_numbered
 from skipweave.llm.components import components
+from skipweave.llm.tokens import slices
 
 #: Words of a shingle.
 SHINGLE = 3
@@ -102,7 +103,7 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> bytes:
 
 
 def _fingerprints(batches):
-    for batch in batches:
+    for batch in slices(batches, 2):
         prints = b"".join([fingerprint(t) for t in batch.column(2).to_pylist()])
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.frombuffer(prints, ">i8").astype(np.int64))], ["doc_id", ROW, "print"])
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skipweave.llm.common import numbered, ROW
-from skipweave.llm.tokens import encoder, tokenizer_path
+from skipweave.llm.tokens import encoder, slices, tokenizer_path
 from skipweave.session import scratch_path
 
 END_ID = 1
@@ -60,7 +60,7 @@ def _chunks(path: str, end_id: int, block: int, kind: str, id_type: pa.DataType)
     def run(batches):
         shard, chunk, first = TaskContext.get().partitionId(), 0, 0
         held, docs, starts, opened = np.zeros(0, np.uint32), [], [], (None, None)  # first: place of held[0] in the shard
-        for batch in batches:
+        for batch in slices(batches, 1):
             ids, begin = encoder(path).encode(batch.column(1), end_id)
             names, begin = batch.column(0).to_pylist(), begin + first + len(held)
             held = np.concatenate([held, ids])
@@ -141,6 +141,32 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     return whole.unionByName(cut).join(bases, "shard").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
+def read_span(spark: SparkSession, path: str, first: int, count: int) -> DataFrame:
+    """start, ids of the ids first .. first + count - 1 of the whole output, in one row for each block that holds some of them.
+
+    The index, read alone, says which blocks these are; no other block is decoded, and Parquet skips the row groups without one. An
+    empty span, or one beyond the last id, gives no rows.
+    """
+    index = spark.read.parquet(f"{path}/index")
+    totals = index.groupBy("shard").agg(F.sum("n_ids").alias("n"))
+    before = F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
+    bases = totals.select("shard", F.coalesce(before, F.lit(0)).alias("base"))
+    start = F.col("base") + F.col("first_id")
+    held = index.join(bases, "shard").filter((start < first + count) & (start + F.col("n_ids") > first)).select("shard", "chunk", start.alias("start"))
+    shards = [r.shard for r in held.select("shard").distinct().collect()]  # at most as many as there are shards
+    chunks = spark.read.parquet(f"{path}/chunks").filter(F.col("shard").isin(shards)).join(held, ["shard", "chunk"]).select("start", "n_ids", "planes")
+
+    def decode(frames):
+        for pdf in frames:
+            out = []
+            for c in pdf.itertuples(index=False):
+                ids, skip = from_planes(list(c.planes), c.n_ids), max(first - c.start, 0)
+                out.append((c.start + skip, ids[skip : first + count - c.start].astype(np.int64).tolist()))
+            yield pd.DataFrame(out, columns=["start", "ids"])
+
+    return chunks.mapInPandas(decode, "start long, ids array<long>")
+
+
 def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Null texts are empty and have the end id alone; an empty table gives empty files and no rows."""
     path = scratch_path(spark, "ids")

@@ -6,6 +6,7 @@ import os
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 #: Distinct chunks that a worker remembers; beyond that it starts anew.
@@ -33,6 +34,17 @@ def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def slices(batches, column: int, size: int = 8 << 20):
+    """The rows of all batches in slices of about `size` bytes of text in a column, one row at least: what a worker holds follows that and not the batch."""
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        i = 0
+        while i < batch.num_rows:
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + size, "right")))
+            yield batch.slice(i, j - i)
+            i = j
+
+
 def cuts(b: np.ndarray) -> np.ndarray:
     """True where white space follows a character that is surely none: token pieces never cross such a place.
 

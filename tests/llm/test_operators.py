@@ -2,13 +2,16 @@
 
 import collections
 import math
+import os
 import re
 import string
 import zlib
+from unittest import mock
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from skipweave.llm import exact_dedup, language, license_scan, lm_score, packing, pieces, quality_rules, simhash, token_output, url_filter
@@ -18,6 +21,7 @@ from skipweave.session import scratch_path
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, digest string, part int, word string"
 PROSE = "the quick brown fox jumps over the lazy dog and runs to the river where it drinks " * 5
 WORDS = r"[^\x20\x09-\x0D]+"
+MEDIUM = "/root/testdata/sf0.01"
 
 
 def rows():
@@ -128,6 +132,59 @@ def test_license_scan(spark, docs, none):
     assert license_scan.license_scan(spark, none).count() == 0
 
 
+def labels_and_score(words):
+    """By plain loops: whole phrases, and notices whose k-grams stand on neighbouring diagonals."""
+    labels, score = set(), 0.0
+    for text, label in license_scan.PHRASES:
+        p = text.split()
+        if any(words[k : k + len(p)] == p for k in range(len(words))):
+            labels.add(label)
+            score = 1.0
+    k = license_scan.NOTICE_K
+    for text, label in license_scan.NOTICES:
+        p = text.split()
+        places = collections.defaultdict(set)
+        for i in range(len(words) - k + 1):
+            for j in range(len(p) - k + 1):
+                if words[i : i + k] == p[j : j + k]:
+                    places[i - j].add(j)
+        held, last = set(), None
+        for d in sorted(places):
+            held = places[d] | (held if last is not None and d - last <= license_scan.SLACK else set())
+            last, share = d, len(held) / (len(p) - k + 1)
+            if share >= license_scan.COVERED:
+                labels.add(label)
+                score = max(score, share)
+    return ",".join(sorted(labels)), score
+
+
+def test_license_labels_and_score_equal_loops(spark):
+    rng, texts = np.random.default_rng(4), [PROSE, "", "cc by", "licensed under the"]
+    for text, _ in license_scan.NOTICES:
+        for cut in range(4):
+            words = text.split()
+            for _ in range(cut * 2):
+                at = int(rng.integers(len(words)))
+                words = [words[:at] + ["so"] + words[at:], words[:at] + words[at + 1 :]][int(rng.integers(2))]
+            texts += [" ".join(words), "x y " + " ".join(words[: len(words) // 2]).upper() + " ... " + " ".join(words)]
+    path = scratch_path(spark, "notices")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(2).write.parquet(path)
+    for r in license_scan.license_scan(spark, spark.read.parquet(path)).collect():
+        labels, score = labels_and_score(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", texts[r.doc_id].lower()))
+        assert r.labels == labels and math.isclose(r.score, score, abs_tol=1e-9), texts[r.doc_id]
+
+
+def test_license_places_are_verified_word_by_word(spark):
+    """A template with a hash that it hasn't: no vote."""
+    right = license_scan.template_grams(spark)
+    wrong = right.withColumn("words", F.transform("words", lambda w: F.concat(w, F.lit("x"))))
+    path = scratch_path(spark, "forged")
+    spark.createDataFrame([(1, "the mit license")], "doc_id int, text string").write.parquet(path)
+    with mock.patch.object(license_scan, "template_grams", lambda *_: wrong):
+        r = license_scan.license_scan(spark, spark.read.parquet(path)).first()
+    assert (r.n_words, r.n_base, r.labels, r.score) == (3, 0, "", 0.0)
+
+
 def test_license_notices_bear_an_inserted_word(spark):
     text = license_scan.NOTICES[0][0].split()
     text.insert(len(text) // 2, "however")
@@ -167,12 +224,26 @@ def test_packing_plan_is_tight(shape):
     rng = np.random.default_rng(1)
     lengths = {"uniform": rng.integers(1, 1025, 20000), "small": rng.integers(1, 200, 20000), "large": rng.integers(500, 1025, 5000), "third": np.where(rng.random(9000) < 0.34, 341, rng.integers(1, 1025, 9000))}[shape]
     sizes, counts = np.unique(lengths, return_counts=True)
-    slots, n = packing.plan(dict(zip(sizes.tolist(), counts.tolist(), strict=True)))
+    slots, n, placed = packing.plan(dict(zip(sizes.tolist(), counts.tolist(), strict=True)))
     assert sum(s[2] for s in slots) == len(lengths)
+    assert placed >= 0.6 * ((lengths > packing.LARGE * packing.CAPACITY) & (lengths < packing.CAPACITY)).sum()
     floor = max(-(-int(lengths.sum()) // 1024), int((lengths > 512).sum()))
     assert n <= 1.02 * floor + 2
 
 
+def test_packing_of_few_large_pieces():
+    slots, n, placed = packing.plan({600: 3, 424: 3, 5: 2})
+    assert n == 4 and placed == 6 and sum(s[2] for s in slots) == 8
+
+
+@pytest.mark.skipif(not os.path.isdir(MEDIUM), reason="no test tables")
+def test_configurations_place_most_documents(spark):
+    """Best fit alone gives 964 sequences here."""
+    lengths = packing.op1_best_fit_packing(spark, MEDIUM).groupBy("length").count().collect()
+    _, n, placed = packing.plan({r.length: r["count"] for r in lengths})
+    assert n <= 964 and placed > 0.8 * sum(r["count"] for r in lengths if 128 < r.length < 1024)
+
+
 @pytest.mark.parametrize("kind,block", [("byte", 65536), ("bit", 64)])
 def test_token_output_round_trip(spark, docs, none, kind, block):
     tok = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
@@ -184,6 +255,12 @@ def test_token_output_round_trip(spark, docs, none, kind, block):
     same([(r.doc_id, r.n_tokens, r.ids_crc32) for r in got], [(i, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in ids])
     assert [r.doc_id for r in got] == sorted((i for i, _ in ids), key=lambda i: (i is not None, i))
     assert [r.start for r in got] == [sum(r.n_tokens for r in got[:k]) for k in range(len(got))]
+    total = sum(r.n_tokens for r in got)
+    every = [x for r in token_output.read_span(spark, path, 0, total).orderBy("start").collect() for x in r.ids]
+    assert len(every) == total and all(zlib.crc32(np.array(every[r.start : r.start + r.n_tokens], "<u4").tobytes()) == r.ids_crc32 for r in got)
+    for first, count in ((0, 1), (100, 7), (total - 3, 50), (total, 5), (63, 130)):
+        span = [x for r in token_output.read_span(spark, path, first, count).orderBy("start").collect() for x in r.ids]
+        assert span == every[first : first + count]
     path = scratch_path(spark, "ids")
     token_output.write_ids(spark, none, path)
     assert token_output.read_ids(spark, path).count() == 0
@@ -200,6 +277,17 @@ def test_pieces_equal_the_library(spark, docs, none):
     assert pieces.piece_digests(spark, none).count() == 0
 
 
+@pytest.mark.parametrize("alphabet,size", [("ABCDEFGHabcdefgh0123456789+/", 200_000), ("x", 30_000), ("etaoinshr漢字é😀<", 5000)])
+def test_long_words_equal_the_library(alphabet, size):
+    import pyarrow as pa
+    import sentencepiece
+
+    path = tokenizer_path("piece_bpe_32k.model")
+    text = "".join(np.random.default_rng(0).choice(list(alphabet), size))
+    ids, _ = pieces.PieceEncoder(path).encode_texts(pa.array([text]))
+    assert ids.tolist() == sentencepiece.SentencePieceProcessor(model_file=path).encode(text)
+
+
 def test_viterbi_finds_the_best_score():
     import pyarrow as pa
 
@@ -281,6 +369,26 @@ def test_language(spark, docs, none):
     assert language.predict_languages(spark, none, language.fit(none)).count() == 0
 
 
+def test_language_rows_are_bounded_whatever_the_ids(spark):
+    """One text id on many rows, null languages, and names that the operator uses itself."""
+    rows = [("one", f"text number {k} " * 40, "en" if k % 3 else "xx", "a", "b") for k in range(60)] + [("one", "text number 1 " * 40, "en", "a", "b")] * 30 + [(None, "x", None, "a", "b")]
+    path = scratch_path(spark, "ids")
+    spark.createDataFrame(rows, "name string, body string, tongue string, __text string, __found string").repartition(3).write.parquet(path)
+    docs = spark.read.parquet(path)
+    names = dict(id_col="name", text_col="body")
+    assert len({r.key for r in language.training_rows(docs, 7, lang_col="tongue", **names).collect()}) == 7
+    model = language.fit(docs, 7, lang_col="tongue", **names)
+    got = language.predict_languages(spark, docs, model, keep=("__text", "__found"), **names).collect()
+    assert len(got) == len(rows) and {(r["__text"], r["__found"]) for r in got} == {("a", "b")} and {r.doc_id for r in got} == {"one", None}
+
+
+def test_language_learns_from_every_window(spark):
+    path = scratch_path(spark, "long")
+    spark.createDataFrame([(1, "a long text " * 5000, "en")], "doc_id long, text string, lang string").write.parquet(path)
+    rows = language.training_rows(spark.read.parquet(path)).mapInArrow(language._samples, "key string, k long, raw binary, lang string")
+    assert rows.count() == -(-60000 // language.WINDOW)
+
+
 def test_language_tells_alphabets_apart():
     rng = np.random.default_rng(0)
     draw = lambda letters: np.frombuffer("".join(rng.choice(list(letters), language.WINDOW + 3)).encode(), np.uint8)[: language.WINDOW + 3]
