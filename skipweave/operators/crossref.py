@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skipweave.operators.letters import positions_to_verses
 from skipweave.session import scratch_table
 
 NOISE = 10_000
@@ -34,6 +36,22 @@ def intersections(hits_a: DataFrame, hits_b: DataFrame) -> DataFrame:
     return hits_b.select("hit_id", F.explode("positions").alias("position")).join(taken, "position", "left_semi")
 
 
+def with_verses(rows: DataFrame, bounded: DataFrame, places: dict[str, str]) -> DataFrame:
+    """rows with the reference of each place: places maps a column of positions to the name of a new one. A null where there is no verse."""
+    spots = rows.select(F.explode(F.array(*map(F.col, places))).alias("position")).distinct()
+    found = positions_to_verses(spots, bounded).select("position", "reference")
+    for column, name in places.items():
+        rows = rows.join(found.select(F.col("position").alias(column), F.col("reference").alias(name)), column, "left")
+    return rows
+
+
+def intersections_with_verses(hits_a: DataFrame, hits_b: DataFrame, bounded: DataFrame) -> DataFrame:
+    """intersections with the verse and the letter of each place."""
+    meets = intersections(hits_a, hits_b)
+    found = positions_to_verses(meets.select("position").distinct(), bounded).select("position", F.col("reference").alias("verse"), "letter")
+    return meets.join(found, "position", "left").select("hit_id", "position", "verse", "letter")
+
+
 def pairs_within(hits_a: DataFrame, hits_b: DataFrame, width: int) -> DataFrame:
     """Pairs of hits with letters at most `width` apart: the closest letters, of equal ones the first in letter order."""
     near = band(_letters(hits_a, "a"), _letters(hits_b, "b"), "a_pos", "b_pos", width)
@@ -149,14 +167,48 @@ def cluster_term_counts(clusters: DataFrame, hits: DataFrame) -> DataFrame:
     return inside.groupBy("stream_id", "cluster", "term").agg(F.count("*").alias("n"))
 
 
-def nearest_between_terms(hits: DataFrame, value: Column, far: int) -> DataFrame:
-    """stream_id, term_a < term_b and the closest values of theirs at most `far` apart; of equal distances the smallest values."""
+def _nearest(far: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        """For each two terms of a block the nearest values, found by binary search among sorted ones."""
+        of = {t: np.unique(v.to_numpy()) for t, v in pdf.groupby("term", sort=True)["v"]}
+        terms, out = sorted(of), []
+        for i, one in enumerate(terms):
+            a = of[one]
+            for other in terms[i + 1 :]:
+                b = of[other]
+                at = np.searchsorted(b, a)
+                left, right = b[np.maximum(at - 1, 0)], b[np.minimum(at, len(b) - 1)]
+                gap = np.minimum(np.abs(a - left), np.abs(a - right))
+                k = int(gap.argmin())  # the first of equal ones has the smallest a
+                if gap[k] <= far:
+                    out.append((one, other, gap[k], a[k], left[k] if abs(a[k] - left[k]) == gap[k] else right[k]))
+        return pd.DataFrame(out, columns=["term_a", "term_b", "distance", "a", "b"]).assign(stream_id=pdf["stream_id"].iloc[0])
+
+    return run
+
+
+def nearest_between_terms(hits: DataFrame, value: Column, far: int, block: int = 1 << 16) -> DataFrame:
+    """stream_id, term_a < term_b and the closest values of theirs at most `far` apart; of equal distances the smallest values.
+
+    Values go to their block and, within `far` of its beginning, to the one before, so any such pair meets in a block. A block yields one row for two
+    terms, never their pairs; its distinct values are bounded by its length and the number of terms.
+    """
+    size = max(block, far + 1)
+    own = F.floor(F.col("v") / size)
     points = hits.select("stream_id", "term", value.alias("v")).distinct()
-    a = points.select("stream_id", F.col("term").alias("term_a"), F.col("v").alias("a"))
-    b = points.select("stream_id", F.col("term").alias("term_b"), F.col("v").alias("b"))
-    near = band(a, b, "a", "b", far, ("stream_id",)).filter("term_a < term_b")
-    best = F.min(F.struct(F.abs(F.col("a") - F.col("b")).alias("distance"), "a", "b")).alias("best")
-    return near.groupBy("stream_id", "term_a", "term_b").agg(best).select("stream_id", "term_a", "term_b", "best.*")
+    points = points.select("*", F.explode(F.filter(F.array(own, F.when(F.pmod("v", F.lit(size)) <= far, own - 1)), lambda b: b.isNotNull())).alias("block"))
+    near = points.groupBy("stream_id", "block").applyInPandas(_nearest(far), "term_a string, term_b string, distance long, a long, b long, stream_id string")
+    return near.groupBy("stream_id", "term_a", "term_b").agg(F.min(F.struct("distance", "a", "b")).alias("best")).select("stream_id", "term_a", "term_b", "best.*")
+
+
+def shared_places(hits: DataFrame, swept: DataFrame, n: int = 5) -> DataFrame:
+    """stream_id, term_a, term_b, nth, position: the first n places of term B that term A has too, for each pair of swept, in the order of B's hits by start and of their letters."""
+    letters = hits.select("stream_id", "term", "start", "skip", "direction", "hit_id", F.posexplode("positions").alias("k", "position"))
+    pairs = swept.filter("shared > 0").select("stream_id", "term_a", "term_b")
+    a = letters.select("stream_id", F.col("term").alias("term_a"), "position").distinct()
+    b = letters.withColumnRenamed("term", "term_b").join(F.broadcast(pairs), ["stream_id", "term_b"])  # pairs of a report
+    first = F.row_number().over(Window.partitionBy("stream_id", "term_a", "term_b").orderBy("start", "skip", "direction", "hit_id", "k"))
+    return b.join(a, ["stream_id", "term_a", "position"], "left_semi").withColumn("nth", first).filter(F.col("nth") <= n).select("stream_id", "term_a", "term_b", "nth", "position")
 
 
 def sweep(hits: DataFrame, max_distance: int = 500, least: int = 4, most: int = NOISE) -> DataFrame:
@@ -208,10 +260,17 @@ def triple_cluster(hits: DataFrame, terms: tuple[str, str, str], wide: int = 20_
 
 
 def mega_cluster(hits: DataFrame, window: int = 20_000, n: int = 1) -> DataFrame:
-    """The windows from a midpoint on with the most terms, then the most hits, of each stream."""
-    ahead = Window.partitionBy("stream_id").orderBy("middle").rangeBetween(0, window)
-    rows = hits.select("stream_id", "term", midpoint().alias("middle"))
-    rows = rows.withColumn("n_terms", F.size(F.collect_set("term").over(ahead))).withColumn("n_hits", F.count("*").over(ahead))
-    rows = rows.select("stream_id", F.col("middle").alias("window_start"), "n_terms", "n_hits").distinct()
-    best = F.row_number().over(Window.partitionBy("stream_id").orderBy(F.desc("n_terms"), F.desc("n_hits"), "window_start"))
-    return rows.withColumn("rn", best).filter(F.col("rn") <= n).drop("rn")
+    """The windows from a midpoint on with the most terms, then the most hits, of each stream.
+
+    A midpoint goes to its bucket of the window's length and to the one before, whose windows reach into it; each bucket gives its n best windows at most.
+    """
+    bucket = F.floor(F.col("middle") / window)
+    both = F.explode(F.array(F.struct(bucket.alias("bucket"), F.lit(True).alias("own")), F.struct((bucket - 1).alias("bucket"), F.lit(False).alias("own")))).alias("at")
+    rows = hits.select("stream_id", "term", midpoint().alias("middle")).select("*", both).select("stream_id", "term", "middle", "at.*")
+    ahead = Window.partitionBy("stream_id", "bucket").orderBy("middle").rangeBetween(0, window)
+    rows = rows.withColumn("n_terms", F.size(F.collect_set("term").over(ahead))).withColumn("n_hits", F.count("*").over(ahead)).filter("own")
+    rows = rows.select("stream_id", "bucket", F.col("middle").alias("window_start"), "n_terms", "n_hits").distinct()
+    for group in (("stream_id", "bucket"), ("stream_id",)):
+        best = F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("n_terms"), F.desc("n_hits"), "window_start"))
+        rows = rows.withColumn("rn", best).filter(F.col("rn") <= n).drop("rn")
+    return rows.drop("bucket")

@@ -30,6 +30,31 @@ def create_edges(edges: DataFrame, new: DataFrame, nodes: DataFrame) -> DataFram
     return edges.unionByName(new.join(source, "source_id", "left_semi").join(target, "target_id", "left_semi").select(*edges.columns))
 
 
+def delete_edge(edges: DataFrame, source_id, target_id, relationship: str | None = None) -> DataFrame:
+    """edges without those between two nodes, of one relationship where it is given."""
+    this = (F.col("source_id") == source_id) & (F.col("target_id") == target_id)
+    return edges.filter(~(this & (F.col("relationship") == relationship if relationship else F.lit(True))))
+
+
+def node_semantic(nodes: DataFrame, scored: DataFrame, types: list[str] | None = None, limit: int = 10, floor: float = 0.3) -> DataFrame:
+    """The nodes whose vectors are most similar, at `floor` or above, with their similarity; scored has node_id and similarity. Types are asked for before the cut."""
+    near = scored.filter(F.col("similarity") >= floor).select(F.col("node_id").alias("id"), "similarity")
+    rows = (nodes.filter(F.col("type").isin(types)) if types else nodes).join(near, "id")
+    return rows.orderBy(F.desc("similarity"), "id").limit(limit)
+
+
+def approve_proposal(spark, folder: str, stamp: str, types: DataFrame, pending: DataFrame, migrations: DataFrame, type_name: str, now=None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(types, pending, migrations) once a proposal is approved: the types are copied to folder/stamp first, and the change is a row of migrations."""
+    from skipweave.sources.corpus import snapshot
+
+    snapshot(spark, folder, stamp, types=types)
+    waits = pending.filter((F.col("type_name") == type_name) & (F.col("status") == "pending"))
+    row = {"type_name": F.col("type_name"), "action": F.lit("created"), "snapshot_path": F.lit(f"{folder}/{stamp}"), "created_at": F.lit(now)}
+    logged = waits.select(*(row.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in migrations.schema))
+    types, pending = settle_proposal(types, pending, type_name, True)
+    return types, pending, migrations.unionByName(logged)
+
+
 def node_connections(edges: DataFrame, nodes: DataFrame, node_id) -> DataFrame:
     """Outgoing and incoming edges with the neighbour's type and summary."""
     near = nodes.select(F.col("id").alias("neighbour"), "type", "summary")

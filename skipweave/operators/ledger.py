@@ -112,3 +112,26 @@ def stats_for_search(stats: DataFrame, search_id) -> DataFrame:
 
 def cluster_list(clusters: DataFrame, limit: int = 20) -> DataFrame:
     return clusters.orderBy(F.desc("discovered_at"), "cluster_id").limit(limit)
+
+
+def _one_more(table: DataFrame, row: dict) -> DataFrame:
+    """table with a row more; columns that aren't given are null. Values are kept as they are, zeros too."""
+    one = table.sparkSession.range(1).select(*(F.lit(row.get(f.name)).cast(f.dataType).alias(f.name) for f in table.schema))
+    return table.unionByName(one)
+
+
+def save_cluster(clusters: DataFrame, cluster_id: str, session_id, region: dict, now=None) -> DataFrame:
+    """clusters with a region more, of type mega_cluster where it names none."""
+    return _one_more(clusters, {"type": "mega_cluster", **region, "cluster_id": cluster_id, "session_id": session_id, "discovered_at": now})
+
+
+def save_statistics(stats: DataFrame, stat_id: str, search_id, analysis: dict, now=None) -> DataFrame:
+    """stats with an analysis more; a p of 0 and 0 hits stay 0."""
+    return _one_more(stats, {**analysis, "stat_id": stat_id, "search_id": search_id, "computed_at": now})
+
+
+def ensure_default_session(sessions: DataFrame, session_id: str, now=None, name: str = "__default__") -> DataFrame:
+    """sessions, with the default one made where there is none."""
+    if default_session(sessions, name).take(1):
+        return sessions
+    return create_session(sessions, session_id, name, "Made for searches outside of a session", now)

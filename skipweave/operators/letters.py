@@ -9,6 +9,10 @@ from skipweave.functions.text import letters_of
 
 #: Letters of a bucket that positions and verses meet in.
 BUCKET = 4096
+#: Chapters that are summed together.
+PART = 4096
+#: Letters of a block of a concatenated stream.
+BLOCK = 1 << 16
 # Named scopes and their books.
 SCOPES = {"genesis": "book_order = 1", "torah": "book_order <= 5", "ot": "book_order <= 39", "nt": "book_order > 39", "full": "true"}
 
@@ -25,13 +29,17 @@ def scope_filter(scope: str, abbrevs: set[str] | None = None) -> str:
 def verse_boundaries(verses: DataFrame, scope: str = "full") -> DataFrame:
     """Adds letters, start_pos and end_pos (exclusive) to the verses of a scope; verses without letters are left out.
 
-    Sums run over verses within a chapter and over chapters, never over all verses in one task.
+    Sums run over the verses of a chapter, the chapters of a part of PART, and the parts: what one task sums over all is a row for PART chapters.
     """
     lettered = verses.filter(scope_filter(scope)).withColumn("letters", letters_of(F.col("text"))).filter("letters <> ''")
     lettered = lettered.withColumn("n_letters", F.length("letters").cast("long"))
-    chapters = lettered.groupBy("book_order", "chapter").agg(F.sum("n_letters").alias("n"))
-    before = Window.orderBy("book_order", "chapter").rowsBetween(Window.unboundedPreceding, -1)
-    chapters = chapters.select("book_order", "chapter", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    chapters = lettered.groupBy("book_order", "chapter").agg(F.sum("n_letters").alias("n")).withColumn("part", F.floor(F.col("chapter") / PART))
+    parts = chapters.groupBy("book_order", "part").agg(F.sum("n").alias("n"))
+    earlier = Window.orderBy("book_order", "part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("book_order", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("from_parts"))
+    before = Window.partitionBy("book_order", "part").orderBy("chapter").rowsBetween(Window.unboundedPreceding, -1)
+    chapters = chapters.withColumn("from_chapters", F.coalesce(F.sum("n").over(before), F.lit(0))).join(parts, ["book_order", "part"])
+    chapters = chapters.select("book_order", "chapter", (F.col("from_parts") + F.col("from_chapters")).alias("base"))
     within = Window.partitionBy("book_order", "chapter").orderBy("verse").rowsBetween(Window.unboundedPreceding, 0)
     out = lettered.withColumn("upto", F.sum("n_letters").over(within)).join(chapters, ["book_order", "chapter"])
     end = F.col("base") + F.col("upto")
@@ -51,11 +59,33 @@ def letter_frequency(bounded: DataFrame) -> DataFrame:
     return counts.join(F.broadcast(total), F.lit(True)).select("letter", "n", F.round(F.col("n") / F.col("total"), 6).alias("probability"))
 
 
-def stream_concat(bounded: DataFrame, by: str = "book_abbrev") -> DataFrame:
-    """The letters of each group in order, as its length and digest, with its first position."""
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start_pos", "letters"))), lambda x: x["letters"]), "")
-    grouped = bounded.groupBy(by).agg(F.min("start_pos").alias("start_pos"), joined.alias("letters"))
-    return grouped.select(by, "start_pos", F.length("letters").cast("long").alias("n_letters"), F.md5("letters").alias("digest"))
+def stream_blocks(bounded: DataFrame, halo: int, block: int = BLOCK) -> DataFrame:
+    """block, start, letters: runs of `block` letters with up to `halo` letters after them.
+
+    Each verse goes to the blocks that it meets, so a letter moves once, and once more for each block whose halo holds it.
+    """
+    first = F.floor(F.greatest(F.col("start_pos") - halo - block + 1, F.lit(0)) / block)
+    verses = bounded.select("start_pos", "end_pos", "letters", F.explode(F.sequence(first, F.floor((F.col("end_pos") - 1) / block))).alias("block"))
+    low, high = F.col("block") * block, F.col("block") * block + block + halo
+    begin, end = F.greatest(F.col("start_pos"), low), F.least(F.col("end_pos"), high)
+    part = F.substring(F.col("letters"), (begin - F.col("start_pos") + 1).cast("int"), (end - begin).cast("int"))
+    pieces = verses.select("block", begin.alias("at"), F.when(end > begin, part).alias("part")).filter("part IS NOT NULL")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "part"))), lambda x: x["part"]), "")
+    return pieces.groupBy("block").agg(F.min("at").alias("start"), joined.alias("letters"))
+
+
+def stream_concat(bounded: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The letters of a stream in order, in blocks of one size: block, its first position, its length and digest. No group outgrows a block."""
+    return stream_blocks(bounded, 0, block).select("block", F.col("start").alias("start_pos"), F.length("letters").cast("long").alias("n_letters"), F.md5("letters").alias("digest"))
+
+
+def rebuild_streams(verses: DataFrame, folder: str, scopes: list[str] | None = None) -> DataFrame:
+    """Boundaries of the named scopes, or of all of them and every book, worked out anew and written over what folder has of them; returns their stream_info."""
+    if scopes is None:
+        scopes = [*SCOPES, *(r.book_abbrev for r in verses.select("book_abbrev").distinct().orderBy("book_abbrev").collect())]
+    for scope in scopes:
+        verse_boundaries(verses, scope).write.mode("overwrite").parquet(f"{folder}/stream_id={scope}")
+    return stream_info(verses, scopes)
 
 
 def stream_info(verses: DataFrame, scopes: list[str]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skipweave.functions.text import normalize_term
-from skipweave.operators.letters import positions_to_verses
+from skipweave.operators.letters import positions_to_verses, stream_blocks
 
 #: Letters of a block; each is searched with as many letters after it as a hit can span.
 BLOCK = 1 << 18
@@ -20,21 +20,6 @@ def effective_max_skip(total: int, length: int, max_skip: int) -> int:
     return min(max_skip, total // length)
 
 
-def stream_blocks(bounded: DataFrame, halo: int, block: int = BLOCK) -> DataFrame:
-    """block, start, letters: runs of `block` letters with up to `halo` letters after them.
-
-    Each verse goes to the blocks that it meets, so a letter moves once, and once more for each block whose halo holds it.
-    """
-    first = F.floor(F.greatest(F.col("start_pos") - halo - block + 1, F.lit(0)) / block)
-    verses = bounded.select("start_pos", "end_pos", "letters", F.explode(F.sequence(first, F.floor((F.col("end_pos") - 1) / block))).alias("block"))
-    low, high = F.col("block") * block, F.col("block") * block + block + halo
-    begin, end = F.greatest(F.col("start_pos"), low), F.least(F.col("end_pos"), high)
-    part = F.substring(F.col("letters"), (begin - F.col("start_pos") + 1).cast("int"), (end - begin).cast("int"))
-    pieces = verses.select("block", begin.alias("at"), F.when(end > begin, part).alias("part")).filter("part IS NOT NULL")
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "part"))), lambda x: x["part"]), "")
-    return pieces.groupBy("block").agg(F.min("at").alias("start"), joined.alias("letters"))
-
-
 def find_in(stream: np.ndarray, word: np.ndarray, skips, own: int) -> tuple[np.ndarray, np.ndarray]:
     """(first places, skips) at which word lies forward in stream, for first places under own. The rarest letter leads."""
     counts = np.bincount(stream, minlength=256)
@@ -118,10 +103,23 @@ def els_search_join(letters: DataFrame, term: str, total: int, min_skip: int = 1
 
 
 def capped(hits: DataFrame, cap: int = CAP) -> DataFrame:
-    """The first `cap` hits of each term, forward ones first, then by skip and start; capped says that there were as many or more."""
-    forward_first = Window.partitionBy("term").orderBy(F.col("direction") != "forward", "skip", "start")
-    totals = hits.groupBy("term").agg((F.count("*") >= cap).alias("capped"))
-    return hits.withColumn("rn", F.row_number().over(forward_first)).filter(F.col("rn") <= cap).drop("rn").join(totals, "term")
+    """The first `cap` hits of each term, forward ones first, then by skip and start; capped says that there were as many or more.
+
+    Counts by term, direction and skip say where each skip's hits begin in that order; only hits of skips that begin within the cap are ranked, each skip apart.
+    """
+    later = F.when(F.col("direction") == "forward", 0).otherwise(1)
+    sizes = hits.groupBy("term", "direction", "skip").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy("term").orderBy(later, "skip")
+    sizes = sizes.withColumn("__base", F.coalesce(F.sum("__n").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    sizes = sizes.withColumn("capped", F.sum("__n").over(Window.partitionBy("term")) >= cap).filter(F.col("__base") < cap).drop("__n")
+    own = F.row_number().over(Window.partitionBy("term", "direction", "skip").orderBy("start"))
+    return hits.join(sizes, ["term", "direction", "skip"]).withColumn("__rn", own).filter(F.col("__base") + F.col("__rn") <= cap).select(*hits.columns, "capped")
+
+
+def search_page(bounded: DataFrame, term: str, max_skip: int = 2000, min_skip: int = 1, direction: str = "both") -> DataFrame:
+    """The form for a page: all hits with their positions and verses, by skip, to a skip of 2000 where none is asked for."""
+    found = els_search(bounded, [term], min_skip or 1, max_skip, direction)
+    return found.join(hits_with_verses(found, bounded), ["term", "direction", "skip", "start"]).orderBy("skip", "direction", "start")
 
 
 def hits_with_verses(hits: DataFrame, bounded: DataFrame) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skipweave.functions.text import normalize_term
-from skipweave.operators.search import effective_max_skip, els_search_join
-from skipweave.session import scratch_table
+from skipweave.operators.letters import letter_frequency, letter_positions
+from skipweave.operators.search import BLOCK, effective_max_skip, find_in
 
 
 def places(total: int, length: int, min_skip: int, max_skip: int) -> int:
@@ -71,21 +73,35 @@ def shuffled(letters: DataFrame, runs: int, seed: str) -> DataFrame:
     return keyed.withColumn("rn", rn).join(sizes, ["run", "part"]).select("run", (F.col("base") + F.col("rn") - 1).alias("pos"), "ch")
 
 
-def monte_carlo(letters: DataFrame, term: str, total: int, runs: int, seed: str, min_skip: int, max_skip: int, direction: str = "both") -> DataFrame:
-    """run, n: hits of the term in each shuffled stream, runs without hits among them. All runs are one plan, joined on run and place."""
+def monte_carlo(letters: DataFrame, term: str, total: int, runs: int = 100, seed: str = "0", min_skip: int = 1, max_skip: int = 1000, direction: str = "both", block: int = BLOCK) -> DataFrame:
+    """run, n: hits of the term in each shuffled stream, runs without hits among them.
+
+    Each shuffled stream is cut into blocks with a halo as long as the longest hit, and all blocks of all runs are searched side by side by
+    the kernel of els_search. A task holds one block, so neither the stream nor the number of runs bounds it.
+    """
     word = normalize_term(term)
-    mixed = shuffled(letters, runs, seed)
-    # runs are put behind each other with a gap, so that one search serves them all
-    gap = total + 1
-    laid = scratch_table(letters.sparkSession, mixed.select((F.col("run") * F.lit(gap).cast("long") + F.col("pos")).alias("pos"), "ch"), "shuffled")
+    spark = letters.sparkSession
+    each = spark.range(1, runs + 1).select(F.col("id").cast("int").alias("run"))
     cap = effective_max_skip(total, len(word), max_skip)
-    found = els_search_join(laid, word, gap * (runs + 2), min_skip, cap, direction) if cap >= min_skip else None
-    each = letters.sparkSession.range(1, runs + 1).select(F.col("id").cast("int").alias("run"))
-    if found is None:
+    if cap < min_skip:
         return each.withColumn("n", F.lit(0).cast("long"))
-    last = F.col("start") + F.when(F.col("direction") == "forward", 1).otherwise(-1) * (len(word) - 1) * F.col("skip")
-    one = found.filter(F.floor(F.col("start") / gap) == F.floor(last / gap)).select(F.floor(F.col("start") / gap).cast("int").alias("run"))
-    return each.join(one.groupBy("run").agg(F.count("*").alias("n")), "run", "left").select("run", F.coalesce("n", F.lit(0)).alias("n"))
+    halo = (len(word) - 1) * cap
+    size = max(block, halo)
+    words = [np.frombuffer(w.encode(), np.uint8) for w, way in ((word, "forward"), (word[::-1], "reverse")) if direction in (way, "both")]
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        first = int(pdf["block"].iloc[0]) * size
+        at = pdf["pos"].to_numpy() - first
+        stream = np.zeros(int(at.max()) + 1, np.uint8)
+        stream[at] = pdf["code"].to_numpy()
+        n = sum(len(find_in(stream, w, range(min_skip, cap + 1), size)[0]) for w in words)
+        return pd.DataFrame({"run": [pdf["run"].iloc[0]], "n": [n]})
+
+    laid = shuffled(letters, runs, seed).select("run", "pos", F.ascii("ch").cast("short").alias("code"))
+    own = F.floor(F.col("pos") / size)
+    both = F.explode(F.filter(F.array(own, F.when(F.col("pos") % size < halo, own - 1)), lambda b: b >= 0)).alias("block")
+    found = laid.select("run", "pos", "code", both).groupBy("run", "block").applyInPandas(count, "run int, n long")
+    return each.join(found.groupBy("run").agg(F.sum("n").alias("n")), "run", "left").select("run", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def mc_distribution(counts: DataFrame, observed: int) -> DataFrame:
@@ -94,3 +110,21 @@ def mc_distribution(counts: DataFrame, observed: int) -> DataFrame:
     out = counts.agg(F.avg("n").alias("mean"), F.stddev_pop("n").alias("sd"), F.element_at(sorted_, (F.floor(F.size(sorted_) / 2) + 1).cast("int")).alias("median"), F.min("n").alias("least"), F.max("n").alias("most"), F.avg((F.col("n") >= observed).cast("int")).alias("p"))
     z = F.when(F.col("sd") > 0, (observed - F.col("mean")) / F.col("sd")).otherwise(0.0)
     return out.select(F.round("mean", 2).alias("mean"), F.round("sd", 2).alias("sd"), "median", "least", "most", F.round(z, 4).alias("z"), F.round("p", 6).alias("p"))
+
+
+def full_analysis(bounded: DataFrame, term: str, observed: int, min_skip: int = 1, max_skip: int = 3000, direction: str = "both", runs: int = 100, mc_max_skip: int | None = None, seed: str = "0") -> DataFrame:
+    """One row: the Poisson analysis of a term, and, unless runs is 0, how its hits lie in shuffled streams.
+
+    Without mc_max_skip shuffled streams are searched to max_skip, but to 1000 at most; range_mismatch says that this is another range than
+    the one that observed was counted over, so that mc_p is too low.
+    """
+    word = normalize_term(term)
+    total = bounded.agg(F.coalesce(F.max("end_pos"), F.lit(0))).first()[0]
+    expected = expected_frequency(letter_frequency(bounded), [word], total, min_skip, max_skip, direction)
+    out = poisson_analysis(expected.withColumn("observed", F.lit(observed).cast("long")))
+    if not runs:
+        return out
+    narrow = min(max_skip, 1000) if mc_max_skip is None else mc_max_skip
+    cut = lambda skip: effective_max_skip(total, len(word), skip)
+    shuffles = mc_distribution(monte_carlo(letter_positions(bounded), word, total, runs, seed, min_skip, narrow, direction), observed)
+    return out.join(F.broadcast(shuffles.withColumnRenamed("p", "mc_p")), F.lit(True)).withColumn("runs", F.lit(runs)).withColumn("range_mismatch", F.lit(cut(narrow) != cut(max_skip)))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from skipweave.functions.text import parse_reference
 from skipweave.operators import crossref, graph, ledger, letters, passages, search, significance
 from skipweave.plans import fixtures as fx
+from skipweave.session import scratch_path
 from skipweave.sources import corpus
 
 _QUERIES: dict = {}
@@ -70,11 +72,15 @@ def list_books(spark, d):
 
 @query(f"WITH {fx.VERSES} SELECT book_abbrev, CAST(count(DISTINCT chapter) AS BIGINT) AS chapter_count, CAST(count(*) AS BIGINT) AS verse_count FROM verses GROUP BY 1")
 def ingest_explode(spark, d):
-    """Verses nested as a corpus file has them, and unnested again."""
-    nested = fx.verses(spark, d).groupBy("book_abbrev", "chapter").agg(F.collect_list(F.struct("verse", "text")).alias("verses"))
-    nested = nested.groupBy("book_abbrev").agg(F.collect_list(F.struct("chapter", "verses")).alias("chapters"))
-    flat = nested.select("book_abbrev", F.explode("chapters").alias("c")).select("book_abbrev", "c.chapter", F.explode("c.verses").alias("v"))
-    return flat.groupBy("book_abbrev").agg(F.count_distinct("chapter").alias("chapter_count"), F.count("*").alias("verse_count"))
+    """Verses written as a corpus folder, one JSON file of chapters for each book, and ingested from there."""
+    folder, v = scratch_path(spark, "books"), fx.verses(spark, d)
+    chapters = v.groupBy("book", "chapter").agg(F.sort_array(F.collect_list(F.struct(F.col("verse").cast("string").alias("verse"), "text"))).alias("verses"))
+    chapters = chapters.select("book", F.array(F.struct(F.col("chapter").cast("string").alias("chapter"), "verses")).alias("chapters"))
+    chapters.write.partitionBy("book").json(f"{folder}/books")
+    names = [r.book for r in fx.books(spark).orderBy("book_order").collect()]
+    spark.createDataFrame([(n,) for n in names], "name string").agg(F.to_json(F.collect_list("name")).alias("value")).coalesce(1).write.text(f"{folder}/order")
+    _, verses, _ = corpus.ingest_books(spark, f"{folder}/books", f"{folder}/order")
+    return verses.groupBy("book_abbrev").agg(F.count_distinct("chapter").alias("chapter_count"), F.count("*").alias("verse_count"))
 
 
 @query("""SELECT c_custkey AS id, CASE WHEN c_custkey % 10 = 0 THEN 'changed' ELSE c_mktsegment END AS notes FROM customer
@@ -155,8 +161,9 @@ def verse_index(spark, d):
     return _bounded(spark, d).select(F.col("end_pos").alias("cum_len"), "book_abbrev", "chapter", "verse")
 
 
-@query(f"""WITH {fx.BOUNDED} SELECT book_abbrev, min(start_pos) AS start_pos, CAST(sum(length(letters)) AS BIGINT) AS n_letters,
-md5(string_agg(letters, '' ORDER BY start_pos)) AS digest FROM bounded GROUP BY 1""")
+@query(f"""WITH {fx.BOUNDED}, whole AS MATERIALIZED (SELECT string_agg(letters, '' ORDER BY start_pos) AS s FROM bounded),
+cut AS (SELECT CAST(i AS BIGINT) AS block, substr(s, CAST(i * 65536 + 1 AS INT), 65536) AS part FROM whole, LATERAL (SELECT unnest(generate_series(0, (length(s) - 1) // 65536)) AS i))
+SELECT block, block * 65536 AS start_pos, CAST(length(part) AS BIGINT) AS n_letters, md5(part) AS digest FROM cut""")
 def stream_concat(spark, d):
     return letters.stream_concat(_bounded(spark, d))
 
@@ -188,6 +195,16 @@ def list_streams(spark, d):
     return letters.list_streams(letters.stream_info(fx.verses(spark, d), ["full", "EXO"]), fx.books(spark))
 
 
+@query(f"WITH {fx.BOUNDED}, {_INFO} SELECT * FROM streams WHERE stream_id IN ('genesis', 'EXO')")
+def rebuild_streams(spark, d):
+    """Two streams, built anew over what a build before left, and read back."""
+    folder, verses = scratch_path(spark, "streams"), fx.verses(spark, d)
+    letters.rebuild_streams(verses, folder, ["EXO"])
+    letters.rebuild_streams(verses, folder, ["genesis", "EXO"])
+    rows = spark.read.parquet(folder).groupBy("stream_id")
+    return rows.agg(F.sum("n_letters").alias("total_letters"), F.count("*").alias("total_verses"))
+
+
 _ASKED = "asked AS (SELECT p_partkey AS idx, p_partkey * 131 - 50 AS position FROM part)"
 _PLACED = f"""WITH {fx.BOUNDED}, {_ASKED} SELECT idx, position, book_abbrev, chapter, verse, CAST(position - start_pos AS INT) AS char_in_verse,
 letters[position - start_pos + 1] AS letter, book_abbrev || ' ' || chapter || ':' || verse AS reference"""
@@ -265,6 +282,18 @@ def els_search_capped(spark, d):
     return search.capped(_search(spark, d).select("term", "direction", "skip", "start"), 1000)
 
 
+@query()
+def els_search_default(spark, d):
+    """Skips to 3000 and the first 10,000 hits, as where nothing else is asked for."""
+    return search.capped(_search(spark, d, high=3000))
+
+
+@query()
+def els_search_page(spark, d):
+    """Skips to 2000, with verses."""
+    return search.search_page(_bounded(spark, d), "SHTHE")
+
+
 @query(f"WITH {_hits_sql()} SELECT skip, CAST(count(*) AS BIGINT) AS n FROM hits GROUP BY 1 ORDER BY n DESC, skip LIMIT 5")
 def hits_per_skip(spark, d):
     return search.hits_per_skip(_search(spark, d))
@@ -296,6 +325,16 @@ def session_view(spark, d):
     return ledger.session_view(fx.sessions(spark, d), fx.searches(spark, d), 11)
 
 
+@query(f"""WITH {fx.search_sql({'TION': (1, 5, 'both')})}, {fx.LEDGER} SELECT search_id, CAST(count(*) AS BIGINT) AS n, CAST(sum(start) AS BIGINT) AS starts FROM (
+  SELECT -1 AS search_id, start FROM hits UNION ALL SELECT l_orderkey, (l_partkey * 7919 + l_orderkey * 104729 + l_suppkey * 31) % 2000000 FROM lineitem) GROUP BY 1""")
+def save_search(spark, d):
+    """A search of the stream and its hits, put behind those that are stored."""
+    found = _search(spark, d, high=5).select(F.lit(-1).cast("long").alias("search_id"), "term", "start", "skip", "direction", "positions")
+    one = spark.createDataFrame([(-1, 7, _TERM, "full")], "search_id long, session_id long, term string, stream_id string")
+    searches, hits = ledger.save_search(fx.searches(spark, d), fx.hits(spark, d), one, found)
+    return hits.join(searches.select("search_id"), "search_id", "left_semi").groupBy("search_id").agg(F.count("*").alias("n"), F.sum("start").alias("starts"))
+
+
 @query(f"""WITH {fx.LEDGER} SELECT s.*, CAST((SELECT count(*) FROM searches q WHERE q.session_id = s.session_id) AS BIGINT) AS n_searches
 FROM sessions s ORDER BY updated_at DESC, session_id LIMIT 20 OFFSET 40""")
 def session_list(spark, d):
@@ -360,9 +399,16 @@ _PAIRS = """, near AS (
 _FLAT = ["a.start AS start_a", "b.start AS start_b", "distance", "pos_a", "pos_b"]
 
 
-@query(_TWO + " SELECT hit_id, pos AS position FROM b WHERE pos IN (SELECT pos FROM a)")
+def _referred(places):
+    """The verse of each position, by a range join of the few positions that are left."""
+    return f"""found AS (SELECT p.pos, any_value(v.book_abbrev || ' ' || v.chapter || ':' || v.verse) AS reference, any_value(v.letters[p.pos - v.start_pos + 1]) AS letter
+  FROM (SELECT DISTINCT pos FROM {places}) p JOIN bounded v ON p.pos >= v.start_pos AND p.pos < v.end_pos GROUP BY 1)"""
+
+
+@query(_TWO.replace("WITH ", f"WITH {fx.BOUNDED}, ") + f""", met AS (SELECT hit_id, pos FROM b SEMI JOIN (SELECT DISTINCT pos FROM a) t USING (pos)), {_referred('met')}
+SELECT hit_id, pos AS position, reference AS verse, letter FROM met LEFT JOIN found USING (pos)""")
 def prox_intersections(spark, d):
-    return crossref.intersections(*_two(spark, d))
+    return crossref.intersections_with_verses(*_two(spark, d), _bounded(spark, d))
 
 
 @query(_TWO + _PAIRS.format(w=2000) + " SELECT sa AS start_a, sb AS start_b, distance, pos_a, pos_b FROM pairs ORDER BY distance, sa, ka, da, ha, sb, kb, db, hb LIMIT 20")
@@ -380,6 +426,21 @@ def prox_closest_region(spark, d):
     return crossref.closest_region(crossref.pairs_within(*_two(spark, d), 2000))
 
 
+@query(_TWO.replace("WITH ", f"WITH {fx.BOUNDED}, ") + _PAIRS.format(w=100) + f""", ends AS (SELECT pos_a AS pos FROM pairs UNION SELECT pos_b FROM pairs), {_referred('ends')}
+SELECT sa AS start_a, sb AS start_b, distance, pos_a, pos_b, x.reference AS verse_a, y.reference AS verse_b FROM pairs LEFT JOIN found x ON x.pos = pos_a LEFT JOIN found y ON y.pos = pos_b""")
+def prox_pair_verses(spark, d):
+    pairs = crossref.pairs_within(*_two(spark, d), 100).selectExpr(*_FLAT)
+    return crossref.with_verses(pairs, _bounded(spark, d), {"pos_a": "verse_a", "pos_b": "verse_b"})
+
+
+@query(_TWO.replace("WITH ", f"WITH {fx.BOUNDED}, ") + _PAIRS.format(w=2000) + f""", top AS (SELECT least(pos_a, pos_b) AS region_start, greatest(pos_a, pos_b) AS region_end, distance AS span FROM pairs ORDER BY distance, sa, ka, da, ha, sb, kb, db, hb LIMIT 1),
+ends AS (SELECT region_start AS pos FROM top UNION SELECT region_end FROM top), {_referred('ends')}
+SELECT region_start, region_end, span, x.reference AS from_verse, y.reference AS to_verse FROM top LEFT JOIN found x ON x.pos = region_start LEFT JOIN found y ON y.pos = region_end""")
+def prox_region_verses(spark, d):
+    region = crossref.closest_region(crossref.pairs_within(*_two(spark, d), 2000))
+    return crossref.with_verses(region, _bounded(spark, d), {"region_start": "from_verse", "region_end": "to_verse"})
+
+
 @query(_TWO + """ SELECT CAST((SELECT count(*) FROM a WHERE k = 0) AS BIGINT) AS hits_a, CAST((SELECT count(*) FROM b WHERE k = 0) AS BIGINT) AS hits_b,
 CAST((SELECT count(*) FROM a WHERE k = 0) * (SELECT count(*) FROM b WHERE k = 0) AS BIGINT) AS pairs_compared, CAST((SELECT count(*) FROM b WHERE pos IN (SELECT pos FROM a)) AS BIGINT) AS n_intersections""")
 def prox_summary(spark, d):
@@ -456,6 +517,16 @@ def sweep_top(spark, d):
     return crossref.sweep_top(crossref.sweep(fx.hits(spark, d), 50))
 
 
+@query(_SWEEP.replace("WITH ", f"WITH {fx.BOUNDED}, ", 1) + f""", top AS (SELECT * FROM swept ORDER BY score DESC, stream_id, term_a, term_b LIMIT 30),
+common AS (SELECT t.stream_id, term_a, term_b, m.pos, row_number() OVER (PARTITION BY t.stream_id, term_a, term_b ORDER BY m.start, m.skip, m.direction, m.hit_id, m.k) AS nth FROM top t
+  JOIN marks m ON m.stream_id = t.stream_id AND m.term = term_b SEMI JOIN (SELECT DISTINCT stream_id, term, pos FROM marks) s ON s.stream_id = t.stream_id AND s.term = term_a AND s.pos = m.pos QUALIFY nth <= 5), {_referred('common')}
+SELECT stream_id, term_a, term_b, CAST(nth AS INT) AS nth, pos AS position, reference AS verse FROM common LEFT JOIN found USING (pos)""")
+def sweep_shared_verses(spark, d):
+    """Up to five shared places of each reported pair, with their verses."""
+    top = crossref.sweep_top(crossref.sweep(fx.hits(spark, d), 50))
+    return crossref.with_verses(crossref.shared_places(fx.hits(spark, d), top), _bounded(spark, d), {"position": "verse"})
+
+
 @query(f"WITH {fx.HITS}" + _NEAR.format(v="pos", t="marks WHERE k = 2", w=20) + " SELECT * FROM near")
 def closest_midpoints(spark, d):
     return crossref.closest_midpoints(fx.hits(spark, d), 20)
@@ -490,13 +561,19 @@ def mega_cluster(spark, d):
 
 
 _WORDS = ["TION", "THERE", "UNGEN", "ENE"]
-_EXPECT = f"""words AS (SELECT * FROM (VALUES {', '.join(f"('{w}')" for w in _WORDS)}) v(term)), spelled AS (
+
+
+def _expect(words, high):
+    return f"""words AS (SELECT * FROM (VALUES {', '.join(f"('{w}')" for w in words)}) v(term)), spelled AS (
   SELECT term, CAST(i - 1 AS INT) AS i, term[i] AS letter FROM words, LATERAL (SELECT unnest(generate_series(1, length(term))) AS i)
 ), size AS (SELECT max(end_pos) AS m FROM bounded), expected AS (
-  SELECT term, exp(sum(ln(p))) * any_value(2.0 * ((least(20, m // length(term))) * m - (length(term) - 1) * (least(20, m // length(term)) * (least(20, m // length(term)) + 1)) // 2)) AS expected
+  SELECT term, exp(sum(ln(p))) * any_value(2.0 * ((least({high}, m // length(term))) * m - (length(term) - 1) * (least({high}, m // length(term)) * (least({high}, m // length(term)) + 1)) // 2)) AS expected
   FROM spelled JOIN probs USING (letter), size GROUP BY term)"""
 
 
+_EXPECT = _expect(_WORDS, 20)
+
+
 @query(f"WITH {fx.LETTERS}, {_FREQ}, {_EXPECT} SELECT term, round(CAST(expected AS DOUBLE), 4) AS expected FROM expected")
 def expected_frequency(spark, d):
     bounded = _bounded(spark, d)
@@ -531,16 +608,17 @@ def poisson_analysis(spark, d):
     return significance.poisson_analysis(expected.join(observed, "term"))
 
 
-_MC = f"""WITH {fx.LETTERS}, keyed AS (SELECT r AS run, pos, ch, md5('seed:' || r || ':' || pos) AS key FROM (SELECT pos, ch FROM letters WHERE book_abbrev = 'GEN') g, (SELECT unnest(generate_series(1, 4)) AS r)),
+_RUNS = """keyed AS (SELECT r AS run, pos, ch, md5('seed:' || r || ':' || pos) AS key FROM (SELECT pos, ch FROM letters) g, (SELECT unnest(generate_series(1, 4)) AS r)),
 mixed AS MATERIALIZED (SELECT run, ch, row_number() OVER (PARTITION BY run ORDER BY key, pos) - 1 AS pos FROM keyed),
 tried AS MATERIALIZED (SELECT run, pos + g * s AS p1, pos + 2 * g * s AS p2 FROM mixed, (SELECT unnest(generate_series(1, 8)) AS s) k, (VALUES (1), (-1)) w(g) WHERE ch = 'E'),
 found AS (SELECT t.run, count(*) AS n FROM tried t SEMI JOIN (SELECT run, pos FROM mixed WHERE ch = 'N') b ON b.run = t.run AND b.pos = p1
   SEMI JOIN (SELECT run, pos FROM mixed WHERE ch = 'E') c ON c.run = t.run AND c.pos = p2 GROUP BY 1),
 runs AS (SELECT CAST(r AS INT) AS run, CAST(coalesce(n, 0) AS BIGINT) AS n FROM (SELECT unnest(generate_series(1, 4)) AS r) LEFT JOIN found ON run = r)"""
+_MC = f"WITH {fx.LETTERS}, {_RUNS}"
 
 
 def _mc(spark, d):
-    bounded = _bounded(spark, d, "genesis")
+    bounded = _bounded(spark, d)
     total = bounded.agg(F.max("end_pos")).first()[0]
     return bounded, total, significance.monte_carlo(letters.letter_positions(bounded), "ENE", total, 4, "seed", 1, 8)
 
@@ -556,15 +634,26 @@ def mc_distribution(spark, d):
     return significance.mc_distribution(_mc(spark, d)[2], 5000)
 
 
-@query()
+@query(f"""WITH {fx.search_sql({'ENE': (1, 8, 'both')})}, {_FREQ}, {_expect(['ENE'], 8)}, {_RUNS}, seen AS (SELECT CAST(count(*) AS BIGINT) AS observed FROM hits),
+t AS (SELECT term, CAST(expected AS DOUBLE) AS e, observed FROM expected, seen),
+p AS (SELECT *, CASE WHEN observed <= 0 THEN 1 ELSE greatest(0, 1 - (SELECT sum(exp(-e + k * ln(e) - lgamma(k + 1))) FROM (SELECT unnest(generate_series(0, observed - 1)) AS k)))::DOUBLE END AS q FROM t)
+SELECT term, round(e, 4) AS expected, observed, round(observed / e, 4) AS ratio, round(q, 6) AS p,
+  CASE WHEN q < 0.001 THEN 'highly significant' WHEN q < 0.01 THEN 'very significant' WHEN q < 0.05 THEN 'significant' ELSE 'not significant' END AS label,
+  round(avg(n), 2) AS mean, round(stddev_pop(n), 2) AS sd, list_sort(list(n))[3] AS median, min(n) AS least, max(n) AS most,
+  round(CASE WHEN stddev_pop(n) > 0 THEN (observed - avg(n)) / stddev_pop(n) ELSE 0 END, 4) AS z, round(avg(CASE WHEN n >= observed THEN 1 ELSE 0 END), 6) AS mc_p, 4 AS runs, false AS range_mismatch
+FROM p, runs GROUP BY term, e, observed, q""")
 def full_analysis(spark, d):
     """The Poisson analysis of a term beside its distribution over shuffled streams, both over the same skips."""
-    bounded, total, runs = _mc(spark, d)
-    observed = search.els_search(bounded, ["ENE"], 1, 8, total=total).groupBy("term").agg(F.count("*").alias("observed"))
-    expected = significance.expected_frequency(letters.letter_frequency(bounded), ["ENE"], total, 1, 8)
-    seen = observed.first()["observed"]
-    analysis = significance.poisson_analysis(expected.join(observed, "term"))
-    return analysis.join(F.broadcast(significance.mc_distribution(runs, seen).withColumnsRenamed({"p": "mc_p"})), F.lit(True))
+    bounded = _bounded(spark, d)
+    observed = search.els_search(bounded, ["ENE"], 1, 8).count()
+    return significance.full_analysis(bounded, "ENE", observed, 1, 8, runs=4, seed="seed")
+
+
+@query()
+def monte_carlo_wide(spark, d):
+    """Fifty shuffles of the first five books, skips to 500."""
+    bounded = _bounded(spark, d, "torah")
+    return significance.monte_carlo(letters.letter_positions(bounded), _TERM, bounded.agg(F.max("end_pos")).first()[0], 50, "seed", 1, 500)
 
 
 @query("SELECT o_orderkey AS stat_id, o_custkey AS search_id, o_orderdate AS computed_at FROM orders WHERE o_custkey = 17")
@@ -603,6 +692,44 @@ def passage_windows(spark, d):
     return passages.passage_windows(fx.verses(spark, d))
 
 
+_READ = ["GEN.2.3-5", "Genesis 3:1", "EXO.2", "nonsense", "ROM.1.1"]
+
+
+@query(f"""WITH {fx.VERSES}, asked(ref, a, c, f, l) AS (VALUES ('GEN.2.3-5', 'GEN', 2, 3, 5), ('Genesis 3:1', 'GEN', 3, 1, 1), ('EXO.2', 'EXO', 2, NULL, NULL), ('ROM.1.1', 'ROM', 1, 1, 1))
+SELECT ref, book || ' ' || chapter || CASE WHEN f IS NULL THEN '' ELSE ':' || f || CASE WHEN l <> f THEN '-' || l ELSE '' END END AS label, book_abbrev, chapter, verse, text
+FROM asked JOIN verses ON book_abbrev = a AND chapter = c AND (f IS NULL OR verse BETWEEN f AND l)""")
+def read_scripture(spark, d):
+    return passages.read_scripture(fx.verses(spark, d), spark.createDataFrame([(r,) for r in _READ], "ref string"))
+
+
+_PASSAGES = f"""{fx.VERSES}, {fx.GRAPH}, firsts AS (SELECT book, book_abbrev, chapter, row_number() OVER (ORDER BY book_order, chapter) - 1 AS n FROM verses WHERE verse = 1),
+passages AS (SELECT book, book_abbrev, chapter, 1 AS f, 3 AS l, similarity FROM firsts JOIN scored ON node_id = n)"""
+
+
+def _passages(spark, d):
+    """The first three verses of each chapter, with the vectors in order."""
+    k = F.row_number().over(Window.orderBy("book_order", "chapter")) - 1
+    firsts = fx.verses(spark, d).filter("verse = 1").select("book_abbrev", "chapter", k.cast("long").alias("node_id"), F.lit(1).alias("verse_start"), F.lit(3).alias("verse_end"))
+    return firsts.join(fx.embeddings(spark, d), "node_id").drop("node_id")
+
+
+@query(f"""WITH {_PASSAGES}, best AS (SELECT * FROM passages WHERE book_abbrev = 'GEN' AND similarity >= 0.05 ORDER BY similarity DESC, chapter LIMIT 8)
+SELECT b.book || ' ' || b.chapter || ':1-3' AS reference, string_agg(v.verse || '. ' || v.text, ' ' ORDER BY v.verse) AS text, round(CAST(any_value(similarity) AS DOUBLE), 3) AS similarity, 'semantic' AS mode
+FROM best b JOIN verses v ON v.book_abbrev = b.book_abbrev AND v.chapter = b.chapter AND v.verse BETWEEN f AND l GROUP BY b.book, b.chapter""")
+def search_scripture(spark, d):
+    e = fx.embeddings(spark, d)
+    one = e.filter("node_id = 0").select(F.col("vector").alias("query"))
+    return passages.search_scripture(_passages(spark, d), fx.verses(spark, d), one, "tion the", book="gen", limit=8, floor=0.05)
+
+
+@query(f"""WITH {fx.VERSES} SELECT book || ' ' || chapter || ':' || verse AS reference, text, CAST(NULL AS DOUBLE) AS similarity, 'keyword' AS mode FROM verses
+WHERE contains(lower(text), 'tion the') ORDER BY book_order, chapter, verse LIMIT 10""")
+def search_scripture_words(spark, d):
+    """No passages: the words are looked for."""
+    none = fx.embeddings(spark, d).limit(0).select(F.lit("GEN").alias("book_abbrev"), F.lit(1).alias("chapter"), F.lit(1).alias("verse_start"), F.lit(1).alias("verse_end"), "vector")
+    return passages.search_scripture(none, fx.verses(spark, d), fx.embeddings(spark, d).select(F.col("vector").alias("query")), "tion the")
+
+
 def _scored(spark, d):
     e = fx.embeddings(spark, d)
     return passages.similarities(e, e.filter("node_id = 0").select(F.col("vector").alias("query")), "node_id", "vector")
@@ -695,10 +822,15 @@ def node_keyword_typed(spark, d):
     return graph.node_keyword_typed(fx.nodes(spark, d), "tion the", "src0").select("id", "type", "created_at")
 
 
-@query(f"WITH {fx.GRAPH} SELECT id, type, round(similarity, 6) AS similarity FROM scored JOIN nodes ON id = node_id WHERE type IN {_TYPES} AND scored.similarity >= 0.1 ORDER BY scored.similarity DESC, id LIMIT 15")
+@query(f"WITH {fx.GRAPH} SELECT id, type, round(similarity, 6) AS similarity FROM scored JOIN nodes ON id = node_id WHERE type IN {_TYPES} AND scored.similarity >= 0.3 ORDER BY scored.similarity DESC, id LIMIT 10")
 def node_semantic(spark, d):
-    rows = fx.nodes(spark, d).filter(F.col("type").isin("src0", "src3", "src7")).select("id", "type").join(_scored(spark, d).withColumnRenamed("node_id", "id"), "id")
-    return passages.semantic_topk(rows, "id", 15, 0.1).select("id", "type", F.round("similarity", 6).alias("similarity"))
+    found = graph.node_semantic(fx.nodes(spark, d), _scored(spark, d), ["src0", "src3", "src7"])
+    return found.select("id", "type", F.round("similarity", 6).alias("similarity"))
+
+
+@query(f"WITH {fx.GRAPH} SELECT source_id, target_id, relationship FROM edges WHERE NOT (source_id = 20 AND target_id = 10)")
+def delete_edge(spark, d):
+    return graph.graph_edges(graph.delete_edge(fx.edges(spark, d), 20, 10))
 
 
 @query(f"""WITH {fx.GRAPH}, s AS (SELECT node_id AS id, similarity FROM scored WHERE similarity >= 0.3 ORDER BY similarity DESC, id LIMIT 10),

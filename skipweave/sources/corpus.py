@@ -9,17 +9,24 @@ from pyspark.sql import functions as F
 def ingest_books(spark: SparkSession, folder: str, order_file: str = "Books.json", translation: str = "KJV") -> tuple[DataFrame, DataFrame, list[str]]:
     """(books, verses, missing names) of a folder with a list of names in order and one JSON file of chapters for each.
 
-    Names lose their spaces in file names. A book without a file is reported and left out.
+    Names lose their spaces in file names. A book without a file is reported and left out. Where the order is kept in a folder of its own (order_file
+    is a path), the books are folders book=Name of JSON lines, so a book is read by many tasks.
     """
     from skipweave.functions.text import BOOKS
 
-    names = [r[0] for r in spark.read.text(f"{folder}/{order_file}", wholetext=True).select(F.explode(F.from_json("value", "array<string>"))).collect()]
+    order_path = order_file if "/" in order_file else f"{folder}/{order_file}"
+    names = [r[0] for r in spark.read.text(order_path, wholetext=True).select(F.explode(F.from_json("value", "array<string>"))).collect()]
     order = spark.createDataFrame(
         [(i, n, BOOKS.get(n, n[:3].upper()), "OT" if i <= 39 else "NT", n.replace(" ", "")) for i, n in enumerate(names, 1)],
         "book_order int, book string, book_abbrev string, testament string, file string",
     )
-    files = spark.read.json(f"{folder}/*.json", multiLine=True, schema="chapters array<struct<chapter: string, verses: array<struct<verse: string, text: string>>>>")
-    files = files.select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1).alias("file"), "chapters").filter("chapters IS NOT NULL")
+    shape = "chapters array<struct<chapter: string, verses: array<struct<verse: string, text: string>>>>"
+    if order_path == order_file:
+        files = spark.read.schema(f"{shape}, book string").json(folder).select(F.replace("book", F.lit(" "), F.lit("")).alias("file"), "chapters")
+    else:
+        files = spark.read.json(f"{folder}/*.json", multiLine=True, schema=shape)
+        files = files.select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1).alias("file"), "chapters")
+    files = files.filter("chapters IS NOT NULL")
     rows = files.select(F.url_decode("file").alias("file"), F.explode("chapters").alias("c")).select("file", F.col("c.chapter").cast("int").alias("chapter"), F.explode("c.verses").alias("v"))
     verses = rows.join(F.broadcast(order), "file").select(
         F.concat_ws(".", "book_abbrev", "chapter", F.col("v.verse")).alias("id"), "book", "book_abbrev", "book_order", "chapter",
