@@ -87,3 +87,58 @@ def test_positions_outside_have_no_verse(spark, bounded, stream):
     asked = spark.createDataFrame([(i, p) for i, p in enumerate([-1, 0, len(stream) - 1, len(stream)])], "idx int, position long")
     rows = {r.position: r.reference for r in letters.positions_to_verses(asked, bounded).collect()}
     assert rows == {-1: None, 0: "GEN 1:1", len(stream) - 1: "MAT 1:2", len(stream): None}
+
+
+def test_capped_takes_forward_hits_first(spark, bounded, stream):
+    hits = search.els_search(bounded, ["EEN", "ABC"], 1, 9)
+    for cap in (1, 2, 3, 1000):
+        got = search.capped(hits, cap).collect()
+        for term in ("EEN", "ABC"):
+            every = sorted(brute(stream, term, 1, 9), key=lambda h: (h[0] != "forward", h[1], h[2]))
+            assert sorted((r.direction, r.skip, r.start) for r in got if r.term == term) == sorted(every[:cap])
+            assert all(r.capped == (len(every) >= cap) for r in got if r.term == term)
+
+
+def test_default_range_equals_brute_force(spark):
+    rng = np.random.default_rng(5)
+    text = "".join(rng.choice(list("TIONAE"), 12_000))
+    rows = [(1, "GEN", 1 + i // 5000, 1 + i // 50 % 100, text[i : i + 50]) for i in range(0, len(text), 50)]
+    bounded = letters.verse_boundaries(spark.createDataFrame(rows, SCHEMA))
+    code = np.frombuffer(text.encode(), np.uint8)
+    want = set()
+    for s in range(1, min(3000, len(text) // 5) + 1):
+        for way, word in (("forward", b"NATIO"), ("reverse", b"OITAN")):
+            ok = np.ones(len(code) - 4 * s, bool)
+            for k, c in enumerate(word):
+                ok &= code[k * s : len(code) - (4 - k) * s] == c
+            want |= {(way, s, int(p) + (4 * s if way == "reverse" else 0)) for p in np.flatnonzero(ok)}
+    assert {(r.direction, r.skip, r.start) for r in search.els_search(bounded, ["NATIO"], block=2000).collect()} == want
+    page = search.search_page(bounded, "NATIO").collect()
+    assert {(r.direction, r.skip, r.start) for r in page} == {h for h in want if h[1] <= 2000} and all(r.start_verse and r.end_verse for r in page)
+    assert [r.skip for r in page] == sorted(r.skip for r in page)
+
+
+def test_boundaries_over_many_parts_of_chapters(spark, monkeypatch):
+    monkeypatch.setattr(letters, "PART", 3)
+    rows = [(b, f"B{b}", c, v, "abc" * (1 + (b + c * v) % 4)) for b in (1, 2, 40) for c in range(1, 12) for v in range(1, 4)]
+    got = letters.verse_boundaries(spark.createDataFrame(rows, SCHEMA)).collect()
+    at = 0
+    for r in sorted(got, key=lambda r: (r.book_order, r.chapter, r.verse)):
+        assert r.start_pos == at
+        at = r.end_pos
+
+
+def test_shuffled_streams_equal_brute_force(spark, bounded, stream):
+    from skipweave.operators import significance
+
+    rows = letters.letter_positions(bounded)
+    mixed = {}
+    for r in significance.shuffled(rows, 3, "s").collect():
+        mixed.setdefault(r.run, {})[r.pos] = r.ch
+    for block in (5, 1 << 18):
+        got = {r.run: r.n for r in significance.monte_carlo(rows, "EEN", len(stream), 3, "s", 1, 9, block=block).collect()}
+        assert got == {run: len(brute("".join(c for _, c in sorted(s.items())), "EEN", 1, 9)) for run, s in mixed.items()}
+    wide = significance.full_analysis(bounded, "EEN", 5, 1, 3000, runs=2, mc_max_skip=4).first()
+    assert wide.range_mismatch and wide.runs == 2
+    assert not significance.full_analysis(bounded, "EEN", 5, 1, 4, runs=2).first().range_mismatch
+    assert "mc_p" not in significance.full_analysis(bounded, "EEN", 5, runs=0).columns

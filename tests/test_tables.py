@@ -2,6 +2,8 @@
 
 import json
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from skipweave.operators import crossref, graph, ledger, significance
@@ -74,3 +76,59 @@ def test_poisson_tail_edges(spark):
     p = [r.p for r in rows.select(significance.poisson_tail(F.col("rate"), F.col("observed")).alias("p")).collect()]
     assert p[:3] == [1.0, 0.0, 1.0] and abs(p[3] - 0.8646647) < 1e-6
     assert significance.places(100, 4, 1, 3) == (100 - 3) + (100 - 6) + (100 - 9)
+
+
+def test_saved_rows_keep_their_zeros(spark):
+    clusters = spark.createDataFrame([], "cluster_id string, session_id string, type string, terms string, region_start long, discovered_at double")
+    got = ledger.save_cluster(clusters, "c", "s", {"terms": "A,B", "region_start": 0}, 1.0).collect()
+    assert [tuple(r) for r in got] == [("c", "s", "mega_cluster", "A,B", 0, 1.0)]
+    stats = spark.createDataFrame([], "stat_id string, search_id long, observed long, p double, computed_at double")
+    assert [tuple(r) for r in ledger.save_statistics(stats, "t", 4, {"observed": 0, "p": 0.0}, 2.0).collect()] == [("t", 4, 0, 0.0, 2.0)]
+    s = spark.createDataFrame([], "session_id string, name string, notes string, created_at double, updated_at double")
+    s = ledger.ensure_default_session(s, "d", 1.0)
+    assert [r.session_id for r in ledger.ensure_default_session(s, "e", 2.0).collect()] == ["d"]
+
+
+def test_an_approval_leaves_a_snapshot_and_a_row(spark, tmp_path):
+    types = spark.createDataFrame([("memo", True)], "type_name string, is_base_type boolean")
+    pending = spark.createDataFrame([("fresh", "pending"), ("old", "rejected")], "type_name string, status string")
+    migrations = spark.createDataFrame([], "type_name string, action string, snapshot_path string, created_at double")
+    folder = f"file://{tmp_path}/snap"
+    types, pending, migrations = graph.approve_proposal(spark, folder, "one", types, pending, migrations, "fresh", 3.0)
+    assert {r.type_name for r in types.collect()} == {"memo", "fresh"} and corpus.list_snapshots(spark, folder) == ["one"]
+    assert [tuple(r) for r in migrations.collect()] == [("fresh", "created", f"{folder}/one", 3.0)]
+    assert {r.type_name for r in spark.read.parquet(f"{folder}/one/types").collect()} == {"memo"}
+    edges = spark.createDataFrame([(1, 2, "r"), (1, 2, "q"), (2, 1, "r")], "source_id int, target_id int, relationship string")
+    assert graph.delete_edge(edges, 1, 2, "r").count() == 2 and graph.delete_edge(edges, 1, 2).count() == 1
+
+
+def test_node_text_has_its_metadata(spark):
+    from skipweave.operators import passages
+
+    one = spark.createDataFrame([(1, "memo", "a", "", None, ["x"], {"k": "v", "b": "c"})], "id int, type string, summary string, detail string, context string, tags array<string>, metadata map<string,string>")
+    assert passages.node_text(one).first().node_text == "[memo] | a | Tags: x | b: c | k: v"
+
+
+def test_nearest_values_equal_brute_force(spark):
+    rng = np.random.default_rng(0)
+    rows = [("s" if k % 3 else "t", "ABCD"[int(rng.integers(4))], int(rng.integers(400))) for k in range(120)]
+    hits = spark.createDataFrame(rows, "stream_id string, term string, v long")
+    for far, block in ((3, 16), (50, 16), (7, 1 << 16)):
+        want = {}
+        for s, x, a in rows:
+            for r, y, b in rows:
+                if s == r and x < y and abs(a - b) <= far:
+                    want[s, x, y] = min(want.get((s, x, y), (10**9,)), (abs(a - b), a, b))
+        got = {(r.stream_id, r.term_a, r.term_b): (r.distance, r.a, r.b) for r in crossref.nearest_between_terms(hits, F.col("v"), far, block).collect()}
+        assert got == want
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(spark):
+    from unittest import mock
+
+    from skipweave import session
+
+    remote = mock.Mock()
+    remote.conf.get.return_value, remote.sparkContext.master, remote._skipweave_dir = None, "spark://host:7077", None
+    with pytest.raises(ValueError):
+        session.shared_dir(remote)
