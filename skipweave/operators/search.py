@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from skipweave.functions.text import normalize_term
 from skipweave.operators.letters import positions_to_verses, stream_blocks
+from skipweave.session import scratch_table
 
 #: Letters of a block; each is searched with as many letters after it as a hit can span.
 BLOCK = 1 << 18
@@ -107,6 +108,7 @@ def capped(hits: DataFrame, cap: int = CAP) -> DataFrame:
 
     Counts by term, direction and skip say where each skip's hits begin in that order; only hits of skips that begin within the cap are ranked, each skip apart.
     """
+    hits = scratch_table(hits.sparkSession, hits, "hits")  # read twice, searched once
     later = F.when(F.col("direction") == "forward", 0).otherwise(1)
     sizes = hits.groupBy("term", "direction", "skip").agg(F.count("*").alias("__n"))
     before = Window.partitionBy("term").orderBy(later, "skip")

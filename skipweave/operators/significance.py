@@ -58,22 +58,31 @@ def poisson_analysis(counts: DataFrame) -> DataFrame:
     return out.select("term", F.round("expected", 4).alias("expected"), "observed", F.when(F.col("expected") > 0, F.round(F.col("observed") / F.col("expected"), 4)).alias("ratio"), F.round("p", 6).alias("p"), label.alias("label"))
 
 
-def shuffled(letters: DataFrame, runs: int, seed: str) -> DataFrame:
-    """run, pos, ch: permutations by the digest of seed, run and place.
+def shuffled(letters: DataFrame, runs: int, seed: str, digest: str = "md5") -> DataFrame:
+    """run, pos, ch: permutations by the digest of seed, run and place: md5, which other engines have too, or xxhash64, which is sorted sooner.
 
     The rank of a digest is the number of those with smaller first digits plus its rank among its like: 256 parts a run, so no task holds a run.
+    The sizes of parts, 256 rows a run, are broadcast.
     """
-    each = letters.sparkSession.range(1, runs + 1).select(F.col("id").cast("int").alias("run"))
-    keyed = letters.select("pos", "ch").join(F.broadcast(each), F.lit(True)).withColumn("key", F.md5(F.concat_ws(":", F.lit(seed), "run", "pos")))
-    keyed = keyed.withColumn("part", F.substring("key", 1, 2))
+    spark = letters.sparkSession
+    each = spark.range(1, runs + 1).select(F.col("id").cast("int").alias("run"))
+    # letters are few bytes beside the digests that each run makes of them: they are dealt out before, by number, so that adaptive execution keeps the tasks apart
+    dealt = letters.select("pos", "ch").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "pos")
+    keyed = dealt.join(F.broadcast(each), F.lit(True))
+    if digest == "md5":
+        keyed = keyed.withColumn("key", F.md5(F.concat_ws(":", F.lit(seed), "run", "pos"))).withColumn("part", F.substring("key", 1, 2))
+    else:
+        keyed = keyed.withColumn("key", F.xxhash64(F.lit(seed), "run", "pos")).withColumn("part", F.shiftright("key", 56))
     sizes = keyed.groupBy("run", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("run").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("run", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     rn = F.row_number().over(Window.partitionBy("run", "part").orderBy("key", "pos"))
-    return keyed.withColumn("rn", rn).join(sizes, ["run", "part"]).select("run", (F.col("base") + F.col("rn") - 1).alias("pos"), "ch")
+    return keyed.withColumn("rn", rn).join(F.broadcast(sizes), ["run", "part"]).select("run", (F.col("base") + F.col("rn") - 1).alias("pos"), "ch")
 
 
-def monte_carlo(letters: DataFrame, term: str, total: int, runs: int = 100, seed: str = "0", min_skip: int = 1, max_skip: int = 1000, direction: str = "both", block: int = BLOCK) -> DataFrame:
+def monte_carlo(
+    letters: DataFrame, term: str, total: int, runs: int = 100, seed: str = "0", min_skip: int = 1, max_skip: int = 1000, direction: str = "both", block: int = BLOCK, digest: str = "md5"
+) -> DataFrame:
     """run, n: hits of the term in each shuffled stream, runs without hits among them.
 
     Each shuffled stream is cut into blocks with a halo as long as the longest hit, and all blocks of all runs are searched side by side by
@@ -97,7 +106,7 @@ def monte_carlo(letters: DataFrame, term: str, total: int, runs: int = 100, seed
         n = sum(len(find_in(stream, w, range(min_skip, cap + 1), size)[0]) for w in words)
         return pd.DataFrame({"run": [pdf["run"].iloc[0]], "n": [n]})
 
-    laid = shuffled(letters, runs, seed).select("run", "pos", F.ascii("ch").cast("short").alias("code"))
+    laid = shuffled(letters, runs, seed, digest).select("run", "pos", F.ascii("ch").cast("short").alias("code"))
     own = F.floor(F.col("pos") / size)
     both = F.explode(F.filter(F.array(own, F.when(F.col("pos") % size < halo, own - 1)), lambda b: b >= 0)).alias("block")
     found = laid.select("run", "pos", "code", both).groupBy("run", "block").applyInPandas(count, "run int, n long")

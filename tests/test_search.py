@@ -138,6 +138,10 @@ def test_shuffled_streams_equal_brute_force(spark, bounded, stream):
     for block in (5, 1 << 18):
         got = {r.run: r.n for r in significance.monte_carlo(rows, "EEN", len(stream), 3, "s", 1, 9, block=block).collect()}
         assert got == {run: len(brute("".join(c for _, c in sorted(s.items())), "EEN", 1, 9)) for run, s in mixed.items()}
+    other = {}
+    for r in significance.shuffled(rows, 2, "s", "xxhash64").collect():
+        other.setdefault(r.run, {})[r.pos] = r.ch
+    assert all(sorted(s) == list(range(len(stream))) and sorted(s.values()) == sorted(stream) for s in other.values()) and other[1] != other[2]
     wide = significance.full_analysis(bounded, "EEN", 5, 1, 3000, runs=2, mc_max_skip=4).first()
     assert wide.range_mismatch and wide.runs == 2
     assert not significance.full_analysis(bounded, "EEN", 5, 1, 4, runs=2).first().range_mismatch
