@@ -44,7 +44,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole documents table of sf_dir."""
+    """All stages over the whole documents table of sf_dir.
+
+    Null and empty texts fail the quality rules; null ids are kept, and of equal texts the smallest id that is not null stays; of repeated rows the first
+    stays. An empty table gives no rows. Extra columns pass through all stages but the last, whatever their names.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = scratch_table(spark, stage(spark, docs, sf_dir), name)

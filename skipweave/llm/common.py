@@ -23,19 +23,28 @@ def full_text(df: DataFrame, column: str = "text") -> Column:
     return F.coalesce(df[column], F.lit(""))
 
 
-def numbered(df: DataFrame) -> DataFrame:
+def free_name(df: DataFrame, name: str = ROW) -> str:
+    """name, with as many underscores after it as keep it apart from the columns of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def numbered(df: DataFrame, name: str = ROW) -> DataFrame:
     """df with a number for each row, so that repeated rows and ids stay apart.
 
     The number is partition and place, so df has to be a plain scan of stored files: then a task that is run again gives each
     row the same number. A second scan need not: files are split by the cores there are. Numbers that two jobs
     compare have to be stored: see stored_numbered.
     """
-    return df.withColumn(ROW, F.monotonically_increasing_id())
+    return df.withColumn(name, F.monotonically_increasing_id())
 
 
-def stored_numbered(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """numbered(df), written once with its numbers, for jobs that find rows again by them."""
-    return scratch_table(spark, numbered(df), "numbered")
+def stored_numbered(spark: SparkSession, df: DataFrame) -> tuple[DataFrame, str]:
+    """numbered(df), written once with its numbers, for jobs that find rows again by them; and the name of that column, which is none of df's."""
+    name = free_name(df)
+    return scratch_table(spark, numbered(df, name), "numbered"), name
 
 
 def where_settled(df: DataFrame, condition: str) -> DataFrame:

@@ -50,8 +50,9 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     row_col is a stored number of the rows; without it they are numbered here. An empty table gives no rows; other columns play no part.
 
     Only digests leave the scan. Misra-Gries summaries of each partition are summed, the largest are counted
-    exactly, and these winners (at most capacity rows) are broadcast, so the rows of hot groups never move. What is left
-    has no digest with more than 1 / capacity of the rows and takes one ordinary shuffle.
+    exactly, and these winners (at most capacity rows) are broadcast, so the rows of hot groups never move. Summing loses at most
+    1 / capacity of the rows of a digest and the cut after it as much again, so what is left has no digest with more than 2 / capacity of them; it
+    takes one ordinary shuffle.
     """
     narrow = docs.select(id_col, text_col, F.col(row_col).alias(ROW)) if row_col else numbered(docs.select(id_col, text_col))
     narrow = narrow.select(F.col(id_col).alias("doc_id"), ROW, text_digest(narrow, text_col).alias("digest"))
@@ -98,7 +99,7 @@ FROM t WINDOW w AS (PARTITION BY text_sha256)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str | None = None) -> DataFrame:
-    """docs without the rows that exact_dedup drops; only the numbers of dropped rows are joined."""
-    docs = stored_numbered(spark, docs)
-    dropped = exact_dedup(spark, docs, row_col=ROW).filter("NOT kept").select(ROW)
-    return docs.join(dropped, ROW, "left_anti").drop(ROW)
+    """docs without the rows that exact_dedup drops, with the columns of docs, whatever their names; only the numbers of dropped rows are joined."""
+    docs, row = stored_numbered(spark, docs)
+    dropped = exact_dedup(spark, docs, row_col=row).filter("NOT kept").select(F.col(ROW).alias(row))
+    return docs.join(dropped, row, "left_anti").drop(row)

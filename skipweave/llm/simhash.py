@@ -172,7 +172,7 @@ def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str | None = None) -> DataFrame:
-    """docs with one row of each group; only the numbers of dropped rows are joined."""
-    docs = stored_numbered(spark, docs)
-    dropped = simhash_groups(spark, docs, row_col=ROW).filter("NOT stays").select(ROW)
-    return docs.join(dropped, ROW, "left_anti").drop(ROW)
+    """docs with one row of each group, with the columns of docs, whatever their names; only the numbers of dropped rows are joined."""
+    docs, row = stored_numbered(spark, docs)
+    dropped = simhash_groups(spark, docs, row_col=row).filter("NOT stays").select(F.col(ROW).alias(row))
+    return docs.join(dropped, row, "left_anti").drop(row)

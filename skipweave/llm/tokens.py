@@ -34,7 +34,7 @@ def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batches, column: int, size: int = 8 << 20):
+def slices(batches, column: int, size: int = 32 << 20):
     """The rows of all batches in slices of about `size` bytes of text in a column, one row at least: what a worker holds follows that and not the batch."""
     for batch in batches:
         ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))

@@ -134,6 +134,22 @@ def test_stages_equal_brute_force(spark):
     assert place(again) == place(packed)
 
 
+@pytest.mark.parametrize("n", [0, 1])
+def test_stages_take_empty_tables_and_names_of_their_own(spark, n):
+    """Extra columns are called as those that the stages use themselves."""
+    extra = ["__row", "__text", "__found", "__words", "__n", "kept", "part", "digest", "print", "__in"]
+    columns = "doc_id long, text string, lang string, " + ", ".join(f"`{c}` string" for c in extra)
+    path = scratch_path(spark, "clash")
+    rows = [(k, None if k == 3 else f"word{k} and some other words " * 20 + " ".join(f"w{k}x{j}" for j in range(100)), "en", *extra) for k in [0, 1, 1, 2, 3]] * n
+    spark.createDataFrame(rows, columns).write.parquet(path)
+    docs = spark.read.parquet(path)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, SMALL)
+        assert got.columns == docs.columns, name
+        assert all(list(r)[3:] == extra for r in got.collect()) and (n or got.count() == 0), name
+    assert bool(corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).count()) == bool(n)
+
+
 @pytest.mark.skipif(not os.path.isdir(MEDIUM), reason="no test tables")
 def test_language_on_held_out_documents(spark):
     docs = spark.read.parquet(f"{MEDIUM}/documents.parquet")
