@@ -17,6 +17,13 @@ SHINGLE = 3
 #: The most bits in which linked fingerprints differ.
 BITS = 3
 SEED = 42
+#: Words of a shingle in near_copies, segments of its prints, and the most of 64 further bits in which compared texts differ (at a similarity
+#: of 0.8 some 10 differ, with a deviation of 3; of unrelated texts 32, with one of 4).
+STAGE_SHINGLE = 5
+SEGMENTS = 7
+CHECK_BITS = 20
+#: Pairs of a text for each copy of its shingles.
+PER_COPY = 4096
 # Fixed value: the generator polynomial of the binary Golay code of length 23.
 GOLAY = 0b101011100011
 
@@ -171,8 +178,139 @@ def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(spark, spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "fingerprint", "component_id")
 
 
+def _mixed(hashes: np.ndarray) -> np.ndarray:
+    """256 bits from each 64-bit hash: four draws of the splitmix generator that it seeds."""
+    out = np.empty((len(hashes), 4), np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(4):
+            z = hashes + np.uint64(k + 1) * np.uint64(0x9E3779B97F4A7C15)
+            z = (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+            z = (z ^ z >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+            out[:, k] = z ^ z >> np.uint64(31)
+    return out
+
+
+def shingle_set(words: list[bytes], size: int = STAGE_SHINGLE) -> np.ndarray:
+    """The distinct hashes of a text's shingles; fewer words give one shingle, none an empty set."""
+    if not words:
+        return np.zeros(0, np.uint64)
+    n, digest = max(1, len(words) - size + 1), xxhash.xxh3_64_intdigest
+    return np.unique(np.fromiter((digest(b" ".join(words[k : k + size]), SEED) for k in range(n)), np.uint64, n))
+
+
+def votes(hashes: np.ndarray) -> np.ndarray:
+    """For 256 bits, how many more of the hashes set the bit than leave it."""
+    total = np.zeros(256, np.int64)
+    for k in range(0, len(hashes), 1 << 16):
+        part = _mixed(hashes[k : k + (1 << 16)])
+        total += 2 * np.unpackbits(part.view(np.uint8), axis=1).sum(axis=0, dtype=np.int64) - len(part)
+    return total
+
+
+def near_keys(sums: np.ndarray) -> np.ndarray:
+    """Keys of rows of votes. Each of seven segments of 23 bits is decoded to the two codewords that agree best with its votes; a key is
+    two segments with a codeword of each. Two texts share a key if two of their segments share a codeword, so five may err."""
+    code = np.array([k << 11 ^ _remainder(k << 11) for k in range(4096)], np.int64)
+    signs = (2 * (code[:, None] >> np.arange(22, -1, -1) & 1) - 1).astype(np.float32).T
+    found = np.empty((len(sums), SEGMENTS, 2), np.int32)
+    for i in range(0, len(sums), 1024):
+        part = sums[i : i + 1024].astype(np.float32)
+        for s in range(SEGMENTS):
+            fit = part[:, 23 * s : 23 * s + 23] @ signs
+            for rank in range(2):
+                found[i : i + 1024, s, rank] = best = fit.argmax(axis=1)
+                fit[np.arange(len(fit)), best] = -np.inf
+    chosen = [(x, y) for x in range(SEGMENTS) for y in range(x)]
+    return np.stack([t << 24 | found[:, x, p] << 12 | found[:, y, q] for t, (x, y) in enumerate(chosen) for p in range(2) for q in range(2)], axis=1)
+
+
+def _sketches(batches):
+    for batch in slices(batches, 2):
+        words = [(t or "").encode().lower().split() for t in batch.column(2).to_pylist()]
+        sums = np.array([votes(shingle_set(w)) for w in words]).reshape(len(words), 256)
+        keys = near_keys(sums)
+        some = np.array([bool(w) for w in words])
+        ends = np.cumsum([0, *(some * keys.shape[1])]).astype(np.int32)
+        check = np.packbits(sums[:, 192:] > 0, axis=1).reshape(-1).view(">i8").astype(np.int64)
+        digests = [xxhash.xxh3_128_digest(b" ".join(w)) for w in words]
+        columns = [batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(check), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[some].reshape(-1)))]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", ROW, "digest", "check", "keys"])
+
+
+def _sets(batches):
+    for batch in slices(batches, 1):
+        for k in range(batch.num_rows):
+            found = shingle_set((batch.column(1)[k].as_py() or "").encode().lower().split()).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), pa.ListArray.from_arrays(pa.array([0, len(found)], pa.int32()), pa.array(found))], ["node", "shingles"])
+
+
+def similar_links(spark: SparkSession, texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of rows of texts (ROW, text) whose sets of shingles have a similarity of 0.8 or more, by comparing the sets.
+
+    Only texts that are in a pair are cut into shingles. A row b of many pairs is copied, one copy for each PER_COPY of them.
+    """
+    pairs = scratch_table(spark, pairs, "pairs")
+    named = pairs.select("a").union(pairs.select("b")).distinct()
+    sets = texts.join(named, texts[ROW] == named["a"], "left_semi").select(ROW, "text").mapInArrow(_sets, "node long, shingles array<long>")
+    sets = scratch_table(spark, sets, "sets")
+    copies = pairs.groupBy("b").agg(F.ceil(F.count("*") / PER_COPY).alias("copies"))
+    right = sets.join(copies, sets["node"] == copies["b"]).select("b", F.col("shingles").alias("right"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
+    spread = pairs.join(copies, "b").select("a", "b", F.pmod(F.xxhash64("a"), "copies").alias("copy"))
+    both = spread.join(right, ["b", "copy"]).join(sets, F.col("a") == F.col("node"))
+    common, total = F.size(F.array_intersect("shingles", "right")), F.size("shingles") + F.size("right")
+    return scratch_table(spark, both.filter(9 * common >= 4 * total).select("a", "b"), "similar")  # common / (total - common) >= 0.8
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """Per row of docs: doc_id, component_id (the smallest id reachable), whether it is the row that stays, and the row's number.
+
+    Texts link if their sets of five-word shingles (A-Z lower-cased, words without ASCII white space; fewer words: one shingle) have a
+    similarity of 0.8 or more. Texts of the same words are one, and so are those without words, null among them. Null ids come last; of repeated
+    rows the first stays. row_col is a number of the rows that is stored with docs; without it the rows are numbered and written here.
+    An empty table gives no rows; other columns play no part.
+
+    A text has 84 keys (see near_keys) and 64 further bits that rule chance meetings out. First each text is compared with the first and last of the
+    first texts of its keys, which joins large groups by a few links a text. Then the texts of a key are compared that are not yet
+    in one group. Those of the key's largest group are only compared with the others, so a large group is never paired with itself.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+    columns = [F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")]
+    narrow = docs.select(*columns, F.col(row_col).alias(ROW)) if row_col else stored_numbered(spark, docs.select(*columns))[0]
+    narrow = narrow.select("doc_id", ROW, "text")
+    sketches = narrow.mapInArrow(_sketches, f"doc_id {kind}, {ROW} long, digest binary, check long, keys array<int>")
+    sketches = scratch_table(spark, sketches, "sketches")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(ROW).alias("row"))
+    texts = scratch_table(spark, sketches.groupBy("digest").agg(F.min(first).alias("first")), "texts")
+    nodes = sketches.join(texts.select(F.col("first.row").alias(ROW)), ROW, "left_semi").select(F.col(ROW).alias("node"), "check", "keys")
+    nodes = scratch_table(spark, nodes, "nodes")
+
+    keyed = nodes.select(F.explode("keys").alias("key"), "node", "check")
+    met = keyed.groupBy("key").agg(F.min(F.struct("node", "check")).alias("lead"), F.count("*").alias("n")).filter("n > 1").select("key", "lead")
+    shared = scratch_table(spark, keyed.hint("merge").join(met.hint("merge"), "key"), "shared")
+    likely = shared.filter(F.bit_count(F.col("check").bitwiseXOR(F.col("lead.check"))) <= CHECK_BITS).filter("node <> lead.node")
+    leads = likely.groupBy("node").agg(F.min("lead.node").alias("low"), F.max("lead.node").alias("high"))
+    few = leads.select(F.col("node").alias("a"), F.explode(F.array_distinct(F.array("low", "high"))).alias("b"))
+    links = similar_links(spark, narrow, few)
+
+    roots = components(spark, links)
+    placed = shared.join(roots, "node", "left").select("key", "node", "check", F.coalesce("root", "node").alias("root"))
+    placed = scratch_table(spark, placed, "placed")
+    groups = placed.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", "count").alias("largest"), F.count("*").alias("groups"))
+    apart = scratch_table(spark, placed.join(groups.filter("groups > 1"), "key").select(*placed.columns, "largest"), "apart")
+    x, y = apart.filter("root <> largest").hint("merge").alias("x"), apart.hint("merge").alias("y")
+    near = F.bit_count(F.col("x.check").bitwiseXOR(F.col("y.check"))) <= CHECK_BITS
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & near)
+    pairs = pairs.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
+    roots = components(spark, links.unionByName(similar_links(spark, narrow, pairs)))
+
+    rooted = texts.join(roots, texts["first.row"] == roots["node"], "left").select("digest", "first", F.coalesce("root", "first.row").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("first").alias("least"))
+    of = scratch_table(spark, rooted.join(least, "root").select("digest", "least"), "near")
+    return sketches.join(of, "digest").select("doc_id", F.col("least.id").alias("component_id"), (F.col("least.row") == F.col(ROW)).alias("stays"), ROW)
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str | None = None) -> DataFrame:
-    """docs with one row of each group, with the columns of docs, whatever their names; only the numbers of dropped rows are joined."""
+    """docs with one row of each group of near_copies, with the columns of docs, whatever their names; only the numbers of dropped rows are joined."""
     docs, row = stored_numbered(spark, docs)
-    dropped = simhash_groups(spark, docs, row_col=row).filter("NOT stays").select(F.col(ROW).alias(row))
+    dropped = near_copies(spark, docs, row_col=row).filter("NOT stays").select(F.col(ROW).alias(row))
     return docs.join(dropped, row, "left_anti").drop(row)

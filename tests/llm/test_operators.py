@@ -343,7 +343,67 @@ def test_simhash(spark, docs, none):
     same([(r.doc_id, r.fingerprint, r.component_id) for r in got], [(i, f"{x:016x}", least.get(component[k])) for k, (i, x) in enumerate(prints)])
     assert sum(r.stays for r in got) == len(set(component))
     assert simhash.simhash_groups(spark, none).count() == 0
-    assert simhash.drop_near_copies(spark, docs).count() == len(set(component))
+
+
+def near_groups(texts):
+    """Numbers of the first text that each reaches over links of 0.8 or more, and the links."""
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    links = [(a, b) for a, x in enumerate(sets) for b, y in enumerate(sets[:a]) if x == y or 5 * len(x & y) >= 4 * len(x | y)]
+    group = list(range(len(sets)))
+    for _ in sets:
+        before = list(group)
+        for a, b in links:
+            group[a] = group[b] = min(group[a], group[b])
+        if group == before:
+            break
+    return group, links
+
+
+def test_near_copies(spark, docs, none, monkeypatch):
+    """Nulls, texts without words and repeated rows; then groups of near copies, one of them large, with texts that lie between two groups."""
+    got = simhash.near_copies(spark, docs).collect()
+    group, _ = near_groups([t for _, t, *_ in rows()])
+    least = {}
+    for k, (i, *_) in enumerate(rows()):
+        if i is not None:
+            least[group[k]] = min(least.get(group[k], i), i)
+    same([(r.doc_id, r.component_id) for r in got], [(i, least.get(group[k])) for k, (i, *_) in enumerate(rows())])
+    assert sum(r.stays for r in got) == len(set(group))
+    assert simhash.near_copies(spark, none).count() == 0
+
+    monkeypatch.setattr(simhash, "PER_COPY", 3)
+    rng = np.random.default_rng(5)
+    texts = []
+    for k in range(40):
+        base = rng.integers(0, 50_000, 250)
+        for _ in range(1 if k % 2 else 60 if k == 0 else 4):
+            words = base.copy()
+            words[rng.choice(250, rng.integers(0, 8), replace=False)] = rng.integers(0, 50_000)
+            texts.append(" ".join(f"W{x}" for x in words))
+    group, links = near_groups(texts)
+    path = scratch_path(spark, "nearly")
+    spark.createDataFrame(list(enumerate(texts)), "id long, body string").repartition(4).write.parquet(path)
+    root = {r.doc_id: r.component_id for r in simhash.near_copies(spark, spark.read.parquet(path), "id", "body").collect()}
+    assert all(group[k] == group[r] for k, r in root.items())  # nothing is joined that isn't linked
+    assert len(links) > 500 and np.mean([root[a] == root[b] for a, b in links]) > 0.99
+
+
+def test_keys_of_near_copies_meet(spark):
+    """Pairs at a similarity of 0.8 to 0.9: over 0.9 of them share a key, and almost none differ in too many of the further bits."""
+    rng = np.random.default_rng(6)
+    a, b = [], []
+    for _ in range(200):
+        shared, own = rng.integers(0, 1 << 62, 1000).astype(np.uint64), rng.integers(0, 1 << 62, 220).astype(np.uint64)
+        n = int(rng.integers(50, 110))  # similarity 1000 / (1000 + 2 n)
+        a.append(simhash.votes(np.append(shared, own[:n])))
+        b.append(simhash.votes(np.append(shared, own[n : 2 * n])))
+    a, b = np.array(a), np.array(b)
+    met = [len(np.intersect1d(x, y)) > 0 for x, y in zip(simhash.near_keys(a), simhash.near_keys(b), strict=True)]
+    apart = ((a[:, 192:] > 0) != (b[:, 192:] > 0)).sum(axis=1)
+    assert np.mean(met) > 0.95 and np.mean(apart <= simhash.CHECK_BITS) > 0.99
 
 
 def test_golay_keys_miss_no_pair_within_three_bits():

@@ -77,11 +77,10 @@ def without_copies(rows):
 
 
 def without_near_copies(rows):
-    prints = []
+    sets = []
     for r in rows:
         w = (r.text or "").encode().lower().split()
-        h = [xxhash.xxh64_intdigest(b" ".join(w[k : k + 3]), 42) for k in range(max(1, len(w) - 2))] if w else []
-        prints.append(sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)))
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
     root = list(range(len(rows)))
 
     def top(k):
@@ -89,9 +88,9 @@ def without_near_copies(rows):
             k = root[k]
         return k
 
-    for a, x in enumerate(prints):
+    for a, x in enumerate(sets):
         for b in range(a):
-            if (x ^ prints[b]).bit_count() <= 3:
+            if x == sets[b] or len(x & sets[b]) >= 0.8 * len(x | sets[b]):
                 root[top(a)] = top(b)
     least = {}
     for k, r in enumerate(rows):
