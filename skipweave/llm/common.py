@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skipweave.session import scratch_table
+from skipweave.session import scratch_path, scratch_table
 
-__all__ = ["ROW", "WS", "documents", "full_text", "where_settled", "numbered", "stored_numbered", "scratch_table"]
+__all__ = ["ROW", "WS", "documents", "full_text", "where_settled", "numbered", "stored_numbered", "stored", "discard", "scratch_table"]
 
 #: ASCII white space, as in the text contracts.
 WS = r"[\x20\x09-\x0D]+"
@@ -51,3 +51,16 @@ def where_settled(df: DataFrame, condition: str) -> DataFrame:
     """df.filter(condition) on columns as computed: the number beside them keeps the optimizer from moving the filter below
     the projections, where it would hold a second copy of every expression."""
     return df.withColumn("__settled", F.monotonically_increasing_id()).filter(f"({condition}) AND __settled >= 0").drop("__settled")
+
+
+def stored(spark: SparkSession, df: DataFrame, tag: str) -> tuple[DataFrame, str]:
+    """df written once to the shared folder, tightly, and read back; and its path, for discard."""
+    path = scratch_path(spark, tag)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a stored table of which nothing is read any more."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skipweave.llm import exact_dedup, language, license_scan, lm_score, packing, pieces, quality_rules, simhash, token_output, url_filter
+from skipweave.llm import byte_bpe, elkan, exact_dedup, language, license_scan, lm_score, packing, pieces, quality_rules, resample, simhash, token_output, url_filter
 
 
 def queries():
@@ -17,8 +17,11 @@ def queries():
         "op8_url_filter": url_filter.op8_url_filter,
         "op9_simhash_dedup": simhash.op9_simhash_dedup,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+        "op11_importance_resampling": resample.op11_importance_resampling,
+        "op12_centroid_clustering": elkan.op12_centroid_clustering,
+        "op13_byte_bpe": byte_bpe.op13_byte_bpe,
     }
 
 
 def oracle_sql():
-    return {"op8_url_filter": url_filter.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}
+    return {"op8_url_filter": url_filter.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE, "op11_importance_resampling": resample.ORACLE}
