@@ -70,10 +70,12 @@ def template_grams(spark: SparkSession, phrases=tuple(PHRASES), notices=tuple(NO
     return frame.select(gram.alias("gram"), "template", "at", "k", "grams", "label", "base", "words")
 
 
-def _rolling(k: int):
+def _matching(k: int, grams: list[int]):
+    """Where a rolling k-gram's hash is one of grams: the place, the hash and the words there."""
     n = F.col("__n")
     steps = F.when(n >= k, F.sequence(F.lit(0), n - k)).otherwise(F.array().cast("array<int>"))
-    return F.transform(steps, lambda i: F.xxhash64(*(F.get("__words", i + j) for j in range(k))))
+    gram = lambda i: F.xxhash64(*(F.get("__words", i + j) for j in range(k)))
+    return F.transform(F.filter(steps, lambda i: gram(i).isin(grams)), lambda i: F.struct(i.alias("p"), F.lit(k).alias("k"), gram(i).alias("gram"), F.slice("__words", i + 1, k).alias("held")))
 
 
 def license_scan(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases=tuple(PHRASES), notices=tuple(NOTICES), covered: float = COVERED) -> DataFrame:
@@ -85,10 +87,12 @@ def license_scan(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
     phrase gives null places, empty labels. Repeated rows are scanned each on its own; an empty table gives no rows;
     other columns play no part.
 
-    Every rolling k-gram hash of every text meets the template positions in one broadcast join (the templates are code, of a fixed
-    size), and the words at each place are compared with the template's before they vote. Only verified hits are shuffled, with one row for each document that carries its word count.
+    Every rolling k-gram of every text is hashed; hashes that no template has go at once, and the rest meet the template positions in one
+    broadcast join (the templates are code, of a fixed size), with the few words at their place, which are compared with the template's before they vote. So
+    the work is linear in a text's length. Only verified hits are shuffled, with one row for each document that carries its word count.
     """
     templates = template_grams(spark, phrases, notices)
+    known = {k: [r.gram for r in templates.filter(F.col("k") == k).select("gram").distinct().collect()] for k in (PHRASE_K, NOTICE_K)}  # of the templates alone
     mark = F.lit(0).cast("long")  # stands for the document itself, so that one without hits has a row too
     own = spark.createDataFrame([("", -1, 0, 0, "", False, [])], "template string, at int, k int, grams int, label string, base boolean, words array<string>")
     templates = templates.unionByName(own.select(mark.alias("gram"), "*"))
@@ -98,12 +102,11 @@ def license_scan(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
     worded = numbered(docs.select(F.col(id_col).alias("doc_id"), text.alias("__text")))
     worded = worded.withColumn("__low", F.lower(F.btrim("__text")))
     worded = worded.withColumn("__words", F.when(F.col("__low") == "", F.array().cast("array<string>")).otherwise(F.split("__low", " "))).withColumn("__n", F.size("__words"))
-    grams = worded.select("doc_id", ROW, "__words", F.col("__n").alias("n"), F.posexplode(F.concat(F.array(mark), _rolling(PHRASE_K), _rolling(NOTICE_K))).alias("p", "gram"))
-    pairs = F.greatest(F.col("n") - (PHRASE_K - 1), F.lit(0))
-    hits = grams.join(F.broadcast(templates), "gram").filter((F.col("at") < 0) == (F.col("p") == 0))
-    at = F.when(F.col("k") == PHRASE_K, F.col("p") - 1).otherwise(F.col("p") - 1 - pairs)
+    itself = F.array(F.struct(F.lit(-1).alias("p"), F.lit(0).alias("k"), mark.alias("gram"), F.array().cast("array<string>").alias("held")))
+    grams = worded.select("doc_id", ROW, F.col("__n").alias("n"), F.explode(F.concat(itself, _matching(PHRASE_K, known[PHRASE_K]), _matching(NOTICE_K, known[NOTICE_K]))).alias("g"))
+    grams = grams.select("doc_id", ROW, "n", "g.*")
     # a hash only points to a place: the words there have to be the template's, so that every vote is a verified one
-    hits = hits.withColumn("p", at).filter((F.col("at") < 0) | (F.slice("__words", F.greatest(F.col("p") + 1, F.lit(1)), F.col("k")) == F.col("words")))
+    hits = grams.join(F.broadcast(templates.withColumnRenamed("k", "of")), "gram").filter((F.col("k") == F.col("of")) & (F.col("held") == F.col("words")))
     hits = hits.select("doc_id", ROW, "n", "template", "grams", "label", "base", "at", (F.col("p") - F.col("at")).alias("diagonal"))
 
     votes = hits.groupBy("doc_id", ROW, "n", "template", "grams", "label", "base", "diagonal").agg(F.count("*").alias("votes"), F.collect_set("at").alias("ats"))
