@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import zlib
 
@@ -18,31 +19,59 @@ LEAST_WORDS = 20
 PERCENT = 25
 SEED = 7
 #: Bytes of text that DuckDB counts at a time, and what it may hold before it spills.
-SLICE = 8 << 20
-MEMORY = "600MB"
+SLICE = 4 << 20
+MEMORY = "300MB"
+#: Words of up to so many bytes have tables of their own for joining CRCs.
+SHORT = 64
 
-#: Runs of one and two words of each text of `slice`, by bucket; a feature is hashed once a slice.
+#: Runs of one and two words of each text of `slice`, by bucket. zlib's CRC is asked for distinct words alone, once as they are and once before a space;
+#: that of two words comes from the CRCs of both and the length of the second.
 _COUNT = r"""
 WITH split AS (
   SELECT line, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM slice
-), words AS (
+), words AS MATERIALIZED (
   SELECT line, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM split
+), hashed AS (
+  SELECT word, crc32_of(word) AS crc, crc32_of(word || ' ') AS before, strlen(word) AS size FROM (SELECT DISTINCT word FROM words)
 ), runs AS (
-  SELECT line, word, lead(word) OVER (PARTITION BY line ORDER BY i) AS following FROM words
+  SELECT line, crc, before, lead(crc) OVER following AS next_crc, lead(size) OVER following AS next_size FROM words JOIN hashed USING (word) WINDOW following AS (PARTITION BY line ORDER BY i)
 ), grams AS (
-  SELECT line, word AS feature FROM runs UNION ALL SELECT line, word || ' ' || following FROM runs WHERE following IS NOT NULL
-), counted AS (
-  SELECT line, feature, count(*) AS n FROM grams GROUP BY ALL
-), hashed AS (
-  SELECT feature, crc32_of(feature) % $buckets AS bucket FROM (SELECT DISTINCT feature FROM counted)
+  SELECT line, crc FROM runs UNION ALL SELECT line, crc32_joined(before, next_crc, next_size) FROM runs WHERE next_crc IS NOT NULL
 )
-SELECT line, bucket, sum(n) AS n FROM counted JOIN hashed USING (feature) GROUP BY ALL ORDER BY ALL
+SELECT line, CAST(crc % $buckets AS INTEGER) AS bucket, CAST(count(*) AS INTEGER) AS n FROM grams GROUP BY ALL
 """
-_WORDS = r"SELECT line, len(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS n FROM slice ORDER BY line"
 
 
-def _crc32(features: pa.ChunkedArray) -> pa.Array:
-    return pa.array([zlib.crc32(f.encode()) for f in features.to_pylist()], pa.int64())
+def _whole(column) -> pa.Array:
+    return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+
+
+def crc32_of(words) -> pa.Array:
+    words = _whole(words).cast(pa.large_binary())
+    ends = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1].tolist()
+    raw = memoryview(words.buffers()[2] or b"")
+    return pa.array(np.fromiter(map(zlib.crc32, map(raw.__getitem__, map(slice, ends, ends[1:]))), np.int64, len(words)))
+
+
+def _after(n: int, crc: int) -> int:
+    """What a CRC becomes by n more bytes, apart from those bytes' own CRC."""
+    return zlib.crc32(bytes(n), crc) ^ zlib.crc32(bytes(n))
+
+
+@functools.cache
+def _shifts() -> np.ndarray:
+    """_after for each length up to SHORT and each byte of a CRC; it is linear, so the bytes' shares are put together by xor."""
+    return np.array([[[_after(n, b << 8 * k) for b in range(256)] for k in range(4)] for n in range(SHORT + 1)], np.int64)
+
+
+def crc32_joined(first, second, size) -> pa.Array:
+    """The CRC of two strings one after the other, from theirs and the size of the second."""
+    first, second, size = (_whole(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (first, second, size))
+    table, short = _shifts(), np.minimum(size, SHORT)
+    out = table[short, 0, first & 255] ^ table[short, 1, first >> 8 & 255] ^ table[short, 2, first >> 16 & 255] ^ table[short, 3, first >> 24]
+    for k in np.flatnonzero(size > SHORT):
+        out[k] = _after(int(size[k]), int(first[k]))
+    return pa.array(out ^ second)
 
 
 def _lists(lines: np.ndarray, n_lines: int, values: np.ndarray) -> pa.ListArray:
@@ -55,16 +84,19 @@ def _counted(buckets: int, size: int, memory: str):
 
         with tempfile.TemporaryDirectory() as spill:
             con = duckdb.connect(config={"threads": 1, "memory_limit": memory, "temp_directory": spill})
-            con.create_function("crc32_of", _crc32, ["VARCHAR"], "BIGINT", type="arrow")
+            con.create_function("crc32_of", crc32_of, ["VARCHAR"], "BIGINT", type="arrow")
+            con.create_function("crc32_joined", crc32_joined, ["BIGINT", "BIGINT", "BIGINT"], "BIGINT", type="arrow")
             for batch in slices(batches, 1, size):
                 n = batch.num_rows
                 con.register("slice", pa.table({"line": pa.array(np.arange(n, dtype=np.int32)), "text": batch.column(1)}))
                 found = con.sql(_COUNT.replace("$buckets", str(buckets))).to_arrow_table()
-                words = con.sql(_WORDS).to_arrow_table()
                 con.unregister("slice")
                 line, bucket, count = (found.column(c).to_numpy() for c in ("line", "bucket", "n"))
+                order = np.argsort(line.astype(np.int64) * buckets + bucket)
+                line, bucket, count = line[order], bucket[order], count[order]
                 own, ids = pa.array(np.zeros(n, bool)), batch.column(0)
-                yield pa.RecordBatch.from_arrays([own, ids, pa.array(words.column("n").to_numpy().astype(np.int64)), _lists(line, n, bucket), _lists(line, n, count)], ["total", "doc_id", "n_words", "buckets", "counts"])
+                features = np.bincount(line, weights=count, minlength=n).astype(np.int64)  # of n words there are 2 n - 1
+                yield pa.RecordBatch.from_arrays([own, ids, pa.array((features + 1) // 2), _lists(line, n, bucket), _lists(line, n, count)], ["total", "doc_id", "n_words", "buckets", "counts"])
                 sums = np.bincount(bucket.astype(np.int64), weights=count.astype(np.float64), minlength=buckets).astype(np.int64)
                 some = np.flatnonzero(sums)
                 one = [pa.array([True]), pa.nulls(1, ids.type), pa.array([0], pa.int64()), pa.array([some], pa.list_(pa.int32())), pa.array([sums[some]], pa.list_(pa.int32()))]
@@ -78,7 +110,7 @@ def count_buckets(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     """total, doc_id, n_words, buckets, counts: each text's n-gram counts by bucket, and, marked as total, those of each slice of texts; stored as Parquet.
 
     DuckDB splits words, makes the runs of one and two of them by a window and counts, for some megabytes of text at a time; zlib's CRC is
-    a function that it calls for each distinct run of a slice. Null texts have none.
+    a function that it calls for each distinct word of a slice. Null texts have none.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
