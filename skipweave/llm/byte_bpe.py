@@ -4,22 +4,24 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import zlib
 from collections import defaultdict
-from itertools import count
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skipweave.llm.common import discard, stored
+from skipweave.llm.common import stored
 from skipweave.llm.tokens import cuts, slices, text_buffer, tokenizer_path
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Bytes of text whose pre-tokens share a dictionary; a longer text has one of its own.
-SLICE = 16 << 20
+SLICE = 32 << 20
 #: Bytes of one text that are split at a time.
 STEP = 1 << 20
 #: A row's number is its task, its slice and its line there; the latter two have so many bits each.
@@ -58,25 +60,58 @@ def _parts(text: np.ndarray):
         yield text[begin:].tobytes().decode()
 
 
-def _pretokens(split: str, size: int):
+def _packed(numbers: np.ndarray, press: zstandard.ZstdCompressor) -> bytes:
+    """Small numbers as planes of their bytes, compressed."""
+    width = 1 + max(int(numbers.max(initial=0)).bit_length() - 1, 0) // 8
+    return press.compress(bytes([width]) + numbers.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width].T.tobytes())
+
+
+def _unpacked(data: bytes, press: zstandard.ZstdDecompressor) -> np.ndarray:
+    raw = np.frombuffer(press.decompress(data), np.uint8)
+    planes = raw[1:].reshape(int(raw[0]), -1)
+    out = np.zeros((planes.shape[1], 4), np.uint8)
+    out[:, : len(planes)] = planes.T
+    return out.view("<u4").reshape(-1).astype(np.int64)
+
+
+def _pretokens(split: str, size: int, shares: int):
+    names = ["slice", "line", "doc_id", "places", "share", "at", "words"]
+
     def run(batches):
         import regex
 
-        find, number = regex.compile(split).findall, 0
+        find, press, task, number = regex.compile(split).findall, zstandard.ZstdCompressor(level=1), TaskContext.get().partitionId(), 0
+        place, line, held, kind = defaultdict(count().__next__), 0, 0, None
+
+        def dictionary():
+            """The distinct words of a slice with their places, in rows by the words' share."""
+            words = list(place)
+            share = np.fromiter((zlib.crc32(w.encode()) % shares for w in words), np.int64, len(words))
+            order = np.argsort(share, kind="stable")
+            values, ends = np.unique(share[order], return_index=True)
+            ends, n = pa.array(np.append(ends, len(words)), pa.int32()), len(values)
+            at, words = pa.ListArray.from_arrays(ends, pa.array(order, pa.int32())), pa.ListArray.from_arrays(ends, pa.array(words, pa.string()).take(pa.array(order)))
+            key = pa.array(np.full(n, task << PLACE_BITS | number))
+            return pa.RecordBatch.from_arrays([key, pa.nulls(n, pa.int32()), pa.nulls(n, kind), pa.nulls(n, pa.binary()), pa.array(values, pa.int32()), at, words], names)
+
         for batch in slices(batches, 1, size):
-            key = TaskContext.get().partitionId() << PLACE_BITS | number
-            number += 1
-            if max(batch.num_rows, number) >> PLACE_BITS:
-                raise ValueError("too many rows in an Arrow batch, or slices in a task")
-            place = defaultdict(count().__next__)
+            kind, n = batch.column(0).type, batch.num_rows
+            if max(line + n, number) >> PLACE_BITS or held >= size:
+                yield dictionary()
+                place, line, held, number = defaultdict(count().__next__), 0, 0, number + 1
+                if max(n, number) >> PLACE_BITS:
+                    raise ValueError("too many rows in an Arrow batch, or slices in a task")
             raw, offsets = text_buffer(batch.column(1))
-            ids = [np.concatenate([np.fromiter(map(place.__getitem__, find(part)), np.int32) for part in _parts(raw[a:b])] or [np.zeros(0, np.int32)]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            n = len(ids)
-            sizes = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-            words = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.full(n, len(place))]), pa.int32()), pa.array(list(place), pa.string()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, key)), pa.array(np.arange(n, dtype=np.int32)), batch.column(0), pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(ids))), words], ["slice", "line", "doc_id", "places", "words"]
-            )
+            rows = []
+            for a, b in zip(offsets[:-1], offsets[1:], strict=True):
+                parts = [np.fromiter(map(place.__getitem__, find(part)), np.int64) for part in _parts(raw[a:b])]
+                rows.append(_packed(np.concatenate(parts) if parts else np.zeros(0, np.int64), press))
+            key = pa.array(np.full(n, task << PLACE_BITS | number))
+            lists = [pa.nulls(n, pa.list_(t)) for t in (pa.int32(), pa.string())]
+            yield pa.RecordBatch.from_arrays([key, pa.array(np.arange(line, line + n, dtype=np.int32)), batch.column(0), pa.array(rows, pa.binary()), pa.nulls(n, pa.int32()), *lists], names)
+            line, held = line + n, held + int(offsets[-1])
+        if place:
+            yield dictionary()
 
     return run
 
@@ -87,27 +122,38 @@ def _encode_words(ranks: str, split: str):
 
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(ranks, "rb"))}
         one = tiktoken.Encoding("words", pat_str=split, mergeable_ranks=table, special_tokens={})._encode_single_piece
+        known, of = {}, None
         for batch in batches:
-            ids = [one(w) for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
+            sizes, ids = [], []
+            for share, words in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if share != of:
+                    known, of = {}, share
+                for w in words:
+                    if w not in known:
+                        known[w] = one(w)
+                found = [known[w] for w in words]
+                sizes.append(list(map(len, found)))
+                ids.append(list(chain.from_iterable(found)))
+            whole = lambda x: pa.array(x, pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), whole(sizes), whole(ids)], ["slice", "at", "sizes", "ids"])
 
     return run
 
 
 def _reassemble(texts: pa.Table, words: pa.Table) -> pa.Table:
     """The ids of a slice's texts: each place of a pre-token is replaced by the ids of its word."""
-    words = words.combine_chunks()
-    ids, at = words.column("ids").combine_chunks(), words.column("place").to_numpy()
-    flat, sizes = ids.flatten().to_numpy(zero_copy_only=False), pc.list_value_length(ids).to_numpy(zero_copy_only=False)
-    begin, size = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
-    begin[at], size[at] = np.cumsum(sizes) - sizes, sizes
+    at, size, flat = (words.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("at", "sizes", "ids"))
+    sizes, begin, press = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64), zstandard.ZstdDecompressor()
+    begin[at], sizes[at] = np.cumsum(size) - size, size
     out = []
-    for places in texts.column("places").to_pandas():
-        n = size[places]
+    for data in texts.column("places").to_pylist():
+        places = _unpacked(data, press)
+        n = sizes[places]
         ends = np.cumsum(n)
-        out.append(flat[np.repeat(begin[places] - (ends - n), n) + np.arange(ends[-1])] if len(places) else np.zeros(0, np.int32))
+        out.append(flat[np.repeat(begin[places] - (ends - n), n) + np.arange(ends[-1])].astype(np.int32) if len(places) else np.zeros(0, np.int32))
     lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in out])]), pa.int32()), pa.array(np.concatenate(out or [np.zeros(0, np.int32)]), pa.int32()))
-    return pa.table({"row": pa.array(texts.column("slice").to_numpy() << PLACE_BITS | texts.column("line").to_numpy()), "doc_id": texts.column("doc_id").combine_chunks(), "ids": lists})
+    row = texts.column("slice").to_numpy() << PLACE_BITS | texts.column("line").to_numpy()
+    return pa.table({"row": pa.array(row), "doc_id": texts.column("doc_id").combine_chunks(), "ids": lists})
 
 
 def encode(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str | None = None, split: str | None = None, size: int = SLICE) -> DataFrame:
@@ -116,83 +162,87 @@ def encode(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_co
     Null and empty texts have no ids; repeated rows are encoded each on its own and have rows of their own; null ids are kept; an empty table
     gives no rows; other columns play no part.
 
-    Texts are split once into pre-tokens; a slice of some megabytes of texts keeps the places of its pre-tokens and its distinct words, and
-    both are stored. The distinct words of all slices are exploded with their places, made distinct by one shuffle, encoded, and joined
-    back by word; then each slice's words meet its texts. A frequent word has one row a slice, so no key is hot, and a task holds one slice or one text.
+    Texts are split once into pre-tokens. A slice of some megabytes of texts keeps the places of its pre-tokens and its distinct words, which are stored.
+    The words of all slices, with their places, are shuffled by hash, so that all rows of a word come to one task, which encodes it once; the ids go back to the
+    slices and meet their texts there. A frequent word is in one row a slice, so no key is hot; a task holds one slice or one text.
     """
     ranks, split = ranks or tokenizer_path(RANKS), split or pattern()
     kind = docs.schema[id_col].dataType.simpleString()
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    texts, path = stored(spark, narrow.mapInArrow(_pretokens(split, size), f"slice long, line int, doc_id {kind}, places array<int>, words array<string>"), "pretokens")
-    words = spark.read.schema(texts.schema).parquet(path).select("slice", F.posexplode("words").alias("place", "word"))
-    coded = words.select("word").distinct().mapInArrow(_encode_words(ranks, split), "word string, ids array<int>")
-    back = words.join(coded, "word").select("slice", "place", "ids")
-    cut = texts.select("slice", "line", "doc_id", "places").groupBy("slice").cogroup(back.groupBy("slice"))
-    out, _ = stored(spark, cut.applyInArrow(_reassemble, f"row long, doc_id {kind}, ids array<int>"), "token_ids")
-    discard(spark, path)
-    return out
+    schema = f"slice long, line int, doc_id {kind}, places binary, share int, at array<int>, words array<string>"
+    cut, path = stored(spark, narrow.mapInArrow(_pretokens(split, size, 4 * parts), schema), "pretokens")
+    words = spark.read.schema(cut.schema).parquet(path).filter("share IS NOT NULL").select("slice", "share", "at", "words")
+    coded = words.repartition(parts, "share").sortWithinPartitions("share").mapInArrow(_encode_words(ranks, split), "slice long, at array<int>, sizes array<int>, ids array<int>")
+    texts = cut.filter("share IS NULL").select("slice", "line", "doc_id", "places")
+    return texts.groupBy("slice").cogroup(coded.groupBy("slice")).applyInArrow(_reassemble, f"row long, doc_id {kind}, ids array<int>")
 
 
 def _gather(batches):
-    """Rows of (row, place, token, bytes), in order, become (row, decoded); a text may go over the end of a batch."""
-    row, parts, expected, out, held = None, [], 0, [], 0
+    """Rows of (row, doc_id, place, token, bytes), in order, become (row, doc_id, ids, decoded); a text may go over the end of a batch."""
+    row, name, parts, ids, expected, out, held = None, None, [], [], 0, [], 0
 
     def flushed():
-        return pa.RecordBatch.from_arrays([pa.array([r for r, _ in out], pa.int64()), pa.array([b for _, b in out], pa.binary())], ["row", "decoded"])
+        lists = [i for _, _, i, _ in out]
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(i) for i in lists])]), pa.int32()), pa.array(np.concatenate(lists), pa.int32()))
+        return pa.RecordBatch.from_arrays([pa.array([r for r, *_ in out], pa.int64()), pa.array([n for _, n, *_ in out], kind), lists, pa.array([b for *_, b in out], pa.binary())], ["row", "doc_id", "ids", "decoded"])
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        rows, places = batch.column(0).to_numpy(), batch.column(1).fill_null(0).to_numpy()
-        unknown = pc.and_(pc.is_valid(batch.column(2)), pc.is_null(batch.column(3)))
-        if pc.any(unknown).as_py():
+        kind = batch.column(1).type
+        rows, places = batch.column(0).to_numpy(), batch.column(2).fill_null(0).to_numpy()
+        if pc.any(pc.and_(pc.is_valid(batch.column(3)), pc.is_null(batch.column(4)))).as_py():
             raise ValueError("an id that the table of tokens doesn't have")
-        data = batch.column(3).fill_null(b"").cast(pa.large_binary())
+        some, tokens = pc.is_valid(batch.column(3)).to_numpy(zero_copy_only=False), batch.column(3).fill_null(0).to_numpy()
+        data = batch.column(4).fill_null(b"").cast(pa.large_binary())
         ends = np.frombuffer(data.buffers()[1], np.int64)[data.offset : data.offset + len(data) + 1]
         raw = memoryview(data.buffers()[2] or b"")
         starts = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
         for a, b in zip(starts, np.append(starts[1:], len(rows)), strict=True):
             if row is None or rows[a] != row:
                 if row is not None:
-                    out.append((row, b"".join(parts)))
-                    held += len(out[-1][1])
+                    out.append((row, name, np.concatenate(ids), b"".join(parts)))
+                    held += len(out[-1][3])
                     if len(out) >= ROWS or held >= BYTES:
                         yield flushed()
                         out, held = [], 0
-                row, parts, expected = int(rows[a]), [], 0
+                row, name, parts, ids, expected = int(rows[a]), batch.column(1)[int(a)].as_py(), [], [], 0
             if places[a] != expected or places[b - 1] != expected + (b - a) - 1:
                 raise ValueError("the ids of a text are out of order")
             expected += int(b - a)
             parts.append(bytes(raw[ends[a] : ends[b]]))
+            ids.append(tokens[a:b][some[a:b]])
     if row is not None:
-        out.append((row, b"".join(parts)))
+        out.append((row, name, np.concatenate(ids), b"".join(parts)))
     if out:
         yield flushed()
 
 
 def decode(spark: SparkSession, coded: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
-    """row, decoded of coded (row, ids; row numbers differ): the bytes of all ids in order; no ids give empty bytes.
+    """row, doc_id, ids, decoded of coded (row, doc_id, ids; row numbers differ): decoded has the bytes of all ids in order; no ids give empty bytes.
 
     Ids are exploded with their places and joined with the table of tokens, which has the vocabulary's size and is broadcast. Such a join keeps
     the order of the exploded rows, so texts are put together where they are, without a shuffle; places are compared on the way, and an id out of
     order or without a token is an error.
     """
     tokens = token_bytes(spark) if tokens is None else tokens
-    flat = coded.select("row", F.posexplode_outer("ids").alias("place", "token"))
-    return flat.join(F.broadcast(tokens), "token", "left").select("row", "place", "token", "bytes").mapInArrow(_gather, "row long, decoded binary")
+    kind = coded.schema["doc_id"].dataType.simpleString()
+    flat = coded.select("row", "doc_id", F.posexplode_outer("ids").alias("place", "token")).join(F.broadcast(tokens), "token", "left")
+    return flat.select("row", "doc_id", "place", "token", "bytes").mapInArrow(_gather, f"row long, doc_id {kind}, ids array<int>, decoded binary")
 
 
 def _digests(batches):
     for batch in batches:
-        ids = batch.column(2)
+        ids, texts = batch.column(1), batch.column(2).cast(pa.large_binary())
         offsets, flat = np.asarray(ids.offsets), np.ascontiguousarray(ids.values.to_numpy(zero_copy_only=False), "<u4")
+        ends, raw = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1], memoryview(texts.buffers()[2] or b"")
         sums = [hashlib.sha256(flat[a:b]).hexdigest() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(offsets).astype(np.int64)), pa.array(sums, pa.string())], ["row", "doc_id", "n_tokens", "ids_sha256"])
+        back = [hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets).astype(np.int64)), pa.array(sums, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = encode(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    kind = coded.schema["doc_id"].dataType.simpleString()
-    digests = coded.mapInArrow(_digests, f"row long, doc_id {kind}, n_tokens long, ids_sha256 string")
-    decoded = decode(spark, coded).select("row", F.sha2("decoded", 256).alias("decoded_sha256"))
-    return digests.join(decoded, "row").select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    decoded = decode(spark, encode(spark, spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    kind = decoded.schema["doc_id"].dataType.simpleString()
+    return decoded.select("doc_id", "ids", "decoded").mapInArrow(_digests, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
