@@ -23,7 +23,9 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Bytes of text whose pre-tokens share a dictionary; a longer text has one of its own.
 SLICE = 32 << 20
 #: Bytes of one text that are split at a time.
-STEP = 1 << 20
+STEP = 1 << 18
+#: Pre-tokens of some texts that are stored together; a longer text stands alone.
+CHUNK = 1 << 17
 #: A row's number is its task, its slice and its line there; the latter two have so many bits each.
 PLACE_BITS = 20
 #: The most rows of an output batch of decoded texts, and the most bytes but for one text.
@@ -74,44 +76,61 @@ def _unpacked(data: bytes, press: zstandard.ZstdDecompressor) -> np.ndarray:
     return out.view("<u4").reshape(-1).astype(np.int64)
 
 
-def _pretokens(split: str, size: int, shares: int):
-    names = ["slice", "line", "doc_id", "places", "share", "at", "words"]
+def _packed_words(words: list[str], press: zstandard.ZstdCompressor) -> tuple[bytes, bytes]:
+    """The sizes of words in bytes, and the words in a row, both compressed."""
+    raw = [w.encode() for w in words]
+    return _packed(np.fromiter(map(len, raw), np.int64, len(raw)), press), press.compress(b"".join(raw))
+
+
+def _unpacked_words(sizes: bytes, text: bytes, press: zstandard.ZstdDecompressor) -> list[bytes]:
+    ends, raw = np.cumsum(_unpacked(sizes, press)).tolist(), press.decompress(text)
+    return [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
+def _pretokens(split: str, size: int, shares: int, kind: pa.DataType):
+    schema = pa.schema([("slice", pa.int64()), ("line", pa.int32()), ("doc_ids", pa.list_(kind)), ("counts", pa.list_(pa.int32())), ("share", pa.int32()), ("at", pa.binary()), ("sizes", pa.binary()), ("words", pa.binary())])
 
     def run(batches):
         import regex
 
-        find, press, task, number = regex.compile(split).findall, zstandard.ZstdCompressor(level=1), TaskContext.get().partitionId(), 0
-        place, line, held, kind = defaultdict(count().__next__), 0, 0, None
+        find, press, task, number = regex.compile(split).findall, zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId(), 0
+        place, line, held = defaultdict(count().__next__), 0, 0
+        rows = lambda found: pa.RecordBatch.from_pylist([{"slice": task << PLACE_BITS | number} | r for r in found], schema)
 
         def dictionary():
             """The distinct words of a slice with their places, in rows by the words' share."""
             words = list(place)
             share = np.fromiter((zlib.crc32(w.encode()) % shares for w in words), np.int64, len(words))
             order = np.argsort(share, kind="stable")
-            values, ends = np.unique(share[order], return_index=True)
-            ends, n = pa.array(np.append(ends, len(words)), pa.int32()), len(values)
-            at, words = pa.ListArray.from_arrays(ends, pa.array(order, pa.int32())), pa.ListArray.from_arrays(ends, pa.array(words, pa.string()).take(pa.array(order)))
-            key = pa.array(np.full(n, task << PLACE_BITS | number))
-            return pa.RecordBatch.from_arrays([key, pa.nulls(n, pa.int32()), pa.nulls(n, kind), pa.nulls(n, pa.binary()), pa.array(values, pa.int32()), at, words], names)
+            values, begin = np.unique(share[order], return_index=True)
+            for some in np.array_split(np.arange(len(values)), 1 + len(values) // ROWS):
+                out = []
+                for k in some.tolist():
+                    mine = order[begin[k] : begin[k + 1] if k + 1 < len(values) else None]
+                    sizes, text = _packed_words([words[i] for i in mine.tolist()], press)
+                    out.append({"share": int(values[k]), "at": _packed(mine, press), "sizes": sizes, "words": text})
+                yield rows(out)
 
         for batch in slices(batches, 1, size):
-            kind, n = batch.column(0).type, batch.num_rows
+            n = batch.num_rows
             if max(line + n, number) >> PLACE_BITS or held >= size:
-                yield dictionary()
+                yield from dictionary()
                 place, line, held, number = defaultdict(count().__next__), 0, 0, number + 1
                 if max(n, number) >> PLACE_BITS:
                     raise ValueError("too many rows in an Arrow batch, or slices in a task")
             raw, offsets = text_buffer(batch.column(1))
-            rows = []
-            for a, b in zip(offsets[:-1], offsets[1:], strict=True):
-                parts = [np.fromiter(map(place.__getitem__, find(part)), np.int64) for part in _parts(raw[a:b])]
-                rows.append(_packed(np.concatenate(parts) if parts else np.zeros(0, np.int64), press))
-            key = pa.array(np.full(n, task << PLACE_BITS | number))
-            lists = [pa.nulls(n, pa.list_(t)) for t in (pa.int32(), pa.string())]
-            yield pa.RecordBatch.from_arrays([key, pa.array(np.arange(line, line + n, dtype=np.int32)), batch.column(0), pa.array(rows, pa.binary()), pa.nulls(n, pa.int32()), *lists], names)
+            ids, parts, counts, total, first = batch.column(0).to_pylist(), [], [], 0, 0
+            for i in range(n):
+                found = [np.fromiter(map(place.__getitem__, find(part)), np.int64) for part in _parts(raw[offsets[i] : offsets[i + 1]])]
+                parts += found
+                counts.append(sum(map(len, found)))
+                total += counts[-1]
+                if i + 1 == n or total >= CHUNK:
+                    yield rows([{"line": line + first, "doc_ids": ids[first : i + 1], "counts": counts, "at": _packed(np.concatenate(parts) if parts else np.zeros(0, np.int64), press)}])
+                    parts, counts, total, first = [], [], 0, i + 1
             line, held = line + n, held + int(offsets[-1])
         if place:
-            yield dictionary()
+            yield from dictionary()
 
     return run
 
@@ -122,38 +141,47 @@ def _encode_words(ranks: str, split: str):
 
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(ranks, "rb"))}
         one = tiktoken.Encoding("words", pat_str=split, mergeable_ranks=table, special_tokens={})._encode_single_piece
+        press, open_ = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
         known, of = {}, None
         for batch in batches:
-            sizes, ids = [], []
-            for share, words in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if share != of:
-                    known, of = {}, share
+            out = []
+            for r in batch.to_pylist():
+                if r["share"] != of:
+                    known, of = {}, r["share"]
+                words = _unpacked_words(r["sizes"], r["words"], open_)
                 for w in words:
                     if w not in known:
                         known[w] = one(w)
                 found = [known[w] for w in words]
-                sizes.append(list(map(len, found)))
-                ids.append(list(chain.from_iterable(found)))
-            whole = lambda x: pa.array(x, pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), whole(sizes), whole(ids)], ["slice", "at", "sizes", "ids"])
+                sizes = np.fromiter(map(len, found), np.int64, len(found))
+                ids = np.fromiter(chain.from_iterable(found), np.int64, int(sizes.sum()))
+                out.append({"slice": r["slice"], "at": r["at"], "sizes": _packed(sizes, press), "ids": _packed(ids, press)})
+            yield pa.RecordBatch.from_pylist(out, pa.schema([("slice", pa.int64()), ("at", pa.binary()), ("sizes", pa.binary()), ("ids", pa.binary())]))
 
     return run
 
 
-def _reassemble(texts: pa.Table, words: pa.Table) -> pa.Table:
-    """The ids of a slice's texts: each place of a pre-token is replaced by the ids of its word."""
-    at, size, flat = (words.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("at", "sizes", "ids"))
-    sizes, begin, press = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64), zstandard.ZstdDecompressor()
-    begin[at], sizes[at] = np.cumsum(size) - size, size
-    out = []
-    for data in texts.column("places").to_pylist():
-        places = _unpacked(data, press)
-        n = sizes[places]
-        ends = np.cumsum(n)
-        out.append(flat[np.repeat(begin[places] - (ends - n), n) + np.arange(ends[-1])].astype(np.int32) if len(places) else np.zeros(0, np.int32))
-    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in out])]), pa.int32()), pa.array(np.concatenate(out or [np.zeros(0, np.int32)]), pa.int32()))
-    row = texts.column("slice").to_numpy() << PLACE_BITS | texts.column("line").to_numpy()
-    return pa.table({"row": pa.array(row), "doc_id": texts.column("doc_id").combine_chunks(), "ids": lists})
+def _reassemble(kind: pa.DataType):
+    def run(texts: pa.Table, words: pa.Table) -> pa.Table:
+        """The ids of a slice's texts: each place of a pre-token is replaced by the ids of its word."""
+        press = zstandard.ZstdDecompressor()
+        at, size, flat = (np.concatenate([_unpacked(x, press) for x in words.column(c).to_pylist()] or [np.zeros(0, np.int64)]) for c in ("at", "sizes", "ids"))
+        sizes, begin = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        begin[at], sizes[at] = np.cumsum(size) - size, size
+        rows, names, lengths, out = [], [], [], []
+        for r in texts.to_pylist():
+            places = _unpacked(r["at"], press)
+            n = sizes[places]
+            ends = np.concatenate([[0], np.cumsum(n)])
+            out.append(flat[np.repeat(begin[places] - ends[:-1], n) + np.arange(ends[-1])].astype(np.int32))
+            lengths.append(np.diff(ends[np.concatenate([[0], np.cumsum(r["counts"])])]))
+            names += r["doc_ids"]
+            rows.append((r["slice"] << PLACE_BITS) + r["line"] + np.arange(len(r["counts"])))
+        join = lambda parts: np.concatenate(parts or [np.zeros(0, np.int64)])
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(join(lengths))]), pa.int32()), pa.array(join(out), pa.int32()))
+        return pa.table({"row": pa.array(join(rows), pa.int64()), "doc_id": pa.array(names, kind), "ids": lists})
+
+    return run
 
 
 def encode(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str | None = None, split: str | None = None, size: int = SLICE) -> DataFrame:
@@ -166,16 +194,19 @@ def encode(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_co
     The words of all slices, with their places, are shuffled by hash, so that all rows of a word come to one task, which encodes it once; the ids go back to the
     slices and meet their texts there. A frequent word is in one row a slice, so no key is hot; a task holds one slice or one text.
     """
+    from pyspark.sql.pandas.types import to_arrow_type
+
     ranks, split = ranks or tokenizer_path(RANKS), split or pattern()
-    kind = docs.schema[id_col].dataType.simpleString()
+    field = docs.schema[id_col].dataType
+    kind, arrow = field.simpleString(), to_arrow_type(field)
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    schema = f"slice long, line int, doc_id {kind}, places binary, share int, at array<int>, words array<string>"
-    cut, path = stored(spark, narrow.mapInArrow(_pretokens(split, size, 4 * parts), schema), "pretokens")
-    words = spark.read.schema(cut.schema).parquet(path).filter("share IS NOT NULL").select("slice", "share", "at", "words")
-    coded = words.repartition(parts, "share").sortWithinPartitions("share").mapInArrow(_encode_words(ranks, split), "slice long, at array<int>, sizes array<int>, ids array<int>")
-    texts = cut.filter("share IS NULL").select("slice", "line", "doc_id", "places")
-    return texts.groupBy("slice").cogroup(coded.groupBy("slice")).applyInArrow(_reassemble, f"row long, doc_id {kind}, ids array<int>")
+    schema = f"slice long, line int, doc_ids array<{kind}>, counts array<int>, share int, at binary, sizes binary, words binary"
+    cut, path = stored(spark, narrow.mapInArrow(_pretokens(split, size, 4 * parts, arrow), schema), "pretokens")
+    words = spark.read.schema(cut.schema).parquet(path).filter("share IS NOT NULL").select("slice", "share", "at", "sizes", "words")
+    coded = words.repartition(parts, "share").sortWithinPartitions("share").mapInArrow(_encode_words(ranks, split), "slice long, at binary, sizes binary, ids binary")
+    texts = cut.filter("share IS NULL").select("slice", "line", "doc_ids", "counts", "at")
+    return texts.groupBy("slice").cogroup(coded.groupBy("slice")).applyInArrow(_reassemble(arrow), f"row long, doc_id {kind}, ids array<int>")
 
 
 def _gather(batches):
