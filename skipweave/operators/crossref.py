@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -101,23 +99,59 @@ def without_noise(hits: DataFrame, most: int = NOISE) -> DataFrame:
     return hits.join(quiet.select("stream_id", "term"), ["stream_id", "term"], "left_semi")
 
 
+#: Places of a block whose windows are worked out together; never fewer than a window has.
+SIDE = 1 << 16
+
+
+def _in_blocks(column: str, size: int, reach: int, step: int) -> Column:
+    """The blocks of a value: its own, and the next one (step 1) or the one before (step -1) where that one's windows of `reach` places go beyond its end."""
+    own, within = F.floor(F.col(column) / size), F.pmod(column, F.lit(size))
+    near = within >= size - reach if step > 0 else within <= reach
+    block = lambda b, mine: F.struct(b.alias("bucket"), F.lit(mine).alias("own"))
+    return F.explode(F.when(near, F.array(block(own, True), block(own + step, False))).otherwise(F.array(block(own, True)))).alias("b")
+
+
+def _latest_spans(pos: np.ndarray, term: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows in order: for each row the first one of its window, and the last row whose window counts it as the latest of its term.
+
+    Windows end at a row and reach `window` back. A row stands for its term from itself on until the term comes again or the window has left it, so the terms of all
+    windows are counted by adding 1 where a row begins to stand and taking it off after it ends: one sort and no pass over any window.
+    """
+    n = len(pos)
+    left = np.searchsorted(pos, pos - window, "left")
+    order = np.lexsort((np.arange(n), term))
+    again = np.full(n, n)
+    same = term[order][1:] == term[order][:-1]
+    again[order[:-1][same]] = order[1:][same]
+    return left, np.minimum(again, np.searchsorted(pos, pos + window, "right")) - 1
+
+
+def _sums_of_spans(begin: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
+    """For each of n rows the number of spans begin .. end that hold it."""
+    return np.cumsum(np.bincount(begin, minlength=n + 1) - np.bincount(end + 1, minlength=n + 1))[:n]
+
+
 def _windows(window: int, min_terms: int):
+    names = ["stream_id", "hit_id", "region_start", "region_end", "distinct_terms", "total_hits", "spread", "terms"]
+
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        """Two ends move over the sorted rows; rows of the bucket before are there only as the beginning of windows."""
+        """Rows of the block before are there only as the beginning of windows."""
         pdf = pdf.sort_values(["position", "term", "skip", "direction", "hit_id"], kind="stable")
-        pos, terms, own = pdf["position"].to_numpy(), pdf["term"].to_numpy(), pdf["own"].to_numpy()
-        held: dict[str, int] = {}
-        left, out = 0, []
-        for right in range(len(pdf)):
-            held[terms[right]] = held.get(terms[right], 0) + 1
-            while pos[right] - pos[left] > window:
-                held[terms[left]] -= 1
-                if not held[terms[left]]:
-                    del held[terms[left]]
-                left += 1
-            if own[right] and len(held) >= min_terms:
-                out.append((key[0], pdf["hit_id"].iat[right], pos[left], pos[right], len(held), right - left + 1, pos[right] - pos[left], ",".join(sorted(held))))
-        return pd.DataFrame(out, columns=["stream_id", "hit_id", "region_start", "region_end", "distinct_terms", "total_hits", "spread", "terms"])
+        pos, n = pdf["position"].to_numpy(), len(pdf)
+        term, spelled = pd.factorize(pdf["term"], sort=True)
+        left, last = _latest_spans(pos, term, window)
+        distinct = _sums_of_spans(np.arange(n), last, n)
+        chosen = np.flatnonzero(pdf["own"].to_numpy() & (distinct >= min_terms))
+        # terms of the chosen windows, a bit for each: windows with the same ones share their list
+        held = np.zeros((len(chosen), -(-len(spelled) // 8)), np.uint8)
+        for t in range(len(spelled)):
+            mine = np.flatnonzero(term == t)
+            held[:, t // 8] |= (_sums_of_spans(mine, last[mine], n)[chosen] > 0).astype(np.uint8) << (t % 8)
+        sets, which = np.unique(held, axis=0, return_inverse=True) if len(chosen) else (held, np.zeros(0, np.int64))
+        lists = np.array([",".join(spelled[np.flatnonzero(np.unpackbits(x, bitorder="little")[: len(spelled)])]) for x in sets], object)
+        first = pos[left[chosen]]
+        columns = [key[0], pdf["hit_id"].to_numpy()[chosen], first, pos[chosen], distinct[chosen], chosen - left[chosen] + 1, pos[chosen] - first, lists[which.reshape(-1)]]
+        return pd.DataFrame(dict(zip(names, columns, strict=True)), index=np.arange(len(chosen)))
 
     return run
 
@@ -125,34 +159,78 @@ def _windows(window: int, min_terms: int):
 def cluster_candidates(hits: DataFrame, window: int = 10_000, min_terms: int = 2) -> DataFrame:
     """For each hit by its start the hits of all terms in the `window` up to it: a candidate if they are of min_terms terms.
 
-    Hits go to the bucket of their start and to the next one, so a task holds two windows' length of one stream. A hit sees the
-    earlier ones at its own start, not the later.
+    Hits go to the block of their start, and to the next one where its first windows reach back to them, so a task holds a block and a window's length of
+    one stream. A hit sees the earlier ones at its own start, not the later.
     """
-    bucket = F.floor(F.col("start") / window)
-    both = F.explode(F.array(F.struct(bucket.alias("bucket"), F.lit(True).alias("own")), F.struct((bucket + 1).alias("bucket"), F.lit(False).alias("own"))))
-    rows = hits.select("stream_id", "term", "hit_id", "skip", "direction", F.col("start").alias("position"), both.alias("b")).select("*", "b.*").drop("b")
+    both = _in_blocks("start", max(SIDE, window), window, 1)
+    rows = hits.select("stream_id", "term", "hit_id", "skip", "direction", F.col("start").alias("position"), both).select("*", "b.*").drop("b")
     schema = "stream_id string, hit_id long, region_start long, region_end long, distinct_terms int, total_hits int, spread long, terms string"
     return rows.groupBy("stream_id", "bucket").applyInPandas(_windows(window, min_terms), schema)
 
 
-def cluster_top(candidates: DataFrame, window: int = 10_000, n: int = 10) -> DataFrame:
+#: Windows that lie side by side in a task when regions are chosen.
+BESIDE = 256
+
+
+def _choose(window: int, length: int):
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        """Settles what the regions of a stretch decide among themselves. Open regions beyond its ends hold back those near them that are worse."""
+        pdf = pdf.sort_values(["rank", "tight", "from", "hit_id"], kind="stable")
+        low = key[1] * length
+        middle, kept = pdf["twice"].to_numpy(), pdf["kept"].to_numpy()
+        own = (middle >= low) & (middle < low + length)
+        order = np.argsort(middle, kind="stable")
+        along, place = middle[order], np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        first, last = np.searchsorted(along, middle - window, "right"), np.searchsorted(along, middle + window, "left")  # of those strictly nearer than half a window
+        state = np.where(kept, 2, 0)[order]  # along the line: 0 open, 1 gone, 2 kept
+        for i in np.flatnonzero(kept):
+            near = slice(first[i], last[i])
+            state[near] = np.where(state[near] == 0, 1, state[near])
+        held = np.zeros(len(order), bool)  # near an open region that another stretch decides on, or that is held itself
+        for i in range(len(order)):  # from the best on
+            near = slice(first[i], last[i])
+            if state[place[i]] != 0:
+                continue
+            if own[i] and not held[place[i]]:
+                state[near] = np.where(state[near] == 0, 1, state[near])
+                state[place[i]] = 2
+            else:
+                held[near] = True
+        return pdf.drop(columns="stretch").assign(kept=state[place] == 2)[own & (state[place] != 1)]
+
+    return run
+
+
+def cluster_top(candidates: DataFrame, window: int = 10_000, n: int = 10, tried: list | None = None) -> DataFrame:
     """The n best regions of each stream: most terms, then least spread, none with its middle within half a window of a better one's.
 
-    Whether a region is kept depends on the better ones near it, so there are n rounds: an aggregate finds the best of what is left in each
-    stream, and what lies near it goes. No round gathers more than one row a stream.
+    A region is chosen as soon as it is better than all open ones near it, so regions along the line are chosen side by side: each task settles a stretch of BESIDE windows
+    with half a window on either side of it, and only a chain of ever better neighbours that goes over the ends of stretches needs another round. Rounds depend
+    on such chains and not on n; of regions with the same middle the best alone can be chosen, so a stretch holds two regions a letter at most. tried, if given, gets the
+    number of open regions after each round.
     """
     spark = candidates.sparkSession
     spans = [F.col(c) for c in ("region_start", "region_end", "distinct_terms", "total_hits", "spread", "terms")]
-    region = F.struct((-F.col("distinct_terms")).alias("rank"), F.col("spread").alias("tight"), F.col("region_start").alias("from"), "hit_id", *spans)
-    rest = scratch_table(spark, candidates.select("stream_id", ((F.col("region_start") + F.col("region_end")) / 2).alias("middle"), region.alias("region")), "candidates")
-    kept = []
-    for k in range(1, n + 1):
-        best = rest.groupBy("stream_id").agg(F.min("region").alias("best"))
-        best = scratch_table(spark, best.select("stream_id", F.lit(k).alias("cluster"), "best"), "best")
-        kept.append(best)
-        middle = (F.col("best.region_start") + F.col("best.region_end")) / 2
-        rest = rest.join(F.broadcast(best.select("stream_id", middle.alias("taken"))), "stream_id").filter(F.abs(F.col("middle") - F.col("taken")) >= window / 2).drop("taken")
-    return reduce(DataFrame.unionByName, kept).select("stream_id", "cluster", *(F.col(f"best.{c}").alias(c) for c in ("region_start", "region_end", "distinct_terms", "total_hits", "spread", "terms")))
+    twice = (F.col("region_start") + F.col("region_end")).cast("long")  # twice the middle: near is nearer than `window` by this
+    order = F.struct((-F.col("distinct_terms")).alias("rank"), F.col("spread").alias("tight"), F.col("region_start").alias("from"), "hit_id", F.struct(*spans).alias("region"))
+    best = candidates.groupBy("stream_id", twice.alias("twice")).agg(F.min(order).alias("best")).select("stream_id", "twice", "best.*", F.lit(False).alias("kept"))
+    length = 2 * window * BESIDE
+    rest, kept, schema = scratch_table(spark, best, "regions"), [], best.schema
+    while True:
+        own = F.floor(F.col("twice") / length)
+        sides = F.array_distinct(F.array(own, F.floor((F.col("twice") - window) / length), F.floor((F.col("twice") + window) / length)))
+        spread = rest.withColumn("stretch", F.explode(sides))
+        rest = scratch_table(spark, spread.groupBy("stream_id", "stretch").applyInPandas(_choose(window, length), schema), "regions")
+        left = rest.filter("NOT kept").count()
+        if tried is not None:
+            tried.append(left)
+        if not left:
+            break
+    nth = F.row_number().over(Window.partitionBy("stream_id", "part").orderBy("rank", "tight", "from", "hit_id"))
+    some = rest.withColumn("part", F.pmod(F.xxhash64("hit_id"), F.lit(64))).withColumn("nth", nth).filter(F.col("nth") <= n)  # n of each part, so that no task ranks a whole stream
+    some = some.withColumn("cluster", F.row_number().over(Window.partitionBy("stream_id").orderBy("rank", "tight", "from", "hit_id"))).filter(F.col("cluster") <= n)
+    return some.select("stream_id", "cluster", "region.*")
 
 
 def cluster_detail(clusters: DataFrame, hits: DataFrame, each: int = 3) -> DataFrame:
@@ -206,26 +284,59 @@ def shared_places(hits: DataFrame, swept: DataFrame, n: int = 5) -> DataFrame:
     letters = hits.select("stream_id", "term", "start", "skip", "direction", "hit_id", F.posexplode("positions").alias("k", "position"))
     pairs = swept.filter("shared > 0").select("stream_id", "term_a", "term_b")
     a = letters.select("stream_id", F.col("term").alias("term_a"), "position").distinct()
-    b = letters.withColumnRenamed("term", "term_b").join(F.broadcast(pairs), ["stream_id", "term_b"])  # pairs of a report
+    b = letters.withColumnRenamed("term", "term_b").join(pairs, ["stream_id", "term_b"])
     first = F.row_number().over(Window.partitionBy("stream_id", "term_a", "term_b").orderBy("start", "skip", "direction", "hit_id", "k"))
     return b.join(a, ["stream_id", "term_a", "position"], "left_semi").withColumn("nth", first).filter(F.col("nth") <= n).select("stream_id", "term_a", "term_b", "nth", "position")
 
 
+#: Places of a block in which the sets of all terms are compared.
+PLACES = 1 << 16
+
+
+def _shared(size: int):
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        """The counts of a term by place, looked up at the places of all terms: a sum for each two terms, and no row for each two letters."""
+        term, spelled = pd.factorize(pdf["term"], sort=True)
+        at = (pdf["position"] - key[1] * size).to_numpy()
+        own = np.unique(term * size + at)  # each term's places as a set
+        places, begin = own % size, np.searchsorted(own // size, np.arange(len(spelled)))
+        order = np.argsort(term, kind="stable")
+        of = np.split(at[order], np.searchsorted(term[order], np.arange(1, len(spelled))))
+        out = []
+        for j in range(1, len(spelled)):
+            sums = np.add.reduceat(np.bincount(of[j], minlength=size)[places], begin)[:j]
+            for i in np.flatnonzero(sums):
+                out.append((key[0], spelled[i], spelled[j], sums[i]))
+        return pd.DataFrame(out, columns=["stream_id", "term_a", "term_b", "shared"])
+
+    return run
+
+
+def shared_counts(hits: DataFrame, size: int = PLACES) -> DataFrame:
+    """stream_id, term_a < term_b, shared: the letters of B on the set of A's places, summed over blocks of places, which yield a row for two terms at most."""
+    letters = hits.select("stream_id", "term", F.explode("positions").alias("position")).withColumn("block", F.floor(F.col("position") / size))
+    found = letters.groupBy("stream_id", "block").applyInPandas(_shared(size), "stream_id string, term_a string, term_b string, shared long")
+    return found.groupBy("stream_id", "term_a", "term_b").agg(F.sum("shared").alias("shared"))
+
+
 def sweep(hits: DataFrame, max_distance: int = 500, least: int = 4, most: int = NOISE) -> DataFrame:
     """All pairs of terms of a stream (of `least` letters and at most `most` hits) that share letters or come within max_distance by start.
 
-    score is 1000 a shared letter, and what the distance leaves of max_distance. shared counts B's letters on the set of A's.
+    score is 1000 a shared letter, and what the distance leaves of max_distance. shared counts B's letters on the set of A's; hits_a and hits_b are the terms' hits.
     """
     usable = without_noise(hits.filter(F.length("term") >= least), most)
-    letters = usable.select("stream_id", "term", F.explode("positions").alias("position"))
-    a = letters.distinct().select("stream_id", F.col("term").alias("term_a"), "position")
-    b = letters.groupBy("stream_id", "term", "position").agg(F.count("*").alias("n")).select("stream_id", F.col("term").alias("term_b"), "position", "n")
-    shared = a.join(b, ["stream_id", "position"]).filter("term_a < term_b").groupBy("stream_id", "term_a", "term_b").agg(F.sum("n").alias("shared"))
-    near = nearest_between_terms(usable, F.col("start"), max_distance)
-    both = near.join(shared, ["stream_id", "term_a", "term_b"], "full")
+    both = nearest_between_terms(usable, F.col("start"), max_distance).join(shared_counts(usable), ["stream_id", "term_a", "term_b"], "full")
+    counts = usable.groupBy("stream_id", "term").agg(F.count("*").alias("n"))
+    for side in ("a", "b"):
+        both = both.join(counts.select("stream_id", F.col("term").alias(f"term_{side}"), F.col("n").alias(f"hits_{side}")), ["stream_id", f"term_{side}"])
     distance = F.coalesce("distance", F.lit(max_distance))
     score = F.coalesce("shared", F.lit(0)) * 1000 + (max_distance - distance)
-    return both.select("stream_id", "term_a", "term_b", "distance", "a", "b", F.coalesce("shared", F.lit(0)).alias("shared"), score.cast("long").alias("score"))
+    return both.select("stream_id", "term_a", "term_b", "hits_a", "hits_b", "distance", "a", "b", F.coalesce("shared", F.lit(0)).alias("shared"), score.cast("long").alias("score"))
+
+
+def sweep_report(swept: DataFrame, bounded: DataFrame, n: int = 30) -> DataFrame:
+    """The n best pairs with the verses in which their closest hits begin; a null where none lie within the distance."""
+    return with_verses(sweep_top(swept, n), bounded, {"a": "closest_verse_a", "b": "closest_verse_b"})
 
 
 def sweep_top(swept: DataFrame, n: int = 30) -> DataFrame:
@@ -251,26 +362,65 @@ def pairs_once_per_skip(hits_a: DataFrame, hits_b: DataFrame, width: int) -> Dat
     return flat.groupBy("skip_a", "skip_b", "direction_a", "direction_b").agg(best).select("skip_a", "skip_b", "direction_a", "direction_b", "best.*")
 
 
+def _tightest(terms: tuple[str, str, str], close: int):
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        """Each value of the bucket as the smallest of three: the next ones of the other two terms make the tightest three that begin there."""
+        values = [np.unique(pdf.loc[pdf["nth"] == i, "m"].to_numpy()) for i in range(3)]
+        found = []
+        for i, low in enumerate(values):
+            low = low[(low >= key[0] * close) & (low < (key[0] + 1) * close)]
+            at = [np.searchsorted(v, low) for v in values]
+            ok = np.all([k < len(v) for k, v in zip(at, values, strict=True)], axis=0)
+            m = np.stack([v[k[ok]] for k, v in zip(at, values, strict=True)], axis=1) if ok.any() else np.zeros((0, 3), np.int64)
+            found.append(m[m.max(axis=1, initial=0) - low[ok] <= close] if len(m) else m)
+        m = np.concatenate(found)
+        spread = m.max(axis=1, initial=0) - m.min(axis=1, initial=1 << 62) if len(m) else np.zeros(0, np.int64)
+        best = np.lexsort((m[:, 2], m[:, 1], m[:, 0], spread))[:1]
+        return pd.DataFrame({"m1": m[best, 0], "m2": m[best, 1], "m3": m[best, 2], "spread": spread[best]})
+
+    return run
+
+
 def triple_cluster(hits: DataFrame, terms: tuple[str, str, str], wide: int = 20_000, close: int = 15_000) -> DataFrame:
-    """The tightest three midpoints, one of each term, each two at most `close` apart."""
-    one, two, three = (hits.filter(F.col("term") == t).select(midpoint().alias(c)).distinct() for t, c in zip(terms, ("m1", "m2", "m3"), strict=True))
-    out = band(band(one, two, "m1", "m2", min(wide, close)), three, "m1", "m3", close).filter(F.abs(F.col("m2") - F.col("m3")) <= close)
-    spread = F.greatest("m1", "m2", "m3") - F.least("m1", "m2", "m3")
-    return out.withColumn("spread", spread).orderBy("spread", "m1", "m2", "m3").limit(1)
+    """The tightest three midpoints, one of each term, each two at most `close` apart; wide, the first two's distance, can't be less.
+
+    Midpoints go to their bucket of that length and to the one before, so the smallest of any such three meets the others in its bucket, which yields its best
+    three alone: by binary search of each midpoint in the other terms' sorted ones, and never by their product.
+    """
+    if wide < close:
+        raise ValueError("the first two midpoints may be as far apart as any two")
+    spark = hits.sparkSession
+    asked = spark.createDataFrame([(t, i) for i, t in enumerate(terms)], "term string, nth int")
+    points = hits.join(F.broadcast(asked), "term").select("nth", midpoint().cast("long").alias("m")).distinct()
+    own = F.floor(F.col("m") / close)
+    rows = points.select("nth", "m", F.explode(F.array(own, own - 1)).alias("bucket"))
+    best = rows.groupBy("bucket").applyInPandas(_tightest(terms, close), "m1 long, m2 long, m3 long, spread long")
+    return best.orderBy("spread", "m1", "m2", "m3").limit(1)
+
+
+def _ahead(window: int, n: int):
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        """A row stands for its term in the windows that begin after the one before of its term, and reach it."""
+        pdf = pdf.sort_values(["term", "middle"], kind="stable")
+        m, term = pdf["middle"].to_numpy(), pd.factorize(pdf["term"])[0]
+        starts = np.unique(m[pdf["own"].to_numpy()])
+        before = np.concatenate([[np.iinfo(np.int64).min // 2], np.where(term[1:] == term[:-1], m[:-1], np.iinfo(np.int64).min // 2)]) if len(m) else m
+        begin, end = np.searchsorted(starts, np.maximum(before + 1, m - window)), np.searchsorted(starts, m, "right") - 1
+        some = begin <= end
+        along = np.sort(m)
+        hits = np.searchsorted(along, starts + window, "right") - np.searchsorted(along, starts)
+        out = pd.DataFrame({"stream_id": key[0], "window_start": starts, "n_terms": _sums_of_spans(begin[some], end[some], len(starts)), "n_hits": hits}, index=np.arange(len(starts)))
+        return out.sort_values(["n_terms", "n_hits", "window_start"], ascending=[False, False, True]).head(n)
+
+    return run
 
 
 def mega_cluster(hits: DataFrame, window: int = 20_000, n: int = 1) -> DataFrame:
     """The windows from a midpoint on with the most terms, then the most hits, of each stream.
 
-    A midpoint goes to its bucket of the window's length and to the one before, whose windows reach into it; each bucket gives its n best windows at most.
+    A midpoint goes to its block, and to the one before where its windows reach into it; each block gives its n best windows at most.
     """
-    bucket = F.floor(F.col("middle") / window)
-    both = F.explode(F.array(F.struct(bucket.alias("bucket"), F.lit(True).alias("own")), F.struct((bucket - 1).alias("bucket"), F.lit(False).alias("own")))).alias("at")
-    rows = hits.select("stream_id", "term", midpoint().alias("middle")).select("*", both).select("stream_id", "term", "middle", "at.*")
-    ahead = Window.partitionBy("stream_id", "bucket").orderBy("middle").rangeBetween(0, window)
-    rows = rows.withColumn("n_terms", F.size(F.collect_set("term").over(ahead))).withColumn("n_hits", F.count("*").over(ahead)).filter("own")
-    rows = rows.select("stream_id", "bucket", F.col("middle").alias("window_start"), "n_terms", "n_hits").distinct()
-    for group in (("stream_id", "bucket"), ("stream_id",)):
-        best = F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("n_terms"), F.desc("n_hits"), "window_start"))
-        rows = rows.withColumn("rn", best).filter(F.col("rn") <= n).drop("rn")
-    return rows.drop("bucket")
+    rows = hits.select("stream_id", "term", midpoint().cast("long").alias("middle")).select("stream_id", "term", "middle", _in_blocks("middle", max(SIDE, window), window, -1)).select("*", "b.*").drop("b")
+    rows = rows.groupBy("stream_id", "bucket").applyInPandas(_ahead(window, n), "stream_id string, window_start long, n_terms int, n_hits long")
+    best = F.row_number().over(Window.partitionBy("stream_id").orderBy(F.desc("n_terms"), F.desc("n_hits"), "window_start"))
+    return rows.withColumn("rn", best).filter(F.col("rn") <= n).drop("rn")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skipweave.functions.text import letters_of
+from skipweave.session import scratch_table
 
 #: Letters of a bucket that positions and verses meet in.
 BUCKET = 4096
@@ -46,6 +47,11 @@ def verse_boundaries(verses: DataFrame, scope: str = "full") -> DataFrame:
     return out.withColumn("end_pos", end).withColumn("start_pos", end - F.col("n_letters")).drop("base", "upto")
 
 
+def stored_boundaries(verses: DataFrame, scope: str = "full") -> DataFrame:
+    """verse_boundaries written once, for what reads them more than once."""
+    return scratch_table(verses.sparkSession, verse_boundaries(verses, scope).select("book_order", "book_abbrev", "chapter", "verse", "letters", "start_pos", "end_pos"), "bounded")
+
+
 def letter_positions(bounded: DataFrame) -> DataFrame:
     """pos, ch, book_abbrev, chapter, verse: one row a letter; letters carry their verse, so no later join looks it up."""
     exploded = bounded.select("start_pos", "book_abbrev", "chapter", "verse", F.posexplode(F.split("letters", "")).alias("i", "ch"))
@@ -110,20 +116,19 @@ def list_streams(built: DataFrame, books: DataFrame) -> DataFrame:
 def positions_to_verses(positions: DataFrame, bounded: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """Each row of positions (with a column position) with the verse that holds it, or nulls outside of the stream.
 
-    Verses are put in the buckets they meet, so the range join is an equi-join on buckets of which a verse has few.
+    Verses are put in the buckets they meet, so the range join is an equi-join on buckets of which a verse has few. Columns of positions keep their values: book_abbrev, chapter
+    and verse of their own are kept as they are, and beside a letter of their own the one found is letter_at.
     """
     reach = F.explode(F.sequence(F.floor(F.col("start_pos") / bucket), F.floor((F.col("end_pos") - 1) / bucket)))
-    ranges = bounded.select("start_pos", "end_pos", "letters", "book_abbrev", "chapter", "verse", reach.alias("bucket"))
-    asked = positions.withColumn("bucket", F.floor(F.col("position") / bucket))
-    inside = (asked["bucket"] == ranges["bucket"]) & (F.col("position") >= F.col("start_pos")) & (F.col("position") < F.col("end_pos"))
+    ranges = bounded.select(F.struct("start_pos", "end_pos", "letters", "book_abbrev", "chapter", "verse").alias("__in"), reach.alias("__at"))
+    asked = positions.select(F.struct(*positions.columns).alias("__row"), F.col("position").alias("__position"), F.floor(F.col("position") / bucket).alias("__of"))
+    inside = (F.col("__of") == F.col("__at")) & (F.col("__position") >= F.col("__in.start_pos")) & (F.col("__position") < F.col("__in.end_pos"))
     joined = asked.join(ranges, inside, "left")
-    at = (F.col("position") - F.col("start_pos")).cast("int")
+    at = (F.col("__position") - F.col("__in.start_pos")).cast("int")
     return joined.select(
-        *(asked[c] for c in positions.columns),
-        "book_abbrev",
-        "chapter",
-        "verse",
+        *(F.col(f"__row.`{c}`").alias(c) for c in positions.columns),
+        *(F.col(f"__in.{c}").alias(c) for c in ("book_abbrev", "chapter", "verse") if c not in positions.columns),
         at.alias("char_in_verse"),
-        F.when(at.isNotNull(), F.substring(F.col("letters"), at + 1, F.lit(1))).alias("letter"),
-        F.concat(F.col("book_abbrev"), F.lit(" "), F.col("chapter"), F.lit(":"), F.col("verse")).alias("reference"),
+        F.when(at.isNotNull(), F.substring(F.col("__in.letters"), at + 1, F.lit(1))).alias("letter_at" if "letter" in positions.columns else "letter"),
+        F.concat(F.col("__in.book_abbrev"), F.lit(" "), F.col("__in.chapter"), F.lit(":"), F.col("__in.verse")).alias("reference"),
     )

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skipweave.functions.text import normalize_term
-from skipweave.operators.letters import letter_frequency, letter_positions
-from skipweave.operators.search import BLOCK, effective_max_skip, find_in
+from skipweave.operators.letters import letter_frequency
+from skipweave.operators.search import BLOCK, effective_max_skip, find_in, stream_length
 
 
 def places(total: int, length: int, min_skip: int, max_skip: int) -> int:
@@ -44,52 +47,110 @@ def expected_frequency(frequency: DataFrame, terms: list[str], total: int, min_s
 
 
 def poisson_tail(rate: Column, observed: Column) -> Column:
-    """P(X >= observed) for a Poisson rate, with terms kept as logarithms."""
+    """P(X >= observed) for a Poisson rate, with terms kept as logarithms.
+
+    Beyond the rate the tail itself is summed, so that a small one isn't the difference of two numbers near 1; its terms fall, and those
+    further than ten deviations and 60 places away are below what a double holds.
+    """
     steps = F.sequence(F.lit(0), (observed - 1).cast("int"))
-    below = F.aggregate(steps, F.struct(F.lit(0.0).alias("sum"), (-rate).alias("log")), lambda a, k: F.struct((a["sum"] + F.exp(a["log"])).alias("sum"), (a["log"] + F.ln(rate) - F.ln(k + F.lit(1.0))).alias("log")), lambda a: a["sum"])
-    return F.when(observed <= 0, F.lit(1.0)).when(rate <= 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.lit(1.0) - below))
+    below = F.aggregate(steps, F.struct(F.lit(0.0).alias("sum"), (-rate).alias("log")), lambda a, k: F.struct((a["sum"] + F.exp(a["log"])).alias("sum"), (a["log"] + F.ln(rate) - F.ln(k + F.lit(1.0))).alias("log")))
+    further = F.sequence(F.lit(1), (10 * F.sqrt(rate) + 60).cast("int"))
+    above = F.aggregate(further, F.struct(F.lit(1.0).alias("sum"), F.lit(1.0).alias("term")), lambda a, k: F.struct((a["sum"] + a["term"] * rate / (observed + k)).alias("sum"), (a["term"] * rate / (observed + k)).alias("term")), lambda a: a["sum"])
+    tail = F.when(observed > rate, F.exp(below["log"]) * above).otherwise(F.greatest(F.lit(0.0), 1.0 - below["sum"]))
+    return F.when(observed <= 0, F.lit(1.0)).when(rate <= 0, F.lit(0.0)).otherwise(tail)
+
+
+#: Levels under which a p-value is called so.
+LEVELS = [(0.001, "EXTREMELY SIGNIFICANT (p < 0.001)"), (0.01, "HIGHLY SIGNIFICANT (p < 0.01)"), (0.05, "SIGNIFICANT (p < 0.05)")]
+NOT_SIGNIFICANT = "NOT SIGNIFICANT (p >= 0.05)"
+
+
+def significance_label(p: Column) -> Column:
+    out = F.lit(NOT_SIGNIFICANT)
+    for level, name in reversed(LEVELS):
+        out = F.when(p < level, name).otherwise(out)
+    return out
+
+
+def reported_p(p: Column) -> Column:
+    """Six places, and under 0.0001 five digits wherever they begin."""
+    return F.when(p < 0.0001, F.format_string("%.4e", p).cast("double")).otherwise(F.round(p, 6))
 
 
 def poisson_analysis(counts: DataFrame) -> DataFrame:
     """counts (term, expected, observed) with ratio, p and label; p is of the unrounded rate."""
-    p = poisson_tail(F.col("expected"), F.col("observed"))
-    out = counts.withColumn("p", p)
-    label = F.when(F.col("p") < 0.001, "highly significant").when(F.col("p") < 0.01, "very significant").when(F.col("p") < 0.05, "significant").otherwise("not significant")
-    return out.select("term", F.round("expected", 4).alias("expected"), "observed", F.when(F.col("expected") > 0, F.round(F.col("observed") / F.col("expected"), 4)).alias("ratio"), F.round("p", 6).alias("p"), label.alias("label"))
+    out = counts.withColumn("p", poisson_tail(F.col("expected"), F.col("observed")))
+    ratio = F.when(F.col("expected") > 0, F.round(F.col("observed") / F.col("expected"), 4)).alias("ratio")
+    return out.select("term", F.round("expected", 4).alias("expected"), "observed", ratio, reported_p(F.col("p")).alias("p"), significance_label(F.col("p")).alias("label"))
+
+
+#: Half rounds of a shuffle, and the prime that its rounds count by: cubes of numbers under it take two products of under 63 bits.
+HALF_ROUNDS = 6
+PRIME = (1 << 31) - 1
+
+
+def shuffle_keys(seed: str, run: int) -> list[int]:
+    """A key for each half round: the first 28 bits of the digest of seed, run and number."""
+    return [int(hashlib.md5(f"{seed}:{run}:{i}".encode()).hexdigest()[:7], 16) for i in range(HALF_ROUNDS)]
 
 
-def shuffled(letters: DataFrame, runs: int, seed: str, digest: str = "md5") -> DataFrame:
-    """run, pos, ch: permutations by the digest of seed, run and place: md5, which other engines have too, or xxhash64, which is sorted sooner.
+def shuffled_places(places: np.ndarray, total: int, keys: list[int]) -> np.ndarray:
+    """Where the letters at `places` of a stream of `total` letters go: a bijection that is worked out for each place alone.
 
-    The rank of a digest is the number of those with smaller first digits plus its rank among its like: 256 parts a run, so no task holds a run.
-    The sizes of parts, 256 rows a run, are broadcast.
+    A place is written as two digits to the bases rows and columns, whose product is little more than total. Rounds in turn add to one digit a cube of the
+    other, which can be undone; a place beyond the stream is shuffled again until it falls into it.
     """
-    spark = letters.sparkSession
-    each = spark.range(1, runs + 1).select(F.col("id").cast("int").alias("run"))
-    # letters are few bytes beside the digests that each run makes of them: they are dealt out before, by number, so that adaptive execution keeps the tasks apart
-    dealt = letters.select("pos", "ch").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "pos")
-    keyed = dealt.join(F.broadcast(each), F.lit(True))
-    if digest == "md5":
-        keyed = keyed.withColumn("key", F.md5(F.concat_ws(":", F.lit(seed), "run", "pos"))).withColumn("part", F.substring("key", 1, 2))
-    else:
-        keyed = keyed.withColumn("key", F.xxhash64(F.lit(seed), "run", "pos")).withColumn("part", F.shiftright("key", 56))
-    sizes = keyed.groupBy("run", "part").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("run").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("run", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    rn = F.row_number().over(Window.partitionBy("run", "part").orderBy("key", "pos"))
-    return keyed.withColumn("rn", rn).join(F.broadcast(sizes), ["run", "part"]).select("run", (F.col("base") + F.col("rn") - 1).alias("pos"), "ch")
-
-
-def monte_carlo(
-    letters: DataFrame, term: str, total: int, runs: int = 100, seed: str = "0", min_skip: int = 1, max_skip: int = 1000, direction: str = "both", block: int = BLOCK, digest: str = "md5"
-) -> DataFrame:
+    if total >= 1 << 61:
+        raise ValueError("too many letters")
+    rows = math.isqrt(max(total - 1, 0)) + 1
+    columns = -(-total // rows) or 1
+
+    def mixed(x, key):
+        y = (x + key) % PRIME
+        return (y * y % PRIME * y + key) % PRIME
+
+    out, todo = places.astype(np.int64), np.arange(len(places))
+    while len(todo):
+        high, low = out[todo] // columns, out[todo] % columns
+        for i in range(0, HALF_ROUNDS, 2):
+            high = (high + mixed(low, keys[i])) % rows
+            low = (low + mixed(high, keys[i + 1])) % columns
+        out[todo] = high * columns + low
+        todo = todo[out[todo] >= total]
+    return out
+
+
+def _stream_parts(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Places and codes of all letters of a batch of verses."""
+    codes = np.frombuffer("".join(pdf["letters"]).encode(), np.uint8)
+    n = pdf["letters"].str.len().to_numpy(np.int64)
+    ends = np.cumsum(n)
+    return np.repeat(pdf["start_pos"].to_numpy(np.int64) - (ends - n), n) + np.arange(len(codes)), codes
+
+
+def shuffled(bounded: DataFrame, runs: int, seed: str, total: int) -> DataFrame:
+    """run, pos, ch: the letters of each shuffled stream at their new places."""
+
+    def run(frames):
+        for pdf in frames:
+            places, codes = _stream_parts(pdf)
+            letters = np.array([chr(c) for c in range(256)], object)[codes]
+            for r in range(1, runs + 1):
+                yield pd.DataFrame({"run": np.int32(r), "pos": shuffled_places(places, total, shuffle_keys(seed, r)), "ch": letters})
+
+    return bounded.select("start_pos", "letters").mapInPandas(run, "run int, pos long, ch string")
+
+
+def monte_carlo(bounded: DataFrame, term: str, total: int | None = None, runs: int = 100, seed: str = "0", min_skip: int = 1, max_skip: int = 1000, direction: str = "both", block: int = BLOCK) -> DataFrame:
     """run, n: hits of the term in each shuffled stream, runs without hits among them.
 
-    Each shuffled stream is cut into blocks with a halo as long as the longest hit, and all blocks of all runs are searched side by side by
-    the kernel of els_search. A task holds one block, so neither the stream nor the number of runs bounds it.
+    A letter's new place follows from its old one, the run and the seed alone, so no run is sorted or ranked. Tasks send the letters of their
+    verses to the blocks of the shuffled streams, many letters to a row, and to the block before where its halo needs them; all blocks of all runs are then searched side by side
+    by the kernel of els_search. A task holds some verses or one block, so neither the stream nor the number of runs bounds it.
     """
     word = normalize_term(term)
-    spark = letters.sparkSession
+    spark = bounded.sparkSession
+    total = stream_length(bounded) if total is None else total
     each = spark.range(1, runs + 1).select(F.col("id").cast("int").alias("run"))
     cap = effective_max_skip(total, len(word), max_skip)
     if cap < min_skip:
@@ -98,18 +159,31 @@ def monte_carlo(
     size = max(block, halo)
     words = [np.frombuffer(w.encode(), np.uint8) for w, way in ((word, "forward"), (word[::-1], "reverse")) if direction in (way, "both")]
 
+    def laid(frames):
+        for pdf in frames:
+            places, codes = _stream_parts(pdf)
+            for r in range(1, runs + 1):
+                to = shuffled_places(places, total, shuffle_keys(seed, r))
+                own, within = to // size, to % size
+                early = np.flatnonzero((within < halo) & (own > 0))
+                blocks, at, code = np.concatenate([own, own[early] - 1]), np.concatenate([within, within[early] + size]), np.concatenate([codes, codes[early]])
+                order = np.argsort(blocks, kind="stable")
+                values, begin = np.unique(blocks[order], return_index=True)
+                parts = [order[a:b] for a, b in zip(begin, np.append(begin[1:], len(order)), strict=True)]
+                yield pd.DataFrame({"run": np.int32(r), "block": values, "at": [at[p].astype("<u4").tobytes() for p in parts], "code": [code[p].tobytes() for p in parts]})
+
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        first = int(pdf["block"].iloc[0]) * size
-        at = pdf["pos"].to_numpy() - first
+        at, code = (np.frombuffer(b"".join(pdf[c]), kind) for c, kind in (("at", "<u4"), ("code", np.uint8)))
         stream = np.zeros(int(at.max()) + 1, np.uint8)
-        stream[at] = pdf["code"].to_numpy()
+        stream[at] = code
         n = sum(len(find_in(stream, w, range(min_skip, cap + 1), size)[0]) for w in words)
         return pd.DataFrame({"run": [pdf["run"].iloc[0]], "n": [n]})
 
-    laid = shuffled(letters, runs, seed, digest).select("run", "pos", F.ascii("ch").cast("short").alias("code"))
-    own = F.floor(F.col("pos") / size)
-    both = F.explode(F.filter(F.array(own, F.when(F.col("pos") % size < halo, own - 1)), lambda b: b >= 0)).alias("block")
-    found = laid.select("run", "pos", "code", both).groupBy("run", "block").applyInPandas(count, "run int, n long")
+    if size + halo >= 1 << 32:
+        raise ValueError("a hit spans too many letters")
+    # verses are dealt out by number, or adaptive execution would put a short stream into one task
+    dealt = bounded.select("start_pos", "letters").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "start_pos")
+    found = dealt.mapInPandas(laid, "run int, block long, at binary, code binary").groupBy("run", "block").applyInPandas(count, "run int, n long")
     return each.join(found.groupBy("run").agg(F.sum("n").alias("n")), "run", "left").select("run", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -128,12 +202,12 @@ def full_analysis(bounded: DataFrame, term: str, observed: int, min_skip: int =
     the one that observed was counted over, so that mc_p is too low.
     """
     word = normalize_term(term)
-    total = bounded.agg(F.coalesce(F.max("end_pos"), F.lit(0))).first()[0]
+    total = stream_length(bounded)
     expected = expected_frequency(letter_frequency(bounded), [word], total, min_skip, max_skip, direction)
     out = poisson_analysis(expected.withColumn("observed", F.lit(observed).cast("long")))
     if not runs:
         return out
     narrow = min(max_skip, 1000) if mc_max_skip is None else mc_max_skip
     cut = lambda skip: effective_max_skip(total, len(word), skip)
-    shuffles = mc_distribution(monte_carlo(letter_positions(bounded), word, total, runs, seed, min_skip, narrow, direction), observed)
+    shuffles = mc_distribution(monte_carlo(bounded, word, total, runs, seed, min_skip, narrow, direction), observed)
     return out.join(F.broadcast(shuffles.withColumnRenamed("p", "mc_p")), F.lit(True)).withColumn("runs", F.lit(runs)).withColumn("range_mismatch", F.lit(cut(narrow) != cut(max_skip)))

@@ -131,18 +131,131 @@ def test_boundaries_over_many_parts_of_chapters(spark, monkeypatch):
 def test_shuffled_streams_equal_brute_force(spark, bounded, stream):
     from skipweave.operators import significance
 
-    rows = letters.letter_positions(bounded)
     mixed = {}
-    for r in significance.shuffled(rows, 3, "s").collect():
+    for r in significance.shuffled(bounded, 3, "s", len(stream)).collect():
         mixed.setdefault(r.run, {})[r.pos] = r.ch
+    assert all(sorted(s) == list(range(len(stream))) and sorted(s.values()) == sorted(stream) for s in mixed.values()) and mixed[1] != mixed[2]
     for block in (5, 1 << 18):
-        got = {r.run: r.n for r in significance.monte_carlo(rows, "EEN", len(stream), 3, "s", 1, 9, block=block).collect()}
+        got = {r.run: r.n for r in significance.monte_carlo(bounded, "EEN", len(stream), 3, "s", 1, 9, block=block).collect()}
         assert got == {run: len(brute("".join(c for _, c in sorted(s.items())), "EEN", 1, 9)) for run, s in mixed.items()}
-    other = {}
-    for r in significance.shuffled(rows, 2, "s", "xxhash64").collect():
-        other.setdefault(r.run, {})[r.pos] = r.ch
-    assert all(sorted(s) == list(range(len(stream))) and sorted(s.values()) == sorted(stream) for s in other.values()) and other[1] != other[2]
     wide = significance.full_analysis(bounded, "EEN", 5, 1, 3000, runs=2, mc_max_skip=4).first()
     assert wide.range_mismatch and wide.runs == 2
     assert not significance.full_analysis(bounded, "EEN", 5, 1, 4, runs=2).first().range_mismatch
     assert "mc_p" not in significance.full_analysis(bounded, "EEN", 5, runs=0).columns
+
+
+LETTERS = "ABCDE"
+
+
+@given(st.text(LETTERS, min_size=3, max_size=60), st.lists(st.text(LETTERS, min_size=3, max_size=6), min_size=1, max_size=12), st.integers(1, 60))
+def test_many_terms_share_a_pass(stream, terms, own):
+    """Every term with a range of its own; first places under own alone."""
+    words = [np.frombuffer(t.encode(), np.uint8) for t in terms]
+    lows, highs = [1 + i % 3 for i in range(len(terms))], [2 + 2 * i % 9 for i in range(len(terms))]
+    got = set(zip(*(x.tolist() for x in search.find_many(np.frombuffer(stream.encode(), np.uint8), words, lows, highs, own)), strict=True))
+    want = set()
+    for i, w in enumerate(words):
+        at, step = search.find_in(np.frombuffer(stream.encode(), np.uint8), w, range(lows[i], highs[i] + 1), min(own, len(stream)))
+        want |= {(i, int(a), int(s)) for a, s in zip(at, step, strict=True)}
+    assert got == want
+
+
+def random_stream(spark, n, alphabet, seed):
+    text = "".join(np.random.default_rng(seed).choice(list(alphabet), n))
+    rows = [(1, "GEN", 1 + i // 5000, 1 + i // 50 % 100, text[i : i + 50]) for i in range(0, n, 50)]
+    return text, letters.stored_boundaries(spark.createDataFrame(rows, SCHEMA))
+
+
+def test_many_terms_equal_one_by_one(spark):
+    text, bounded = random_stream(spark, 4000, "TIONAE", 8)
+    rng = np.random.default_rng(2)
+    terms = ["".join(rng.choice(list("TIONAE"), int(rng.integers(3, 7)))) for _ in range(30)] + ["TION", "ION"]
+    together = {tuple(r) for r in search.els_search(bounded, terms, 1, 30, block=700).select("term", "direction", "skip", "start").collect()}
+    assert together == {(t, *h) for t in set(terms) for h in brute(text, t, 1, 30)}
+
+
+def test_many_terms_cost_less_than_ten_passes():
+    """200 terms over a block, against one of them."""
+    import time
+
+    rng = np.random.default_rng(1)
+    stream = rng.choice(np.frombuffer(b"ETAOINSHRDLUCMFWYPVBGKJQXZ", np.uint8), 1 << 17, p=np.arange(26, 0, -1) / 351)
+    words = [rng.choice(stream, int(rng.integers(4, 9))) for _ in range(200)]
+    began = time.process_time()
+    one = [search.find_in(stream, w, range(1, 201), len(stream)) for w in words[:40]]
+    alone = (time.process_time() - began) / 40
+    began = time.process_time()
+    word, _, _ = search.find_many(stream, words, [1] * 200, [200] * 200, len(stream))
+    assert time.process_time() - began < 20 * alone  # twice the aim, as a shared machine is uneven
+    assert np.bincount(word, minlength=200)[:40].tolist() == [len(at) for at, _ in one]
+
+
+def test_a_capped_search_stops(spark):
+    text, bounded = random_stream(spark, 20_000, "TIONAE", 3)
+    terms, tried = ["TION", "NOTE", "EATION"], []
+    every = search.els_search(bounded, terms, 1, 900, block=3000)
+    for cap in (1, 40, 500, 100_000):
+        tried.clear()
+        got = search.first_hits(bounded, terms, cap, 1, 900, block=3000, first=4, tried=tried)
+        want = search.capped(every, cap)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(got.columns).collect()))
+        skips = {t: sum(high - low + 1 for r in tried for term, _, low, high in r if term == t) for t in terms}
+        if cap <= 40:
+            assert skips["TION"] <= 64 and len(tried) <= 6  # of 1800
+        if cap == 100_000:
+            assert skips == dict.fromkeys(terms, 1800)
+        ends = {}
+        for r in tried:  # no skip is tried twice, forward ones come first
+            for term, way, low, high in r:
+                assert ends.get((term, way), 0) == low - 1
+                ends[term, way] = high
+    none = search.first_hits(bounded, ["QXZ"], 5, 1, 50, "forward", tried=tried)
+    assert not none.collect() and search.first_hits(bounded, ["TIONTIONTION"], 5, 40_000).count() == 0
+
+
+def test_report_of_first_hits(spark):
+    text, bounded = random_stream(spark, 3000, "TIONAE", 6)
+    got = search.search_report(bounded, "TIO", 1, 9, n=7).collect()
+    every = sorted(brute(text, "TIO", 1, 9), key=lambda h: (h[0] != "forward", h[1], h[2]))
+    assert [(r.direction, r.skip, r.start) for r in got] == every[:7] and {r.hit_count for r in got} == {len(every)}
+    assert all(r.warning and r.start_verse and r.mid_verse and r.end_verse for r in got)
+    assert search.search_report(bounded, "TION", 1, 9).first().warning is None
+
+
+def test_missing_terms_alone_are_searched(spark, monkeypatch):
+    _, bounded = random_stream(spark, 3000, "TIONAE", 6)
+    asked = []
+    real = search.els_search
+    monkeypatch.setattr(search, "els_search", lambda b, terms, *a, **k: asked.append(list(terms)) or real(b, terms, *a, **k))
+    narrow = real(bounded, ["TION", "QXZQ", "ZZZ"], 1, 3)
+    assert {tuple(r) for r in search.expand_missing(narrow, bounded, ["TION", "QXZQ", "ZZZ"], 9).collect()} == {("QXZQ", 0), ("ZZZ", 0)}
+    assert asked == [["QXZQ", "ZZZ"]]
+    assert search.expand_missing(narrow, bounded, ["TION"], 9).count() == 0
+
+
+@pytest.mark.parametrize("total", [1, 2, 3, 10, 97, 1000, 10_007])
+def test_shuffles_are_bijections(total):
+    from skipweave.operators import significance
+
+    for run in (1, 2):
+        to = significance.shuffled_places(np.arange(total), total, significance.shuffle_keys("s", run))
+        assert sorted(to.tolist()) == list(range(total))
+
+
+def test_shuffles_spread_and_part_neighbours():
+    """Places of each tenth go to all tenths alike (chi-square), and neighbours are as far apart as any two places."""
+    from skipweave.operators import significance
+
+    n = 100_000
+    for run in range(1, 6):
+        to = significance.shuffled_places(np.arange(n), n, significance.shuffle_keys("spread", run))
+        table = np.bincount(np.arange(n) * 10 // n * 10 + to * 10 // n, minlength=100)
+        assert ((table - n / 100) ** 2 / (n / 100)).sum() < 140  # 81 degrees of freedom
+        gaps = np.abs(np.diff(to))
+        assert abs(gaps.mean() - n / 3) < n / 100 and (gaps < 100).mean() < 0.004
+
+
+def test_positions_keep_columns_of_their_own(spark, bounded):
+    asked = spark.createDataFrame([(0, "x", 7, 3)], "position long, letter string, verse int, bucket int")
+    r = letters.positions_to_verses(asked, bounded).first()
+    assert (r.letter, r.verse, r.bucket, r.letter_at, r.reference) == ("x", 7, 3, "I", "GEN 1:1")
