@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import hashlib
 import zlib
 from collections import defaultdict
 from itertools import chain, count
@@ -16,12 +15,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skipweave.llm.common import stored
+from skipweave.llm.common import bucketed
 from skipweave.llm.tokens import cuts, slices, text_buffer, tokenizer_path
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Bytes of text whose pre-tokens share a dictionary; a longer text has one of its own.
-SLICE = 32 << 20
+SLICE = 16 << 20
 #: Bytes of one text that are split at a time.
 STEP = 1 << 18
 #: Pre-tokens of some texts that are stored together; a longer text stands alone.
@@ -192,7 +191,8 @@ def encode(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_co
 
     Texts are split once into pre-tokens. A slice of some megabytes of texts keeps the places of its pre-tokens and its distinct words, which are stored.
     The words of all slices, with their places, are shuffled by hash, so that all rows of a word come to one task, which encodes it once; the ids go back to the
-    slices and meet their texts there. A frequent word is in one row a slice, so no key is hot; a task holds one slice or one text.
+    slices and meet their texts there, which are stored in buckets of slices and stay where they are. A frequent word is in one row a slice, so no key is
+    hot; a task holds one slice or one text.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -202,7 +202,7 @@ def encode(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_co
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = f"slice long, line int, doc_ids array<{kind}>, counts array<int>, share int, at binary, sizes binary, words binary"
-    cut, path = stored(spark, narrow.mapInArrow(_pretokens(split, size, 4 * parts, arrow), schema), "pretokens")
+    cut, path = bucketed(spark, narrow.mapInArrow(_pretokens(split, size, 4 * parts, arrow), schema), "pretokens", "slice", parts)
     words = spark.read.schema(cut.schema).parquet(path).filter("share IS NOT NULL").select("slice", "share", "at", "sizes", "words")
     coded = words.repartition(parts, "share").sortWithinPartitions("share").mapInArrow(_encode_words(ranks, split), "slice long, at binary, sizes binary, ids binary")
     texts = cut.filter("share IS NULL").select("slice", "line", "doc_ids", "counts", "at")
@@ -210,13 +210,12 @@ def encode(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_co
 
 
 def _gather(batches):
-    """Rows of (row, doc_id, place, token, bytes), in order, become (row, doc_id, ids, decoded); a text may go over the end of a batch."""
+    """Rows of (row, doc_id, place, token, bytes), in order, become (row, doc_id, ids_le, decoded); a text may go over the end of a batch."""
     row, name, parts, ids, expected, out, held = None, None, [], [], 0, [], 0
 
     def flushed():
-        lists = [i for _, _, i, _ in out]
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(i) for i in lists])]), pa.int32()), pa.array(np.concatenate(lists), pa.int32()))
-        return pa.RecordBatch.from_arrays([pa.array([r for r, *_ in out], pa.int64()), pa.array([n for _, n, *_ in out], kind), lists, pa.array([b for *_, b in out], pa.binary())], ["row", "doc_id", "ids", "decoded"])
+        columns = [pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), kind, pa.binary(), pa.binary()))]
+        return pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "ids_le", "decoded"])
 
     for batch in batches:
         if not batch.num_rows:
@@ -233,7 +232,7 @@ def _gather(batches):
         for a, b in zip(starts, np.append(starts[1:], len(rows)), strict=True):
             if row is None or rows[a] != row:
                 if row is not None:
-                    out.append((row, name, np.concatenate(ids), b"".join(parts)))
+                    out.append((row, name, b"".join(ids), b"".join(parts)))
                     held += len(out[-1][3])
                     if len(out) >= ROWS or held >= BYTES:
                         yield flushed()
@@ -243,15 +242,15 @@ def _gather(batches):
                 raise ValueError("the ids of a text are out of order")
             expected += int(b - a)
             parts.append(bytes(raw[ends[a] : ends[b]]))
-            ids.append(tokens[a:b][some[a:b]])
+            ids.append(tokens[a:b][some[a:b]].astype("<u4").tobytes())
     if row is not None:
-        out.append((row, name, np.concatenate(ids), b"".join(parts)))
+        out.append((row, name, b"".join(ids), b"".join(parts)))
     if out:
         yield flushed()
 
 
 def decode(spark: SparkSession, coded: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
-    """row, doc_id, ids, decoded of coded (row, doc_id, ids; row numbers differ): decoded has the bytes of all ids in order; no ids give empty bytes.
+    """row, doc_id, ids_le, decoded of coded (row, doc_id, ids; row numbers differ): the ids as little-endian 32-bit numbers, and the bytes of all ids in order. No ids give empty bytes.
 
     Ids are exploded with their places and joined with the table of tokens, which has the vocabulary's size and is broadcast. Such a join keeps
     the order of the exploded rows, so texts are put together where they are, without a shuffle; places are compared on the way, and an id out of
@@ -260,20 +259,10 @@ def decode(spark: SparkSession, coded: DataFrame, tokens: DataFrame | None = Non
     tokens = token_bytes(spark) if tokens is None else tokens
     kind = coded.schema["doc_id"].dataType.simpleString()
     flat = coded.select("row", "doc_id", F.posexplode_outer("ids").alias("place", "token")).join(F.broadcast(tokens), "token", "left")
-    return flat.select("row", "doc_id", "place", "token", "bytes").mapInArrow(_gather, f"row long, doc_id {kind}, ids array<int>, decoded binary")
-
-
-def _digests(batches):
-    for batch in batches:
-        ids, texts = batch.column(1), batch.column(2).cast(pa.large_binary())
-        offsets, flat = np.asarray(ids.offsets), np.ascontiguousarray(ids.values.to_numpy(zero_copy_only=False), "<u4")
-        ends, raw = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1], memoryview(texts.buffers()[2] or b"")
-        sums = [hashlib.sha256(flat[a:b]).hexdigest() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-        back = [hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(ends[:-1], ends[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets).astype(np.int64)), pa.array(sums, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+    return flat.select("row", "doc_id", "place", "token", "bytes").mapInArrow(_gather, f"row long, doc_id {kind}, ids_le binary, decoded binary")
 
 
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     decoded = decode(spark, encode(spark, spark.read.parquet(f"{sf_dir}/documents.parquet")))
-    kind = decoded.schema["doc_id"].dataType.simpleString()
-    return decoded.select("doc_id", "ids", "decoded").mapInArrow(_digests, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    count = (F.octet_length("ids_le") / 4).cast("long")
+    return decoded.select("doc_id", count.alias("n_tokens"), F.sha2("ids_le", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

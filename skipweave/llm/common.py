@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skipweave.session import scratch_path, scratch_table
 
-__all__ = ["ROW", "WS", "documents", "full_text", "where_settled", "numbered", "stored_numbered", "stored", "discard", "scratch_table"]
+__all__ = ["ROW", "WS", "documents", "full_text", "where_settled", "numbered", "stored_numbered", "stored", "bucketed", "discard", "scratch_table"]
 
 #: ASCII white space, as in the text contracts.
 WS = r"[\x20\x09-\x0D]+"
@@ -60,6 +60,14 @@ def stored(spark: SparkSession, df: DataFrame, tag: str) -> tuple[DataFrame, str
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def bucketed(spark: SparkSession, df: DataFrame, tag: str, column: str, buckets: int) -> tuple[DataFrame, str]:
+    """stored, in buckets of a column, so that a later grouping by that column moves none of it; each task's rows stay in files of their own."""
+    path = scratch_path(spark, tag)
+    name = path.rpartition("/")[2].replace("-", "_")
+    df.write.bucketBy(buckets, column).option("compression", "zstd").option("path", path).saveAsTable(name)
+    return spark.table(name), path
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Remove a stored table of which nothing is read any more."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

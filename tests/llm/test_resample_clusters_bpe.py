@@ -196,7 +196,7 @@ def checked(spark, docs, want, **options):
     coded = byte_bpe.encode(spark, docs, **options)
     same([(r.doc_id, tuple(r.ids)) for r in coded.collect()], want)
     decoded = byte_bpe.decode(spark, coded).collect()
-    same([(r.doc_id, tuple(r.ids)) for r in decoded], want)
+    same([(r.doc_id, struct.unpack(f"<{len(r.ids_le) // 4}I", r.ids_le)) for r in decoded], want)
     return [(r.doc_id, bytes(r.decoded)) for r in decoded]
 
 
