@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skipweave.llm.common import ROW, numbered, scratch_table, stored_numbered
@@ -261,6 +261,28 @@ def similar_links(spark: SparkSession, texts: DataFrame, pairs: DataFrame) -> Da
     return scratch_table(spark, both.filter(9 * common >= 4 * total).select("a", "b"), "similar")  # common / (total - common) >= 0.8
 
 
+def rare_pairs(spark: SparkSession, texts: DataFrame, asked: DataFrame) -> DataFrame:
+    """Pairs a > b of asked nodes (node, root) of different roots that share one of the rarest fifth of the shingles of each: all that can have a similarity of 0.8.
+
+    Of n shingles at most n - ceil(0.8 n) may be missing from a similar text, so it has one of any n - ceil(0.8 n) + 1 of them; in one order for all texts,
+    the first so many of both have one in common. Rare ones come first, and those that no other asked text has take their places without being shuffled
+    again, so a shingle that many texts share makes pairs only for texts that have little else.
+    """
+    sets = texts.join(asked, texts[ROW] == asked["node"], "left_semi").select(ROW, "text").mapInArrow(_sets, "node long, shingles array<long>")
+    sets = scratch_table(spark, sets, "rare_sets")
+    posted = sets.select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    often = posted.groupBy("shingle").agg(F.count("*").alias("often")).filter("often > 1")
+    posted = posted.join(often.hint("merge"), "shingle")
+    of = Window.partitionBy("node")
+    nth = F.row_number().over(of.orderBy("often", "shingle")) + F.col("n") - F.count("*").over(of)
+    first = posted.withColumn("nth", nth).filter(F.col("nth") <= F.col("n") - F.ceil(F.col("n") * 4 / 5) + 1).select("shingle", "node", "n")
+    first = scratch_table(spark, first.join(asked, "node"), "rare")
+    x, y = first.hint("merge").alias("x"), first.hint("merge").alias("y")
+    size = (5 * F.col("x.n") >= 4 * F.col("y.n")) & (5 * F.col("y.n") >= 4 * F.col("x.n"))
+    met = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.node") > F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & size)
+    return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """Per row of docs: doc_id, component_id (the smallest id reachable), whether it is the row that stays, and the row's number.
 
@@ -270,9 +292,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     An empty table gives no rows; other columns play no part.
 
     A text has 84 keys (see near_keys) and 64 further bits that rule chance meetings out. First each text is compared with the first text of each of its keys, at most 84,
-    which joins large groups. Then the texts of a key are compared that are not yet in one group. Those of the key's largest group are only
-    compared with the others, so a large group is never paired with itself. Texts that look alike and do not link, as many at a similarity of 0.65,
-    are all compared, and their number still counts squared.
+    which joins large groups. The texts that then share a key with one of another group are paired by their rarest shingles alone (see rare_pairs), which loses no link: texts that
+    look alike by a common passage, and differ in what is their own, are never paired.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     columns = [F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")]
@@ -293,15 +314,10 @@ def near_copies(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     links = similar_links(spark, narrow, few)
 
     roots = components(spark, links)
-    placed = shared.join(roots, "node", "left").select("key", "node", "check", F.coalesce("root", "node").alias("root"))
-    placed = scratch_table(spark, placed, "placed")
-    groups = placed.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", "count").alias("largest"), F.count("*").alias("groups"))
-    apart = scratch_table(spark, placed.join(groups.filter("groups > 1"), "key").select(*placed.columns, "largest"), "apart")
-    x, y = apart.filter("root <> largest").hint("merge").alias("x"), apart.hint("merge").alias("y")
-    near = F.bit_count(F.col("x.check").bitwiseXOR(F.col("y.check"))) <= CHECK_BITS
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & near)
-    pairs = pairs.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
-    roots = components(spark, links.unionByName(similar_links(spark, narrow, pairs)))
+    placed = shared.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    groups = placed.groupBy("key").agg(F.min("root").alias("one"), F.max("root").alias("other"))
+    apart = scratch_table(spark, placed.join(groups.filter("one <> other"), "key").select("node", "root").distinct(), "apart")
+    roots = components(spark, links.unionByName(similar_links(spark, narrow, rare_pairs(spark, narrow, apart))))
 
     rooted = texts.join(roots, texts["first.row"] == roots["node"], "left").select("digest", "first", F.coalesce("root", "first.row").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("least"))
