@@ -292,8 +292,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     An empty table gives no rows; other columns play no part.
 
     A text has 84 keys (see near_keys) and 64 further bits that rule chance meetings out. First each text is compared with the first text of each of its keys, at most 84,
-    which joins large groups. The texts that then share a key with one of another group are paired by their rarest shingles alone (see rare_pairs), which loses no link: texts that
-    look alike by a common passage, and differ in what is their own, are never paired.
+    which joins large groups. The texts that then share a key, and most further bits, with one of another group are paired by their rarest shingles alone (see rare_pairs), which
+    loses no link: texts that look alike by a common passage, and differ in what is their own, are never paired.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     columns = [F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")]
@@ -314,9 +314,13 @@ def near_copies(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     links = similar_links(spark, narrow, few)
 
     roots = components(spark, links)
-    placed = shared.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    groups = placed.groupBy("key").agg(F.min("root").alias("one"), F.max("root").alias("other"))
-    apart = scratch_table(spark, placed.join(groups.filter("one <> other"), "key").select("node", "root").distinct(), "apart")
+    placed = scratch_table(spark, shared.join(roots, "node", "left").select("key", "node", "check", F.coalesce("root", "node").alias("root")), "placed")
+    groups = placed.groupBy("key").agg(F.min("root").alias("one"), F.max("root").alias("other")).filter("one <> other").select("key")
+    open_ = scratch_table(spark, placed.join(groups, "key"), "open")
+    x, y = open_.hint("merge").alias("x"), open_.hint("merge").alias("y")
+    near = F.bit_count(F.col("x.check").bitwiseXOR(F.col("y.check"))) <= CHECK_BITS
+    apart = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & near, "left_semi").select("node", "root").distinct()
+    apart = scratch_table(spark, apart, "apart")
     roots = components(spark, links.unionByName(similar_links(spark, narrow, rare_pairs(spark, narrow, apart))))
 
     rooted = texts.join(roots, texts["first.row"] == roots["node"], "left").select("digest", "first", F.coalesce("root", "first.row").alias("root"))
