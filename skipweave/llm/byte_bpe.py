@@ -20,7 +20,7 @@ from skipweave.llm.tokens import cuts, slices, text_buffer, tokenizer_path
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Bytes of text whose pre-tokens share a dictionary; a longer text has one of its own.
-SLICE = 16 << 20
+SLICE = 8 << 20
 #: Bytes of one text that are split at a time.
 STEP = 1 << 18
 #: Pre-tokens of some texts that are stored together; a longer text stands alone.
