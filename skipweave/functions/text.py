@@ -34,9 +34,14 @@ def normalize_term(term: str) -> str:
     return letters
 
 
+def ascii_lower(column: Column) -> Column:
+    """A-Z as a-z, all else as it is."""
+    return F.translate(column, _UPPER, _LOWER)
+
+
 def contains_ascii(column: Column, part: str) -> Column:
     """Whether the text holds `part`; A-Z match a-z, nothing is a wildcard."""
-    return F.contains(F.translate(column, _UPPER, _LOWER), F.lit(part.translate(str.maketrans(_UPPER, _LOWER))))
+    return F.contains(ascii_lower(column), F.lit(part.translate(str.maketrans(_UPPER, _LOWER))))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -51,6 +56,7 @@ def parse_reference(ref: Column) -> dict[str, Column]:
 
     Names are looked up as written; others give their first three characters in upper case.
     """
+    # The three forms of a reference.
     dotted, named, chapter = r"(?i)^([A-Z0-9]{2,3})\.(\d+)\.(\d+)(?:-(\d+))?$", r"^(.+?)\s+(\d+):(\d+)(?:-(\d+))?$", r"(?i)^([A-Z0-9]{2,3})\.(\d+)$"
 
     def group(pattern: str, k: int) -> Column:

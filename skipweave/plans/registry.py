@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from skipweave.functions.text import parse_reference
-from skipweave.operators import crossref, graph, ledger, letters, passages, search, significance
+from skipweave.operators import crossref, graph, ledger, letters, passages, search, significance, vectors, wordindex
 from skipweave.plans import fixtures as fx
 from skipweave.session import scratch_path
 from skipweave.sources import corpus
@@ -69,9 +69,11 @@ def read_range(spark, d):
     return corpus.read_range(fx.verses(spark, d), "LEV", 3, 2, 4).select("book_abbrev", "chapter", "verse", "text")
 
 
-@query(f"WITH {fx.VERSES} SELECT CAST(book_order AS INT) AS book_order, book, book_abbrev FROM books WHERE testament = 'NT'")
+@query(f"WITH {fx.VERSES} SELECT CAST(book_order AS INT) AS book_order, book, book_abbrev, CAST(count(DISTINCT chapter) AS BIGINT) AS chapter_count FROM verses WHERE testament = 'NT' GROUP BY ALL ORDER BY 1")
 def list_books(spark, d):
-    return corpus.list_books(fx.books(spark), "NT").select("book_order", "book", "book_abbrev")
+    """The books that the verses are of, with their chapters."""
+    books = fx.verses(spark, d).groupBy("book_order", "book", "book_abbrev", "testament").agg(F.count_distinct("chapter").alias("chapter_count"))
+    return corpus.list_books(books, "NT").select("book_order", "book", "book_abbrev", "chapter_count")
 
 
 @query(f"WITH {fx.VERSES} SELECT book_abbrev, CAST(count(DISTINCT chapter) AS BIGINT) AS chapter_count, CAST(count(*) AS BIGINT) AS verse_count FROM verses GROUP BY 1")
@@ -730,7 +732,9 @@ def stats_for_search(spark, d):
 
 
 _REFS = ["GEN.1.1", "ROM.8.28-30", "jhn.3.16", "Genesis 1:1", "1 Corinthians 13:4-7", "john 3:16", "GEN.1", "Psalm 23", "nonsense", "Song of Solomon 2:1"]
-_REF_SQL = f"""WITH refs AS (SELECT unnest([{', '.join(f"'{r}'" for r in _REFS)}]) AS ref), names(n, a) AS (VALUES ('Genesis', 'GEN'), ('1 Corinthians', '1CO'), ('Song of Solomon', 'SOS')),
+_REF_SQL = f"""WITH {fx.VERSES}, refs AS (SELECT unnest([{', '.join(f"'{r}'" for r in _REFS)}]) AS ref UNION ALL SELECT CASE (chapter + verse) % 4 WHEN 0 THEN book_abbrev || '.' || chapter || '.' || verse
+  WHEN 1 THEN book || ' ' || chapter || ':' || verse || '-' || (verse + 2) WHEN 2 THEN lower(book_abbrev) || '.' || chapter ELSE substr(text, 1, 12) END FROM verses),
+names(n, a) AS (SELECT book, book_abbrev FROM books UNION VALUES ('1 Corinthians', '1CO'), ('Song of Solomon', 'SOS')),
 m AS (SELECT ref, regexp_extract(ref, '(?i)^([A-Z0-9]{{2,3}})\\.(\\d+)\\.(\\d+)(?:-(\\d+))?$', ['a', 'c', 'v', 'w']) AS x, regexp_extract(ref, '^(.+?)\\s+(\\d+):(\\d+)(?:-(\\d+))?$', ['a', 'c', 'v', 'w']) AS y,
   regexp_extract(ref, '(?i)^([A-Z0-9]{{2,3}})\\.(\\d+)$', ['a', 'c']) AS z FROM refs)
 SELECT ref, CASE WHEN x.a <> '' THEN upper(x.a) WHEN y.a <> '' THEN coalesce(names.a, upper(substr(y.a, 1, 3))) WHEN z.a <> '' THEN upper(z.a) END AS book_abbrev,
@@ -740,7 +744,11 @@ FROM m LEFT JOIN names ON n = y.a"""
 
 @query(_REF_SQL)
 def parse_references(spark, d):
-    refs = spark.createDataFrame([(r,) for r in _REFS], "ref string")
+    """Named references, and those of all verses in one form or another."""
+    form, at = (F.col("chapter") + F.col("verse")) % 4, [F.col("chapter").cast("string"), F.col("verse").cast("string")]
+    ref = F.when(form == 0, F.concat_ws(".", "book_abbrev", *at)).when(form == 1, F.concat("book", F.lit(" "), at[0], F.lit(":"), at[1], F.lit("-"), F.col("verse") + 2))
+    ref = ref.when(form == 2, F.concat(F.lower("book_abbrev"), F.lit("."), at[0])).otherwise(F.substring("text", 1, 12))
+    refs = spark.createDataFrame([(r,) for r in _REFS], "ref string").unionByName(fx.verses(spark, d).select(ref.alias("ref")))
     return refs.select("ref", *(c.alias(k) for k, c in parse_reference(F.col("ref")).items()))
 
 
@@ -881,6 +889,44 @@ def node_keyword(spark, d):
     return graph.node_keyword(fx.nodes(spark, d), "Tion the").select("id", "created_at")
 
 
+@query(f"WITH {fx.GRAPH} SELECT id, created_at FROM nodes WHERE {_FOUND} ORDER BY created_at DESC, id LIMIT 20")
+def node_keyword_indexed(spark, d):
+    """The same rows by an index of trigrams that is built first."""
+    nodes, columns = fx.nodes(spark, d), ["summary", "detail", "context"]
+    folder = wordindex.build_index(nodes, ["id"], columns, scratch_path(spark, "words"))
+    return wordindex.keyword_search(nodes, folder, "Tion the", ["id"], columns).orderBy(F.desc("created_at"), "id").limit(20).select("id", "created_at")
+
+
+@query(f"WITH {fx.VERSES} SELECT {_VERSE} FROM verses WHERE contains(lower(text), 'qu')")
+def scripture_keyword_indexed(spark, d):
+    """All verses with two letters, by the index of trigrams."""
+    verses, keys = fx.verses(spark, d), ["book_abbrev", "chapter", "verse"]
+    folder = wordindex.build_index(verses, keys, ["text"], scratch_path(spark, "words"))
+    return wordindex.keyword_search(verses, folder, "QU", keys, ["text"]).select("book_abbrev", "chapter", "verse", "text")
+
+
+def _queries_of_vectors(spark, d):
+    e = fx.embeddings(spark, d)
+    return e, e.filter("node_id % 50 = 0").select(F.col("node_id").alias("query_id"), F.col("vector").alias("query"))
+
+
+@query(f"""WITH {fx.GRAPH}, pairs AS (SELECT q.node_id AS query_id, v.node_id, list_dot_product(v.vector, q.vector) / (sqrt(list_dot_product(v.vector, v.vector)) * sqrt(list_dot_product(q.vector, q.vector))) AS s
+  FROM vectors v, vectors q WHERE q.node_id % 50 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, node_id) AS nth FROM pairs)
+SELECT query_id, node_id, round(s, 6) AS similarity, CAST(nth AS INT) AS nth FROM r WHERE nth <= 10""")
+def vector_search_all(spark, d):
+    """The ten vectors most similar to each whose id is divisible by 50, from every vector."""
+    e, asked = _queries_of_vectors(spark, d)
+    return vectors.search_all(asked, e).withColumn("similarity", F.round("similarity", 6))
+
+
+@query()
+def vector_search_lists(spark, d):
+    """The same from the lists of an inverted file; a test measures how many it finds."""
+    e, asked = _queries_of_vectors(spark, d)
+    folder = scratch_path(spark, "lists")
+    return vectors.search(asked, folder, *vectors.build_index(e, folder)).withColumn("similarity", F.round("similarity", 6))
+
+
 @query(f"WITH {fx.GRAPH}, f AS (SELECT id, type, created_at FROM nodes WHERE {_FOUND} ORDER BY created_at DESC, id LIMIT 40) SELECT * FROM f WHERE type = 'src0' ORDER BY created_at DESC, id LIMIT 20")
 def node_keyword_typed(spark, d):
     return graph.node_keyword_typed(fx.nodes(spark, d), "tion the", "src0").select("id", "type", "created_at")

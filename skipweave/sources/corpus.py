@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -69,10 +69,9 @@ def list_books(books: DataFrame, testament: str | None = None, translation: str
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of new take the place of rows of old with their keys; of several new ones the last by all columns."""
-    both = old.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)))
-    rest = [F.desc(c) for c in old.columns if c not in keys]
-    rn = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("__new"), *rest))
-    return both.withColumn("__rn", rn).filter("__rn = 1").drop("__rn", "__new")
+    named = lambda t, i: t.select(*(F.col(f"`{c}`").alias(f"k{n}") for n, c in enumerate(keys)), F.struct(F.lit(i).alias("side"), F.struct(*(F.col(f"`{c}`") for c in old.columns)).alias("row")).alias("last"))
+    both = named(old, 0).unionByName(named(new, 1))
+    return both.groupBy(*(f"k{n}" for n in range(len(keys)))).agg(F.max("last").alias("last")).select("last.row.*")
 
 
 def insert_ignore(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -82,10 +81,35 @@ def insert_ignore(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 def merge_metadata(rows: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     """rows with metadata merged: given keys take the new values, others stay. changes has the key and a metadata map."""
-    given = changes.select(key, F.col("metadata").alias("__given"))
-    kept = F.map_filter("metadata", lambda k, v: ~F.array_contains(F.map_keys("__given"), k))
-    merged = F.when(F.col("__given").isNull(), F.col("metadata")).otherwise(F.map_concat(kept, F.col("__given")))
-    return rows.join(given, key, "left").withColumn("metadata", merged).drop("__given")
+    base, given = F.col("row.metadata"), F.col("given")
+    kept = F.map_filter(base, lambda k, v: ~F.array_contains(F.map_keys(given), k))
+    merged = F.when(given.isNull(), base).when(base.isNull(), given).otherwise(F.map_concat(kept, given))
+    both = rows.select(F.col(key).alias("of"), F.struct(*rows.columns).alias("row")).join(changes.select(F.col(key).alias("of"), F.col("metadata").alias("given")), "of", "left")
+    return both.select(*(merged.alias(c) if c == "metadata" else F.col(f"row.`{c}`").alias(c) for c in rows.columns))
+
+
+def update_rows(rows: DataFrame, key: str, value, changes: dict, now: float | None = None) -> DataFrame:
+    """rows with the one of this key changed: plain fields are set, metadata is merged, updated_at is now where rows have it.
+
+    An error where no field is given, a field isn't one of rows, or there is no such row.
+    """
+    given = {c: v for c, v in changes.items() if v is not None}
+    if not given or key in given:
+        raise ValueError("no fields to update")
+    if unknown := set(given) - set(rows.columns):
+        raise ValueError(f"no such fields: {sorted(unknown)}")
+    if not rows.filter(F.col(key) == value).take(1):
+        raise ValueError(f"not found: {value}")
+    metadata = given.pop("metadata", None)
+    if now is not None and "updated_at" in rows.columns:
+        given["updated_at"] = now
+    mine = F.col(key) == value
+    out = rows.withColumns({c: F.when(mine, F.lit(v).cast(rows.schema[c].dataType)).otherwise(F.col(c)) for c, v in given.items()})
+    if metadata is None:
+        return out
+    entries = F.create_map(*(F.lit(x) for pair in metadata.items() for x in pair)).cast(rows.schema["metadata"].dataType)
+    change = rows.sparkSession.range(1).select(F.lit(value).cast(rows.schema[key].dataType).alias(key), entries.alias("metadata"))
+    return merge_metadata(out, change, key)
 
 
 def to_json_lines(rows: DataFrame) -> DataFrame:
