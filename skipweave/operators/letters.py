@@ -11,7 +11,7 @@ from skipweave.session import scratch_table
 #: Letters of a bucket that positions and verses meet in.
 BUCKET = 4096
 #: Chapters that are summed together.
-PART = 4096
+PART = 1024
 #: Letters of a block of a concatenated stream.
 BLOCK = 1 << 16
 # Named scopes and their books.
@@ -30,21 +30,17 @@ def scope_filter(scope: str, abbrevs: set[str] | None = None) -> str:
 def verse_boundaries(verses: DataFrame, scope: str = "full") -> DataFrame:
     """Adds letters, start_pos and end_pos (exclusive) to the verses of a scope; verses without letters are left out.
 
-    Sums run over the verses of a chapter, the chapters of a part of PART, and the parts: what one task sums over all is a row for PART chapters.
+    Sums run over the verses of a part of PART chapters, which are shuffled once, and over the parts: what one task sums over all is a row for PART chapters.
     """
     lettered = verses.filter(scope_filter(scope)).withColumn("letters", letters_of(F.col("text"))).filter("letters <> ''")
-    lettered = lettered.withColumn("n_letters", F.length("letters").cast("long"))
-    chapters = lettered.groupBy("book_order", "chapter").agg(F.sum("n_letters").alias("n")).withColumn("part", F.floor(F.col("chapter") / PART))
-    parts = chapters.groupBy("book_order", "part").agg(F.sum("n").alias("n"))
-    earlier = Window.orderBy("book_order", "part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select("book_order", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("from_parts"))
-    before = Window.partitionBy("book_order", "part").orderBy("chapter").rowsBetween(Window.unboundedPreceding, -1)
-    chapters = chapters.withColumn("from_chapters", F.coalesce(F.sum("n").over(before), F.lit(0))).join(parts, ["book_order", "part"])
-    chapters = chapters.select("book_order", "chapter", (F.col("from_parts") + F.col("from_chapters")).alias("base"))
-    within = Window.partitionBy("book_order", "chapter").orderBy("verse").rowsBetween(Window.unboundedPreceding, 0)
-    out = lettered.withColumn("upto", F.sum("n_letters").over(within)).join(chapters, ["book_order", "chapter"])
-    end = F.col("base") + F.col("upto")
-    return out.withColumn("end_pos", end).withColumn("start_pos", end - F.col("n_letters")).drop("base", "upto")
+    lettered = lettered.withColumn("n_letters", F.length("letters").cast("long")).withColumn("__part", F.floor(F.col("chapter") / PART))
+    earlier = Window.orderBy("book_order", "__part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = lettered.groupBy("book_order", "__part").agg(F.sum("n_letters").alias("n"))
+    parts = parts.select("book_order", "__part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__base"))
+    within = Window.partitionBy("book_order", "__part").orderBy("chapter", "verse").rowsBetween(Window.unboundedPreceding, 0)
+    out = lettered.withColumn("__upto", F.sum("n_letters").over(within)).join(parts, ["book_order", "__part"])
+    end = F.col("__base") + F.col("__upto")
+    return out.withColumn("end_pos", end).withColumn("start_pos", end - F.col("n_letters")).drop("__base", "__upto", "__part")
 
 
 def stored_boundaries(verses: DataFrame, scope: str = "full") -> DataFrame:
