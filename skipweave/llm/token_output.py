@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skipweave.llm.common import numbered, ROW
+from skipweave.llm.common import numbered, ROW, scratch_table
 from skipweave.llm.tokens import encoder, slices, tokenizer_path
 from skipweave.session import scratch_path
 
@@ -126,6 +126,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
             yield frame
 
     pieces = chunks.mapInPandas(decode, f"shard int, doc_id {kind}, at long, chunk long, n_tokens long, ids_crc32 long, piece binary")
+    pieces = scratch_table(spark, pieces, "pieces")  # read twice, decoded once
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
         crc = 0

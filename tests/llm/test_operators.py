@@ -5,6 +5,7 @@ import math
 import os
 import re
 import string
+import time
 import zlib
 from unittest import mock
 
@@ -14,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from skipweave.llm import exact_dedup, language, license_scan, lm_score, packing, pieces, quality_rules, simhash, token_output, url_filter
+from skipweave.llm import components, exact_dedup, language, license_scan, lm_score, packing, pieces, quality_rules, simhash, token_output, url_filter
 from skipweave.llm.tokens import tokenizer_path
 from skipweave.session import scratch_path
 
@@ -185,6 +186,37 @@ def test_license_places_are_verified_word_by_word(spark):
     assert (r.n_words, r.n_base, r.labels, r.score) == (3, 0, "", 0.0)
 
 
+def test_license_scan_is_linear_in_a_texts_length(spark):
+    """Texts of 50,000 and 200,000 words: the longer one takes a few times as long, where a square would take sixteen times."""
+    took = []
+    for n in (50_000, 200_000):
+        words = ["cc", "by", "so", "licensed", "under"] * (n // 5)
+        path = scratch_path(spark, "long")
+        spark.createDataFrame([(1, " ".join(words))], "doc_id int, text string").write.parquet(path)
+        began = time.monotonic()
+        r = license_scan.license_scan(spark, spark.read.parquet(path)).first()
+        took.append(time.monotonic() - began)
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == (n, n // 5, 0, n - 5, "cc-by")
+    assert took[1] < 30 and took[1] < 8 * took[0] + 2
+
+
+def test_components(spark):
+    """A chain, a star, a ring, two nodes that only meet themselves, links both ways and given twice; and too few rounds."""
+    links = [(i, i + 1) for i in range(100, 140)] + [(7, i) for i in range(200, 300)] + [(i, 400 + (i - 399) % 9) for i in range(400, 409)] + [(5, 5), (6, 6), (301, 300), (300, 301), (300, 301)]
+    group = {}
+    for a, b in links:
+        group.setdefault(a, {a}), group.setdefault(b, {b})
+        both = group[a] | group[b]
+        for x in both:
+            group[x] = both
+    frame = spark.createDataFrame(links, "a long, b long").repartition(3)
+    got = {r.node: r.root for r in components.components(spark, frame).collect()}
+    assert got == {x: min(g) for x, g in group.items() if len(g) > 1}  # a node alone has no link and isn't listed
+    assert components.components(spark, frame.limit(0)).count() == 0
+    with pytest.raises(RuntimeError):
+        components.components(spark, frame, rounds=1)
+
+
 def test_license_notices_bear_an_inserted_word(spark):
     text = license_scan.NOTICES[0][0].split()
     text.insert(len(text) // 2, "however")
