@@ -354,6 +354,55 @@ def test_url_filter(spark):
     assert url_filter.url_filter(spark, spark.read.parquet(path).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("sample", [1, 200])
+def test_url_filter_with_nested_rules(spark, monkeypatch, sample):
+    """Rules within rules, ties of length and of verdicts, text ids, repeated rows, and one host with most pages, cut into many ranges."""
+    monkeypatch.setattr(url_filter, "SAMPLE", sample)
+    rng = np.random.default_rng(sample)
+    hosts = ["a", "b.a", "c.b.a", "bb.a", "d", "a.d", "b"]
+    rules = {(str(rng.choice(["allow", "block"])), str(rng.choice(hosts)), str(rng.choice(["/", "/x", "/x/", "/x/y", "", "/z"]))) for _ in range(25)}
+    rules |= {("block", "b.a", "/x"), ("allow", "b.a", "/x"), ("allow", "bb.a", "/x"), ("block", "a", "/x/yy")}
+    urls = [f"http://{rng.choice(hosts + ['e.c.b.a', 'A', 'xa'])}{rng.choice(['', '/', '/x', '/x/y', '/x/yy?q', '/zz', '/X'])}" for _ in range(120)] + ["http://b.a/x/y"] * 80 + [None, ""]
+    path = scratch_path(spark, "pages")
+    spark.createDataFrame([(f"p{i}", u, i) for i, u in enumerate(urls)] + [("p0", urls[0], 7)], "page_id string, url string, part int").repartition(3).write.parquet(path)
+    frame = spark.createDataFrame(sorted(rules), "verdict string, host string, path string")
+    got = url_filter.url_filter(spark, spark.read.parquet(path), frame, default="none").collect()
+    assert len(got) == len(urls) + 1
+    for r in got:
+        fit = [(len(h + p), len(h), v == "block", h + p, v) for v, h, p in rules if (r.host == h or r.host.endswith("." + h)) and r.path.startswith(p)]
+        best = max(fit, default=(0, 0, False, None, "none"))
+        assert (r.rule, r.verdict) == best[3:], (r, fit)
+    assert {r.verdict for r in url_filter.url_filter(spark, spark.read.parquet(path), frame.limit(0), default="none").collect()} == {"none"}
+
+
+def test_quality_verdicts_equal_loops(spark):
+    """llr and kept of every text by plain counts of hashed words and pairs."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"{'good' if k % 3 else 'bad'}{int(x)}" for x in rng.integers(0, 30, int(rng.integers(40, 90)))) for k in range(40)] + ["", None, "one"]
+    path = scratch_path(spark, "judged")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).write.parquet(path)
+    trusted = [i for i in range(40) if i % 3][:12]
+    got = {r.doc_id: r for r in quality_rules.quality_rules(spark, spark.read.parquet(path), spark.createDataFrame([(i,) for i in trusted], "id long"), buckets=64).collect()}
+
+    def grams(text):
+        w = [x.encode() for x in re.findall(WORDS, text or "")]
+        signed = lambda h: h - (1 << 64) if h >> 63 else h
+        one = [xxhash.xxh64_intdigest(x, 42) for x in w]
+        return [signed(h) % 64 for h in one] + [signed(xxhash.xxh64_intdigest(b, h)) % 64 for h, b in zip(one, w[1:], strict=False)]
+
+    raw, good = ([1 + n for n in np.bincount([g for i in ids for g in grams(texts[i])], minlength=64).tolist()] for ids in (range(len(texts)), trusted))
+    weight = [round(math.log(g / sum(good)) - math.log(r / sum(raw)), 6) for g, r in zip(good, raw, strict=True)]
+    verdicts = set()
+    for i, t in enumerate(texts):
+        found = grams(t)
+        llr = sum(weight[g] for g in found) / max(len(found), 1)
+        assert math.isclose(got[i].llr, llr, abs_tol=1e-5)
+        if abs(llr - quality_rules.THRESHOLD) > 1e-4:
+            assert got[i].kept == (not got[i].base_failed and llr >= quality_rules.THRESHOLD)
+        verdicts.add((got[i].base_failed, got[i].kept))
+    assert verdicts == {(True, False), (False, True), (False, False)}
+
+
 def test_simhash(spark, docs, none):
     got = simhash.simhash_groups(spark, docs).collect()
     prints = []
