@@ -139,7 +139,7 @@ def windows_of(b: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     begin = offsets[:-1][doc] + nth * WINDOW
     places = begin[:, None] + np.arange(WINDOW + max(WIDTHS) - 1)
     inside = places < offsets[1:][doc][:, None]
-    return np.where(inside, b[np.minimum(places, len(b) - 1)], 256) if len(b) else np.zeros((0, places.shape[1]), np.int64), doc
+    return np.where(inside, b[np.minimum(places, len(b) - 1)].astype(np.int16), np.int16(256)) if len(b) else np.zeros((0, places.shape[1]), np.int16), doc
 
 
 def training_rows(docs: DataFrame, most: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

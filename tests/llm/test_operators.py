@@ -510,6 +510,34 @@ def test_language(spark, docs, none):
     assert language.predict_languages(spark, none, language.fit(none)).count() == 0
 
 
+def test_language_predictions_equal_loops(spark):
+    """Each row's language and score by loops over windows, places and filters: null, without letters, short, and longer than a window."""
+    net, langs = language.ByteConvNet(3, seed=9), ["de", "en", "fr"]
+    rng = np.random.default_rng(1)
+    texts = [None, "", "12 !", "a", "ab", "字", "Die Straße", PROSE[:300], "".join(rng.choice(list("abcdé ñ字"), language.WINDOW * 2 + 3)), "x" * language.WINDOW]
+    path = scratch_path(spark, "languages")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).write.parquet(path)
+    p, deep = {k: v.astype(np.float64) for k, v in net.p.items()}, max(language.WIDTHS)
+    for r in language.predict_languages(spark, spark.read.parquet(path), (langs, net)).collect():
+        text = texts[r.doc_id]
+        if text is None or not any(c.isalpha() for c in text):
+            assert (r.lang_pred, r.score) == (language.UNKNOWN, 0.0)
+            continue
+        raw, total = text.encode(), np.zeros(3)
+        starts = range(0, len(raw), language.WINDOW)
+        for begin in starts:
+            values = [raw[k] if k < len(raw) else 256 for k in range(begin, begin + language.WINDOW + deep - 1)]
+            pooled = []
+            for w in net.widths:
+                places = [k for k in range(language.WINDOW) if values[k] != 256]
+                y = np.array([np.concatenate([p["e"][v] for v in values[k : k + w]]) @ p[f"k{w}"] for k in places])
+                pooled.append(np.maximum(y.max(axis=0) + p[f"b{w}"], 0))
+            z = np.exp(np.concatenate(pooled) @ p["v"] + p["c"])
+            total += z / z.sum()
+        total /= len(starts)
+        assert r.lang_pred == langs[int(total.argmax())] and math.isclose(r.score, total.max(), rel_tol=1e-4), r
+
+
 def test_language_rows_are_bounded_whatever_the_ids(spark):
     """One text id on many rows, null languages, and names that the operator uses itself."""
     rows = [("one", f"text number {k} " * 40, "en" if k % 3 else "xx", "a", "b") for k in range(60)] + [("one", "text number 1 " * 40, "en", "a", "b")] * 30 + [(None, "x", None, "a", "b")]
