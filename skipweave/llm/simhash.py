@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skipweave.llm.common import ROW, numbered, scratch_table, stored_numbered
+from skipweave.llm.common import ROW, discard, numbered, scratch_table, stored, stored_numbered
 from skipweave.llm.components import components
 from skipweave.llm.tokens import slices
 
@@ -249,16 +249,19 @@ def similar_links(spark: SparkSession, texts: DataFrame, pairs: DataFrame) -> Da
 
     Only texts that are in a pair are cut into shingles. A row b of many pairs is copied, one copy for each PER_COPY of them.
     """
-    pairs = scratch_table(spark, pairs, "pairs")
+    pairs, pairs_at = stored(spark, pairs, "pairs")
     named = pairs.select("a").union(pairs.select("b")).distinct()
     sets = texts.join(named, texts[ROW] == named["a"], "left_semi").select(ROW, "text").mapInArrow(_sets, "node long, shingles array<long>")
-    sets = scratch_table(spark, sets, "sets")
+    sets, sets_at = stored(spark, sets, "sets")
     copies = pairs.groupBy("b").agg(F.ceil(F.count("*") / PER_COPY).alias("copies"))
     right = sets.join(copies, sets["node"] == copies["b"]).select("b", F.col("shingles").alias("right"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
     spread = pairs.join(copies, "b").select("a", "b", F.pmod(F.xxhash64("a"), "copies").alias("copy"))
     both = spread.join(right, ["b", "copy"]).join(sets, F.col("a") == F.col("node"))
     common, total = F.size(F.array_intersect("shingles", "right")), F.size("shingles") + F.size("right")
-    return scratch_table(spark, both.filter(9 * common >= 4 * total).select("a", "b"), "similar")  # common / (total - common) >= 0.8
+    similar = scratch_table(spark, both.filter(9 * common >= 4 * total).select("a", "b"), "similar")  # common / (total - common) >= 0.8
+    for path in (pairs_at, sets_at):
+        discard(spark, path)
+    return similar
 
 
 def rare_pairs(spark: SparkSession, texts: DataFrame, asked: DataFrame) -> DataFrame:
@@ -269,18 +272,21 @@ def rare_pairs(spark: SparkSession, texts: DataFrame, asked: DataFrame) -> DataF
     again, so a shingle that many texts share makes pairs only for texts that have little else.
     """
     sets = texts.join(asked, texts[ROW] == asked["node"], "left_semi").select(ROW, "text").mapInArrow(_sets, "node long, shingles array<long>")
-    sets = scratch_table(spark, sets, "rare_sets")
+    sets, sets_at = stored(spark, sets, "rare_sets")
     posted = sets.select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
     often = posted.groupBy("shingle").agg(F.count("*").alias("often")).filter("often > 1")
     posted = posted.join(often.hint("merge"), "shingle")
     of = Window.partitionBy("node")
     nth = F.row_number().over(of.orderBy("often", "shingle")) + F.col("n") - F.count("*").over(of)
     first = posted.withColumn("nth", nth).filter(F.col("nth") <= F.col("n") - F.ceil(F.col("n") * 4 / 5) + 1).select("shingle", "node", "n")
-    first = scratch_table(spark, first.join(asked, "node"), "rare")
+    first, first_at = stored(spark, first.join(asked, "node"), "rare")
+    discard(spark, sets_at)
     x, y = first.hint("merge").alias("x"), first.hint("merge").alias("y")
     size = (5 * F.col("x.n") >= 4 * F.col("y.n")) & (5 * F.col("y.n") >= 4 * F.col("x.n"))
     met = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.node") > F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & size)
-    return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    pairs = scratch_table(spark, met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "rare_pairs")
+    discard(spark, first_at)
+    return pairs
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
@@ -308,19 +314,22 @@ def near_copies(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
 
     keyed = nodes.select(F.explode("keys").alias("key"), "node", "check")
     met = keyed.groupBy("key").agg(F.min(F.struct("node", "check")).alias("lead"), F.count("*").alias("n")).filter("n > 1").select("key", "lead")
-    shared = scratch_table(spark, keyed.hint("merge").join(met.hint("merge"), "key"), "shared")
+    shared, shared_at = stored(spark, keyed.hint("merge").join(met.hint("merge"), "key"), "shared")
     likely = shared.filter(F.bit_count(F.col("check").bitwiseXOR(F.col("lead.check"))) <= CHECK_BITS).filter("node <> lead.node")
     few = likely.select(F.col("node").alias("a"), F.col("lead.node").alias("b")).distinct()
     links = similar_links(spark, narrow, few)
 
     roots = components(spark, links)
-    placed = scratch_table(spark, shared.join(roots, "node", "left").select("key", "node", "check", F.coalesce("root", "node").alias("root")), "placed")
+    placed, placed_at = stored(spark, shared.join(roots, "node", "left").select("key", "node", "check", F.coalesce("root", "node").alias("root")), "placed")
+    discard(spark, shared_at)
     groups = placed.groupBy("key").agg(F.min("root").alias("one"), F.max("root").alias("other")).filter("one <> other").select("key")
-    open_ = scratch_table(spark, placed.join(groups, "key"), "open")
+    open_, open_at = stored(spark, placed.join(groups, "key"), "open")
+    discard(spark, placed_at)
     x, y = open_.hint("merge").alias("x"), open_.hint("merge").alias("y")
     near = F.bit_count(F.col("x.check").bitwiseXOR(F.col("y.check"))) <= CHECK_BITS
     apart = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & near, "left_semi").select("node", "root").distinct()
     apart = scratch_table(spark, apart, "apart")
+    discard(spark, open_at)
     roots = components(spark, links.unionByName(similar_links(spark, narrow, rare_pairs(spark, narrow, apart))))
 
     rooted = texts.join(roots, texts["first.row"] == roots["node"], "left").select("digest", "first", F.coalesce("root", "first.row").alias("root"))
