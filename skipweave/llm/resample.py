@@ -110,7 +110,7 @@ def count_buckets(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     """total, doc_id, n_words, buckets, counts: each text's n-gram counts by bucket, and, marked as total, those of each slice of texts; stored as Parquet.
 
     DuckDB splits words, makes the runs of one and two of them by a window and counts, for some megabytes of text at a time; zlib's CRC is
-    a function that it calls for each distinct word of a slice. Null texts have none.
+    a function that it calls for each distinct word of a slice. What DuckDB spills is a task's own and goes with it; results leave by Spark's writer alone. Null texts have none.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
