@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import Any
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -134,7 +136,7 @@ def _sums_of_spans(begin: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
 def _windows(window: int, min_terms: int):
     names = ["stream_id", "hit_id", "region_start", "region_end", "distinct_terms", "total_hits", "spread", "terms"]
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         """Rows of the block before are there only as the beginning of windows."""
         pdf = pdf.sort_values(["position", "term", "skip", "direction", "hit_id"], kind="stable")
         pos, n = pdf["position"].to_numpy(), len(pdf)
@@ -173,7 +175,7 @@ BESIDE = 256
 
 
 def _choose(window: int, length: int):
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         """Settles what the regions of a stretch decide among themselves. Open regions beyond its ends hold back those near them that are worse."""
         pdf = pdf.sort_values(["rank", "tight", "from", "hit_id"], kind="stable")
         low = key[1] * length
@@ -294,7 +296,7 @@ PLACES = 1 << 16
 
 
 def _shared(size: int):
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         """The counts of a term by place, looked up at the places of all terms: a sum for each two terms, and no row for each two letters."""
         term, spelled = pd.factorize(pdf["term"], sort=True)
         at = (pdf["position"] - key[1] * size).to_numpy()
@@ -363,7 +365,7 @@ def pairs_once_per_skip(hits_a: DataFrame, hits_b: DataFrame, width: int) -> Dat
 
 
 def _tightest(terms: tuple[str, str, str], close: int):
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         """Each value of the bucket as the smallest of three: the next ones of the other two terms make the tightest three that begin there."""
         values = [np.unique(pdf.loc[pdf["nth"] == i, "m"].to_numpy()) for i in range(3)]
         found = []
@@ -399,7 +401,7 @@ def triple_cluster(hits: DataFrame, terms: tuple[str, str, str], wide: int = 20_
 
 
 def _ahead(window: int, n: int):
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         """A row stands for its term in the windows that begin after the one before of its term, and reach it."""
         pdf = pdf.sort_values(["term", "middle"], kind="stable")
         m, term = pdf["middle"].to_numpy(), pd.factorize(pdf["term"])[0]
