@@ -326,7 +326,8 @@ def sweep(hits: DataFrame, max_distance: int = 500, least: int = 4, most: int =
 
     score is 1000 a shared letter, and what the distance leaves of max_distance. shared counts B's letters on the set of A's; hits_a and hits_b are the terms' hits.
     """
-    usable = without_noise(hits.filter(F.length("term") >= least), most)
+    usable = without_noise(hits.filter(F.length("term") >= least), most).select("stream_id", "term", "start", "positions")
+    usable = scratch_table(hits.sparkSession, usable, "swept")  # read by all three parts
     both = nearest_between_terms(usable, F.col("start"), max_distance).join(shared_counts(usable), ["stream_id", "term_a", "term_b"], "full")
     counts = usable.groupBy("stream_id", "term").agg(F.count("*").alias("n"))
     for side in ("a", "b"):
