@@ -259,3 +259,11 @@ def test_positions_keep_columns_of_their_own(spark, bounded):
     asked = spark.createDataFrame([(0, "x", 7, 3)], "position long, letter string, verse int, bucket int")
     r = letters.positions_to_verses(asked, bounded).first()
     assert (r.letter, r.verse, r.bucket, r.letter_at, r.reference) == ("x", 7, 3, "I", "GEN 1:1")
+
+
+def test_report_counts_all_hits_beyond_the_cap(spark):
+    """The cap says whether a search was capped; the number of hits is that of all."""
+    text, bounded = random_stream(spark, 3000, "TIONAE", 6)
+    every = brute(text, "TIO", 1, 9)
+    got = search.search_report(bounded, "TIO", 1, 9, n=3, cap=5).collect()
+    assert len(every) > 5 and {(r.hit_count, r.capped) for r in got} == {(len(every), True)}
