@@ -133,3 +133,14 @@ def test_triples_of_ten_thousand_midpoints(spark):
         if None not in last and (best is None or m - min(last) < best):
             best = m - min(last)
     assert got.spread == best == max(got.m1, got.m2, got.m3) - min(got.m1, got.m2, got.m3)
+
+
+def test_sweeps_of_queries_take_frequent_terms(spark, monkeypatch):
+    """Terms with more hits than NOISE are swept too where the query's SQL has no such limit."""
+    from skipweave.plans import fixtures, registry
+
+    rows = made(6, 60)
+    monkeypatch.setattr(crossref.sweep, "__defaults__", (500, 4, 3))
+    monkeypatch.setattr(fixtures, "hits", lambda spark, d: spark.createDataFrame(rows, HITS))
+    assert crossref.sweep(spark.createDataFrame(rows, HITS), 50).count() < registry.queries()["sweep_pairs"](spark, "").count()
+    assert registry.queries()["sweep_top"](spark, "").count() > 0
