@@ -144,3 +144,53 @@ def test_sweeps_of_queries_take_frequent_terms(spark, monkeypatch):
     monkeypatch.setattr(fixtures, "hits", lambda spark, d: spark.createDataFrame(rows, HITS))
     assert crossref.sweep(spark.createDataFrame(rows, HITS), 50).count() < registry.queries()["sweep_pairs"](spark, "").count()
     assert registry.queries()["sweep_top"](spark, "").count() > 0
+
+
+def paired(a, b, width):
+    """All pairs of hits with their closest letters, by loops."""
+    out = []
+    for x in a:
+        for y in b:
+            d, _, _, pa, pb = min((abs(p - q), i, j, p, q) for i, p in enumerate(x[6]) for j, q in enumerate(y[6]))
+            if d <= width:
+                out.append((d, tuple(x[2:6]), tuple(y[2:6]), pa, pb))
+    return sorted(out)
+
+
+def flat(rows):
+    return [(r.distance, tuple(r.a), tuple(r.b), r.pos_a, r.pos_b) for r in rows]
+
+
+@pytest.mark.parametrize(("strip", "span"), [(64, 300), (1 << 13, 20_000)])
+def test_pairs_equal_loops(spark, monkeypatch, strip, span):
+    """Crowded and scattered hits, and copies of one place; no operator has its pairs shuffled."""
+    monkeypatch.setattr(crossref, "STRIP", strip)
+    rows = made(11, 120, "AB", span) + [("s", t, 150, 2, "forward", 900 + i, [150, 152, 154, 156]) for i, t in enumerate(["TERMA", "TERMB"] * 15)]
+    a, b = ([r for r in rows if r[1] == t] for t in ("TERMA", "TERMB"))
+    one, two = (spark.createDataFrame(x, HITS) for x in (a, b))
+    for width in (12,):
+        every = paired(a, b, width)
+        near = crossref.pairs_within(one, two, width)
+        plan = near._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and plan.count("hashpartitioning") == 1
+        assert sorted(flat(near.collect())) == every
+        for n in (1, 400):
+            assert flat(crossref.closest_within(one, two, n, width).collect()) == every[:n]
+        best = {}
+        for d, x, y, _, _ in every:
+            key = (x[1], y[1], x[2], y[2])
+            best[key] = min(best.get(key, (d, x[0], y[0])), (d, x[0], y[0]))
+        assert {tuple(r) for r in crossref.pairs_once_per_skip(one, two, width).collect()} == {(*k, *v) for k, v in best.items()}
+    assert flat(crossref.closest_pairs(one, two, 25, first=1).collect()) == paired(a, b, 1 << 30)[:25]
+    assert not crossref.closest_pairs(one, two.limit(0)).collect() and not crossref.pairs_within(one, two.limit(0), 5).collect() and not crossref.pairs_once_per_skip(one.limit(0), two, 5).collect()
+
+
+def test_pairs_with_verses_name_their_letters(spark):
+    rows = made(12, 60, "AB", 300)
+    a, b = (spark.createDataFrame([r for r in rows if r[1] == t], HITS) for t in ("TERMA", "TERMB"))
+    verses = [(1, "GEN", 1, v, "abcdefghij" * 10) for v in range(1, 4)]  # letters beyond the last verse have none
+    bounded = letters.verse_boundaries(spark.createDataFrame(verses, "book_order int, book_abbrev string, chapter int, verse int, text string"))
+    got = crossref.pairs_with_verses(a, b, 20, bounded).collect()
+    assert sorted(flat(got)) == sorted(flat(crossref.pairs_within(a, b, 20).collect())) and {r.verse_a for r in got} >= {None, "GEN 1:2"}
+    named = lambda p: f"GEN 1:{p // 100 + 1}" if 0 <= p < 300 else None
+    assert all((r.verse_a, r.verse_b) == (named(r.pos_a), named(r.pos_b)) for r in got)
