@@ -9,8 +9,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skipweave.functions.text import cosine
-
 #: Vectors that centroids are fitted to at most, the smallest by hash; every vector is put in a list.
 SAMPLE = 20_000
 #: The most lists, and rounds of the fit.
@@ -55,7 +53,8 @@ def _lists(centroids: np.ndarray, vector_col: str, read: int):
     def run(frames):
         for pdf in frames:
             if len(pdf):
-                near = np.argsort(-(_units(pdf[vector_col]) @ centroids.T), axis=1, kind="stable")[:, :read]
+                nearness = _units(pdf[vector_col]) @ centroids.T
+                near = nearness.argmax(axis=1)[:, None] if read == 1 else np.argsort(-nearness, axis=1, kind="stable")[:, :read]
                 yield pdf.assign(lists=list(near.astype(np.int32)))
 
     return run
@@ -82,21 +81,103 @@ def ranked(scored: DataFrame, query_id: str, id_col: str, k: int) -> DataFrame:
     return scored.withColumn("nth", rn).filter(F.col("nth") <= k)
 
 
-def search(queries: DataFrame, folder: str, centroids: np.ndarray, read: int, k: int = 10, id_col: str = "node_id", vector_col: str = "vector") -> DataFrame:
-    """query_id, id, similarity, nth: the k most similar vectors of the lists that each query (query_id, query) reads.
+def _dense(vectors) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(length of each vector, -1 for a null; components, padded with zeros; norms)."""
+    size = np.array([-1 if v is None else len(v) for v in vectors], np.int64)
+    x = np.zeros((len(size), max(int(size.max(initial=0)), 1)))
+    for i, v in enumerate(vectors):
+        if size[i] > 0:
+            x[i, : size[i]] = np.asarray(v, np.float64)
+    return size, x, np.sqrt(_in_order(x, x))
+
+
+def _in_order(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Dot products of rows, summed component by component as `cosine` does, so that equal vectors have equal ones wherever they lie."""
+    out = np.zeros(len(x))
+    with np.errstate(all="ignore"):
+        for k in range(x.shape[1]):
+            out += x[:, k] * y[:, k]
+    return out
+
+
+#: Similarities of a tile, those measured exactly at a time, what rounding may make of one, and vectors and queries of a block.
+TILE, SIDE, SLACK, HELD, ASKING = 1 << 22, 1 << 16, 1e-9, 1 << 14, 1 << 12
+
+
+def _best(k: int, id_col: str, vector_col: str):
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        """Of a block of vectors each query's k best: matrix products say which may be among them, and those are measured exactly."""
+        names, out = ["query_id", id_col, "similarity", "nan"], []
+        if not len(left) or not len(right):
+            return pd.DataFrame({n: [] for n in names})
+        ids, held, asked = left[id_col].to_numpy(), left[vector_col].tolist(), right["query"].tolist()
+        order = np.argsort(ids, kind="stable")
+        (size, x, norm), (size_q, q, norm_q) = _dense(held), _dense(asked)
+        width = max(x.shape[1], q.shape[1])
+        x, q = (np.pad(t, ((0, 0), (0, width - t.shape[1]))) for t in (x, q))
+        with np.errstate(all="ignore"):
+            odd, odd_q = (~np.isfinite(n) | ((n > 0) & ((n < 1e-100) | (n > 1e100))) for n in (norm, norm_q))
+            unit, unit_q = (np.where(((n > 0) & ~o)[:, None], t / n[:, None], 0) for t, n, o in ((x, norm, odd), (q, norm_q, odd_q)))
+        step, top = max(1, TILE // len(x)), min(k, len(x))
+        for i in range(0, len(q), step):
+            near = unit_q[i : i + step] @ unit.T
+            near[size_q[i : i + step, None] != size[None]] = 0
+            near[(odd[None] | odd_q[i : i + step, None]) & (size_q[i : i + step, None] == size[None]) & (size[None] >= 0)] = 2  # measured in any case
+            usual = np.where(near > 1, -2, near)
+            least = np.partition(usual, len(x) - top, axis=1)[:, len(x) - top]
+            row, col = np.nonzero(near >= least[:, None] - SLACK)
+            same = size_q[row + i] == size[col]
+            dots = np.concatenate([_in_order(x[col[j : j + SIDE]], q[row[j : j + SIDE] + i]) for j in range(0, len(row), SIDE)])
+            with np.errstate(all="ignore"):
+                n = norm_q[row + i] * norm[col]
+                value = np.where(same & (size[col] >= 0) & ((n > 0) | np.isnan(n)), dots / n, 0.0)
+            rank = np.where(np.isnan(value), -np.inf, -value)
+            place = np.empty(len(ids), np.int64)
+            place[order] = np.arange(len(ids))
+            best = np.lexsort((place[col], rank, row))
+            nth = np.arange(len(best)) - np.searchsorted(row[best], row[best])
+            best = best[nth < k]
+            out.append(pd.DataFrame({"query_id": right["query_id"].to_numpy()[row[best] + i], id_col: ids[col[best]], "similarity": value[best], "nan": np.isnan(value[best])}))
+        return pd.concat(out, ignore_index=True)
 
-    A list meets the queries that read it in a join on its number; similarities are exact cosines in the JVM, and each query's best are ranked apart.
-    """
-    asked = in_lists(queries, centroids, "query", read).select("query_id", "query", F.explode("lists").alias("list"))
-    held = queries.sparkSession.read.parquet(f"{folder}/lists")
-    scored = held.join(asked, "list").select("query_id", id_col, cosine(F.col(vector_col), F.col("query")).alias("similarity"))
+    return run
+
+
+def _meet(held: DataFrame, asked: DataFrame, keys: list[str], k: int, id_col: str, vector_col: str) -> DataFrame:
+    """The k best of each query among the vectors that it shares keys with, and then of all these."""
+    types = dict(held.dtypes), dict(asked.dtypes)
+    whole = lambda c: F.when(~F.exists(c, lambda v: v.isNull()), F.col(c))  # noqa: E731  a vector with a null component has similarity 0, as a null has
+    held, asked = held.withColumn(vector_col, whole(vector_col)), asked.withColumn("query", whole("query"))
+    schema = f"query_id {types[1]['query_id']}, `{id_col}` {types[0][id_col]}, similarity double, nan boolean"
+    scored = held.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(_best(k, id_col, vector_col), schema)
+    scored = scored.select("query_id", id_col, F.when(F.col("nan"), float("nan")).otherwise(F.col("similarity")).alias("similarity"))  # pandas has a null for it
     return ranked(scored, "query_id", id_col, k)
 
 
-def search_all(queries: DataFrame, vectors: DataFrame, k: int = 10, parts: int = 16, id_col: str = "node_id", vector_col: str = "vector") -> DataFrame:
-    """The same from every vector: queries meet each block of vectors, a block's k best are ranked first. It is what the index is measured against."""
-    asked = queries.select("query_id", "query", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("block"))
-    blocks = vectors.select(id_col, vector_col, F.pmod(F.xxhash64(F.col(id_col)), F.lit(parts)).cast("int").alias("block"))
-    scored = blocks.join(asked, "block").select("query_id", "block", id_col, cosine(F.col(vector_col), F.col("query")).alias("similarity"))
-    rn = F.row_number().over(Window.partitionBy("query_id", "block").orderBy(F.desc("similarity"), id_col))
-    return ranked(scored.withColumn("nth", rn).filter(F.col("nth") <= k).drop("nth", "block"), "query_id", id_col, k)
+def _parts(rows: int, size: int) -> int:
+    return max(1, -(-rows // size))
+
+
+def search(queries: DataFrame, folder: str, centroids: np.ndarray, read: int, k: int = 10, id_col: str = "node_id", vector_col: str = "vector") -> DataFrame:
+    """query_id, id, similarity, nth: the k most similar vectors of the lists that each query (query_id, query) reads.
+
+    Lists are cut by ids into parts of some HELD vectors. A part meets the queries that read its list, ASKING at a time, in matrix products; similarities are exact cosines.
+    """
+    lists = queries.sparkSession.read.parquet(f"{folder}/lists")
+    longest = lists.groupBy("list").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    cuts, turns = _parts(longest, HELD), _parts(queries.count(), ASKING)
+    number = lambda c, n: F.pmod(F.xxhash64(F.col(c)), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = in_lists(queries, centroids, "query", read).select("query_id", "query", F.explode("lists").alias("list"), number("query_id", turns).alias("turn")).withColumn("part", every(cuts))
+    held = lists.select(id_col, vector_col, "list", number(id_col, cuts).alias("part")).withColumn("turn", every(turns))
+    return _meet(held, asked, ["list", "part", "turn"], k, id_col, vector_col)
+
+
+def search_all(queries: DataFrame, vectors: DataFrame, k: int = 10, parts: int | None = None, id_col: str = "node_id", vector_col: str = "vector") -> DataFrame:
+    """The same from every vector: each part of the vectors meets all queries, ASKING at a time, in matrix products. It is what the index is measured against."""
+    cuts, turns = parts or max(16, _parts(vectors.count(), HELD)), _parts(queries.count(), ASKING)
+    number = lambda c, n: F.pmod(F.xxhash64(F.col(c)), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = queries.select("query_id", "query", number("query_id", turns).alias("turn")).withColumn("part", every(cuts))
+    held = vectors.select(id_col, vector_col, number(id_col, cuts).alias("part")).withColumn("turn", every(turns))
+    return _meet(held, asked, ["part", "turn"], k, id_col, vector_col)

@@ -118,3 +118,20 @@ def test_changes_take_columns_of_any_name(spark):
     assert {tuple(r) for r in corpus.upsert(old, new, ["of"]).collect()} == {(1, *"abcde", 1, 1), (2, *"vwxyz", 3, 3)}
     base = spark.createDataFrame([(1, {"a": "1"}, "r", "g", "b")], "of int, metadata map<string,string>, row string, given string, __given string")
     assert [tuple(r) for r in corpus.merge_metadata(base, base.select("of", F.create_map(F.lit("a"), F.lit("2")).alias("metadata")), "of").collect()] == [(1, {"a": "2"}, "r", "g", "b")]
+
+
+def test_blocks_of_vectors_rank_as_single_cosines_do(spark, monkeypatch):
+    """Odd vectors and copies over many blocks and turns give the rows of the plain cosine, pair by pair; no row is made for a pair."""
+    from skipweave.functions.text import cosine
+
+    monkeypatch.setattr(vectors, "ASKING", 7)
+    rng = np.random.default_rng(4)
+    data = [(i, [float(x) for x in rng.normal(size=3)]) for i in range(60)] + [(60 + i, [0.1, 0.2, 0.3]) for i in range(25)]
+    data += [(90, None), (91, [0.0] * 3), (92, [1.0, None, 2.0]), (93, [1.0, 2.0]), (94, [1e200, 1.0, 2.0]), (95, [1e-200, 0.0, 1e-200]), (96, [-0.1, -0.2, -0.3])]
+    frame = spark.createDataFrame(data, "node_id long, vector array<double>")
+    asked = frame.filter("node_id % 5 = 0 OR node_id > 89").select(F.col("node_id").alias("query_id"), F.col("vector").alias("query"))
+    want = vectors.ranked(frame.crossJoin(asked).select("query_id", "node_id", cosine(F.col("vector"), F.col("query")).alias("similarity")), "query_id", "node_id", 6)
+    got = vectors.search_all(asked, frame, 6, parts=3)
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    rows = lambda t: sorted((r.query_id, r.nth, r.node_id, repr(r.similarity)) for r in t.collect())  # noqa: E731  NaN for one whose square overflows
+    assert rows(got) == rows(want)
