@@ -267,3 +267,22 @@ def test_report_counts_all_hits_beyond_the_cap(spark):
     every = brute(text, "TIO", 1, 9)
     got = search.search_report(bounded, "TIO", 1, 9, n=3, cap=5).collect()
     assert len(every) > 5 and {(r.hit_count, r.capped) for r in got} == {(len(every), True)}
+
+
+@pytest.mark.parametrize("own", [1, 63, 64, 500, 1000])
+def test_counts_of_bits_equal_places(own):
+    """Bits are moved over words' ends; skips that leave the stream give nothing."""
+    rng = np.random.default_rng(own)
+    stream = np.frombuffer(b"TIONE", np.uint8)[rng.integers(0, 5, 1000)]
+    words = [np.frombuffer(w, np.uint8) for w in (b"TION", b"NOIT", b"ENE", b"EEEEE")]
+    want = sum(len(search.find_in(stream, w, range(1, 400), own)[0]) for w in words)
+    assert search.count_in(stream, words, range(1, 400), own) == want and (want or own == 1)
+
+
+def test_join_search_shuffles_no_row_for_a_skip(spark):
+    """Candidates come from a join of the first two letters in blocks; nothing is multiplied by the number of skips."""
+    text, bounded = random_stream(spark, 2000, "TIONAE", 6)
+    for direction in ("both", "forward", "reverse"):
+        found = search.els_search_join(letters.letter_positions(bounded), "TIO", len(text), 2, 30, direction)
+        assert sorted((r.direction, r.skip, r.start) for r in found.collect()) == sorted(h for h in brute(text, "TIO", 2, 30) if direction in ("both", h[0]))
+    assert "CartesianProduct" not in (plan := found._jdf.queryExecution().optimizedPlan().toString()) and "Range (" not in plan
