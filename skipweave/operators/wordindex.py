@@ -4,20 +4,64 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from skipweave.functions.text import ascii_lower, contains_ascii
+from skipweave.functions.text import contains_ascii
+from skipweave.session import scratch_table
 
 #: Trigrams of a query that are looked up, the rarest first.
 ASKED = 4
-
-
-def _grams(chars: str) -> Column:
-    """The distinct trigrams of a column of characters; fewer are one, and none or null has none."""
-    size = F.size(chars)
-    pieces = F.transform(F.sequence(F.lit(0), size - 3), lambda i: F.concat(F.get(chars, i), F.get(chars, i + 1), F.get(chars, i + 2)))
-    return F.when(size >= 3, F.array_distinct(pieces)).when(size > 0, F.array(F.array_join(chars, ""))).otherwise(F.array().cast("array<string>"))
+#: Characters whose trigrams are listed at a time.
+STEP = 1 << 21
+
+
+def _texts(columns: list[np.ndarray]):
+    """Texts of all columns, some at a time: (row of each, code points of all, length of each); A-Z as a-z, nulls left out."""
+    rows, texts, held = [], [], 0
+    for i in range(len(columns[0])):
+        for c in columns:
+            if c[i]:
+                rows.append(i)
+                texts.append(c[i])
+                held += len(c[i])
+        if held > STEP or i == len(columns[0]) - 1:
+            if texts:
+                points = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4").astype(np.int64)
+                yield np.array(rows), np.where((points >= 65) & (points <= 90), points + 32, points), np.array([len(t) for t in texts])
+            rows, texts, held = [], [], 0
+
+
+def _spelled(code: int) -> str:
+    return "".join(chr((code >> k & 0x1FFFFF) - 1) for k in (42, 21, 0) if code >> k & 0x1FFFFF)
+
+
+def _post(keys: list[str], columns: list[str]):
+    def run(frames):
+        """Each row's distinct trigrams: three code points plus one in a number of 63 bits, so a shorter text's has zeros before."""
+        for pdf in frames:
+            for row, points, size in _texts([pdf[c].to_numpy() for c in columns]):
+                points, ends = points + 1, np.cumsum(size)
+                text = np.repeat(np.arange(len(size)), size)
+                last = np.arange(len(points)) - np.repeat(ends - size, size)  # the place of each trigram's last character
+                code = points.copy()
+                code[1:] |= np.where(last[1:] >= 1, points[:-1], 0) << 21
+                code[2:] |= np.where(last[2:] >= 2, points[:-2], 0) << 42
+                whole = (last >= 2) | ((np.repeat(size, size) < 3) & (last == np.repeat(size, size) - 1))
+                code, of = code[whole], row[text[whole]]
+                order = np.lexsort((code, of))
+                code, of = code[order], of[order]
+                new = np.ones(len(code), bool)
+                new[1:] = (code[1:] != code[:-1]) | (of[1:] != of[:-1])
+                code, of = code[new], of[new]
+                values, which = np.unique(code, return_inverse=True)
+                names = np.array([_spelled(int(v)) for v in values], object)
+                for i in range(0, len(of), 1 << 19):
+                    yield pdf[keys].iloc[of[i : i + (1 << 19)]].reset_index(drop=True).assign(gram=names[which[i : i + (1 << 19)]])
+
+    return run
 
 
 def build_index(rows: DataFrame, keys: list[str], columns: list[str], folder: str) -> str:
@@ -26,11 +70,11 @@ def build_index(rows: DataFrame, keys: list[str], columns: list[str], folder: st
     Postings are sorted by trigram in ranges, which a frequent trigram's keys cut too, so a lookup reads the row groups of its trigrams alone.
     """
     spark = rows.sparkSession
-    # the characters are columns of their own: within the trigrams' expression each would split the text anew
-    spelled = [F.when(F.length(c) > 0, F.split(ascii_lower(F.col(c)), "")).alias(f"__c{i}") for i, c in enumerate(columns)]
-    grams = rows.select(*keys, *spelled).select(*keys, *(_grams(f"__c{i}").alias(f"__c{i}") for i in range(len(columns))))
-    posted = grams.select(*keys, F.explode(F.array_distinct(F.concat(*(f"__c{i}" for i in range(len(columns)))))).alias("gram"))
+    named = [f"__c{i}" for i in range(len(columns))]
+    texts = rows.select(*keys, *(F.col(c).alias(n) for c, n in zip(columns, named, strict=True)))
+    posted = texts.mapInPandas(_post(keys, named), StructType([*rows.select(*keys).schema.fields, StructField("gram", StringType())]))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    posted = scratch_table(spark, posted, "grams")  # ranges are sampled from it, so texts are cut up once
     posted.repartitionByRange(parts, "gram", *keys).sortWithinPartitions("gram", *keys).write.mode("overwrite").parquet(f"{folder}/postings")
     counts = spark.read.parquet(f"{folder}/postings").groupBy("gram").agg(F.count("*").alias("n"))
     counts.write.mode("overwrite").parquet(f"{folder}/counts")

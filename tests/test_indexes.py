@@ -135,3 +135,12 @@ def test_blocks_of_vectors_rank_as_single_cosines_do(spark, monkeypatch):
     assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
     rows = lambda t: sorted((r.query_id, r.nth, r.node_id, repr(r.similarity)) for r in t.collect())  # noqa: E731  NaN for one whose square overflows
     assert rows(got) == rows(want)
+
+
+def test_postings_are_the_distinct_trigrams(spark):
+    """Texts of one and two characters are one gram, and none goes over a text's end; the texts are cut up in tasks and not by expressions of the plan."""
+    rows = spark.createDataFrame([(1, "ABCab", "x"), (2, "abcabc", None), (3, "", "é字"), (4, None, None)], "id int, a string, b string")
+    folder = wordindex.build_index(rows, ["id"], ["a", "b"], scratch_path(spark, "words"))
+    got = sorted((r.id, r.gram) for r in spark.read.parquet(f"{folder}/postings").collect())
+    assert got == sorted([(1, "abc"), (1, "bca"), (1, "cab"), (1, "x"), (2, "abc"), (2, "bca"), (2, "cab"), (3, "é字")])
+    list(wordindex._post(["id"], ["a", "b"])([rows.toPandas()]))
