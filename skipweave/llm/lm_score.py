@@ -21,8 +21,8 @@ CLASSES, SINGLE = 1280, 1024
 SMOOTH = 5.0
 #: Input rows: the most frequent half of them stand for one id each, the other ids share the rest.
 INPUTS = 2048
-#: One window in so many trains the attention weights; all counts cover every training document.
-RATE = 8
+#: One window in so many trains the attention weights: every one, unless a caller asks for fewer; all counts cover every training document.
+RATE = 1
 #: Windows of a training shard, and rounds after which the shards' weights are averaged.
 SHARD, ROUNDS, BATCH, LEARNING = 1 << 15, 2, 64, 0.012
 END = 50256

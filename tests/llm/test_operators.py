@@ -602,3 +602,12 @@ def test_lm_targets_see_at_least_seventeen_ids():
     first = lm_score.CONTEXT - lm_score.STRIDE + 1
     seen = {int(w[j]): int((w[:j] >= 0).sum()) for w in x for j in range(first, len(w)) if w[j] >= 0}
     assert all(n >= min(i, 17) for i, n in seen.items())
+
+
+def test_language_model_trains_on_every_window(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "the old house by the river " * 40) for i in range(30)], "doc_id long, text string")
+    real, seen = lm_score.scratch_table, {}
+    monkeypatch.setattr(lm_score, "scratch_table", lambda s, df, tag: seen.setdefault(tag, real(s, df, tag)))
+    lm_score.lm_scores(spark, docs)
+    learnt = [len(r.ids) // lm_score.id_bytes(50257) for r in seen["subwords"].filter("NOT held_out").collect()]
+    assert seen["windows"].count() == sum(-(-n // lm_score.STRIDE) for n in learnt) > 0
