@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skipweave.session import scratch_path, scratch_table
 
-__all__ = ["ROW", "WS", "documents", "full_text", "where_settled", "numbered", "stored_numbered", "stored", "bucketed", "discard", "scratch_table"]
+__all__ = ["ROW", "WS", "documents", "full_text", "where_settled", "numbered", "stored_numbered", "placed", "marked", "stored", "bucketed", "discard", "scratch_table"]
 
 #: ASCII white space, as in the text contracts.
 WS = r"[\x20\x09-\x0D]+"
@@ -47,6 +48,42 @@ def stored_numbered(spark: SparkSession, df: DataFrame) -> tuple[DataFrame, str]
     return scratch_table(spark, numbered(df, name), "numbered"), name
 
 
+def placed(spark: SparkSession, df: DataFrame) -> tuple[DataFrame, str]:
+    """df with a number for each row that every scan gives it again, whatever files are split into: its file, in order of their names, and its place there; and the name of that column.
+
+    Nothing but the names of the files is written. For rows of Parquet files, with or without filters and projections; where rows have no such place, or one place stands
+    for several, they are written with their numbers as in stored_numbered.
+    """
+    name = free_name(df)
+    try:
+        at = df.metadataColumn("_metadata")
+        places = df.select(at["file_path"].alias("file"), at["row_index"].alias("place"))
+    except AnalysisException:
+        return stored_numbered(spark, df)
+    files = places.groupBy("file").agg(F.count("*").alias("rows"), F.count_distinct("place").alias("places"))
+    files = scratch_table(spark, files.withColumn("number", F.row_number().over(Window.orderBy("file")).cast("long")), "files")  # a row for each file
+    if files.filter("rows <> places").count():
+        return stored_numbered(spark, df)
+    file, number = free_name(df, "__file"), free_name(df, "__number")
+    known = files.select(F.col("file").alias(file), F.col("number").alias(number))
+    out = df.withColumns({name: at["row_index"], file: at["file_path"]}).join(F.broadcast(known), file)
+    return out.withColumn(name, F.shiftleft(number, 40).bitwiseOR(F.col(name))).drop(file, number), name
+
+
+def marked(df: DataFrame, row: str, numbers: DataFrame, keep: bool = True) -> DataFrame:
+    """The rows of df whose number `row` is in the one column of numbers or, without keep, is not: df stays where it is.
+
+    The numbers are broadcast as bits, a row of 16 bytes for each 64 rows of df at most.
+    """
+    word, bits = free_name(df, "__word"), free_name(df, "__bits")
+    (n,) = numbers.columns
+    one = F.shiftright(n, 6).alias(word), F.expr(f"shiftleft(1L, CAST(`{n}` & 63 AS INT))").alias(bits)
+    masks = numbers.select(*one).groupBy(word).agg(F.bit_or(bits).alias(bits))
+    found = df.join(F.broadcast(masks), F.shiftright(row, 6) == masks[word], "left")
+    hit = F.expr(f"coalesce(shiftright(`{bits}`, CAST(`{row}` & 63 AS INT)) & 1, 0) = {int(keep)}")
+    return found.filter(hit).drop(word, bits)
+
+
 def where_settled(df: DataFrame, condition: str) -> DataFrame:
     """df.filter(condition) on columns as computed: the number beside them keeps the optimizer from moving the filter below
     the projections, where it would hold a second copy of every expression."""

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skipweave.llm.common import ROW, WS, full_text, numbered, scratch_table, stored_numbered
+from skipweave.llm.common import ROW, WS, full_text, marked, numbered, placed, scratch_table
 
 #: Counters of a Misra-Gries summary, and the most winners that are broadcast.
 CAPACITY = 1024
@@ -47,7 +47,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
 
     Texts are equal when identical after each run of ASCII white space becomes one space; null is the empty
     text. Of equal texts the smallest id stays; null ids come last, repeated rows with one id keep the first.
-    row_col is a stored number of the rows; without it they are numbered here. An empty table gives no rows; other columns play no part.
+    row_col is a number of the rows that every scan gives again (see placed); without it they are numbered here. An empty table gives no rows; other columns play no part.
 
     Only digests leave the scan. Misra-Gries summaries of each partition are summed, the largest are counted
     exactly, and these winners (at most capacity rows) are broadcast, so the rows of hot groups never move. Summing loses at most
@@ -99,7 +99,7 @@ FROM t WINDOW w AS (PARTITION BY text_sha256)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str | None = None) -> DataFrame:
-    """docs without the rows that exact_dedup drops, with the columns of docs, whatever their names; only the numbers of dropped rows are joined."""
-    docs, row = stored_numbered(spark, docs)
-    dropped = exact_dedup(spark, docs, row_col=row).filter("NOT kept").select(F.col(ROW).alias(row))
-    return docs.join(dropped, row, "left_anti").drop(row)
+    """docs without the rows that exact_dedup drops, with the columns of docs, whatever their names; docs are neither written nor shuffled: bits for the dropped rows meet them where they are read."""
+    docs, row = placed(spark, docs)
+    dropped = exact_dedup(spark, docs, row_col=row).filter("NOT kept").select(ROW)
+    return marked(docs, row, dropped, keep=False).drop(row)

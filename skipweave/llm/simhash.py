@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skipweave.llm.common import ROW, discard, numbered, scratch_table, stored, stored_numbered
+from skipweave.llm.common import ROW, discard, marked, numbered, placed, scratch_table, stored
 from skipweave.llm.components import components
 from skipweave.llm.tokens import slices
 
@@ -250,8 +250,8 @@ def similar_links(spark: SparkSession, texts: DataFrame, pairs: DataFrame) -> Da
     Only texts that are in a pair are cut into shingles. A row b of many pairs is copied, one copy for each PER_COPY of them.
     """
     pairs, pairs_at = stored(spark, pairs, "pairs")
-    named = pairs.select("a").union(pairs.select("b")).distinct()
-    sets = texts.join(named, texts[ROW] == named["a"], "left_semi").select(ROW, "text").mapInArrow(_sets, "node long, shingles array<long>")
+    named = pairs.select("a").union(pairs.select("b"))
+    sets = marked(texts, ROW, named).select(ROW, "text").mapInArrow(_sets, "node long, shingles array<long>")
     sets, sets_at = stored(spark, sets, "sets")
     copies = pairs.groupBy("b").agg(F.ceil(F.count("*") / PER_COPY).alias("copies"))
     right = sets.join(copies, sets["node"] == copies["b"]).select("b", F.col("shingles").alias("right"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
@@ -269,21 +269,23 @@ def rare_pairs(spark: SparkSession, texts: DataFrame, asked: DataFrame) -> DataF
 
     Of n shingles at most n - ceil(0.8 n) may be missing from a similar text, so it has one of any n - ceil(0.8 n) + 1 of them; in one order for all texts,
     the first so many of both have one in common. Rare ones come first, and those that no other asked text has take their places without being shuffled
-    again, so a shingle that many texts share makes pairs only for texts that have little else.
+    again, so a shingle that many texts share makes pairs only for texts that have little else. Where the first that two texts have in common is the i-th of m and the j-th of n, they share
+    min(m - i, n - j) + 1 at most, which has to be 4/9 of m + n: only where that can be do they meet.
     """
-    sets = texts.join(asked, texts[ROW] == asked["node"], "left_semi").select(ROW, "text").mapInArrow(_sets, "node long, shingles array<long>")
+    sets = marked(texts, ROW, asked.select("node")).select(ROW, "text").mapInArrow(_sets, "node long, shingles array<long>")
     sets, sets_at = stored(spark, sets, "rare_sets")
     posted = sets.select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
     often = posted.groupBy("shingle").agg(F.count("*").alias("often")).filter("often > 1")
     posted = posted.join(often.hint("merge"), "shingle")
     of = Window.partitionBy("node")
     nth = F.row_number().over(of.orderBy("often", "shingle")) + F.col("n") - F.count("*").over(of)
-    first = posted.withColumn("nth", nth).filter(F.col("nth") <= F.col("n") - F.ceil(F.col("n") * 4 / 5) + 1).select("shingle", "node", "n")
+    first = posted.withColumn("nth", nth).filter(F.col("nth") <= F.col("n") - F.ceil(F.col("n") * 4 / 5) + 1).select("shingle", "node", "n", "nth")
     first, first_at = stored(spark, first.join(asked, "node"), "rare")
     discard(spark, sets_at)
     x, y = first.hint("merge").alias("x"), first.hint("merge").alias("y")
     size = (5 * F.col("x.n") >= 4 * F.col("y.n")) & (5 * F.col("y.n") >= 4 * F.col("x.n"))
-    met = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.node") > F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & size)
+    enough = 9 * (F.least(F.col("x.n") - F.col("x.nth"), F.col("y.n") - F.col("y.nth")) + 1) >= 4 * (F.col("x.n") + F.col("y.n"))
+    met = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.node") > F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & size & enough)
     pairs = scratch_table(spark, met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "rare_pairs")
     discard(spark, first_at)
     return pairs
@@ -294,7 +296,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
 
     Texts link if their sets of five-word shingles (A-Z lower-cased, words without ASCII white space; fewer words: one shingle) have a
     similarity of 0.8 or more. Texts of the same words are one, and so are those without words, null among them. Null ids come last; of repeated
-    rows the first stays. row_col is a number of the rows that is stored with docs; without it the rows are numbered and written here.
+    rows the first stays. row_col is a number of the rows that every scan gives again (see placed); without it they are numbered here.
     An empty table gives no rows; other columns play no part.
 
     A text has 84 keys (see near_keys) and 64 further bits that rule chance meetings out. First each text is compared with the first text of each of its keys, at most 84,
@@ -303,7 +305,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     """
     kind = docs.schema[id_col].dataType.simpleString()
     columns = [F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")]
-    narrow = docs.select(*columns, F.col(row_col).alias(ROW)) if row_col else stored_numbered(spark, docs.select(*columns))[0]
+    narrow = docs.select(*columns, F.col(row_col).alias(ROW)) if row_col else placed(spark, docs.select(*columns))[0]
     narrow = narrow.select("doc_id", ROW, "text")
     sketches = narrow.mapInArrow(_sketches, f"doc_id {kind}, {ROW} long, digest binary, check long, keys array<int>")
     sketches = scratch_table(spark, sketches, "sketches")
@@ -320,11 +322,11 @@ def near_copies(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     links = similar_links(spark, narrow, few)
 
     roots = components(spark, links)
-    placed, placed_at = stored(spark, shared.join(roots, "node", "left").select("key", "node", "check", F.coalesce("root", "node").alias("root")), "placed")
+    grouped, grouped_at = stored(spark, shared.join(roots, "node", "left").select("key", "node", "check", F.coalesce("root", "node").alias("root")), "placed")
     discard(spark, shared_at)
-    groups = placed.groupBy("key").agg(F.min("root").alias("one"), F.max("root").alias("other")).filter("one <> other").select("key")
-    open_, open_at = stored(spark, placed.join(groups, "key"), "open")
-    discard(spark, placed_at)
+    groups = grouped.groupBy("key").agg(F.min("root").alias("one"), F.max("root").alias("other")).filter("one <> other").select("key")
+    open_, open_at = stored(spark, grouped.join(groups, "key"), "open")
+    discard(spark, grouped_at)
     x, y = open_.hint("merge").alias("x"), open_.hint("merge").alias("y")
     near = F.bit_count(F.col("x.check").bitwiseXOR(F.col("y.check"))) <= CHECK_BITS
     apart = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & near, "left_semi").select("node", "root").distinct()
@@ -339,7 +341,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str | None = None) -> DataFrame:
-    """docs with one row of each group of near_copies, with the columns of docs, whatever their names; only the numbers of dropped rows are joined."""
-    docs, row = stored_numbered(spark, docs)
-    dropped = near_copies(spark, docs, row_col=row).filter("NOT stays").select(F.col(ROW).alias(row))
-    return docs.join(dropped, row, "left_anti").drop(row)
+    """docs with one row of each group of near_copies, with the columns of docs, whatever their names; docs are neither written nor shuffled: bits for the dropped rows meet them where they are read."""
+    docs, row = placed(spark, docs)
+    dropped = near_copies(spark, docs, row_col=row).filter("NOT stays").select(ROW)
+    return marked(docs, row, dropped, keep=False).drop(row)

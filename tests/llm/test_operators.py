@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from skipweave.llm import components, exact_dedup, language, license_scan, lm_score, packing, pieces, quality_rules, simhash, token_output, url_filter
+from skipweave.llm.common import marked
 from skipweave.llm.tokens import tokenizer_path
 from skipweave.session import scratch_path
 
@@ -88,6 +89,51 @@ def test_rows_keep_their_numbers_when_files_are_split_anew(spark, drop):
         spark.conf.unset(part)
 
 
+@pytest.mark.parametrize("drop", [exact_dedup.drop_copies, simhash.drop_near_copies])
+def test_dropping_copies_neither_writes_nor_shuffles_the_texts(spark, drop, monkeypatch):
+    """Not even where the dropped rows are more than Spark broadcasts of itself; rows without a place of their own are written with their numbers."""
+    path, wide = scratch_path(spark, "apart"), []
+    spark.createDataFrame([(k, f"text {k // 2} " + " ".join(f"w{k // 2}x{j}" for j in range(60)), "en") for k in range(40)], "doc_id long, text string, lang string").repartition(3).write.parquet(path)
+    docs, limit = spark.read.parquet(path), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    monkeypatch.setattr(type(docs.write), "parquet", lambda self, *a, f=type(docs.write).parquet, **b: (wide.extend({"text"} & set(self._df.columns)), f(self, *a, **b))[1])
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        left = drop(spark, docs)
+        assert sorted(r.doc_id for r in left.collect()) == list(range(0, 40, 2)) and not wide
+        plan = left._jdf.queryExecution().optimizedPlan().toString()
+        assert "rightHint=(strategy=broadcast)" in plan and "strategy=broadcast" in plan
+        twice = drop(spark, docs.withColumn("lang", F.explode(F.array(F.lit("a"), F.lit("b")))))
+        assert sorted(r.doc_id for r in twice.collect()) == list(range(0, 40, 2)) and wide
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_marked_rows(spark):
+    df = spark.range(0, 1000, 1, 4).select((F.col("id") * 7 - 9).alias("n"), F.lit("x").alias("__word"))
+    some = spark.createDataFrame([(v,) for v in (-9, -2, 5, 446, 6984)], "k long")
+    assert sorted(r.n for r in marked(df, "n", some).collect()) == [-9, -2, 5, 446, 6984]
+    left = marked(df, "n", some, keep=False)
+    assert left.columns == df.columns and left.count() == 995 and left.filter("n IN (-9, -2, 5, 446, 6984)").count() == 0
+    assert marked(df, "n", some.limit(0)).count() == 0 and marked(df, "n", some.limit(0), keep=False).count() == 1000
+
+
+def test_rare_pairs_are_few_where_texts_share_much_but_not_enough(spark):
+    """Texts with three fifths in common and little else that another hasn't: every true pair is found, and of the others most don't meet."""
+    rng = np.random.default_rng(8)
+    common, pool, texts = [f"c{k}" for k in range(90)], rng.integers(0, 60, (80, 60)), []
+    for k in range(80):
+        own = [f"p{j}x{x // 12}" for j, x in enumerate(pool[k // 2] if k < 20 else pool[k])]
+        if k < 20 and k % 2:
+            own[3] = "changed"
+        texts.append(" ".join(common + [w for x in zip(own, own, own, strict=True) for w in x][:90]))
+    path = scratch_path(spark, "rare")
+    spark.createDataFrame(list(enumerate(texts)), f"{simhash.ROW} long, text string").write.parquet(path)
+    asked = spark.createDataFrame([(k, k) for k in range(80)], "node long, root long")
+    got = {(r.a, r.b) for r in simhash.rare_pairs(spark, spark.read.parquet(path), asked).collect()}
+    _, links = near_groups(texts)
+    assert len(links) >= 10 and set(links) <= got and len(got) < 5 * len(links)
+
+
 def test_misra_gries_keeps_what_is_frequent():
     counts = collections.Counter()
     stream = [k % 3 for k in range(300)] + list(range(100, 300))
