@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 
 from skipweave.llm import components, exact_dedup, language, license_scan, lm_score, packing, pieces, quality_rules, simhash, token_output, url_filter
 from skipweave.llm.common import marked
-from skipweave.llm.tokens import tokenizer_path
+from skipweave.llm.tokens import ChunkEncoder, tokenizer_path
 from skipweave.session import scratch_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, digest string, part int, word string"
@@ -134,6 +134,23 @@ def test_rare_pairs_are_few_where_texts_share_much_but_not_enough(spark):
     assert len(links) >= 10 and set(links) <= got and len(got) < 5 * len(links)
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_chunks_are_encoded_together(name):
+    """The ids are those of each chunk on its own, odd ones too, and there are far fewer texts in the calls than chunks."""
+    own, calls = ChunkEncoder(tokenizer_path(name)), []
+    letters = ["a", "B", "e\u0301", "ß", "字", "7", "'s", "#", "-", "\x00", "\x1c", "\u00a0", "😀"]
+    rng = np.random.default_rng(4)
+    chunks = [" \x00", "\x00", " a\x00", "\n", " \n ", "###", "don't", "\u0301x", *(" \n\t\r"[k % 4] * (1 + k % 3) + "".join(rng.choice(letters, 1 + k % 7, p=[0.3, 0.2, *[0.5 / 11] * 11])) for k in range(3000))]
+    want = [own.tokenizer.encode(c, add_special_tokens=False).ids for c in chunks]
+    whole = own.tokenizer
+    own.tokenizer = mock.Mock(encode_batch_fast=lambda texts, **b: calls.append(len(texts)) or whole.encode_batch_fast(texts, **b))
+    flat, count = own._ids(chunks)
+    assert [x.tolist() for x in np.split(flat, np.cumsum(count)[:-1])] == want and sum(calls) < 0.8 * len(chunks)
+    own.mark = own.mark[:-1] + [want[-1][-1]]  # a mark that chunks have too: each is encoded on its own
+    flat, count = own._ids(chunks)
+    assert [x.tolist() for x in np.split(flat, np.cumsum(count)[:-1])] == want
+
+
 def test_misra_gries_keeps_what_is_frequent():
     counts = collections.Counter()
     stream = [k % 3 for k in range(300)] + list(range(100, 300))
