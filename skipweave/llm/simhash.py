@@ -225,14 +225,16 @@ def near_keys(sums: np.ndarray) -> np.ndarray:
 
 
 def _sketches(batches):
-    for batch in slices(batches, 2):
-        words = [(t or "").encode().lower().split() for t in batch.column(2).to_pylist()]
-        sums = np.array([votes(shingle_set(w)) for w in words]).reshape(len(words), 256)
+    for batch in slices(batches, 2, 8 << 20):
+        n = batch.num_rows
+        sums, some, digests = np.zeros((n, 256), np.int64), np.zeros(n, bool), []
+        for k in range(n):  # the words of one text at a time
+            words = (batch.column(2)[k].as_py() or "").encode().lower().split()
+            sums[k], some[k] = votes(shingle_set(words)), bool(words)
+            digests.append(xxhash.xxh3_128_digest(b" ".join(words)))
         keys = near_keys(sums)
-        some = np.array([bool(w) for w in words])
         ends = np.cumsum([0, *(some * keys.shape[1])]).astype(np.int32)
         check = np.packbits(sums[:, 192:] > 0, axis=1).reshape(-1).view(">i8").astype(np.int64)
-        digests = [xxhash.xxh3_128_digest(b" ".join(w)) for w in words]
         columns = [batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(check), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[some].reshape(-1)))]
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", ROW, "digest", "check", "keys"])
 
