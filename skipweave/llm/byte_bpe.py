@@ -209,57 +209,52 @@ def encode(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_co
     return texts.groupBy("slice").cogroup(coded.groupBy("slice")).applyInArrow(_reassemble(arrow), f"row long, doc_id {kind}, ids array<int>")
 
 
-def _gather(batches):
-    """Rows of (row, doc_id, place, token, bytes), in order, become (row, doc_id, ids_le, decoded); a text may go over the end of a batch."""
-    row, name, parts, ids, expected, out, held = None, None, [], [], 0, [], 0
-
-    def flushed():
-        columns = [pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), kind, pa.binary(), pa.binary()))]
-        return pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "ids_le", "decoded"])
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        kind = batch.column(1).type
-        rows, places = batch.column(0).to_numpy(), batch.column(2).fill_null(0).to_numpy()
-        if pc.any(pc.and_(pc.is_valid(batch.column(3)), pc.is_null(batch.column(4)))).as_py():
-            raise ValueError("an id that the table of tokens doesn't have")
-        some, tokens = pc.is_valid(batch.column(3)).to_numpy(zero_copy_only=False), batch.column(3).fill_null(0).to_numpy()
-        data = batch.column(4).fill_null(b"").cast(pa.large_binary())
-        ends = np.frombuffer(data.buffers()[1], np.int64)[data.offset : data.offset + len(data) + 1]
-        raw = memoryview(data.buffers()[2] or b"")
-        starts = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
-        for a, b in zip(starts, np.append(starts[1:], len(rows)), strict=True):
-            if row is None or rows[a] != row:
-                if row is not None:
-                    out.append((row, name, b"".join(ids), b"".join(parts)))
-                    held += len(out[-1][3])
-                    if len(out) >= ROWS or held >= BYTES:
-                        yield flushed()
-                        out, held = [], 0
-                row, name, parts, ids, expected = int(rows[a]), batch.column(1)[int(a)].as_py(), [], [], 0
-            if places[a] != expected or places[b - 1] != expected + (b - a) - 1:
-                raise ValueError("the ids of a text are out of order")
-            expected += int(b - a)
-            parts.append(bytes(raw[ends[a] : ends[b]]))
-            ids.append(tokens[a:b][some[a:b]].astype("<u4").tobytes())
-    if row is not None:
-        out.append((row, name, b"".join(ids), b"".join(parts)))
-    if out:
-        yield flushed()
+def _decoded(shared):
+    """Rows of (row, doc_id, ids) become (row, doc_id, ids_le, decoded)."""
+
+    def run(batches):
+        starts, sizes, flat = shared.value
+        for batch in batches:
+            lists = batch.column(2)
+            ends = np.cumsum(pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+            ids = lists.flatten().fill_null(-1).to_numpy()
+            if len(ids) and (ids.min() < 0 or ids.max() >= len(sizes) or sizes[ids].min() < 0):
+                raise ValueError("an id that the table of tokens doesn't have")
+            total = np.concatenate([[0], np.cumsum(sizes[ids], dtype=np.int64)])
+            i = 0
+            while i < batch.num_rows:  # some texts, or one
+                before = int(ends[i - 1]) if i else 0
+                j = max(i + 1, min(i + ROWS, int(np.searchsorted(total[ends], total[before] + BYTES, "right"))))
+                rows, own = batch.slice(i, j - i), ids[before : ends[j - 1]]
+                parts = []
+                for k in range(0, len(own), STEP):
+                    some = own[k : k + STEP]
+                    n = sizes[some]
+                    last = np.cumsum(n, dtype=np.int64)
+                    parts.append(flat[np.repeat(starts[some] - (last - n), n) + np.arange(last[-1])])
+                cut = np.concatenate([[before], ends[i:j]])
+                binary = lambda at, data, m=j - i: pa.LargeBinaryArray.from_buffers(pa.large_binary(), m, [None, pa.py_buffer(np.ascontiguousarray(at)), pa.py_buffer(data)]).cast(pa.binary())
+                text = np.concatenate(parts) if parts else np.zeros(0, np.uint8)
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), binary(4 * (cut - before), own.astype("<u4")), binary(total[cut] - total[before], text)], ["row", "doc_id", "ids_le", "decoded"])
+                i = j
+
+    return run
 
 
 def decode(spark: SparkSession, coded: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
-    """row, doc_id, ids_le, decoded of coded (row, doc_id, ids; row numbers differ): the ids as little-endian 32-bit numbers, and the bytes of all ids in order. No ids give empty bytes.
+    """row, doc_id, ids_le, decoded of coded (row, doc_id, ids): the ids as little-endian 32-bit numbers, and the bytes of all ids in order. No ids give empty bytes.
 
-    Ids are exploded with their places and joined with the table of tokens, which has the vocabulary's size and is broadcast. Such a join keeps
-    the order of the exploded rows, so texts are put together where they are, without a shuffle; places are compared on the way, and an id out of
-    order or without a token is an error.
+    The table of tokens, which has the vocabulary's size whatever the texts, is broadcast as one run of bytes and the places of tokens in it. Texts are decoded where
+    they are, without a shuffle; an id without a token is an error.
     """
-    tokens = token_bytes(spark) if tokens is None else tokens
+    table = (token_bytes(spark) if tokens is None else tokens).select("token", "bytes").toArrow().sort_by("token")
+    token, data = table.column(0).to_numpy(), table.column(1).to_pylist()
+    starts, sizes = np.zeros(int(token.max(initial=-1)) + 1, np.int64), np.full(int(token.max(initial=-1)) + 1, -1, np.int64)
+    sizes[token] = np.fromiter(map(len, data), np.int64, len(data))
+    starts[token] = np.cumsum(sizes[token]) - sizes[token]
+    shared = spark.sparkContext.broadcast((starts, sizes, np.frombuffer(b"".join(data), np.uint8)))
     kind = coded.schema["doc_id"].dataType.simpleString()
-    flat = coded.select("row", "doc_id", F.posexplode_outer("ids").alias("place", "token")).join(F.broadcast(tokens), "token", "left")
-    return flat.select("row", "doc_id", "place", "token", "bytes").mapInArrow(_gather, f"row long, doc_id {kind}, ids_le binary, decoded binary")
+    return coded.select("row", "doc_id", "ids").mapInArrow(_decoded(shared), f"row long, doc_id {kind}, ids_le binary, decoded binary")
 
 
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

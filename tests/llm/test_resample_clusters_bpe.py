@@ -220,6 +220,21 @@ def test_byte_bpe_of_long_and_odd_texts(spark, library, monkeypatch):
     same(got, [(i, t.encode()) for i, t in enumerate(texts)])
 
 
+def test_ids_are_decoded_where_they_are(spark, monkeypatch):
+    """No row is made for an id; texts go on over the limits of a step and a batch; no ids, null or empty, give empty bytes."""
+    monkeypatch.setattr(byte_bpe, "STEP", 3)
+    monkeypatch.setattr(byte_bpe, "BYTES", 5)
+    tokens = spark.createDataFrame([(4, bytearray(b"")), (0, bytearray(b"ab")), (9, bytearray(b"\x00")), (2, bytearray(b"xyz"))], "token int, bytes binary")
+    word = {4: b"", 0: b"ab", 9: b"\x00", 2: b"xyz"}
+    rng = np.random.default_rng(2)
+    lists = [[], None, [4], *([int(x) for x in rng.choice([0, 2, 4, 9], n)] for n in rng.integers(0, 20, 40))]
+    coded = spark.createDataFrame([(k, None if k == 5 else 7, x) for k, x in enumerate(lists)], "row long, doc_id long, ids array<int>").repartition(3)
+    decoded = byte_bpe.decode(spark, coded, tokens)
+    same([(r.row, r.doc_id, bytes(r.ids_le), bytes(r.decoded)) for r in decoded.collect()], [(k, None if k == 5 else 7, struct.pack(f"<{len(x or [])}I", *(x or [])), b"".join(word[i] for i in x or [])) for k, x in enumerate(lists)])
+    plan = decoded._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan
+
+
 def test_unknown_ids_are_an_error(spark):
     coded = spark.createDataFrame([(1, 1, [5, 60_000])], "row long, doc_id long, ids array<int>")
     with pytest.raises(Exception, match="doesn't have"):
