@@ -403,12 +403,13 @@ def _gather(rows: DataFrame, size: int, wide: int, of) -> np.ndarray:
     return out
 
 
-def _local(shared, r: int):
+def _local(shared, r: int, narrow: int):
     """A shard's pass over its windows, from the shared weights."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["row", "nth"])
-        windows = np.frombuffer(b"".join(pdf["window"]), "<i4").reshape(len(pdf), CONTEXT + 1)
+        windows = np.frombuffer(b"".join(pdf["window"]), f"<u{narrow}").astype(np.int64)
+        windows = np.where(windows < (1 << 8 * narrow) - 2, windows, windows - (1 << 8 * narrow)).astype(np.int32).reshape(len(pdf), CONTEXT + 1)
         values = AttentionModel.of(shared.value).train(windows, seed=1000 * r + int(pdf["shard"].iloc[0])).flat().astype(np.float64)
         return pd.DataFrame({"slot": np.arange(len(values)), "value": values * len(pdf), "weight": float(len(pdf))})
 
@@ -448,23 +449,28 @@ def fit_model(spark: SparkSession, stored: DataFrame, vocabulary: int, rate: int
     total = rows.agg(F.sum(F.octet_length("ids"))).first()[0]
     shards = max(1, round((total or 0) / wide / STRIDE / rate / ROUNDS / SHARD))
 
-    def choose(batches):
-        for batch in slices(batches):
-            ids, begin = unpack(batch.column(1), wide)
-            row, nth = window_numbers(begin)
-            number = batch.column(0).to_numpy()[row]
-            h = _mix(number, nth)
-            pick = h % np.uint64(rate) == 0
-            h, number, nth = h[pick] // np.uint64(rate), number[pick], nth[pick]
-            raw = windows_of(ids, begin, row[pick], nth).astype("<i4")
-            parts = [(h % np.uint64(ROUNDS)).astype(np.int64), (h // np.uint64(ROUNDS) % np.uint64(shards)).astype(np.int64), number, nth]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, parts), pa.array([r.tobytes() for r in raw], pa.binary())], ["round", "shard", "row", "nth", "window"])
-
-    chosen = stored.filter("NOT held_out").select(ROW, "ids").mapInArrow(choose, "round long, shard long, row long, nth long, window binary")
-    chosen = scratch_table(spark, chosen, "windows")
+    narrow = 2 if vocabulary <= (1 << 16) - 2 else 4  # bytes of an id in a window, with room for -1 and -2
+
+    def choose(r: int):
+        def run(batches):
+            for batch in slices(batches):
+                ids, begin = unpack(batch.column(1), wide)
+                row, nth = window_numbers(begin)
+                number = batch.column(0).to_numpy()[row]
+                h = _mix(number, nth)
+                pick = (h % np.uint64(rate) == 0) & (h // np.uint64(rate) % np.uint64(ROUNDS) == r)
+                h, number, nth = h[pick] // np.uint64(rate), number[pick], nth[pick]
+                raw = windows_of(ids, begin, row[pick], nth).astype(f"<u{narrow}")
+                parts = [(h // np.uint64(ROUNDS) % np.uint64(shards)).astype(np.int64), number, nth]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, parts), pa.array([w.tobytes() for w in raw], pa.binary())], ["shard", "row", "nth", "window"])
+
+        return run
+
+    rows = stored.filter("NOT held_out").select(ROW, "ids")
     for r in range(ROUNDS):
-        local = _local(spark.sparkContext.broadcast(model.arrays()), r)
-        one = chosen.filter(F.col("round") == r).groupBy("shard").applyInPandas(local, "slot long, value double, weight double")
+        local = _local(spark.sparkContext.broadcast(model.arrays()), r, narrow)
+        chosen = rows.mapInArrow(choose(r), "shard long, row long, nth long, window binary")  # cut from the ids in each round: windows take several times their room
+        one = chosen.groupBy("shard").applyInPandas(local, "slot long, value double, weight double")
         got = one.groupBy("slot").agg((F.sum("value") / F.sum("weight")).alias("value")).toArrow().to_pandas().sort_values("slot")["value"].to_numpy()
         if len(got):
             model.load(got)

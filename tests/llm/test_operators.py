@@ -151,6 +151,28 @@ def test_chunks_are_encoded_together(name):
     assert [x.tolist() for x in np.split(flat, np.cumsum(count)[:-1])] == want
 
 
+@pytest.mark.parametrize("vocabulary", [65534, 65535])
+def test_windows_are_cut_anew_in_each_round(spark, monkeypatch, vocabulary):
+    """All windows train, as they are, and none is written; with ids next to the largest of two bytes."""
+    rng, wide = np.random.default_rng(9), lm_score.id_bytes(vocabulary)
+    texts = [rng.integers(vocabulary - 40, vocabulary, n) for n in (1, 32, 33, 200, 500)]
+    path = scratch_path(spark, "ids")
+    spark.createDataFrame([(k, False, bytearray(x.astype(f"<u{wide}").tobytes())) for k, x in enumerate(texts)], f"{lm_score.ROW} long, held_out boolean, ids binary").write.parquet(path)
+    monkeypatch.setattr(lm_score, "scratch_table", None)
+    got = lm_score.fit_model(spark, spark.read.parquet(path), vocabulary).flat()
+    begin = np.cumsum([0, *map(len, texts)])
+    ids = np.concatenate(texts).astype(np.int32)
+    want = lm_score.AttentionModel(np.bincount(ids, minlength=vocabulary))
+    tables = lm_score._class_pairs(want.klass)(ids, begin).reshape(2, lm_score.CLASSES + 1, lm_score.CLASSES)
+    want.with_pairs(*tables)
+    row, nth = lm_score.window_numbers(begin)
+    x, part = lm_score.windows_of(ids, begin, row, nth), lm_score._mix(row, nth) % np.uint64(lm_score.ROUNDS)
+    for r in range(lm_score.ROUNDS):
+        want.__dict__.pop("ratio", None)
+        want.train(x[part == r], seed=1000 * r)
+    assert len(x) == 1 + 1 + 2 + 7 + 16 and np.allclose(got, want.flat(), atol=1e-4)
+
+
 def test_misra_gries_keeps_what_is_frequent():
     counts = collections.Counter()
     stream = [k % 3 for k in range(300)] + list(range(100, 300))
