@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -25,9 +27,13 @@ INPUTS = 2048
 RATE = 1
 #: Windows of a training shard, and rounds after which the shards' weights are averaged.
 SHARD, ROUNDS, BATCH, LEARNING = 1 << 15, 2, 64, 0.012
+#: Weights in a row of a task's sums.
+BLOCK = 256
 END = 50256
 #: Frequent words that are broadcast with their counts (16 bytes each); the others are joined.
 FREQUENT = 1 << 17
+#: Counts of words that a task holds before it adds them up.
+COUNTED = 1 << 21
 #: Windows that are scored at a time.
 STEP = 64
 _END_WORD = np.uint64(0x5EED0FE4D)
@@ -73,12 +79,37 @@ class _Hasher(ChunkEncoder):
 
 
 def _count_words(batches):
-    hasher = _Hasher()
-    for batch in batches:
-        for _, b, offsets in _steps(batch.column(0)):
+    hasher, parts = _Hasher(), []
+    for batch in itertools.chain(batches, [None]):
+        for _, b, offsets in _steps(batch.column(0)) if batch is not None else ():
             words, many = np.unique(words_in(b, offsets, hasher)[0], return_counts=True)
-            words, many = np.append(words, _END_WORD), np.append(many, len(offsets) - 1)
-            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(many)], ["word", "n"])
+            parts.append((np.append(words, _END_WORD), np.append(many, len(offsets) - 1)))
+            if sum(len(words) for words, _ in parts) >= COUNTED:
+                yield _summed(parts)
+                parts = []
+    if parts:
+        yield _summed(parts)
+
+
+def _summed(parts: list) -> pa.RecordBatch:
+    words, many = map(np.concatenate, zip(*parts, strict=True))
+    words, of = np.unique(words, return_inverse=True)
+    return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(np.bincount(of, weights=many, minlength=len(words)).astype(np.int64))], ["word", "n"])
+
+
+def _places(known: np.ndarray, begins: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in the sorted known words, whether it is there) of each word. Those with the same bits in front are few and lie together."""
+    place, found = np.zeros(len(words), np.int64), np.zeros(len(words), bool)
+    if not len(known):
+        return place, found
+    at, left = np.take(begins, (words >> np.uint64(46)).astype(np.int64)), np.arange(len(words))
+    while len(left):
+        here = np.take(known, np.minimum(at, len(known) - 1))
+        same = here == words[left]
+        place[left[same]], found[left[same]] = at[same], True
+        on = ~same & (here < words[left]) & (at + 1 < len(known))
+        left, at = left[on], at[on] + 1
+    return place, found
 
 
 def _prepare(shared, tokenizer: str, end_id: int, wide: int):
@@ -87,6 +118,7 @@ def _prepare(shared, tokenizer: str, end_id: int, wide: int):
     def run(batches):
         hasher = _Hasher()
         known, count, space = shared.value
+        begins = np.searchsorted(known, np.arange(1 << 18, dtype=np.uint64) << np.uint64(46)).astype(np.int32)  # of the words with the same 18 bits in front
         for batch in batches:
             for i, b, offsets in _steps(batch.column(3)):
                 texts = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(b))
@@ -94,8 +126,7 @@ def _prepare(shared, tokenizer: str, end_id: int, wide: int):
                 words, doc = words_in(b, offsets, hasher)
                 n = len(offsets) - 1
                 words, doc = np.append(words, np.full(n, _END_WORD)), np.append(doc, np.arange(n))
-                place = np.minimum(np.searchsorted(known, words), max(len(known) - 1, 0))
-                found = known[place] == words if len(known) else np.zeros(len(words), bool)
+                place, found = _places(known, begins, words)
                 value = np.log10((count[place[found]] + 0.1) / space) if len(known) else np.zeros(0)
                 tail, tail_doc = words[~found], doc[~found]
                 order = np.lexsort((tail, tail_doc))
@@ -218,83 +249,63 @@ class AttentionModel:
             self.one = self.pairs.sum(axis=0, dtype=np.float64) + 0.1
             self.one = (SMOOTH * self.one / self.one.sum()).astype(np.float32)
             self.sums = [t.sum(axis=1, dtype=np.float64).astype(np.float32) + np.float32(SMOOTH) for t in (self.pairs, self.skips)]
-            self.ratio = [(t + self.one) / n[:, None] for t, n in zip((self.pairs, self.skips), self.sums, strict=True)]
+            self.plain = [(t + self.one).reshape(-1) for t in (self.pairs, self.skips)]
+            self.ratio = [t.reshape(self.pairs.shape) / n[:, None] for t, n in zip(self.plain, self.sums, strict=True)]
 
     def _counted(self, x: np.ndarray, y: np.ndarray, apart: bool) -> list[np.ndarray]:
         """Unigram, bigram and skip bigram of the targets; `apart` leaves out the count that the target itself made."""
         target, c = np.maximum(y, 0), CONTEXT - STRIDE
-        now, within, out, seen = np.take(self.klass, target), np.take(self.within, target), [np.take(self.unigram, target)], self.klass[x[:, c - 1 :]]
+        now, within, out, seen = np.take(self.klass, target), np.take(self.within, target), [np.take(self.unigram, target)], np.take(self.klass, x[:, c - 1 :])
         for i, before in enumerate((seen[:, 1:], seen[:, :-1])):
+            cell = before * np.int32(CLASSES) + now
             if apart:
-                own, table = (y >= 0).astype(np.float32), (self.pairs, self.skips)[i]
-                out.append((table[before, now] - own + self.one[now]) / (self.sums[i][before] - own) * within)
+                own = (y >= 0).astype(np.float32)
+                out.append((np.take(self.plain[i], cell) - own) / (np.take(self.sums[i], before) - own) * within)
             else:
-                out.append(np.take(self.ratio[i].reshape(-1), before * np.int32(CLASSES) + now) * within)
+                out.append(np.take(self.ratio[i].reshape(-1), cell) * within)
         return out
 
-    def _forward(self, x: np.ndarray, y: np.ndarray, apart: bool):
-        self._ready()
-        p, c = self.p, CONTEXT - STRIDE
-        row = self.input[x]
-        before = np.concatenate([np.full((len(x), 1), INPUTS, np.int32), row[:, :-1]], axis=1)
-        e = np.take(p["e"], row, axis=0) + p["pos"]
-        late, f = e[:, c:], np.take(p["f"], before, axis=0)
-        counted = self._counted(x, y, apart)
-        q = k = v = s = a = match = None
-        h, copied = late, np.zeros_like(counted[0])
-        if self.attend:
-            q, v = late @ (p["q"] * np.float32(WIDTH**-0.5)), e @ p["v"]
-            k = np.concatenate([e, f], axis=2) @ np.concatenate([p["k"], p["w"]])
-            s = q @ k.transpose(0, 2, 1)
-            np.exp(np.minimum(s, 60, out=s), out=s)
-            s *= self.mask
-            s /= np.einsum("nts->nt", s)[:, :, None]
-            a = s @ v
-            h = late + a @ p["o"]
-            match = (x[:, None, :] == y[:, :, None]).astype(np.float32)
-            outside = np.flatnonzero(x[:, 0] < 0)
-            if len(outside):
-                match[outside] = np.where((x[outside] < 0)[:, None, :], counted[0][outside][:, :, None], match[outside])
-            copied = np.einsum("nts,nts->nt", s, match)
-        r = np.maximum(h @ p["w1"], 0)
-        m = h + r @ p["w2"]
-        g = m @ p["u"] + p["b"]
-        if not self.attend:
-            g[..., 3] = -1e9
-        g = np.exp(g - g.max(axis=2, keepdims=True))
-        g /= g.sum(axis=2, keepdims=True)
-        each = np.stack([*counted, copied], axis=2)
-        return np.einsum("ntg,ntg->nt", g, each), (row, before, e, f, late, q, k, v, s, a, h, r, m, g, each, match)
-
     def _projected(self) -> dict[str, np.ndarray]:
         """What each input row and each place adds to keys, queries and values, for weights that stay as they are."""
         if "projected" not in self.__dict__:
-            p, c, q = self.p, CONTEXT - STRIDE, self.p["q"] * np.float32(WIDTH**-0.5)
-            self.projected = {"key": p["e"] @ p["k"], "before": p["f"] @ p["w"], "query": p["e"] @ q, "value": p["e"] @ p["v"], "key_at": p["pos"] @ p["k"], "query_at": p["pos"][c:] @ q, "value_at": p["pos"] @ p["v"]}
+            p, c, q, v = self.p, CONTEXT - STRIDE, self.p["q"] * np.float32(WIDTH**-0.5), self.p["v"] @ self.p["o"]
+            self.projected = {"key": p["e"] @ p["k"], "before": p["f"] @ p["w"], "query": p["e"] @ q, "value": p["e"] @ v, "key_at": p["pos"] @ p["k"], "query_at": p["pos"][c:] @ q, "value_at": p["pos"] @ v}
+            self.projected["key_at"][0] += self.projected["before"][INPUTS]
         return self.projected
 
+    def _weights(self, q: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """Attention weights of the places that a target sees, not yet divided by their sum."""
+        s = q @ k.transpose(0, 2, 1)
+        if s.max() > 60:
+            np.minimum(s, 60, out=s)
+        np.exp(s, out=s)
+        s *= self.mask
+        return s
+
+    @staticmethod
+    def _matches(x: np.ndarray, y: np.ndarray, unigram: np.ndarray) -> np.ndarray:
+        """1 where an input is the target, the target's unigram at places before the text, else 0."""
+        match = (x[:, None, :] == y[:, :, None]).astype(np.float32)
+        outside = np.flatnonzero(x[:, 0] < 0)
+        if len(outside):
+            match[outside] = np.where((x[outside] < 0)[:, None, :], unigram[outside][:, :, None], match[outside])
+        return match
+
     def log_probs(self, windows: np.ndarray) -> np.ndarray:
-        """Natural log probability of each of the STRIDE targets, 0 after the text: what _forward gives, with keys, queries and values looked up and weights of places left undivided."""
+        """Natural log probability of each of the STRIDE targets, 0 after the text. Keys, queries and values are looked up, as the weights stay as they are."""
         self._ready()
         p, c, x, y = self.p, CONTEXT - STRIDE, windows[:, :-1], windows[:, CONTEXT - STRIDE + 1 :]
-        row, counted, copied = self.input[x], self._counted(x, y, False), np.float32(0)
+        row, counted, copied = np.take(self.input, x), self._counted(x, y, False), np.float32(0)
         h = np.take(p["e"], row[:, c:], axis=0) + p["pos"][c:]
         if self.attend:
             t = self._projected()
-            before = np.concatenate([np.full((len(x), 1), INPUTS, np.int32), row[:, :-1]], axis=1)
             k = np.take(t["key"], row, axis=0)
-            k += np.take(t["before"], before, axis=0)
+            k[:, 1:] += np.take(t["before"], row[:, :-1], axis=0)
             k += t["key_at"]
-            s = (np.take(t["query"], row[:, c:], axis=0) + t["query_at"]) @ k.transpose(0, 2, 1)
-            np.exp(np.minimum(s, 60, out=s), out=s)
-            s *= self.mask
+            s = self._weights(np.take(t["query"], row[:, c:], axis=0) + t["query_at"], k)
             whole = np.einsum("nts->nt", s)
-            h += (s @ (np.take(t["value"], row, axis=0) + t["value_at"])) / whole[:, :, None] @ p["o"]
-            match = (x[:, None, :] == y[:, :, None]).astype(np.float32)
-            outside = np.flatnonzero(x[:, 0] < 0)
-            if len(outside):
-                match[outside] = np.where((x[outside] < 0)[:, None, :], counted[0][outside][:, :, None], match[outside])
-            copied = np.einsum("nts,nts->nt", s, match) / whole
+            h += (s @ (np.take(t["value"], row, axis=0) + t["value_at"])) / whole[:, :, None]
+            copied = np.einsum("nts,nts->nt", s, self._matches(x, y, counted[0])) / whole
         h = h.reshape(-1, WIDTH)
         h = h + np.maximum(h @ p["w1"], 0) @ p["w2"]
         g = np.ascontiguousarray((h @ p["u"] + p["b"]).T).reshape(4, *y.shape)
@@ -306,46 +317,99 @@ class AttentionModel:
         return np.where(y >= 0, np.log(np.maximum(total, 1e-30)), 0)
 
     def gradients(self, windows: np.ndarray) -> dict[str, np.ndarray]:
-        """Of the mean negative log probability, where no target counts as its own evidence."""
-        p, c = self.p, CONTEXT - STRIDE
+        """Of the mean negative log probability, where no target counts as its own evidence.
+
+        Places are rows of one matrix wherever weights meet them; only attention itself is a product for each window. Its weights stay undivided:
+        what they are multiplied with is divided by their sum instead. Values are never made: attended inputs meet the product of `v` and `o`.
+        """
+        self._ready()
+        p, c, d, n = self.p, CONTEXT - STRIDE, WIDTH, len(windows)
         x, y = windows[:, :-1], windows[:, c + 1 :]
-        total, (row, before, e, f, late, q, k, v, s, a, h, r, m, g, each, match) = self._forward(x, y, apart=True)
-        total, real = np.maximum(total, 1e-30), (y >= 0) / np.float32(max(1, (y >= 0).sum()))
-        dz = (g - g * each / total[..., None]) * real[..., None]
-        flat = lambda t: t.reshape(-1, t.shape[-1])
-        out = {"u": flat(m).T @ flat(dz), "b": flat(dz).sum(axis=0, keepdims=True)}
-        dm = dz @ p["u"].T
-        dr = (dm @ p["w2"].T) * (r > 0)
-        out["w2"], out["w1"] = flat(r).T @ flat(dm), flat(h).T @ flat(dr)
+        row = np.take(self.input, x)
+        both = np.empty((n, CONTEXT, 2 * d), np.float32)  # of each place its own input, then the one before it
+        np.add(np.take(p["e"], row, axis=0), p["pos"], out=both[..., :d])
+        both[:, 0, d:], both[:, 1:, d:] = p["f"][INPUTS], np.take(p["f"], row[:, :-1], axis=0)
+        flat, e, late = both.reshape(-1, 2 * d), both[..., :d], both[:, c:, :d].reshape(-1, d)
+        counted, copied, h = self._counted(x, y, True), np.zeros(y.shape, np.float32), late
+        if self.attend:
+            scaled, keys, values = p["q"] * np.float32(d**-0.5), np.concatenate([p["k"], p["w"]]), p["v"] @ p["o"]
+            q, k = (late @ scaled).reshape(n, STRIDE, d), (flat @ keys).reshape(n, CONTEXT, d)
+            s = self._weights(q, k)
+            part = 1 / np.einsum("nts->nt", s)
+            attended = ((s @ e) * part[..., None]).reshape(-1, d)
+            h = late + attended @ values
+            match = self._matches(x, y, counted[0])
+            match *= s
+            copied = np.einsum("nts->nt", match) * part
+        r = np.maximum(h @ p["w1"], 0)
+        m = h + r @ p["w2"]
+        g = np.ascontiguousarray((m @ p["u"] + p["b"]).T)
+        if not self.attend:
+            g[3] = -1e9
+        g -= g.max(axis=0)
+        np.exp(g, out=g)
+        g /= g.sum(axis=0)
+        each = np.stack([*counted, copied]).reshape(4, -1)
+        each *= g
+        total, known = np.maximum(each.sum(axis=0), 1e-30), (y >= 0).reshape(-1)
+        real = known / np.float32(max(1, np.count_nonzero(known)))
+        dz = (g - each / total) * real
+        out = {"u": m.T @ dz.T, "b": dz.sum(axis=1)[None]}
+        dm = dz.T @ p["u"].T
+        dr = dm @ p["w2"].T
+        dr *= r > 0
+        out["w2"], out["w1"] = r.T @ dm, h.T @ dr
         dh = dm + dr @ p["w1"].T
-        de = np.zeros_like(e)
-        de[:, c:] += dh
         if self.attend:
-            scale = np.float32(WIDTH**-0.5)
-            out["o"] = flat(a).T @ flat(dh)
-            da = dh @ p["o"].T
-            ds, dv = da @ v.transpose(0, 2, 1), s.transpose(0, 2, 1) @ da
-            ds -= (g[..., 3] / total * real)[..., None] * match
-            ds = s * (ds - np.einsum("nts,nts->nt", ds, s)[..., None])
-            dq, dk = ds @ k * scale, ds.transpose(0, 2, 1) @ q
-            out["q"], out["k"], out["w"], out["v"] = flat(late).T @ flat(dq), flat(e).T @ flat(dk), flat(f).T @ flat(dk), flat(e).T @ flat(dv)
-            de += dk @ p["k"].T + dv @ p["v"].T
-            de[:, c:] += dq @ p["q"].T
-            out["f"] = _scatter(before, dk @ p["w"].T)
-        out["pos"], out["e"] = de.sum(axis=0), _scatter(row, de)
+            da, by = dh @ values.T, attended.T @ dh
+            out["v"], out["o"] = by @ p["o"].T, p["v"].T @ by
+            mean = np.einsum("nd,nd->n", da, attended) - each[3] / total * real
+            ds = da.reshape(n, STRIDE, d) @ e.transpose(0, 2, 1)
+            ds -= mean.reshape(n, STRIDE, 1)
+            ds *= s
+            match *= (g[3] / total * real).reshape(n, STRIDE, 1)
+            ds -= match
+            dq = ((ds @ k) * part[..., None]).reshape(-1, d)
+            dk = (ds.transpose(0, 2, 1) @ (q * part[..., None])).reshape(-1, d)
+            out["q"], by = late.T @ dq * np.float32(d**-0.5), flat.T @ dk
+            out["k"], out["w"] = by[:d], by[d:]
+            de = (dk @ keys.T).reshape(both.shape)
+            de[..., :d] += s.transpose(0, 2, 1) @ (da.reshape(n, STRIDE, d) * part[..., None])
+            dh += dq @ scaled.T
+        else:
+            de = np.zeros_like(both)
+        de[:, c:, :d] += dh.reshape(n, STRIDE, d)
+        out["pos"] = de.reshape(n, -1).sum(axis=0).reshape(CONTEXT, -1)[:, :d]
+        first = de[:, 0, d:].sum(axis=0)
+        de[:, :-1, d:] = de[:, 1:, d:]  # to the place whose input it is
+        de[:, -1, d:] = 0
+        by = _scatter(row, de.reshape(-1, 2 * d))
+        by[INPUTS, d:] += first
+        out["e"], out["f"] = by[:, :d], by[:, d:]
         return out
 
     def train(self, windows: np.ndarray, seed: int) -> AttentionModel:
         """One pass of Adam over shuffled batches."""
         order = np.random.default_rng(seed).permutation(len(windows))
-        m, v = ({k: np.zeros_like(t) for k, t in self.p.items()} for _ in range(2))
+        self.load(now := self.flat())
+        m, v = np.zeros_like(now), np.zeros_like(now)
         for step, i in enumerate(range(0, len(order), BATCH), 1):
-            for k, g in self.gradients(windows[order[i : i + BATCH]]).items():
-                m[k] = 0.9 * m[k] + 0.1 * g
-                v[k] = 0.999 * v[k] + 0.001 * g * g
-                self.p[k] = self.p[k] - LEARNING * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
-        self.__dict__.pop("projected", None)
-        return self
+            found = self.gradients(windows[order[i : i + BATCH]])
+            g = np.concatenate([found[k].reshape(-1) if k in found else np.zeros(self.p[k].size, np.float32) for k in self.NAMES])
+            level = (1 - 0.999**step) ** 0.5
+            rate = np.float32(LEARNING * level / (1 - 0.9**step))
+            m *= np.float32(0.9)
+            m += g * np.float32(0.1)
+            v *= np.float32(0.999)
+            g *= g
+            g *= np.float32(0.001)
+            v += g
+            np.sqrt(v, out=g)
+            g += np.float32(1e-8 * level)
+            np.divide(m, g, out=g)
+            g *= rate
+            now -= g
+        return self.load(now)
 
     def flat(self) -> np.ndarray:
         return np.concatenate([self.p[k].reshape(-1) for k in self.NAMES])
@@ -354,7 +418,7 @@ class AttentionModel:
         at = 0
         for k in self.NAMES:
             size = self.p[k].size
-            self.p[k] = values[at : at + size].reshape(self.p[k].shape).astype(np.float32)
+            self.p[k] = values[at : at + size].reshape(self.p[k].shape).astype(np.float32, copy=False)
             at += size
         self.__dict__.pop("projected", None)
         return self
@@ -362,12 +426,13 @@ class AttentionModel:
 
 def _scatter(row: np.ndarray, grad: np.ndarray) -> np.ndarray:
     """Sums of the gradients of each input row."""
-    order = np.argsort(row, axis=None, kind="stable")
+    order = np.argsort(row.reshape(-1).astype(np.uint16), kind="stable")
     rows = row.reshape(-1)[order]
     first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
-    out = np.zeros((INPUTS + 1, grad.shape[-1]), np.float32)
-    out[rows[first]] = np.add.reduceat(grad.reshape(-1, grad.shape[-1])[order], first, axis=0)
-    return out
+    grad = np.take(grad.view(np.complex64), order, axis=0)  # two numbers are added at a time
+    out = np.zeros((INPUTS + 1, grad.shape[1]), np.complex64)
+    out[rows[first]] = np.add.reduceat(grad, first, axis=0)
+    return out.view(np.float32)
 
 
 def _mix(row: np.ndarray, nth: np.ndarray) -> np.ndarray:
@@ -382,7 +447,7 @@ def _bincounts(of, wide: int):
 
     def run(batches):
         total = None
-        for batch in slices(batches):
+        for batch in slices(batches, 2000):
             got = of(*unpack(batch.column(0), wide))
             if total is None:
                 total = got
@@ -403,19 +468,40 @@ def _gather(rows: DataFrame, size: int, wide: int, of) -> np.ndarray:
     return out
 
 
-def _local(shared, r: int, narrow: int):
-    """A shard's pass over its windows, from the shared weights."""
+def _local(shared, r: int, rate: int, wide: int):
+    """Passes over the windows of round r that the rows of a task have, each from the shared weights: their sum, weighted by windows, in blocks."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["row", "nth"])
-        windows = np.frombuffer(b"".join(pdf["window"]), f"<u{narrow}").astype(np.int64)
-        windows = np.where(windows < (1 << 8 * narrow) - 2, windows, windows - (1 << 8 * narrow)).astype(np.int32).reshape(len(pdf), CONTEXT + 1)
-        values = AttentionModel.of(shared.value).train(windows, seed=1000 * r + int(pdf["shard"].iloc[0])).flat().astype(np.float64)
-        return pd.DataFrame({"slot": np.arange(len(values)), "value": values * len(pdf), "weight": float(len(pdf))})
+    def run(batches):
+        total, weight, shard, parts, many = 0.0, 0, 0, [], 0
+        for batch in itertools.chain(slices(batches), [None]):
+            if batch is not None:
+                ids, begin = unpack(batch.column(1), wide)
+                row, nth = window_numbers(begin)
+                number = batch.column(0).to_numpy()[row]
+                h = _mix(number, nth)
+                pick = (h % np.uint64(rate) == 0) & (h // np.uint64(rate) % np.uint64(ROUNDS) == r)
+                parts.append((number[pick], nth[pick], windows_of(ids, begin, row[pick], nth[pick])))
+                many += len(parts[-1][0])
+            while many >= SHARD + SHARD // 2 or batch is None and many:
+                number, nth, windows = map(np.concatenate, zip(*parts, strict=True))
+                size = SHARD if many >= SHARD + SHARD // 2 else many
+                order = np.lexsort((nth[:size], number[:size]))
+                total += AttentionModel.of(shared.value).train(windows[:size][order], seed=1000 * r + shard).flat().astype(np.float64) * size
+                parts, many, weight, shard = [(number[size:], nth[size:], windows[size:])], many - size, weight + size, shard + 1
+        if weight:
+            total = np.append(total, np.zeros(-len(total) % BLOCK))
+            blocks = np.arange(len(total) // BLOCK)
+            yield pa.RecordBatch.from_arrays([pa.array(blocks), pa.array([x.tobytes() for x in total.reshape(-1, BLOCK)], pa.binary()), pa.array(np.full(len(blocks), weight))], ["block", "total", "weight"])
 
     return run
 
 
+def _mean(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A block of the mean of all tasks' weights."""
+    total = np.frombuffer(b"".join(pdf["total"])).reshape(len(pdf), BLOCK).sum(axis=0) / pdf["weight"].sum()
+    return pd.DataFrame({"block": pdf["block"].iloc[:1], "mean": [total.tobytes()]})
+
+
 def _class_pairs(klass: np.ndarray):
     """Counts of (class before, class), then of (class before that, class); the start stands before a text."""
     start, cells = CLASSES, (CLASSES + 1) * CLASSES
@@ -439,7 +525,7 @@ def fit_model(spark: SparkSession, stored: DataFrame, vocabulary: int, rate: int
     """Counts of ids and class pairs over every training row, then attention weights by averaged local descent.
 
     One window in `rate`, chosen by hash over whole texts, trains, in one of ROUNDS rounds: the training set grows with the corpus. Shards of about
-    SHARD windows train side by side from the same weights; their mean, weighted by windows, starts the next round. The driver holds
+    SHARD windows, of rows that lie together, train side by side from the same weights; their mean, weighted by windows, starts the next round. The driver holds
     the model alone, which is of one size. Where no window is chosen the weights stay as drawn; where no row may be learnt from all counts are zero.
     """
     rows = stored.filter("NOT held_out").select("ids")
@@ -449,31 +535,13 @@ def fit_model(spark: SparkSession, stored: DataFrame, vocabulary: int, rate: int
     total = rows.agg(F.sum(F.octet_length("ids"))).first()[0]
     shards = max(1, round((total or 0) / wide / STRIDE / rate / ROUNDS / SHARD))
 
-    narrow = 2 if vocabulary <= (1 << 16) - 2 else 4  # bytes of an id in a window, with room for -1 and -2
-
-    def choose(r: int):
-        def run(batches):
-            for batch in slices(batches):
-                ids, begin = unpack(batch.column(1), wide)
-                row, nth = window_numbers(begin)
-                number = batch.column(0).to_numpy()[row]
-                h = _mix(number, nth)
-                pick = (h % np.uint64(rate) == 0) & (h // np.uint64(rate) % np.uint64(ROUNDS) == r)
-                h, number, nth = h[pick] // np.uint64(rate), number[pick], nth[pick]
-                raw = windows_of(ids, begin, row[pick], nth).astype(f"<u{narrow}")
-                parts = [(h // np.uint64(ROUNDS) % np.uint64(shards)).astype(np.int64), number, nth]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, parts), pa.array([w.tobytes() for w in raw], pa.binary())], ["shard", "row", "nth", "window"])
-
-        return run
-
-    rows = stored.filter("NOT held_out").select(ROW, "ids")
+    rows = stored.filter("NOT held_out").select(ROW, "ids").coalesce(shards)
     for r in range(ROUNDS):
-        local = _local(spark.sparkContext.broadcast(model.arrays()), r, narrow)
-        chosen = rows.mapInArrow(choose(r), "shard long, row long, nth long, window binary")  # cut from the ids in each round: windows take several times their room
-        one = chosen.groupBy("shard").applyInPandas(local, "slot long, value double, weight double")
-        got = one.groupBy("slot").agg((F.sum("value") / F.sum("weight")).alias("value")).toArrow().to_pandas().sort_values("slot")["value"].to_numpy()
-        if len(got):
-            model.load(got)
+        local = _local(spark.sparkContext.broadcast(model.arrays()), r, rate, wide)
+        sums = rows.mapInArrow(local, "block long, total binary, weight long")  # where the ids lie: neither they nor windows are shuffled
+        got = sums.groupBy("block").applyInPandas(_mean, "block long, mean binary").toArrow().sort_by("block")
+        if got.num_rows:
+            model.load(np.frombuffer(b"".join(got.column("mean").to_pylist())))
     return model
 
 

@@ -10,6 +10,7 @@ import zlib
 from unittest import mock
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -173,6 +174,77 @@ def test_windows_are_cut_anew_in_each_round(spark, monkeypatch, vocabulary):
     assert len(x) == 1 + 1 + 2 + 7 + 16 and np.allclose(got, want.flat(), atol=1e-4)
 
 
+def small_model(texts, vocabulary):
+    ids, begin = np.concatenate(texts).astype(np.int32), np.cumsum([0, *map(len, texts)])
+    model = lm_score.AttentionModel(np.bincount(ids, minlength=vocabulary))
+    return model.with_pairs(*lm_score._class_pairs(model.klass)(ids, begin).reshape(2, lm_score.CLASSES + 1, lm_score.CLASSES)), ids, begin
+
+
+def test_neither_windows_nor_ids_are_shuffled_to_train(spark, monkeypatch):
+    """A shuffle of windows took more disk than the input."""
+    path, kind = scratch_path(spark, "ids"), type(spark.range(1))
+    spark.createDataFrame([(k, False, bytearray(np.arange(k, k + 90, dtype="<u2").tobytes())) for k in range(20)], f"{lm_score.ROW} long, held_out boolean, ids binary").write.parquet(path)
+    seen, real = [], kind.groupBy
+    monkeypatch.setattr(kind, "groupBy", lambda self, *cols: (seen.extend([set(self.columns)] if cols else []), real(self, *cols))[1])
+    lm_score.fit_model(spark, spark.read.parquet(path), 2000)
+    assert len(seen) == 2 + lm_score.ROUNDS and not any(columns & {"window", "ids"} for columns in seen)
+
+
+def test_shards_of_a_task_train_on_all_its_windows(monkeypatch):
+    monkeypatch.setattr(lm_score, "SHARD", 8)
+    rng, vocabulary = np.random.default_rng(3), 2000
+    texts = [rng.integers(0, vocabulary, n) for n in (700, 1, 40, 333, 900, 64)]
+    model, ids, begin = small_model(texts, vocabulary)
+    table = pa.table({lm_score.ROW: list(range(6)), "ids": pa.array([x.astype("<u2").tobytes() for x in texts], pa.binary())})
+    row, nth = lm_score.window_numbers(begin)
+    x, part = lm_score.windows_of(ids, begin, row, nth), lm_score._mix(row, nth) % np.uint64(lm_score.ROUNDS)
+    trained = 0
+    for r in range(lm_score.ROUNDS):
+        (got,) = lm_score._local(mock.Mock(value=model.arrays()), r, 1, 2)(table.to_batches(max_chunksize=2))
+        own, want, shard = x[part == r], 0, 0
+        weight = len(own)
+        while len(own):
+            size = 8 if len(own) >= 12 else len(own)
+            want, own, shard = want + size * lm_score.AttentionModel.of(model.arrays()).train(own[:size], 1000 * r + shard).flat().astype(float), own[size:], shard + 1
+        total = np.frombuffer(b"".join(got.column(1).to_pylist()))
+        assert shard > 2 and set(got.column(2).to_pylist()) == {weight} and np.allclose(total[: len(want)], want, atol=1e-3) and not total[len(want) :].any()
+        trained += weight
+    assert trained == len(x) == sum(-(-len(t) // lm_score.STRIDE) for t in texts)
+
+
+def test_gradients_are_those_of_the_loss():
+    """By differences, on places with counts of their own left in."""
+    rng = np.random.default_rng(5)
+    model, ids, begin = small_model([rng.integers(0, 60, n) for n in (300, 20, 150)], 2000)
+    x = lm_score.windows_of(ids, begin, *lm_score.window_numbers(begin))
+    model._counted = lambda x, y, apart: lm_score.AttentionModel._counted(model, x, y, False)
+    real = (x[:, lm_score.CONTEXT - lm_score.STRIDE + 1 :] >= 0).sum()
+    model.p["k"] = (rng.standard_normal(model.p["k"].shape) * 0.2).astype(np.float32)
+
+    def loss():
+        model.__dict__.pop("projected", None)
+        return -model.log_probs(x).sum(dtype=float) / real
+
+    for name, grad in model.gradients(x).items():
+        k = np.unravel_index(np.abs(grad).argmax(), grad.shape)
+        kept = model.p[name][k]
+        model.p[name][k] = kept + 0.02
+        more = loss()
+        model.p[name][k] = kept - 0.02
+        less = loss()
+        model.p[name][k] = kept
+        assert math.isclose((more - less) / 0.04, grad[k], rel_tol=0.05, abs_tol=2e-5), name
+
+
+def test_known_words_are_found():
+    for known in ([], [7], [0, 1, 2, (1 << 46) - 1, 1 << 46, (1 << 64) - 2, (1 << 64) - 1], list(range(5, 4000, 3))):
+        known = np.array(known, np.uint64)
+        words = np.concatenate([known, known + np.uint64(1), np.array([0, 9, (1 << 64) - 1], np.uint64)])
+        begins = np.searchsorted(known, np.arange(1 << 18, dtype=np.uint64) << np.uint64(46)).astype(np.int32)
+        place, found = lm_score._places(known, begins, words)
+        assert found.tolist() == np.isin(words, known).tolist() and (known[place[found]] == words[found]).all()
+
+
 def test_misra_gries_keeps_what_is_frequent():
     counts = collections.Counter()
     stream = [k % 3 for k in range(300)] + list(range(100, 300))
