@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from skipweave.functions.text import normalize_term
 from skipweave.operators import letters, search
@@ -286,3 +287,64 @@ def test_join_search_shuffles_no_row_for_a_skip(spark):
         found = search.els_search_join(letters.letter_positions(bounded), "TIO", len(text), 2, 30, direction)
         assert sorted((r.direction, r.skip, r.start) for r in found.collect()) == sorted(h for h in brute(text, "TIO", 2, 30) if direction in ("both", h[0]))
     assert "CartesianProduct" not in (plan := found._jdf.queryExecution().optimizedPlan().toString()) and "Range (" not in plan
+
+
+@given(st.lists(st.integers(0, 1_000_000), min_size=1, max_size=50, unique=True))
+def test_steps_give_back_rising_numbers(numbers):
+    from skipweave.operators import significance
+
+    rising = np.array(sorted(numbers))
+    assert significance.unpacked(significance.packed(rising)).tolist() == rising.tolist()
+    assert len(significance.packed(rising)) <= 2 * (len(rising) + rising[-1] // significance.FULL)
+
+
+@pytest.mark.parametrize("piece", [1, 30, 1000])
+def test_pieces_hold_the_letters_asked_for(monkeypatch, piece):
+    """Verses of a task are split and put together to pieces; letters that a term lacks are left out, and all others keep their places."""
+    import pandas as pd
+
+    from skipweave.operators import significance
+
+    monkeypatch.setattr(significance, "PIECE", piece)
+    text = "".join(np.random.default_rng(1).choice(list("TIONAEX"), 200))
+    ends = [0, 7, 8, 60, 61, 120, 200]
+    verses = pd.DataFrame({"start_pos": ends[:-1], "letters": [text[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]})
+    letters_ = np.frombuffer(b"EINOT", np.uint8)
+    pieces = list(significance._pieces([verses[:2], verses[2:3], verses[3:]], letters_))
+    got = {int(p): "EINOT"[k] for places, numbers in pieces for p, k in zip(places, numbers, strict=True)}
+    assert got == {i: c for i, c in enumerate(text) if c in "EINOT"} and len(pieces) == {1: 6, 30: 3, 1000: 1}[piece]
+
+
+def shuffle_files(spark):
+    import glob
+
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return {f for d in folders for f in glob.glob(f"{d}/**/shuffle_*.data", recursive=True)}
+
+
+def test_shuffled_streams_move_the_terms_letters_alone(spark, monkeypatch):
+    """Every run shuffled five bytes for each letter of the stream, all runs at once; rounds of one run count the same, and their shuffles do not stay on disk."""
+    import time
+
+    from skipweave.operators import significance
+
+    n, kind, laid = 60_000, type(spark.range(1)), []
+    _, bounded = random_stream(spark, n, "TIONABCDEFGHJKLM", 4)
+    real = kind.mapInPandas
+    monkeypatch.setattr(kind, "mapInPandas", lambda *a, **k: laid.append(real(*a, **k)) or laid[-1])
+    counts = lambda runs: sorted(tuple(r) for r in significance.monte_carlo(bounded, "TION", n, runs, "s", 1, 40).collect())
+    got = counts(6)
+    moved = sum(df.agg(*(F.sum(F.length(c)) for c, t in df.dtypes if t == "binary")).first()[0] for df in laid)
+    assert 0 < moved < 6 * n  # a quarter of the letters at two bytes
+    monkeypatch.setattr(kind, "mapInPandas", real)
+    for r in (1, 2):
+        shuffled = significance.shuffled(bounded, 2, "s", n).filter(f"run = {r}").orderBy("pos").toPandas()
+        code = np.frombuffer("".join(shuffled["ch"]).encode(), np.uint8)
+        assert got[r - 1] == (r, sum(len(search.find_in(code, np.frombuffer(w, np.uint8), range(1, 41), n)[0]) for w in (b"TION", b"NOIT")))
+    monkeypatch.setattr(significance, "ROUND", 1)
+    before = shuffle_files(spark)
+    assert counts(3) == got[:3]
+    until = time.time() + 20
+    while (left := shuffle_files(spark) - before) and time.time() < until:
+        time.sleep(0.2)
+    assert not left and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) is None
