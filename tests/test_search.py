@@ -348,3 +348,35 @@ def test_shuffled_streams_move_the_terms_letters_alone(spark, monkeypatch):
     while (left := shuffle_files(spark) - before) and time.time() < until:
         time.sleep(0.2)
     assert not left and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) is None
+
+
+def poisson_exact(rate, observed):
+    """P(X >= observed) near the rate: the terms' ratios on both sides, 20 deviations far, over their sum."""
+    far = np.arange(1, int(20 * rate**0.5))
+    above, below = (np.cumprod(x).sum() for x in (rate / (observed + far), (observed + 1 - far) / rate))
+    return (1 + above) / (1 + above + below)
+
+
+def test_poisson_tails_of_large_counts(spark):
+    """A count as a literal became an array of as many numbers in the driver, and their summed logarithms were off in the sixth place."""
+    from skipweave.operators import significance
+
+    for observed, rate in ((1_000_000, 1_000_300.0), (1_000_000, 999_000.0), (5_000_000, 5_001_500.0), (2_000_000_000, 2_000_030_000.0)):
+        counts = spark.range(1).select(F.lit("ENE").alias("term"), (F.col("id") + rate).alias("expected"), F.lit(observed).cast("long").alias("observed"))
+        assert abs(counts.select(significance.poisson_tail(F.col("expected"), F.col("observed"))).first()[0] - poisson_exact(rate, observed)) < 1e-9
+        assert significance.poisson_analysis(counts).first().p == pytest.approx(poisson_exact(rate, observed), abs=1e-6)
+
+
+def test_poisson_tails_equal_sums(spark):
+    from fractions import Fraction
+
+    from skipweave.operators import significance
+
+    asked = [(float(r), o) for r in (1, 5, 20, 30) for o in (0, 1, 4, 19, 20, 21, 22, 31, 60)] + [(0.0, 0), (0.0, 3)]
+    got = spark.createDataFrame(asked, "rate double, observed long").select("rate", "observed", significance.poisson_tail(F.col("rate"), F.col("observed")).alias("p")).collect()
+    for x in got:
+        term, every, below = Fraction(1), Fraction(0), Fraction(0)
+        for k in range(300):
+            every, below = every + term, below + term * (k < x.observed)
+            term = term * int(x.rate) / (k + 1)
+        assert x.p == pytest.approx(float((every - below) / every), rel=1e-9, abs=1e-300)
